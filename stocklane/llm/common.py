@@ -11,6 +11,10 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 
 
+#: Rows that a step sees at once, so that its memory follows a few texts, not Arrow's batch size.
+ROWS = 1024
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
@@ -66,8 +70,8 @@ def batches(frame: DataFrame, step, schema: str) -> DataFrame:
 
     def run(parts):
         for part in parts:
-            if part.num_rows:
-                out = step(part)
+            for at in range(0, part.num_rows, ROWS):
+                out = step(part.slice(at, ROWS))
                 yield pa.RecordBatch.from_arrays(
                     [pa.array(out[f.name], type=f.type) if not isinstance(out[f.name], (pa.Array, pa.ChunkedArray)) else _flat(out[f.name], f.type) for f in arrow],
                     schema=arrow,

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from stocklane.llm import decontaminate, secrets
+from stocklane.llm import decontaminate, piece_bpe, secrets
 from stocklane.llm.common import table
 
 QUERIES: dict = {}
@@ -24,3 +24,14 @@ def op3_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query
 def op5_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
     return secrets.report(table(spark, sf_dir, "documents"))
+
+
+@query
+def op10_piece_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return piece_bpe.report(table(spark, sf_dir, "documents"), tokenizer_path())
+
+
+def tokenizer_path() -> str:
+    import public_tokenizers
+
+    return public_tokenizers.path("piece_bpe_32k.model")
