@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from stocklane.llm import decontaminate, piece_bpe, secrets
+from stocklane.llm import decontaminate, html_text, piece_bpe, secrets
 from stocklane.llm.common import table
 
 QUERIES: dict = {}
@@ -35,3 +35,8 @@ def tokenizer_path() -> str:
     import public_tokenizers
 
     return public_tokenizers.path("piece_bpe_32k.model")
+
+
+@query
+def op4_html_text(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return html_text.extract(table(spark, sf_dir, "pages"))
