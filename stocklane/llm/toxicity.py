@@ -75,8 +75,9 @@ def balanced_sample(labelled: DataFrame, label: str, size: int, id_col: str) ->
     return labelled.where(pick < rate).withColumn("weight", 1 / rate)
 
 
-def train(documents: DataFrame, labels: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", label_col: str = "toxic", sample: int = 16_000, active: int = 4096, least_ratio: float = 12.0, factors: int = 6, rounds: int = 250) -> Machine:
-    """``sample`` bounds the labelled rows that are gathered, ``active`` the buckets of the machine."""
+def train(documents: DataFrame, labels: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", label_col: str = "toxic", sample: int = 16_000, active: int = 4096, least_ratio: float = 7.0, factors: int = 6, rounds: int = 250, recall_weight: float = 8.0) -> Machine:
+    """``sample`` bounds the labelled rows that are gathered, ``active`` the buckets of the machine. ``recall_weight``: how
+    much more a missed toxic text costs than a clean one reported."""
     labelled = labels.where(F.col(label_col).isin(0, 1) & F.col(id_col).isNotNull() & ~held_out(F.col(id_col))).groupBy(id_col).agg(F.max(label_col).cast("int").alias("y"))
     chosen = balanced_sample(labelled, "y", sample, id_col)
 
@@ -89,7 +90,7 @@ def train(documents: DataFrame, labels: DataFrame, *, id_col: str = "doc_id", te
     weight = np.asarray(got["weight"].combine_chunks(), np.float64)
     listed = got["terms"].combine_chunks()
     sizes = np.diff(np.asarray(listed.offsets))
-    return fit(y, weight, sizes, np.asarray(listed.flatten(), np.int64), active, least_ratio, factors, rounds)
+    return fit(y, np.where(y == 1, recall_weight * weight, weight), sizes, np.asarray(listed.flatten(), np.int64), active, least_ratio, factors, rounds)
 
 
 def likelihood_ratio(y: np.ndarray, doc: np.ndarray, bucket: np.ndarray) -> np.ndarray:
@@ -133,8 +134,8 @@ def fit(y, weight, sizes, bucket, active, least_ratio, factors, rounds) -> Machi
         slope = gap[doc]
         grads = [
             np.array([gap.sum()]),
-            np.bincount(feature, slope, len(best)) + 2e-5 * linear,
-            np.stack([np.bincount(feature, slope * (total[doc, f] - latent[feature, f]), len(best)) for f in range(factors)], axis=1) + 2e-4 * latent,
+            np.bincount(feature, slope, len(best)) + 1e-4 * linear,
+            np.stack([np.bincount(feature, slope * (total[doc, f] - latent[feature, f]), len(best)) for f in range(factors)], axis=1) + 2e-3 * latent,
         ]
         for k, g in enumerate(grads):  # Adam
             m, v = moments[k]
@@ -146,7 +147,7 @@ def fit(y, weight, sizes, bucket, active, least_ratio, factors, rounds) -> Machi
             elif k == 1:
                 linear = linear - move
             else:
-                latent = latent - 0.3 * move
+                latent = latent - 0.1 * move
     return Machine(bias, {int(b): k for k, b in enumerate(best)}, linear, latent)
 
 
