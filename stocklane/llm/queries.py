@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from stocklane.llm import chat, decontaminate, html_text, piece_bpe, quality, secrets, topk, toxicity
+from stocklane.llm import chat, decontaminate, html_text, jaccard_join, piece_bpe, quality, secrets, topk, toxicity
 from stocklane.llm.common import table
 
 QUERIES: dict = {}
@@ -79,3 +79,8 @@ def op6_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query
 def op8_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.report(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
+@query
+def op7_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return jaccard_join.join(table(spark, sf_dir, "documents"))
