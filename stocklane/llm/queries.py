@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from stocklane.llm import chat, decontaminate, html_text, jaccard_join, piece_bpe, quality, secrets, topk, toxicity
+from stocklane.llm import chat, decontaminate, html_text, jaccard_join, line_dedup, piece_bpe, quality, secrets, topk, toxicity
 from stocklane.llm.common import table
 
 QUERIES: dict = {}
@@ -84,3 +84,8 @@ def op8_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query
 def op7_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return jaccard_join.join(table(spark, sf_dir, "documents"))
+
+
+@query
+def op9_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return line_dedup.report(table(spark, sf_dir, "documents"))
