@@ -2,5 +2,25 @@
 
 from __future__ import annotations
 
+from stocklane.plans import models
+from stocklane.plans.oracle.binding import bound
+from stocklane.sources.binding import Tables
+
 QUERIES: dict = {}
 ORACLES: dict[str, str] = {}
+
+
+def register(name: str, build, oracle: str | None = None) -> None:
+    """``build`` takes the canonical tables; ``oracle`` is text over the bound tables and models."""
+    QUERIES[name] = lambda spark, sf_dir: build(Tables(spark, sf_dir))
+    if oracle is not None:
+        ORACLES[name] = bound(oracle)
+
+
+for _name, _view in {
+    "m1_item_metrics": "v_m1_items", "m1_shipment_metrics": "v_m1_shipments", "m1_event_metrics": "v_m1_events", "m1_order_facts": "v_m1", "m2_date_spine": "v_m2_spine", "m2_position_spine": "v_m2_positions",
+    "m2_daily_transactions": "v_m2_tx", "m2_daily_base": "v_m2_base", "m2_daily_demand": "v_m2", "m3_daily_movements": "v_m3_moves", "m3_daily_ledger": "v_m3_ledger", "m3_inventory_state": "v_m3_state",
+    "m3_warehouse_product_daily": "v_m3", "m4_order_item_metrics": "v_m4_items", "m4_order_weight": "v_m4_weight", "m4_delivery_features": "v_m4", "m5_history": "v_m5_history", "m5_engineered": "v_m5_engineered",
+    "m5_risk_features": "v_m5",
+}.items():
+    register(_name, getattr(models, _name), f"SELECT * FROM {_view}")
