@@ -1,11 +1,12 @@
 """Distributed union-find, and complete candidate pairs for groups of any size without all pairs of a group.
 
 Candidates come as rows (key, node): nodes that share a key may be linked. Emitting all pairs of a key would
-grow with the square of a group of copies, so links are found in two turns. First each key's smallest node is
-compared with the others (a star: no more pairs than rows) and the verified links are joined to components.
-Then only keys whose nodes still lie in several components are left; there, every node outside the key's largest
-component is compared with all nodes of other components. Afterwards every two nodes of a key are verified or
-already in one component, so the components are those of all links.
+grow with the square of a group of copies, so links are found in rounds. First each node is compared with one pivot
+(the smallest node of the keys it shares most), then delegates of components that meet under a key are compared: no
+more pairs than rows, and the verified links are joined to components. Then only keys whose nodes still lie in several
+components are left; there, every node outside the key's largest component is compared with all nodes of other
+components. Afterwards every two nodes of a key are verified or already in one component, so the components are
+those of all links.
 """
 
 from __future__ import annotations
@@ -53,13 +54,26 @@ def shared_keys(candidates: DataFrame, extra: list[str]) -> DataFrame:
     return candidates.join(spans.select("key", "pivot"), "key").select("key", "node", "pivot", *extra)
 
 
-def star_pairs(shared: DataFrame) -> DataFrame:
-    return shared.where("node <> pivot").select(F.col("pivot").alias("a"), F.col("node").alias("b")).distinct()
+def best_pairs(shared: DataFrame) -> DataFrame:
+    """For each node the pivot that it shares the most keys with."""
+    stars = shared.where("node <> pivot").groupBy("pivot", "node").agg(F.count(F.lit(1)).alias("n"))
+    best = stars.groupBy("node").agg(F.max(F.struct("n", F.bitwise_not("pivot").alias("less"))).alias("best"))
+    return best.select(F.bitwise_not("best.less").alias("a"), F.col("node").alias("b"))
 
 
-def open_pairs(shared: DataFrame, labels: DataFrame) -> DataFrame:
-    """The pairs (a < b) of keys that the components ``labels`` (node, component) leave undecided."""
-    placed = shared.select("key", "node").distinct().join(labels, "node", "left").select("key", "node", F.coalesce("component", "node").alias("component"))
+def delegate_pairs(placed: DataFrame) -> DataFrame:
+    """For each key in several components the smallest node of each against the smallest of all."""
+    least = placed.groupBy("key", "component").agg(F.min("node").alias("b"))
+    first = least.groupBy("key").agg(F.min("b").alias("a"), F.count(F.lit(1)).alias("parts")).where("parts > 1").select("key", "a")
+    return least.join(first, "key").where("a <> b").select("a", "b").distinct()
+
+
+def place(shared: DataFrame, labels: DataFrame) -> DataFrame:
+    return shared.select("key", "node").distinct().join(labels, "node", "left").select("key", "node", F.coalesce("component", "node").alias("component"))
+
+
+def open_pairs(placed: DataFrame) -> DataFrame:
+    """The pairs (a < b) of nodes that share a key in different components, by rows (key, node, component)."""
     sizes = placed.groupBy("key", "component").agg(F.count(F.lit(1)).alias("n"))
     mixed = sizes.groupBy("key").agg(F.max(F.struct("n", "component")).alias("main"), F.count(F.lit(1)).alias("parts")).where("parts > 1")
     undecided = materialize(placed.join(mixed.select("key", F.col("main.component").alias("main")), "key"), "open")
@@ -70,12 +84,24 @@ def open_pairs(shared: DataFrame, labels: DataFrame) -> DataFrame:
 
 
 def linked(shared: DataFrame, verify) -> DataFrame:
-    """Components of all links between nodes that share a key. ``verify(pairs)`` keeps the linked pairs (a, b)."""
-    stars = materialize(star_pairs(shared), "stars")
-    found = materialize(verify(stars), "links")
-    labels = materialize(components(found), "labels")
-    rest = open_pairs(shared, labels).join(stars.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")), ["a", "b"], "left_anti")
-    more = materialize(verify(materialize(rest, "rest")), "links")
-    if not more.limit(1).count():
-        return labels
-    return materialize(components(found.select("a", "b").union(more.select("a", "b"))), "labels")
+    """Components of all links between nodes that share a key. ``verify(pairs)`` keeps the linked pairs (a, b).
+
+    Three rounds: each node's best pivot, the delegates of components that meet under a key, then every pair of
+    a key that is still in different components and was not compared before.
+    """
+    links, labels, done = None, None, None
+    for turn in range(3):
+        if turn == 0:
+            pairs = best_pairs(shared)
+        else:
+            placed = place(shared, labels)
+            pairs = delegate_pairs(placed) if turn == 1 else open_pairs(placed)
+        pairs = pairs.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
+        pairs = materialize(pairs if done is None else pairs.join(done, ["a", "b"], "left_anti"), "pairs")
+        found = materialize(verify(pairs).select("a", "b"), "links")
+        done = pairs if done is None else done.unionByName(pairs)
+        if turn and not found.limit(1).count():
+            continue
+        links = found if links is None else links.unionByName(found)
+        labels = materialize(components(links), "labels")
+    return labels

@@ -16,16 +16,18 @@ from __future__ import annotations
 
 import numpy as np
 import pyarrow as pa
-import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from stocklane.llm.common import batches, materialize, mix64, utf8
 from stocklane.llm.components import linked, shared_keys
 
-SKETCH_BITS = 21
+SKETCH_BITS = 20
 PARTS = 64
-CACHED = 400_000
+PORTION_BYTES = 2_000_000
+#: A-Z become a-z; all other bytes stay. Words are parted by BLANK bytes.
+LOWER = bytes(x + 32 if 65 <= x <= 90 else x for x in range(256))
+BLANK = np.isin(np.arange(256), [9, 10, 11, 12, 13, 32])
 #: A probe's candidates are dealt to tasks in portions of about this many sets.
 PORTION = 1000
 #: Ids up to this number go out as a broadcast (16 MB); beyond it the same join shuffles.
@@ -34,28 +36,60 @@ FACTORS = np.array([0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9,
 
 
 class Shingler:
-    """Distinct n-gram hashes of texts; hashes of words are kept between batches."""
+    """Distinct n-gram hashes of texts, vectorised over portions of about ``PORTION_BYTES``.
+
+    A word's hash adds up a random number for each of its bytes and their places (tabulation); an n-gram's hash
+    mixes its words' hashes in order. ASCII letters are lower-cased; bytes 9 to 13 and 32 part words.
+    """
 
     def __init__(self, width: int):
-        self.width, self.cache = width, {}
+        self.width = width
+        rng = np.random.default_rng(3)
+        self.random = rng.integers(0, 2**64, 64 * 256, dtype=np.uint64, endpoint=False)
+        self.odd = rng.integers(0, 2**63, 4096, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
+        self.odd[0] = 1
 
     def sets(self, texts: list[bytes]) -> list[np.ndarray]:
-        cache, out = self.cache, []
-        if len(cache) > CACHED:
-            cache.clear()
+        out, held, size = [], [], 0
         for text in texts:
-            split = text.lower().split()
-            if not split:
+            held.append(text)
+            size += len(text)
+            if size > PORTION_BYTES:
+                out += self.portion(held)
+                held, size = [], 0
+        return out + (self.portion(held) if held else [])
+
+    def portion(self, texts: list[bytes]) -> list[np.ndarray]:
+        data = np.frombuffer(b" ".join(texts).translate(LOWER) + b" ", np.uint8)
+        inside = ~BLANK[data]
+        edge = np.flatnonzero(inside[1:] != inside[:-1]) + 1
+        edge = np.concatenate([[0], edge]) if inside[0] else edge
+        starts, sizes = edge[::2], edge[1::2] - edge[::2]
+        if not len(starts):
+            return [np.zeros(0, np.uint64)] * len(texts)
+        packed = np.cumsum(sizes) - sizes
+        letters = data[inside]
+        place = np.arange(len(letters)) - np.repeat(packed, sizes)
+        value = self.random[((place & 63) << 8) | letters]
+        if sizes.max() > 64:
+            value *= self.odd[(place >> 6) & 4095]
+        h = mix64(np.add.reduceat(value, packed) + sizes.astype(np.uint64))
+        bounds = np.searchsorted(starts, np.cumsum([len(t) + 1 for t in texts]))
+        counts = np.diff(np.concatenate([[0], bounds]))
+        w = self.width
+        grams = np.full(max(0, len(h) - w + 1), w, np.uint64)
+        for k in range(w):
+            grams += mix64(h[k : len(h) - w + 1 + k] * FACTORS[k])
+        grams, out, at = mix64(grams), [], 0
+        for n in counts.tolist():
+            if n >= w:
+                own = np.sort(grams[at : at + n - w + 1])
+                out.append(own[np.concatenate([[True], own[1:] != own[:-1]])])
+            elif n:
+                out.append(mix64(np.array([n], np.uint64) + mix64(h[at : at + n] * FACTORS[:n]).sum(dtype=np.uint64)))
+            else:
                 out.append(np.zeros(0, np.uint64))
-                continue
-            for w in set(split).difference(cache):
-                cache[w] = xxhash.xxh3_64_intdigest(w)
-            h = np.fromiter(map(cache.__getitem__, split), np.uint64, len(split))
-            n = min(self.width, len(h))
-            total = np.full(len(h) - n + 1, n, np.uint64)
-            for k in range(n):
-                total += mix64(h[k : len(h) - n + 1 + k] * FACTORS[k])
-            out.append(np.unique(mix64(total)))
+            at += n
         return out
 
 
@@ -189,8 +223,8 @@ def join(documents: DataFrame, *, width: int = 3, percent: int = 90, id_col: str
         }
 
     def ordered(batch):
-        own = [in_order(x, sketch.value) for x in sets(batch.column(1))]
-        return {"node": batch.column(0), "items": [x.view(np.int64) for x in own]}
+        own = sets(batch.column(1))
+        return {"node": batch.column(0), "same": [fingerprint(x)[0] == fp for x, fp in zip(own, batch.column(2).to_pylist(), strict=True)], "items": arrays([in_order(x, sketch.value) for x in own])}
 
     rows = materialize(batches(base, summary, "id bigint, n bigint, fp bigint, fp2 bigint"), "sets")
     # Equal sets (size and 128 bits) are one node, named by its smallest id.
@@ -198,33 +232,45 @@ def join(documents: DataFrame, *, width: int = 3, percent: int = 90, id_col: str
     hashed = batches(base.where("id IS NOT NULL").select("text"), keys, "key bigint, node bigint")
     meeting = materialize(shared_keys(hashed, []).select("key", "node").distinct(), "meeting")
     # From here a node is a class' smallest id.
-    named = meeting.join(classes.select(F.col("fp").alias("node"), "rep", "n"), "node").select("key", F.col("rep").alias("node"), "n")
-    named = materialize(shared_keys(named, ["n"]), "named")
-    wanted = named.select(F.col("node").alias("id")).distinct()
-    needed = matching(base, materialize(wanted, "wanted"), "id")
-    full = materialize(batches(needed.select("id", "text"), ordered, "node bigint, items array<bigint>").dropDuplicates(["node"]), "full")
-    labels = linked(named, lambda pairs: verify(pairs, full, percent))
+    named = meeting.join(classes.withColumn("node", F.col("fp")), "node").select("key", F.col("rep").alias("node"), "n", "fp")
+    named = materialize(shared_keys(named, ["n", "fp"]), "named")
+    sizes = materialize(named.select("node", "n", "fp").distinct(), "sizes")
+
+    def full(nodes: DataFrame) -> DataFrame:
+        """Sets of nodes in global order. Of rows that share an id, those of another text are not the node's set."""
+        needed = matching(base, nodes.join(sizes, "node").select(F.col("node").alias("id"), "fp"), "id", "inner").select("id", "text", "fp")
+        return batches(needed, ordered, "node bigint, same boolean, items array<bigint>").where("same").select("node", "items")
+
+    labels = linked(named, lambda pairs: verify(pairs, sizes, full, percent))
     placed = rows.join(classes, ["fp", "fp2", "n"], "left").join(labels.select(F.col("node").alias("rep"), "component"), "rep", "left")
     return placed.select(F.col("id").alias(id_col), F.col("n").alias("n_shingles"), F.coalesce("component", "rep", "id").alias("component_id"))
 
 
+def arrays(rows: list[np.ndarray]) -> pa.Array:
+    offsets = np.zeros(len(rows) + 1, np.int32)
+    np.cumsum([len(x) for x in rows], out=offsets[1:])
+    return pa.ListArray.from_arrays(pa.array(offsets), pa.array(np.concatenate([*rows, np.zeros(0, np.uint64)]).view(np.int64)))
+
+
 def matching(df: DataFrame, ids: DataFrame, column: str, how: str = "left_semi") -> DataFrame:
-    """Semi or anti join; the ids are broadcast only where their number is checked to be small."""
+    """A join with ids; these are broadcast only where their number is checked to be small."""
     return df.join(F.broadcast(ids) if ids.count() <= SMALL else ids, column, how)
 
 
-def verify(pairs: DataFrame, full: DataFrame, percent: int) -> DataFrame:
+def verify(pairs: DataFrame, sizes: DataFrame, full, percent: int) -> DataFrame:
     """The pairs (a, b) that link. Sets of size n and m can link only if 100 * min >= percent * max.
 
-    Each ``a`` probes a trie of its ``b`` sets; a probe with many is dealt to several tasks.
+    Each ``a`` probes a trie of its ``b`` sets; a probe with many is dealt to several tasks. ``full(nodes)`` fetches
+    sets, of the nodes in pairs of fitting sizes only.
     """
-    sizes = full.select("node", F.size("items").alias("n"))
-    near = pairs.join(sizes.select(F.col("node").alias("a"), F.col("n").alias("na")), "a").join(sizes.select(F.col("node").alias("b"), F.col("n").alias("nb")), "b")
-    near = materialize(near.where(F.least("na", "nb") * 100 >= F.greatest("na", "nb") * percent).select("a", "b"), "pairs")
+    size = lambda c: sizes.select(F.col("node").alias(c), F.col("n").alias(f"n{c}"))
+    near = pairs.join(size("a"), "a").join(size("b"), "b").where(F.least("na", "nb") * 100 >= F.greatest("na", "nb") * percent)
+    near = materialize(near.select("a", "b"), "near")
+    own = materialize(full(materialize(near.select(F.col("a").alias("node")).union(near.select("b")).distinct(), "needed")), "full")
     probes = near.groupBy("a").agg(F.ceil(F.count(F.lit(1)) / PORTION).cast("int").alias("portions"))
     members = near.join(probes, "a").select("a", F.pmod(F.xxhash64("b"), F.col("portions")).cast("int").alias("portion"), F.col("b").alias("node"), F.lit(1).alias("kind"))
     heads = probes.select("a", F.explode(F.sequence(F.lit(0), F.col("portions") - 1)).alias("portion"), F.col("a").alias("node"), F.lit(0).alias("kind"))
-    dealt = members.unionByName(heads).join(full, "node").repartition("a", "portion").sortWithinPartitions("a", "portion", "kind")
+    dealt = members.unionByName(heads).join(own, "node").repartition("a", "portion").sortWithinPartitions("a", "portion", "kind")
 
     def probe(parts):
         own, trie, found = None, None, []
