@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from stocklane.plans import models
+from stocklane.plans import checks, models
 from stocklane.plans.oracle.binding import bound
 from stocklane.sources.binding import Tables
 
@@ -24,3 +24,6 @@ for _name, _view in {
     "m5_risk_features": "v_m5",
 }.items():
     register(_name, getattr(models, _name), f"SELECT * FROM {_view}")
+
+for _name, _build, _text in checks.registered():
+    register(_name, _build, _text)
