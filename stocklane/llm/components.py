@@ -72,34 +72,49 @@ def place(shared: DataFrame, labels: DataFrame) -> DataFrame:
     return shared.select("key", "node").distinct().join(labels, "node", "left").select("key", "node", F.coalesce("component", "node").alias("component"))
 
 
-def open_pairs(placed: DataFrame) -> DataFrame:
-    """The pairs (a < b) of nodes that share a key in different components, by rows (key, node, component)."""
+def open_rows(placed: DataFrame) -> DataFrame:
+    """The rows (key, node, component, main) of keys in several components; ``main``: the largest of them."""
     sizes = placed.groupBy("key", "component").agg(F.count(F.lit(1)).alias("n"))
     mixed = sizes.groupBy("key").agg(F.max(F.struct("n", "component")).alias("main"), F.count(F.lit(1)).alias("parts")).where("parts > 1")
-    undecided = materialize(placed.join(mixed.select("key", F.col("main.component").alias("main")), "key"), "open")
-    outside = undecided.where("component <> main").select("key", F.col("node").alias("a"), F.col("component").alias("ca"))
-    inside = undecided.select("key", F.col("node").alias("b"), F.col("component").alias("cb"), "main")
-    met = outside.join(inside, "key").where("ca <> cb AND (cb = main OR a < b)")
-    return met.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
+    return placed.join(mixed.select("key", F.col("main.component").alias("main")), "key")
 
 
-def linked(shared: DataFrame, verify) -> DataFrame:
+def open_pairs(rows: DataFrame) -> DataFrame:
+    """Pairs (a, b) of a key's nodes in different components, ``a`` outside the largest; both outside: a < b."""
+    outside = rows.where("component <> main").select("key", F.col("node").alias("a"), F.col("component").alias("ca"))
+    inside = rows.select("key", F.col("node").alias("b"), F.col("component").alias("cb"), "main")
+    return outside.join(inside, "key").where("ca <> cb AND (cb = main OR a < b)").select("a", "b").distinct()
+
+
+def neighbourhoods(rows: DataFrame) -> DataFrame:
+    """``node, hood``: the smallest node that shares an open key; nodes of one crowd mostly get one name."""
+    least = rows.groupBy("key").agg(F.min("node").alias("least"))
+    return rows.join(least, "key").groupBy("node").agg(F.min("least").alias("hood"))
+
+
+def linked(shared: DataFrame, verify, verify_crowd=None) -> DataFrame:
     """Components of all links between nodes that share a key. ``verify(pairs)`` keeps the linked pairs (a, b).
 
     Three rounds: each node's best pivot, the delegates of components that meet under a key, then every pair of
-    a key that is still in different components and was not compared before.
+    a key that is still in different components and was not compared before. The last may hold crowds that share keys
+    but do not link; ``verify_crowd(pairs, hoods)`` may use that (node, hood) names the crowd of a node.
     """
     links, labels, done = None, None, None
     for turn in range(3):
+        hoods = None
         if turn == 0:
             pairs = best_pairs(shared)
+        elif turn == 1:
+            pairs = delegate_pairs(place(shared, labels))
         else:
-            placed = place(shared, labels)
-            pairs = delegate_pairs(placed) if turn == 1 else open_pairs(placed)
-        pairs = pairs.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
-        pairs = materialize(pairs if done is None else pairs.join(done, ["a", "b"], "left_anti"), "pairs")
-        found = materialize(verify(pairs).select("a", "b"), "links")
-        done = pairs if done is None else done.unionByName(pairs)
+            rows = materialize(open_rows(place(shared, labels)), "open")
+            pairs, hoods = open_pairs(rows), neighbourhoods(rows)
+        pairs = pairs.select("a", "b", F.least("a", "b").alias("lo"), F.greatest("a", "b").alias("hi")).dropDuplicates(["lo", "hi"])
+        pairs = materialize(pairs if done is None else pairs.join(done, ["lo", "hi"], "left_anti").select("a", "b", "lo", "hi"), "pairs")
+        known = pairs.select("a", "b")
+        found = verify_crowd(known, hoods) if hoods is not None and verify_crowd is not None else verify(known)
+        found = materialize(found.select("a", "b"), "links")
+        done = pairs.select("lo", "hi") if done is None else done.unionByName(pairs.select("lo", "hi"))
         if turn and not found.limit(1).count():
             continue
         links = found if links is None else links.unionByName(found)

@@ -30,6 +30,8 @@ LOWER = bytes(x + 32 if 65 <= x <= 90 else x for x in range(256))
 BLANK = np.isin(np.arange(256), [9, 10, 11, 12, 13, 32])
 #: A probe's candidates are dealt to tasks in portions of about this many sets.
 PORTION = 1000
+#: Sets in a block of a crowd.
+BLOCK = 256
 #: Ids up to this number go out as a broadcast (16 MB); beyond it the same join shuffles.
 SMALL = 2_000_000
 FACTORS = np.array([0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0xD6E8FEB86659FD93, 0xA0761D6478BD642F, 0xE7037ED1A0B428DB, 0x8EBC6AF09C88C6E3, 0x589965CC75374CC3], np.uint64)
@@ -241,7 +243,7 @@ def join(documents: DataFrame, *, width: int = 3, percent: int = 90, id_col: str
         needed = matching(base, nodes.join(sizes, "node").select(F.col("node").alias("id"), "fp"), "id", "inner").select("id", "text", "fp")
         return batches(needed, ordered, "node bigint, same boolean, items array<bigint>").where("same").select("node", "items")
 
-    labels = linked(named, lambda pairs: verify(pairs, sizes, full, percent))
+    labels = linked(named, lambda pairs: verify(pairs, sizes, full, percent), lambda pairs, hoods: verify_crowd(pairs, hoods, sizes, full, percent))
     placed = rows.join(classes, ["fp", "fp2", "n"], "left").join(labels.select(F.col("node").alias("rep"), "component"), "rep", "left")
     return placed.select(F.col("id").alias(id_col), F.col("n").alias("n_shingles"), F.coalesce("component", "rep", "id").alias("component_id"))
 
@@ -257,44 +259,68 @@ def matching(df: DataFrame, ids: DataFrame, column: str, how: str = "left_semi")
     return df.join(F.broadcast(ids) if ids.count() <= SMALL else ids, column, how)
 
 
+def fitting(pairs: DataFrame, sizes: DataFrame, percent: int) -> DataFrame:
+    """Sets of size n and m can link only if 100 * min >= percent * max."""
+    size = lambda c: sizes.select(F.col("node").alias(c), F.col("n").alias(f"n{c}"))
+    near = pairs.join(size("a"), "a").join(size("b"), "b").where(F.least("na", "nb") * 100 >= F.greatest("na", "nb") * percent)
+    return materialize(near.select("a", "b"), "near")
+
+
+def nodes_of(near: DataFrame) -> DataFrame:
+    return materialize(near.select(F.col("a").alias("node")).union(near.select("b")).distinct(), "needed")
+
+
 def verify(pairs: DataFrame, sizes: DataFrame, full, percent: int) -> DataFrame:
-    """The pairs (a, b) that link. Sets of size n and m can link only if 100 * min >= percent * max.
+    """The pairs (a, b) that link. Each ``a`` probes a trie of its ``b`` sets; many are dealt to several tasks.
 
-    Each ``a`` probes a trie of its ``b`` sets; a probe with many is dealt to several tasks. ``full(nodes)`` fetches
-    sets, of the nodes in pairs of fitting sizes only.
+    ``full(nodes)`` fetches sets, of the nodes in pairs of fitting sizes only.
     """
-    size = lambda c: sizes.select(F.col("node").alias(c), F.col("n").alias(f"n{c}"))
-    near = pairs.join(size("a"), "a").join(size("b"), "b").where(F.least("na", "nb") * 100 >= F.greatest("na", "nb") * percent)
-    near = materialize(near.select("a", "b"), "near")
-    own = materialize(full(materialize(near.select(F.col("a").alias("node")).union(near.select("b")).distinct(), "needed")), "full")
+    near = fitting(pairs, sizes, percent)
     probes = near.groupBy("a").agg(F.ceil(F.count(F.lit(1)) / PORTION).cast("int").alias("portions"))
-    members = near.join(probes, "a").select("a", F.pmod(F.xxhash64("b"), F.col("portions")).cast("int").alias("portion"), F.col("b").alias("node"), F.lit(1).alias("kind"))
-    heads = probes.select("a", F.explode(F.sequence(F.lit(0), F.col("portions") - 1)).alias("portion"), F.col("a").alias("node"), F.lit(0).alias("kind"))
-    dealt = members.unionByName(heads).join(own, "node").repartition("a", "portion").sortWithinPartitions("a", "portion", "kind")
-
-    def probe(parts):
-        own, trie, found = None, None, []
+    members = near.join(probes, "a").select(F.col("a").alias("x"), F.pmod(F.xxhash64("b"), F.col("portions")).alias("y"), F.col("b").alias("node"), F.lit(0).alias("kind"))
+    heads = probes.select(F.col("a").alias("x"), F.explode(F.sequence(F.lit(0).cast("bigint"), F.col("portions") - 1)).alias("y"), F.col("a").alias("node"), F.lit(1).alias("kind"))
+    return probe(members.unionByName(heads), materialize(full(nodes_of(near)), "full"), percent)
+
+
+def verify_crowd(pairs: DataFrame, hoods: DataFrame, sizes: DataFrame, full, percent: int) -> DataFrame:
+    """As ``verify`` for crowds of pairs: nodes are dealt to blocks by neighbourhood, and a task gets the sets of two
+    blocks that pairs connect, each set once, not once a pair."""
+    near = fitting(pairs, sizes, percent)
+    needed = nodes_of(near)
+    own = hoods.join(needed, "node")
+    counts = own.groupBy("hood").agg(F.ceil(F.count(F.lit(1)) / BLOCK).cast("int").alias("blocks"))
+    dealt = materialize(own.join(counts, "hood").select("node", F.xxhash64("hood", F.pmod(F.xxhash64("node"), F.col("blocks"))).alias("block")), "blocks")
+    side = lambda c, name: dealt.select(F.col("node").alias(c), F.col("block").alias(name))
+    placed = near.join(side("a", "x"), "a").join(side("b", "y"), "b")
+    rows = placed.select("x", "y", F.col("b").alias("node"), F.lit(0).alias("kind")).distinct().unionByName(placed.select("x", "y", F.col("a").alias("node"), F.lit(1).alias("kind")).distinct())
+    return probe(rows, materialize(full(needed), "full"), percent)
+
+
+def probe(rows: DataFrame, own: DataFrame, percent: int) -> DataFrame:
+    """Within each (x, y): the sets of kind 0 make a trie, those of kind 1 probe it one after another."""
+    dealt = rows.join(own, "node").repartition("x", "y").sortWithinPartitions("x", "y", "kind")
+
+    def run(parts):
+        group, trie, found = None, None, []
         for batch in parts:
             items = batch.column(4)
             flat, offsets = np.asarray(items.flatten(), dtype=np.int64).view(np.uint64), np.asarray(items.offsets)
             offsets = offsets - offsets[0]
-            for k, (a, portion, node, kind) in enumerate(zip(*(batch.column(c).to_pylist() for c in range(4)), strict=True)):
+            for k, (x, y, node, kind) in enumerate(zip(*(batch.column(c).to_pylist() for c in range(4)), strict=True)):
                 one = flat[offsets[k] : offsets[k + 1]]
+                if group != (x, y):
+                    group, trie = (x, y), Trie()
                 if kind == 0:
-                    if own is not None:
-                        found += [(own[0], b) for b in trie.similar(own[1], percent)]
-                    own, trie = (a, one.copy()), Trie()
-                else:
                     trie.add(node, one.copy())
+                else:
+                    found += [(node, b) for b in trie.similar(one, percent) if b != node]
             if len(found) > 5000:
                 yield links(found)
                 found = []
-        if own is not None:
-            found += [(own[0], b) for b in trie.similar(own[1], percent)]
         if found:
             yield links(found)
 
-    return dealt.select("a", "portion", "node", "kind", "items").mapInArrow(probe, "a bigint, b bigint")
+    return dealt.select("x", "y", "node", "kind", "items").mapInArrow(run, "a bigint, b bigint")
 
 
 def links(found: list[tuple[int, int]]) -> pa.RecordBatch:
