@@ -73,7 +73,9 @@ def bound(body: str, **more: str) -> str:
     """``body`` behind the common table expressions that it uses."""
     from stocklane.plans.oracle.views import VIEWS
 
-    known = PARTS | VIEWS | more
+    from stocklane.plans.reports import MORE
+
+    known = PARTS | VIEWS | MORE | more
     used: set[str] = set()
 
     def need(text: str) -> None:

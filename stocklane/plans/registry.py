@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from stocklane.plans import checks, models
+from stocklane.plans import checks, models, reports
 from stocklane.plans.oracle.binding import bound
 from stocklane.sources.binding import Tables
 
@@ -27,3 +27,6 @@ for _name, _view in {
 
 for _name, _build, _text in checks.registered():
     register(_name, _build, _text)
+
+for _name, _build, _text in reports.registered():
+    register(_name, _build, _text)
