@@ -92,6 +92,27 @@ def neighbourhoods(rows: DataFrame) -> DataFrame:
     return rows.join(least, "key").groupBy("node").agg(F.min("least").alias("hood"))
 
 
+def star_linked(shared: DataFrame, verify, rounds: int = 3) -> DataFrame:
+    """Components of links found by best pivots and then by delegates, round after round while links turn up.
+
+    Every round compares no more pairs than there are rows, whatever the size of a group. Two nodes of one key that
+    link with each other but neither with its pivots nor through other keys stay apart: for approximate keys (MinHash
+    bands) that costs a little recall, which the caller measures; ``linked`` is the exact way.
+    """
+    links, labels, done = None, None, None
+    for turn in range(rounds):
+        pairs = best_pairs(shared) if turn == 0 else delegate_pairs(place(shared, labels))
+        pairs = pairs.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
+        pairs = materialize(pairs if done is None else pairs.join(done, ["a", "b"], "left_anti"), "pairs")
+        found = materialize(verify(pairs).select("a", "b"), "links")
+        if turn and not found.limit(1).count():
+            break
+        done = pairs if done is None else done.unionByName(pairs)
+        links = found if links is None else links.unionByName(found)
+        labels = materialize(components(links), "labels")
+    return labels
+
+
 def linked(shared: DataFrame, verify, verify_crowd=None) -> DataFrame:
     """Components of all links between nodes that share a key. ``verify(pairs)`` keeps the linked pairs (a, b).
 
