@@ -48,10 +48,10 @@ def rooted(df: DataFrame, up: DataFrame, column: str) -> DataFrame:
     return df.join(top, column, "left").withColumn(column, F.coalesce("_top", column)).select(df.columns)
 
 
-def shared_keys(candidates: DataFrame, extra: list[str]) -> DataFrame:
-    """Rows (key, node, pivot, *extra) of keys with two nodes at least; ``extra`` depends on the node alone."""
+def shared_keys(candidates: DataFrame) -> DataFrame:
+    """Rows (key, node, pivot) of keys with two nodes at least."""
     spans = candidates.groupBy("key").agg(F.min("node").alias("pivot"), F.max("node").alias("last")).where("pivot < last")
-    return candidates.join(spans.select("key", "pivot"), "key").select("key", "node", "pivot", *extra)
+    return candidates.join(spans.select("key", "pivot"), "key").select("key", "node", "pivot")
 
 
 def best_pairs(shared: DataFrame) -> DataFrame:
@@ -69,27 +69,29 @@ def delegate_pairs(placed: DataFrame) -> DataFrame:
 
 
 def place(shared: DataFrame, labels: DataFrame) -> DataFrame:
-    return shared.select("key", "node").distinct().join(labels, "node", "left").select("key", "node", F.coalesce("component", "node").alias("component"))
+    return shared.drop("pivot").join(labels, "node", "left").withColumn("component", F.coalesce("component", "node"))
+
+
+def distinct_groups(shared: DataFrame) -> DataFrame:
+    """``shared`` without keys that have the same nodes as another key: near copies share dozens of such keys."""
+    nodes = shared.groupBy("key").agg(F.count(F.lit(1)).alias("n"), F.bit_xor(F.xxhash64("node")).alias("x"), F.bit_xor(F.xxhash64("node", F.lit(1))).alias("y"))
+    return shared.join(nodes.groupBy("n", "x", "y").agg(F.min("key").alias("key")).select("key"), "key", "left_semi")
 
 
 def open_rows(placed: DataFrame) -> DataFrame:
-    """The rows (key, node, component, main) of keys in several components; ``main``: the largest of them."""
-    sizes = placed.groupBy("key", "component").agg(F.count(F.lit(1)).alias("n"))
-    mixed = sizes.groupBy("key").agg(F.max(F.struct("n", "component")).alias("main"), F.count(F.lit(1)).alias("parts")).where("parts > 1")
+    """The rows of keys in several components, with ``main``, the largest of them."""
+    sizes = placed.groupBy("key", "component").agg(F.count(F.lit(1)).alias("size"))
+    mixed = sizes.groupBy("key").agg(F.max(F.struct("size", "component")).alias("main"), F.count(F.lit(1)).alias("parts")).where("parts > 1")
     return placed.join(mixed.select("key", F.col("main.component").alias("main")), "key")
 
 
-def open_pairs(rows: DataFrame) -> DataFrame:
-    """Pairs (a, b) of a key's nodes in different components, ``a`` outside the largest; both outside: a < b."""
-    outside = rows.where("component <> main").select("key", F.col("node").alias("a"), F.col("component").alias("ca"))
-    inside = rows.select("key", F.col("node").alias("b"), F.col("component").alias("cb"), "main")
-    return outside.join(inside, "key").where("ca <> cb AND (cb = main OR a < b)").select("a", "b").distinct()
+def open_pairs(rows: DataFrame, fits: str) -> DataFrame:
+    """Pairs (a, b) of a key's nodes in different components, ``a`` outside the largest; both outside: a < b.
 
-
-def neighbourhoods(rows: DataFrame) -> DataFrame:
-    """``node, hood``: the smallest node that shares an open key; nodes of one crowd mostly get one name."""
-    least = rows.groupBy("key").agg(F.min("node").alias("least"))
-    return rows.join(least, "key").groupBy("node").agg(F.min("least").alias("hood"))
+    ``fits``: SQL over the rows ``l`` and ``r`` that is true for every pair that can link.
+    """
+    met = rows.where("component <> main").alias("l").join(rows.alias("r"), F.expr(f"l.key = r.key AND l.component <> r.component AND (r.component = r.main OR l.node < r.node) AND {fits}"))
+    return met.select(F.col("l.node").alias("a"), F.col("r.node").alias("b")).distinct()
 
 
 def star_linked(shared: DataFrame, verify, rounds: int = 3) -> DataFrame:
@@ -113,29 +115,25 @@ def star_linked(shared: DataFrame, verify, rounds: int = 3) -> DataFrame:
     return labels
 
 
-def linked(shared: DataFrame, verify, verify_crowd=None) -> DataFrame:
+def linked(shared: DataFrame, verify, features: DataFrame, fits: str) -> DataFrame:
     """Components of all links between nodes that share a key. ``verify(pairs)`` keeps the linked pairs (a, b).
 
     Three rounds: each node's best pivot, the delegates of components that meet under a key, then every pair of
-    a key that is still in different components and was not compared before. The last may hold crowds that share keys
-    but do not link; ``verify_crowd(pairs, hoods)`` may use that (node, hood) names the crowd of a node.
+    a key that is still in different components, was not compared before and passes ``fits``, an exact necessary
+    condition on ``features`` (columns by node).
     """
     links, labels, done = None, None, None
     for turn in range(3):
-        hoods = None
         if turn == 0:
             pairs = best_pairs(shared)
         elif turn == 1:
             pairs = delegate_pairs(place(shared, labels))
         else:
-            rows = materialize(open_rows(place(shared, labels)), "open")
-            pairs, hoods = open_pairs(rows), neighbourhoods(rows)
-        pairs = pairs.select("a", "b", F.least("a", "b").alias("lo"), F.greatest("a", "b").alias("hi")).dropDuplicates(["lo", "hi"])
-        pairs = materialize(pairs if done is None else pairs.join(done, ["lo", "hi"], "left_anti").select("a", "b", "lo", "hi"), "pairs")
-        known = pairs.select("a", "b")
-        found = verify_crowd(known, hoods) if hoods is not None and verify_crowd is not None else verify(known)
-        found = materialize(found.select("a", "b"), "links")
-        done = pairs.select("lo", "hi") if done is None else done.unionByName(pairs.select("lo", "hi"))
+            pairs = open_pairs(materialize(open_rows(place(shared, labels)).join(features, "node"), "open"), fits)
+        pairs = pairs.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
+        pairs = materialize(pairs if done is None else pairs.join(done, ["a", "b"], "left_anti"), "pairs")
+        found = materialize(verify(pairs).select("a", "b"), "links")
+        done = pairs if done is None else done.unionByName(pairs)
         if turn and not found.limit(1).count():
             continue
         links = found if links is None else links.unionByName(found)

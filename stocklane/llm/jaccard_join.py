@@ -20,7 +20,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from stocklane.llm.common import batches, materialize, mix64, utf8
-from stocklane.llm.components import linked, shared_keys
+from stocklane.llm.components import distinct_groups, linked, shared_keys
 
 SKETCH_BITS = 20
 PARTS = 64
@@ -30,8 +30,8 @@ LOWER = bytes(x + 32 if 65 <= x <= 90 else x for x in range(256))
 BLANK = np.isin(np.arange(256), [9, 10, 11, 12, 13, 32])
 #: A probe's candidates are dealt to tasks in portions of about this many sets.
 PORTION = 1000
-#: Sets in a block of a crowd.
-BLOCK = 256
+#: Cells of a set's histogram.
+CELLS = 64
 #: Ids up to this number go out as a broadcast (16 MB); beyond it the same join shuffles.
 SMALL = 2_000_000
 FACTORS = np.array([0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0xD6E8FEB86659FD93, 0xA0761D6478BD642F, 0xE7037ED1A0B428DB, 0x8EBC6AF09C88C6E3, 0x589965CC75374CC3], np.uint64)
@@ -213,7 +213,7 @@ def join(documents: DataFrame, *, width: int = 3, percent: int = 90, id_col: str
     def summary(batch):
         own = sets(batch.column(1))
         prints = [fingerprint(x) for x in own]
-        return {"id": batch.column(0), "n": [len(x) for x in own], "fp": [p[0] for p in prints], "fp2": [p[1] for p in prints]}
+        return {"id": batch.column(0), "n": [len(x) for x in own], "fp": [p[0] for p in prints], "fp2": [p[1] for p in prints], "hist": [histogram(x) for x in own]}
 
     def keys(batch):
         own = sets(batch.column(0))
@@ -228,23 +228,23 @@ def join(documents: DataFrame, *, width: int = 3, percent: int = 90, id_col: str
         own = sets(batch.column(1))
         return {"node": batch.column(0), "same": [fingerprint(x)[0] == fp for x, fp in zip(own, batch.column(2).to_pylist(), strict=True)], "items": arrays([in_order(x, sketch.value) for x in own])}
 
-    rows = materialize(batches(base, summary, "id bigint, n bigint, fp bigint, fp2 bigint"), "sets")
+    rows = materialize(batches(base, summary, "id bigint, n bigint, fp bigint, fp2 bigint, hist array<smallint>"), "sets")
     # Equal sets (size and 128 bits) are one node, named by its smallest id.
-    classes = materialize(rows.where("n > 0 AND id IS NOT NULL").groupBy("fp", "fp2", "n").agg(F.min("id").alias("rep")), "classes")
+    classes = materialize(rows.where("n > 0 AND id IS NOT NULL").groupBy("fp", "fp2", "n").agg(F.min("id").alias("rep"), F.any_value("hist").alias("hist")), "classes")
     hashed = batches(base.where("id IS NOT NULL").select("text"), keys, "key bigint, node bigint")
-    meeting = materialize(shared_keys(hashed, []).select("key", "node").distinct(), "meeting")
+    meeting = materialize(shared_keys(hashed).select("key", "node").distinct(), "meeting")
     # From here a node is a class' smallest id.
-    named = meeting.join(classes.withColumn("node", F.col("fp")), "node").select("key", F.col("rep").alias("node"), "n", "fp")
-    named = materialize(shared_keys(named, ["n", "fp"]), "named")
-    sizes = materialize(named.select("node", "n", "fp").distinct(), "sizes")
+    named = meeting.join(classes.select(F.col("fp").alias("node"), "rep"), "node").select("key", F.col("rep").alias("node"))
+    named = materialize(distinct_groups(shared_keys(named)), "named")
+    sizes = materialize(classes.select(F.col("rep").alias("node"), "n", "fp", "hist").join(named.select("node").distinct(), "node", "left_semi"), "sizes")
 
     def full(nodes: DataFrame) -> DataFrame:
         """Sets of nodes in global order. Of rows that share an id, those of another text are not the node's set."""
         needed = matching(base, nodes.join(sizes, "node").select(F.col("node").alias("id"), "fp"), "id", "inner").select("id", "text", "fp")
         return batches(needed, ordered, "node bigint, same boolean, items array<bigint>").where("same").select("node", "items")
 
-    labels = linked(named, lambda pairs: verify(pairs, sizes, full, percent), lambda pairs, hoods: verify_crowd(pairs, hoods, sizes, full, percent))
-    placed = rows.join(classes, ["fp", "fp2", "n"], "left").join(labels.select(F.col("node").alias("rep"), "component"), "rep", "left")
+    labels = linked(named, lambda pairs: verify(pairs, sizes, full, percent), sizes.select("node", "n", "hist"), fits("l", "r", percent))
+    placed = rows.drop("hist").join(classes.drop("hist"), ["fp", "fp2", "n"], "left").join(labels.select(F.col("node").alias("rep"), "component"), "rep", "left")
     return placed.select(F.col("id").alias(id_col), F.col("n").alias("n_shingles"), F.coalesce("component", "rep", "id").alias("component_id"))
 
 
@@ -259,10 +259,22 @@ def matching(df: DataFrame, ids: DataFrame, column: str, how: str = "left_semi")
     return df.join(F.broadcast(ids) if ids.count() <= SMALL else ids, column, how)
 
 
+def histogram(own: np.ndarray) -> np.ndarray:
+    """How many of a set's hashes fall in each of ``CELLS`` cells, at most 32767."""
+    return np.minimum(np.bincount((own & np.uint64(CELLS - 1)).astype(np.int64), minlength=CELLS), 32767).astype(np.int16)
+
+
+def fits(a: str, b: str, percent: int) -> str:
+    """SQL, true for every pair of rows that can link: their sizes allow it, and the cells' counts differ by no more
+    than the sets may. (The summed differences never exceed the symmetric difference, so no link is lost.)"""
+    total = f"({a}.n + {b}.n)"
+    most = f"({total} - 2 * ceil({percent} * {total} / {100 + percent}))"
+    apart = f"aggregate(zip_with({a}.hist, {b}.hist, (p, q) -> abs(CAST(p AS INT) - CAST(q AS INT))), 0, (s, d) -> s + d)"
+    return f"least({a}.n, {b}.n) * 100 >= greatest({a}.n, {b}.n) * {percent} AND {apart} <= {most}"
+
+
 def fitting(pairs: DataFrame, sizes: DataFrame, percent: int) -> DataFrame:
-    """Sets of size n and m can link only if 100 * min >= percent * max."""
-    size = lambda c: sizes.select(F.col("node").alias(c), F.col("n").alias(f"n{c}"))
-    near = pairs.join(size("a"), "a").join(size("b"), "b").where(F.least("na", "nb") * 100 >= F.greatest("na", "nb") * percent)
+    near = pairs.join(sizes.alias("x"), F.expr("a = x.node")).join(sizes.alias("y"), F.expr("b = y.node")).where(fits("x", "y", percent))
     return materialize(near.select("a", "b"), "near")
 
 
@@ -282,20 +294,6 @@ def verify(pairs: DataFrame, sizes: DataFrame, full, percent: int) -> DataFrame:
     return probe(members.unionByName(heads), materialize(full(nodes_of(near)), "full"), percent)
 
 
-def verify_crowd(pairs: DataFrame, hoods: DataFrame, sizes: DataFrame, full, percent: int) -> DataFrame:
-    """As ``verify`` for crowds of pairs: nodes are dealt to blocks by neighbourhood, and a task gets the sets of two
-    blocks that pairs connect, each set once, not once a pair."""
-    near = fitting(pairs, sizes, percent)
-    needed = nodes_of(near)
-    own = hoods.join(needed, "node")
-    counts = own.groupBy("hood").agg(F.ceil(F.count(F.lit(1)) / BLOCK).cast("int").alias("blocks"))
-    dealt = materialize(own.join(counts, "hood").select("node", F.xxhash64("hood", F.pmod(F.xxhash64("node"), F.col("blocks"))).alias("block")), "blocks")
-    side = lambda c, name: dealt.select(F.col("node").alias(c), F.col("block").alias(name))
-    placed = near.join(side("a", "x"), "a").join(side("b", "y"), "b")
-    rows = placed.select("x", "y", F.col("b").alias("node"), F.lit(0).alias("kind")).distinct().unionByName(placed.select("x", "y", F.col("a").alias("node"), F.lit(1).alias("kind")).distinct())
-    return probe(rows, materialize(full(needed), "full"), percent)
-
-
 def probe(rows: DataFrame, own: DataFrame, percent: int) -> DataFrame:
     """Within each (x, y): the sets of kind 0 make a trie, those of kind 1 probe it one after another."""
     dealt = rows.join(own, "node").repartition("x", "y").sortWithinPartitions("x", "y", "kind")
