@@ -73,9 +73,9 @@ def bound(body: str, **more: str) -> str:
     """``body`` behind the common table expressions that it uses."""
     from stocklane.plans.oracle.views import VIEWS
 
-    from stocklane.plans.reports import MORE
+    from stocklane.plans import dq, reports
 
-    known = PARTS | VIEWS | MORE | more
+    known = PARTS | VIEWS | reports.MORE | dq.MORE | more
     used: set[str] = set()
 
     def need(text: str) -> None:
