@@ -72,7 +72,7 @@ def balanced_sample(labelled: DataFrame, label: str, size: int, id_col: str) ->
     rate = F.lit(0.0)
     for y, share in keep.items():
         rate = F.when(F.col(label) == y, F.lit(float(share))).otherwise(rate)
-    return labelled.where(pick < rate).withColumn("weight", 1 / rate)
+    return labelled.where(pick < rate).withColumn("weight", F.try_divide(F.lit(1.0), rate))
 
 
 def train(documents: DataFrame, labels: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", label_col: str = "toxic", sample: int = 16_000, active: int = 4096, least_ratio: float = 7.0, factors: int = 6, rounds: int = 250, recall_weight: float = 8.0) -> Machine:
