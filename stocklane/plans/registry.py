@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from stocklane.plans import checks, dq, models, reports
+from stocklane.plans import checks, dq, features, models, reports
 from stocklane.plans.oracle.binding import bound
 from stocklane.sources.binding import Tables
 
@@ -28,5 +28,5 @@ for _name, _view in {
 for _name, _build, _text in checks.registered():
     register(_name, _build, _text)
 
-for _name, _build, _text in [*reports.registered(), *dq.registered()]:
+for _name, _build, _text in [*reports.registered(), *dq.registered(), *features.registered()]:
     register(_name, _build, _text)
