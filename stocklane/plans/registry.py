@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from stocklane.plans import checks, dq, features, models, reports
 from stocklane.plans.oracle.binding import bound
+from stocklane.sources import files
 from stocklane.sources.binding import Tables
 
 QUERIES: dict = {}
@@ -28,5 +29,5 @@ for _name, _view in {
 for _name, _build, _text in checks.registered():
     register(_name, _build, _text)
 
-for _name, _build, _text in [*reports.registered(), *dq.registered(), *features.registered()]:
+for _name, _build, _text in [*reports.registered(), *dq.registered(), *features.registered(), *files.registered()]:
     register(_name, _build, _text)

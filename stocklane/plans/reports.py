@@ -14,7 +14,7 @@ from stocklane.sources.binding import Tables
 
 LIVE, GONE = "order_status <> 'cancelled'", "order_status = 'cancelled'"
 DONE, FAILED, LATE = "shipment_status = 'delivered'", "shipment_status = 'exception'", "shipment_status = 'delivered' AND delivered_at > expected_delivery_at"
-ALL = F.lit(1)
+ALL = "*"
 
 
 def average(c: str, condition: str | None = None):
@@ -236,7 +236,8 @@ def a6_shipping_base(t: Tables) -> DataFrame:
     })
 
 
-COST = F.round(F.col("shipping_cost") * 100).cast("long")
+def cost_cents():
+    return F.round(F.col("shipping_cost") * 100).cast("long")
 
 
 def sent() -> list:
@@ -245,41 +246,45 @@ def sent() -> list:
 
 def costs() -> list:
     """Hours from whole seconds, money from whole cents: sums are exact in any order."""
-    cents = F.sum(COST).cast("double")
+    cents = F.sum(cost_cents()).cast("double")
     return [mean_seconds("shipped_at", "delivered_at", 3600).alias("avg_transit_hours"), rounded(cents / 100.0 / F.nullif(F.count("shipping_cost").cast("double"), F.lit(0.0))).alias("avg_shipping_cost"), (cents / 100.0).alias("total_shipping_cost")]
 
 
-SUCCESS = {"delivery_success_rate_pct": percent("delivered", "shipments")}
-FAILURES = {"exception_rate_pct": percent("exceptions", "shipments"), "late_delivery_rate_pct": percent("late_deliveries", "delivered")}
+def success() -> dict:
+    return {"delivery_success_rate_pct": percent("delivered", "shipments")}
+
+
+def failures() -> dict:
+    return {"exception_rate_pct": percent("exceptions", "shipments"), "late_delivery_rate_pct": percent("late_deliveries", "delivered")}
 
 
 def a6_carrier(t: Tables) -> DataFrame:
     at = lambda p: rounded(F.percentile("actual_transit_hours", F.lit(p)))
     c = a6_shipping_base(t).groupBy("carrier").agg(*sent(), *costs(), F.sum("on_time_flag").alias("on_time_deliveries"), at(0.5).alias("median_transit_hours"), at(0.95).alias("p95_transit_hours"), mean_seconds("expected_delivery_at", "delivered_at", 3600, F.col("late_flag") == 1).alias("avg_late_delay_hours"))
-    return c.withColumns(SUCCESS | FAILURES | {"shipment_share_pct": share("shipments"), "on_time_delivery_rate_pct": percent("on_time_deliveries", "delivered")}).orderBy(F.desc("shipments"), "carrier")
+    return c.withColumns(success() | failures() | {"shipment_share_pct": share("shipments"), "on_time_delivery_rate_pct": percent("on_time_deliveries", "delivered")}).orderBy(F.desc("shipments"), "carrier")
 
 
 def a6_method(t: Tables) -> DataFrame:
     m = a6_shipping_base(t).groupBy("shipping_method").agg(*sent(), *costs(), mean_seconds("shipped_at", "expected_delivery_at", 3600).alias("avg_expected_transit_hours")).withColumnRenamed("avg_transit_hours", "avg_actual_transit_hours")
     place = F.expr("array_position(array('standard', 'express', 'same_day'), shipping_method)")
-    return m.withColumns(SUCCESS | FAILURES | {"shipment_share_pct": share("shipments")}).orderBy(place)
+    return m.withColumns(success() | failures() | {"shipment_share_pct": share("shipments")}).orderBy(place)
 
 
 def a6_carrier_method(t: Tables) -> DataFrame:
     c = a6_shipping_base(t).groupBy("carrier", "shipping_method").agg(*sent(), *costs())
-    return c.withColumns(FAILURES | {"method_carrier_share_pct": share("shipments", ["shipping_method"])}).orderBy("shipping_method", F.desc("shipments"), "carrier")
+    return c.withColumns(failures() | {"method_carrier_share_pct": share("shipments", ["shipping_method"])}).orderBy("shipping_method", F.desc("shipments"), "carrier")
 
 
 def a6_warehouse_carrier(t: Tables) -> DataFrame:
     c = a6_shipping_base(t).groupBy("warehouse_id", "warehouse_code", "warehouse_name", "city", "country_code", "carrier").agg(*sent(), *costs())
-    return c.withColumns(SUCCESS | FAILURES).orderBy("warehouse_id", F.desc("shipments"), "carrier")
+    return c.withColumns(success() | failures()).orderBy("warehouse_id", F.desc("shipments"), "carrier")
 
 
 def a6_scorecard(t: Tables) -> DataFrame:
-    raw = [ratio(F.sum(F.expr("timestampdiff(SECOND, shipped_at, delivered_at)")), F.count("delivered_at")).alias("speed"), ratio(F.sum(COST), F.count("shipping_cost")).alias("cost")]
+    raw = [ratio(F.sum(F.expr("timestampdiff(SECOND, shipped_at, delivered_at)")), F.count("delivered_at")).alias("speed"), ratio(F.sum(cost_cents()), F.count("shipping_cost")).alias("cost")]
     c = a6_shipping_base(t).groupBy("carrier").agg(*sent(), *costs(), *raw).withColumn("fail", ratio("exceptions", "shipments"))
     rank = lambda x: F.dense_rank().over(Window.partitionBy(F.lit(1)).orderBy(F.asc_nulls_last(x)))
-    c = c.withColumns(SUCCESS | FAILURES | {"reliability_rank": rank("fail"), "speed_rank": rank("speed"), "cost_rank": rank("cost")})
+    c = c.withColumns(success() | failures() | {"reliability_rank": rank("fail"), "speed_rank": rank("speed"), "cost_rank": rank("cost")})
     return c.drop("fail", "speed", "cost", "delivered", "exceptions", "late_deliveries", "total_shipping_cost").orderBy("reliability_rank", "speed_rank", "cost_rank", "carrier")
 
 
