@@ -146,7 +146,7 @@ def constants(df: DataFrame, d: Dataset) -> DataFrame:
 
 
 def fp_constant_predictors(t):
-    return each([constants(eligible(t, d), d) for d in DATASETS[1:]])
+    return each([constants(eligible(t, d), d) for d in DATASETS])
 
 
 def split_of(column: str):
@@ -256,38 +256,44 @@ def derive_inventory_movements(t):
     return chronological_ids(t.inventory_movements.drop("created_at"), ["event_ts", "movement_id"], "number")
 
 
-def replay(batch):
-    """One position's replenishments: a receipt just before what stock cannot cover, else reserved stock moves on."""
+def replay(parts):
+    """Replenishments of positions whose moves come in order: a receipt just before what stock cannot cover, else
+    reserved stock moves on. Only the running position's two balances are held, however many moves it has."""
     import pandas as pd
 
-    batch = batch.sort_values(["event_ts", "movement_id"])
-    hand, held, out = 0, 0, []
-    for row in batch.itertuples():
-        size = abs(row.quantity_change)
-        if row.movement_type == "receipt":
-            hand += size
-            continue
-        if row.movement_type == "release":
-            if size > held:
-                raise ValueError(f"movement {row.movement_id} releases more than is reserved")
-            held -= size
-            continue
-        short = size - (hand - held if row.movement_type == "reservation" else hand)
-        if short > 0:
-            amount = max(short, 2 * row.reorder_point, 50)
-            hand += amount
-            out.append((row.warehouse_id, row.product_id, row.movement_id, amount, max(pd.Timestamp("2025-08-01 00:00:01"), row.event_ts - pd.Timedelta(seconds=1))))
-        if row.movement_type == "reservation":
-            held += size
-        else:
-            hand, held = hand - size, max(0, held - size)
-    return pd.DataFrame(out, columns=["warehouse_id", "product_id", "before_movement_id", "quantity_change", "event_ts"])
+    position, hand, held = None, 0, 0
+    for batch in parts:
+        out = []
+        for row in batch.itertuples():
+            if position != (row.warehouse_id, row.product_id):
+                position, hand, held = (row.warehouse_id, row.product_id), 0, 0
+            size = abs(row.quantity_change)
+            if row.movement_type == "receipt":
+                hand += size
+                continue
+            if row.movement_type == "release":
+                if size > held:
+                    raise ValueError(f"movement {row.movement_id} releases more than is reserved")
+                held -= size
+                continue
+            short = size - (hand - held if row.movement_type == "reservation" else hand)
+            if short > 0:
+                amount = max(short, 2 * row.reorder_point, 50)
+                hand += amount
+                out.append((*position, row.movement_id, amount, max(pd.Timestamp("2025-08-01 00:00:01"), row.event_ts - pd.Timedelta(seconds=1))))
+            if row.movement_type == "reservation":
+                held += size
+            else:
+                hand, held = hand - size, max(0, held - size)
+        if out:
+            yield pd.DataFrame(out, columns=["warehouse_id", "product_id", "before_movement_id", "quantity_change", "event_ts"])
 
 
 def plan_replenishment(t):
-    """The recurrence is not linear, so each position is folded in order; positions are independent of each other."""
+    """The recurrence is not linear, so each position is folded in order as a sorted stream; positions are independent."""
     moves = t.inventory_movements.where("movement_type <> 'receipt' OR event_ts = TIMESTAMP_NTZ'2025-08-01 00:00:00'").drop("created_at", "order_id").join(t.inventory.select("warehouse_id", "product_id", "reorder_point"), ["warehouse_id", "product_id"])
-    return moves.groupBy("warehouse_id", "product_id").applyInPandas(replay, "warehouse_id int, product_id bigint, before_movement_id bigint, quantity_change bigint, event_ts timestamp_ntz")
+    dealt = moves.repartition("warehouse_id", "product_id").sortWithinPartitions("warehouse_id", "product_id", "event_ts", "movement_id")
+    return dealt.mapInPandas(replay, "warehouse_id int, product_id bigint, before_movement_id bigint, quantity_change bigint, event_ts timestamp_ntz")
 
 
 def count_where_text(d: Dataset) -> str:
@@ -306,6 +312,16 @@ def parts_text(d: Dataset, lead: str = "") -> str:
     return f"SELECT {lead}{cases(d.split_column)} AS split, count(*) AS rows, min({d.split_column}) AS first_date, max({d.split_column}) AS last_date FROM {d.view}{count_where_text(d)} GROUP BY ALL"
 
 
+def columns_text(d: Dataset, drop: tuple[str, ...] = (), nulls: str = "") -> str:
+    """A row for every eligible row and column not dropped: ``predictor``, and the value ``x`` as text."""
+    names = "lambda c: c NOT IN (" + ", ".join(f"'{c}'" for c in dict.fromkeys(drop)) + ")" if drop else "*"
+    return f"(FROM (SELECT CAST(COLUMNS({names}) AS VARCHAR) FROM {d.view}{count_where_text(d)}) UNPIVOT {nulls} (x FOR predictor IN (COLUMNS(*))))"
+
+
+def not_predictors(d: Dataset) -> tuple[str, ...]:
+    return (*d.excluded, *d.targets, *d.key, d.split_column)
+
+
 TEXTS = {
     "extract_features": "SELECT * FROM v_m4",
     "extraction_summary": union_text(lambda d: f"SELECT '{d.name}' AS dataset, count(*) AS rows, min({d.split_column}) AS first_date, max({d.split_column}) AS last_date FROM {d.view}"),
@@ -327,8 +343,24 @@ TEXTS = {
     "derive_order_events": "SELECT order_id, event_type, event_ts, payload, event_id, row_number() OVER (ORDER BY event_ts, event_id) AS number FROM c_events",
     "derive_compressed_milestones": "SELECT order_id, compressed, pay AS payment_confirmed_ts, res AS inventory_reserved_ts, proc AS processing_started_ts, pack AS order_packed_ts, s_created AS shipment_created_ts FROM c_timed WHERE stage IS NULL",
     "derive_inventory_movements": "SELECT * EXCLUDE created_at, row_number() OVER (ORDER BY event_ts, movement_id) AS number FROM c_movements",
+    "fp_finite": union_text(lambda d: f"SELECT '{d.name}' AS dataset, {n("lower(x) IN ('inf', '-inf', 'nan', '-nan')")} AS non_finite_values FROM {columns_text(d, not_predictors(d))}"),
+    "fp_constant_predictors": union_text(lambda d: f"SELECT '{d.name}' AS dataset, predictor FROM {columns_text(d, not_predictors(d), 'INCLUDE NULLS')} GROUP BY predictor HAVING count(DISTINCT x) <= 1"),
+    "fp_validation_result": union_text(lambda d: f"SELECT '{d.name}' AS dataset, CAST((SELECT count(DISTINCT predictor) FROM {columns_text(d, (), 'INCLUDE NULLS')}) AS INTEGER) AS columns, CAST((SELECT count(DISTINCT predictor) FROM {columns_text(d, not_predictors(d), 'INCLUDE NULLS')}) AS INTEGER) AS predictors, count(*) AS eligible_rows, CAST(sum({' + '.join(f'CASE WHEN {c} IS NULL THEN 1 ELSE 0 END' for c in d.targets)}) AS BIGINT) AS null_targets, min({d.split_column}) AS first_date, max({d.split_column}) AS last_date FROM {d.view}{count_where_text(d)}"),
+    "plan_replenishment": """SELECT warehouse_id, product_id, movement_id AS before_movement_id, amount AS quantity_change, greatest(TIMESTAMP '2025-08-01 00:00:01', event_ts - INTERVAL 1 SECOND) AS event_ts FROM (
+        WITH RECURSIVE moves AS MATERIALIZED (
+            SELECT m.warehouse_id, m.product_id, movement_id, event_ts, movement_type AS kind, CAST(abs(quantity_change) AS BIGINT) AS size, CAST(reorder_point AS BIGINT) AS point, row_number() OVER (PARTITION BY m.warehouse_id, m.product_id ORDER BY event_ts, movement_id) AS k
+            FROM c_movements m JOIN c_inventory i ON m.warehouse_id = i.warehouse_id AND m.product_id = i.product_id WHERE movement_type <> 'receipt' OR event_ts = TIMESTAMP '2025-08-01'),
+        fold AS (
+            SELECT warehouse_id, product_id, CAST(0 AS BIGINT) AS k, CAST(0 AS BIGINT) AS hand, CAST(0 AS BIGINT) AS held, CAST(0 AS BIGINT) AS amount, CAST(NULL AS BIGINT) AS movement_id, CAST(NULL AS TIMESTAMP) AS event_ts FROM moves WHERE k = 1
+            UNION ALL
+            SELECT warehouse_id, product_id, k, hand + added + CASE kind WHEN 'receipt' THEN size WHEN 'release' THEN 0 WHEN 'reservation' THEN 0 ELSE -size END,
+                CASE kind WHEN 'receipt' THEN held WHEN 'release' THEN held - size WHEN 'reservation' THEN held + size ELSE greatest(0, held - size) END, added, movement_id, event_ts
+            FROM (SELECT m.*, f.hand, f.held, CASE WHEN kind IN ('receipt', 'release') OR size <= hand - CASE kind WHEN 'reservation' THEN held ELSE 0 END THEN 0 ELSE greatest(size - hand + CASE kind WHEN 'reservation' THEN held ELSE 0 END, 2 * point, 50) END AS added
+                FROM fold f JOIN moves m ON m.warehouse_id = f.warehouse_id AND m.product_id = f.product_id AND m.k = f.k + 1))
+        SELECT * FROM fold WHERE amount > 0)""",
 }
 
+
 def registered():
-    for name in (*TEXTS, "fp_finite", "fp_constant_predictors", "fp_validation_result", "plan_replenishment"):
-        yield name, globals()[name], TEXTS.get(name)
+    for name, text in TEXTS.items():
+        yield name, globals()[name], text
