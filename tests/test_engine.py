@@ -67,3 +67,18 @@ def test_spine_and_ids(spark):
     assert series.date_spine(days, "ts").count() == 4 and series.date_spine(days.limit(0), "ts").count() == 0
     numbered = series.chronological_ids(spark.range(100).selectExpr("99 - id AS k"), ["k"]).collect()
     assert all(r.number == r.k + 1 for r in numbered)
+
+
+def test_replenishment_carries_balances_over_batches():
+    """Moves cut into batches anywhere give the receipts of the whole; each position starts empty."""
+    import pandas as pd
+
+    day = pd.Timestamp("2025-08-01")
+    moves = [("receipt", 10, 0), ("reservation", 8, 5), ("reservation", 5, 6), ("release", 5, 7), ("shipment", 8, 8), ("reservation", 60, 9)]
+    rows = [(1, p, 100 * p + k, kind, size, 20, day + pd.Timedelta(hours=h)) for p in (1, 2) for k, (kind, size, h) in enumerate(moves)]
+    table = pd.DataFrame(rows, columns=["warehouse_id", "product_id", "movement_id", "movement_type", "quantity_change", "reorder_point", "event_ts"])
+    want = [(1, p, 100 * p + k, 50, day + pd.Timedelta(hours=h) - pd.Timedelta(seconds=1)) for p in (1, 2) for k, h in ((2, 6), (5, 9))]
+    for size in (1, 4, 7, 12):
+        parts = features.replay(table[at : at + size] for at in range(0, len(table), size))
+        got = pd.concat(parts)
+        assert list(got.itertuples(index=False, name=None)) == want
