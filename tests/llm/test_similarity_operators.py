@@ -118,3 +118,31 @@ def test_topk_against_brute_force(spark):
             want |= {(q, n + 1): (k, -s) for n, (s, k) in enumerate(scored)}
     assert got == want
     assert topk.search(vectors.limit(0), vectors.limit(0)).count() == 0
+
+
+def test_line_dedup_compares_every_pair_of_a_hot_band(spark):
+    """Variants of one template (similarity 0.6 to 0.79) share bands; families of near copies inside them are all found."""
+    rng = random.Random(12)
+    letters = [chr(0x400 + k) for k in range(400)]
+    template = "".join(rng.choices(letters, k=94))
+    lines = []
+    for size in [1] * 60 + [2] * 60 + [3] * 30 + [5] * 10:
+        own = "".join(rng.choices(letters, k=4))
+        lines += [template + own + "".join(rng.choices(letters, k=10)) for _ in range(size)]
+    rng.shuffle(lines)
+    docs = spark.createDataFrame([(k, x) for k, x in enumerate(lines)], "doc_id bigint, text string")
+    keys = line_dedup.signatures(lines, 9, 6, 4)
+    grams = [line_dedup.shingle_set(x, 9) for x in lines]
+    pairs = [(a, b) for a in range(len(lines)) for b in range(a) if (keys[a] == keys[b]).any() and 100 * len(grams[a] & grams[b]) >= 80 * len(grams[a] | grams[b])]
+    want = {k for k, r in enumerate(union(len(lines), pairs)) if r != k}
+    assert {r.id for r in line_dedup.dropped_lines(docs).collect()} == want
+
+
+def test_line_sketches_bound_the_symmetric_difference():
+    rng = random.Random(2)
+    lines = ["".join(rng.choices("abc", k=rng.randint(9, 80))) for _ in range(60)] + ["=" * 12, "=" * 40]
+    words = line_dedup.sketches(lines, 9)
+    grams = [line_dedup.shingle_set(x, 9) for x in lines]
+    for a in range(len(lines)):
+        for b in range(a):
+            assert np.unpackbits((words[a] ^ words[b]).view(np.uint8)).sum() <= len(grams[a] ^ grams[b])
