@@ -4,8 +4,9 @@ A tolerant scan cuts a page into blocks at block-level tags. Pass one classifies
 length, its link density and its stop-word density: ``good``, ``bad``, ``near`` (decent but not certain) or
 ``short`` (too short to tell). Pass two gives ``near`` and ``short`` blocks the label of their nearest decided
 neighbours. What the markup itself declares is part of the rules: a block inside page
-furniture (menus, headers, footers, asides, forms, notices, adverts, reader comments) goes at once, and where
-a page marks its article, the article's blocks are decided good and blocks outside it bad.
+furniture (menus, headers, footers, asides, forms, notices, adverts, reader comments) goes at once. Where a page marks
+its article, the mark is a prior: link density and certain prose decide as on any page, and a block that they leave
+undecided, inside the article also one with few stop words, is kept inside the article and goes outside it.
 
 Text inside a block: character references decoded, white space turned into one space, trimmed; blocks are
 joined in page order by one newline. Nothing else is dropped or capped.
@@ -173,10 +174,8 @@ def close_paragraph(open_tags: list) -> None:
             return
 
 
-def classify(text: str, block: Block, declared: bool, rules=Rules) -> str:
-    """First pass: the class of a block by itself. ``declared``: the page marks its article."""
-    if declared:
-        return "good" if block.article else "bad"
+def classify(text: str, block: Block, rules=Rules) -> str:
+    """First pass: the class of a block by itself."""
     density = block.links / max(1, len(text))
     if density > rules.link_density:
         return "bad"
@@ -188,15 +187,18 @@ def classify(text: str, block: Block, declared: bool, rules=Rules) -> str:
         return "good" if len(text) > rules.long_chars else "near"
     if stops >= rules.stop_low:
         return "near"
-    return "bad"
+    return "near" if block.article else "bad"
 
 
-def settle(classes: list[str]) -> list[bool]:
-    """Second pass: whether each block is kept. An undecided block takes its nearest decided neighbour's label.
+def settle(classes: list[str], marks: list[bool]) -> list[bool]:
+    """Second pass: whether each block is kept. An undecided block takes its nearest decided neighbour's label; where
+    the page marks its article (some of ``marks``, whether a block lies in it), the mark decides instead.
 
     If two equally near neighbours differ, ``near`` is kept and ``short`` is not. Without any decided block all
     undecided blocks are kept.
     """
+    if any(marks):
+        return [own == "good" or own != "bad" and mark for own, mark in zip(classes, marks, strict=True)]
     n = len(classes)
     sides = []
     for order in (range(n), range(n - 1, -1, -1)):
@@ -227,8 +229,7 @@ def main_text(page: str | None) -> str:
     blocks = [(" ".join("".join(b.parts).split()), b) for b in blocks_of(page)]
     blocks = [(t, b) for t, b in blocks if t]
     blocks = [(t, b) for t, b in blocks if not b.furniture]
-    declared = any(b.article for _, b in blocks)
-    kept = settle([classify(t, b, declared) for t, b in blocks])
+    kept = settle([classify(t, b) for t, b in blocks], [b.article > 0 for _, b in blocks])
     return "\n".join(t for (t, _), keep in zip(blocks, kept, strict=True) if keep)
 
 

@@ -103,6 +103,15 @@ def test_html_blocks():
     assert html_text.main_text("<article><p>a&am</p>") == "a&am"
 
 
+def test_html_rules_run_on_marked_articles():
+    """Link lists inside an article go, prose outside it stays; the mark decides what the rules leave open."""
+    prose = ("The cat sat on the mat and it was of the view that this is for the best, as they had to be with it. " * 3).strip()
+    links = "<ul><li><a href=1>Ten more stories</a></li><li><a href=2>Buy cheap things here today</a></li></ul>"
+    odd = "Blest onoren thiningtion, shnding enou theden onndanha, erheble anedon wherea thtionha eredtiwh."
+    page = f"<div>{prose}</div><div>Outside.</div><article><h1>Title</h1><p>{prose}</p>{links}<p>{odd}</p></article><div>{odd}</div>"
+    assert html_text.main_text(page) == f"{prose}\nTitle\n{prose}\n{odd}"
+
+
 def test_chat_layouts_and_round_trip(spark):
     hard = ["\\### Assistant: </turn> ok", "", "###", "####\\h", "</turn></turn>\\\\e", "\\", None, "é😀\n: "]
     rows = [(1, k, ["user", "assistant", "system", "odd: ### role", None][k % 5], t) for k, t in enumerate(hard)] + [(1, 0, "user", "a"), (None, 0, "user", "n"), (2, None, "assistant", "z")]
