@@ -10,6 +10,7 @@ import pytest
 import __spark_entry__
 from stocklane.operators import quality, series
 from stocklane.plans import features, registry
+from stocklane.sources.schemas import SCHEMAS
 
 SF = "/root/testdata/sf0.001"
 CHEAP = ("a1_executive_kpis", "a3_category_performance", "a5_event_audit", "a6_carrier", "m1_order_facts", "m4_delivery_features", "dq_order_line_recon", "dq_ledger_replay", "derive_order_events")
@@ -81,3 +82,9 @@ def test_replenishment_carries_balances_over_batches():
         parts = features.replay(table[at : at + size] for at in range(0, len(table), size))
         got = pd.concat(parts)
         assert list(got.itertuples(index=False, name=None)) == want
+
+
+def test_all_ten_tables_are_published(spark, con):
+    got = registry.QUERIES["publish_all_tables"](spark, SF).toArrow()
+    assert set(got.column("table").to_pylist()) == set(SCHEMAS) and all(got.column("passed").to_pylist())
+    assert cells(got) == cells(con.sql(registry.ORACLES["publish_all_tables"]).to_arrow_table())
