@@ -79,10 +79,20 @@ def named(df: DataFrame, d: Dataset) -> DataFrame:
     return df.select(F.lit(d.name).alias("dataset"), "*")
 
 
+def required(df: DataFrame, d: Dataset) -> DataFrame:
+    """``df``, refused without the columns of its contract or without rows."""
+    missing = [c for c in dict.fromkeys((*d.key, d.split_column, *d.targets)) if c not in df.columns]
+    if missing:
+        raise ValueError(f"{d.name}: columns {', '.join(missing)} are missing")
+    if not df.limit(1).count():
+        raise ValueError(f"{d.name}: no rows")
+    return df
+
+
 def extract_features(t):
-    """The registered view in the order of its contract."""
+    """The delivery view in the order of its contract; the datasets that are built pass the same ``required``."""
     d = DATASETS[1]
-    return source(t, d).orderBy(*dict.fromkeys((d.split_column, *d.key)))
+    return required(source(t, d), d).orderBy(*dict.fromkeys((d.split_column, *d.key)))
 
 
 def extraction_summary(t):
@@ -185,7 +195,7 @@ def fp_split_summary(t):
 
 
 def artifact_metadata(t):
-    """Per split the rows and dates of the demand dataset. ``digest`` adds an order-free hash of whole rows."""
+    """Per split the rows and dates of the demand dataset; ``build_manifest_all`` has columns and digests of all."""
     return parts(split(t, DATASETS[0]), DATASETS[0])
 
 
@@ -194,18 +204,40 @@ def digest(df: DataFrame) -> DataFrame:
 
 
 def written(df: DataFrame) -> DataFrame:
-    """``df`` by split as Parquet; read back and compared before it counts as published."""
+    """``df`` by split as Parquet; its columns in order, row counts and digests are compared after reading back."""
     path = new_path(df.sparkSession, "features")
     df.repartition("split").write.partitionBy("split").parquet(path)
-    back = df.sparkSession.read.schema(df.schema).parquet(path)
-    if sorted(back.columns) != sorted(df.columns):
+    back = df.sparkSession.read.parquet(path)
+    if back.columns != df.columns:
         raise ValueError("columns changed on disk")
+    if sorted(map(str, digest(back).collect())) != sorted(map(str, digest(df).collect())):
+        raise ValueError("rows changed on disk")
     return back
 
 
 def sink_feature_parquet(t):
+    """Whole rows of the delivery dataset; ``sink_feature_parquet_all`` writes every dataset."""
     d = DATASETS[1]
-    return parts(written(split(t, d).select(*d.key, d.split_column, *d.targets, "split")), d)
+    return parts(written(materialize(split(t, d), "split")), d)
+
+
+def sink_feature_parquet_all(t):
+    return each([named(parts(written(materialize(split(t, d), "split")), d), d) for d in DATASETS])
+
+
+def validated(df: DataFrame, d: Dataset) -> dict[str, int]:
+    """Counts of an eligible frame with its splits; any violation is an error."""
+    required(df, d)
+    predictors(df, d)
+    null = " OR ".join(f"{k} IS NULL" for k in d.key)
+    bad = [F.count_if(F.col(c).isNull() | (~F.col(c).isin(0, 1) if d.binary else (F.col(c) < 0))) for c in d.targets]
+    finite = [F.count_if(F.isnan(F.col(c).cast("double")) | (F.abs(F.col(c).cast("double")) == float("inf"))) for c in numeric(df, d)]
+    found = df.agg(F.count(F.lit(1)).alias("eligible_rows"), F.count_if(F.expr(null)).alias("null_keys"), F.count_if(F.col("split").isNull()).alias("outside_splits"), sum(bad[1:], bad[0]).alias("bad_targets"), sum(finite[1:], finite[0]).alias("non_finite")).first().asDict()
+    found["duplicate_keys"] = found["eligible_rows"] - df.select(*d.key).distinct().count()
+    wrong = {k: v for k, v in found.items() if v and k != "eligible_rows"}
+    if wrong:
+        raise ValueError(f"{d.name}: {wrong}")
+    return found
 
 
 def fp_validation_result(t):
@@ -218,7 +250,7 @@ def fp_validation_result(t):
 
 
 def build_manifest(t):
-    """A row a dataset and split: counts of the validated source against those of its splits."""
+    """A row a dataset and split: counts of the source against those of its splits; ``build_manifest_all`` has the rest."""
     rows = []
     for d in DATASETS:
         total = eligible(t, d).agg(F.count(F.lit(1)).alias("eligible_rows"))
@@ -226,12 +258,36 @@ def build_manifest(t):
     return each(rows)
 
 
-def fp_build_dataset(t):
-    """Extract, validate, split, write, read back: rows by split and whether the whole was kept."""
-    d = DATASETS[2]
+def built(t: Tables, d: Dataset) -> DataFrame:
     ready = materialize(split(t, d), "eligible")
+    counts = validated(ready, d)
     back = parts(written(ready), d)
-    return named(back.select("*", (F.sum("rows").over(Window.partitionBy(F.lit(1))) == F.lit(ready.count())).alias("conserved")), d)
+    return named(back.select("*", (F.sum("rows").over(Window.partitionBy(F.lit(1))) == F.lit(counts["eligible_rows"])).alias("conserved")), d)
+
+
+def fp_build_dataset(t):
+    """Extract, validate, split, write, read back: rows by split and whether the whole was kept."""
+    return built(t, DATASETS[2])
+
+
+def fp_build_dataset_all(t):
+    return each([built(t, d) for d in DATASETS])
+
+
+def build_manifest_all(t):
+    """A record a dataset and split, through JSON: contract, validation counts, rows, dates, columns and row digest."""
+    path = new_path(t.spark, "manifest")
+    rows = []
+    for d in DATASETS:
+        ready = materialize(split(t, d), "eligible")
+        counts = validated(ready, d)
+        contract = [F.array(*map(F.lit, x)).alias(k) for k, x in (("key", d.key), ("targets", d.targets), ("predictors", predictors(ready, d)), ("columns", ready.columns))]
+        back = written(ready)
+        stats = parts(back, d).join(digest(back).drop("rows"), "split")
+        rows.append(named(stats.select("*", *contract, F.lit(d.split_column).alias("split_column"), *[F.lit(v).cast("bigint").alias(k) for k, v in counts.items()]), d))
+    out = each(rows)
+    out.write.json(path)
+    return t.spark.read.schema(out.schema).json(path)
 
 
 def derive_order_totals(t):
@@ -338,6 +394,9 @@ TEXTS = {
     "sink_feature_parquet": parts_text(DATASETS[1]),
     "build_manifest": union_text(lambda d: f"SELECT '{d.name}' AS dataset, p.*, (SELECT count(*) FROM {d.view}{count_where_text(d)}) AS eligible_rows FROM ({parts_text(d)}) p"),
     "fp_build_dataset": f"SELECT 'inventory_risk' AS dataset, *, true AS conserved FROM ({parts_text(DATASETS[2])})",
+    "sink_feature_parquet_all": union_text(lambda d: parts_text(d, f"'{d.name}' AS dataset, ")),
+    "fp_build_dataset_all": union_text(lambda d: f"SELECT '{d.name}' AS dataset, *, true AS conserved FROM ({parts_text(d)})"),
+    "build_manifest_all": None,  # its digests are Spark's
     "derive_order_totals": "SELECT order_id, order_status, CAST(total_amount AS DOUBLE) AS total_amount FROM c_orders",
     "derive_order_status": "SELECT order_id, CASE WHEN order_status = 'cancelled' THEN 'cancelled' WHEN order_id IN (SELECT order_id FROM c_shipments WHERE shipment_status = 'exception') THEN 'shipped' ELSE 'delivered' END AS order_status FROM c_orders",
     "derive_order_events": "SELECT order_id, event_type, event_ts, payload, event_id, row_number() OVER (ORDER BY event_ts, event_id) AS number FROM c_events",

@@ -6,6 +6,7 @@ from decimal import Decimal
 
 import duckdb
 import pytest
+from pyspark.sql import functions as F
 
 import __spark_entry__
 from stocklane.operators import quality, series
@@ -88,3 +89,22 @@ def test_all_ten_tables_are_published(spark, con):
     got = registry.QUERIES["publish_all_tables"](spark, SF).toArrow()
     assert set(got.column("table").to_pylist()) == set(SCHEMAS) and all(got.column("passed").to_pylist())
     assert cells(got) == cells(con.sql(registry.ORACLES["publish_all_tables"]).to_arrow_table())
+
+
+def test_manifest_covers_every_dataset(spark, con):
+    rows = registry.QUERIES["build_manifest_all"](spark, SF).collect()
+    assert {(r.dataset, r.split) for r in rows} == {(d.name, s) for d in features.DATASETS for s, _ in features.SPLITS}
+    assert all(r.row_digest is not None and set(r.predictors) < set(r.columns) for r in rows)
+    assert sum({r.dataset: r.eligible_rows for r in rows}.values()) == sum(r.rows for r in rows)
+    got = registry.QUERIES["sink_feature_parquet"](spark, SF).toArrow()
+    assert cells(got) == cells(con.sql(registry.ORACLES["sink_feature_parquet"]).to_arrow_table())
+
+
+def test_build_refuses_bad_rows(spark):
+    d = features.DATASETS[1]
+    columns = dict.fromkeys((*d.key, d.split_column, *d.targets, *d.excluded))
+    good = spark.range(1).select(*[F.lit(1).alias(c) for c in columns], F.lit(1).alias("total_units"), F.lit("train").alias("split"))
+    assert features.validated(good, d)["eligible_rows"] == 1
+    for bad in (good.limit(0), good.drop("is_late_delivery"), good.unionByName(good), good.withColumn("is_late_delivery", F.lit(2))):
+        with pytest.raises(ValueError):
+            features.validated(bad, d)
