@@ -197,9 +197,9 @@ def dropped_lines(documents: DataFrame, *, width: int = WIDTH, bands: int = BAND
     full = materialize(batches(found, described, f"node bigint, line string, n bigint, {columns}"), "lines")
 
     def verify(pairs: DataFrame) -> DataFrame:
-        left, right = (full.select(F.col("node").alias(c), F.col("line").alias(f"line_{c}")) for c in "ab")
-        near = F.least(F.length("line_a"), F.length("line_b")) * 200 >= F.greatest(F.length("line_a"), F.length("line_b")) * percent
-        met = pairs.join(left, "a").join(right, "b").where(near) if percent > 50 else pairs.join(left, "a").join(right, "b")
+        left, right = (full.select(F.col("node").alias(c), F.col("line").alias(f"line_{c}"), F.col("n").alias(f"n_{c}")) for c in "ab")
+        near = F.least("n_a", "n_b") * 100 >= F.greatest("n_a", "n_b") * percent
+        met = pairs.join(left, "a").join(right, "b").where(near)
 
         def run(parts):
             for batch in parts:

@@ -146,3 +146,8 @@ def test_line_sketches_bound_the_symmetric_difference():
     for a in range(len(lines)):
         for b in range(a):
             assert np.unpackbits((words[a] ^ words[b]).view(np.uint8)).sum() <= len(grams[a] ^ grams[b])
+
+
+def test_line_dedup_of_lines_with_equal_sets_and_unequal_lengths(spark):
+    docs = spark.createDataFrame([(1, "=" * 12), (2, "=" * 40)], "doc_id bigint, text string")
+    assert [(r.id, r.gone) for r in line_dedup.dropped_lines(docs).collect()] == [(2, [0])]
