@@ -3,16 +3,19 @@
 from __future__ import annotations
 
 import hashlib
+import re
 import tempfile
 import uuid
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-
-#: Rows that a step sees at once, so that its memory follows a few texts, not Arrow's batch size.
+#: What a step sees at once: so many rows, or so many bytes of text, whichever comes first; a longer text comes alone.
 ROWS = 1024
+BYTES = 512_000
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -20,9 +23,11 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder of ``spark.checkpoint.dir``; a temporary one only where the setting is absent (tests)."""
+    """The folder of ``spark.checkpoint.dir``; a temporary one only in a local session without the setting (tests)."""
     found = spark.conf.get("spark.checkpoint.dir", None)
     if found is None:
+        if not re.match(r"local(\[|$)", spark.sparkContext.master):
+            raise ValueError("spark.checkpoint.dir has to name a folder that all executors share")
         found = f"file://{tempfile.mkdtemp(prefix='stocklane-')}"
         spark.conf.set("spark.checkpoint.dir", found)
     return found.rstrip("/")
@@ -36,6 +41,30 @@ def materialize(df: DataFrame, name: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+#: A key with more than this share of all rows is hot: there are no more than 10,000 such keys, whatever the input.
+HOT_SHARE = 10_000
+HOT_LEAST = 1000
+
+
+def lookup(rows: DataFrame, table: DataFrame, keys: list[str], copies: str) -> DataFrame:
+    """``rows`` left joined with ``table`` (a row a key; both are tables on disk). ``copies``: a column of ``table``, how many
+    rows have its key. The rows of hot keys meet a broadcast and stay where they are, so no task gets a hot key."""
+    hot = F.col(copies) > max(HOT_LEAST, rows.count() // HOT_SHARE)
+    if not table.where(hot).limit(1).count():
+        return rows.join(table, keys, "left")
+    met = rows.join(F.broadcast(table.where(hot)), keys, "left")
+    rest = met.where(F.col(copies).isNull()).select(rows.columns).join(table.where(~hot), keys, "left")
+    return met.where(F.col(copies).isNotNull()).unionByName(rest)
+
+
+def fresh(df: DataFrame, name: str) -> str:
+    """A column name that ``df`` does not have."""
+    taken = {c.lower() for c in df.columns}
+    while name.lower() in taken:
+        name = f"_{name}"
+    return name
+
+
 def utf8(column: pa.Array | pa.ChunkedArray) -> list[bytes]:
     """The texts of an Arrow string column as UTF-8; null is empty."""
     if isinstance(column, pa.ChunkedArray):
@@ -58,8 +87,25 @@ def mix64(x: np.ndarray) -> np.ndarray:
     return x
 
 
+def slices(part: pa.RecordBatch):
+    """``part`` in slices of at most ``ROWS`` rows and ``BYTES`` bytes of text (or one row)."""
+    sizes = np.zeros(part.num_rows, np.int64)
+    for column in part.columns:
+        if pa.types.is_string(column.type) or pa.types.is_large_string(column.type) or pa.types.is_binary(column.type):
+            sizes += np.asarray(pc.fill_null(pc.binary_length(column), 0))
+    total, at = np.cumsum(sizes), 0
+    while at < part.num_rows:
+        most = int(np.searchsorted(total, (total[at - 1] if at else 0) + BYTES, "right"))
+        end = max(at + 1, min(at + ROWS, most))
+        yield part.slice(at, end - at)
+        at = end
+
+
 def batches(frame: DataFrame, step, schema: str) -> DataFrame:
-    """``mapInArrow`` with a function of one record batch that returns a dict of columns."""
+    """``mapInArrow`` with a function of one slice of a record batch that returns a dict of columns.
+
+    A step's memory follows ``BYTES`` of text (or the longest text), whatever the size of Arrow's batches.
+    """
     from pyspark.sql.types import StructType
 
     fields = frame.sparkSession.createDataFrame([], schema).schema if isinstance(schema, str) else schema
@@ -70,8 +116,8 @@ def batches(frame: DataFrame, step, schema: str) -> DataFrame:
 
     def run(parts):
         for part in parts:
-            for at in range(0, part.num_rows, ROWS):
-                out = step(part.slice(at, ROWS))
+            for own in slices(part):
+                out = step(own)
                 yield pa.RecordBatch.from_arrays(
                     [pa.array(out[f.name], type=f.type) if not isinstance(out[f.name], (pa.Array, pa.ChunkedArray)) else _flat(out[f.name], f.type) for f in arrow],
                     schema=arrow,

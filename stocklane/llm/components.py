@@ -5,17 +5,24 @@ grow with the square of a group of copies, so links are found in rounds. First e
 (the smallest node of the keys it shares most), then delegates of components that meet under a key are compared: no
 more pairs than rows, and the verified links are joined to components. Then only keys whose nodes still lie in several
 components are left; there, every node outside the key's largest component is compared with all nodes of other
-components. Afterwards every two nodes of a key are verified or already in one component, so the components are
-those of all links.
+components that pass an exact necessary condition. Afterwards every two nodes of a key are verified, ruled out or already
+in one component, so the components are those of all links.
 """
 
 from __future__ import annotations
 
+import math
+
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from stocklane.llm.common import materialize
 
+#: Open rows of a key above which its pairs are dealt to several tasks by size and by chunk.
+CROWD = 4000
+
 
 def components(edges: DataFrame) -> DataFrame:
     """``node, component`` (the smallest node reachable) of every node of ``edges`` (a, b).
@@ -49,9 +56,33 @@ def rooted(df: DataFrame, up: DataFrame, column: str) -> DataFrame:
 
 
 def shared_keys(candidates: DataFrame) -> DataFrame:
-    """Rows (key, node, pivot) of keys with two nodes at least."""
-    spans = candidates.groupBy("key").agg(F.min("node").alias("pivot"), F.max("node").alias("last")).where("pivot < last")
-    return candidates.join(spans.select("key", "pivot"), "key").select("key", "node", "pivot")
+    """Rows (key, node, pivot), each once, of keys with two nodes at least; the pivot is a key's smallest node.
+
+    One shuffle: a task reads its keys as a sorted stream and holds the last row only, however many nodes a key has.
+    """
+
+    def run(parts):
+        key = node = pivot = np.zeros(0, np.int64)  # the last row so far
+        for batch in parts:
+            k, v = (np.concatenate([last, np.asarray(batch.column(c), dtype=np.int64)]) for c, last in enumerate((key, node)))
+            if not len(k):
+                continue
+            new = np.concatenate([[True], k[1:] != k[:-1]])
+            own = new | np.concatenate([[True], v[1:] != v[:-1]])
+            k, v, new = k[own], v[own], new[own]
+            p = v[np.maximum.accumulate(np.where(new, np.arange(len(k)), 0))]
+            second = ~new & np.concatenate([[False], new[:-1]])  # brings its pivot along
+            if len(key):
+                p[: int(np.argmax(new[1:])) + 1 if new[1:].any() else len(p)] = pivot[0]
+                if node[0] != pivot[0]:
+                    second[1:2] = False
+            out = [np.concatenate([x[~new], y[second]]) for x, y in ((k, k), (v, p), (p, p))]
+            key, node, pivot = k[-1:], v[-1:], p[-1:]
+            if len(out[0]):
+                yield pa.RecordBatch.from_arrays([pa.array(x) for x in out], names=["key", "node", "pivot"])
+
+    dealt = candidates.select("key", "node").repartition("key").sortWithinPartitions("key", "node")
+    return dealt.mapInArrow(run, "key bigint, node bigint, pivot bigint")
 
 
 def best_pairs(shared: DataFrame) -> DataFrame:
@@ -79,63 +110,59 @@ def distinct_groups(shared: DataFrame) -> DataFrame:
 
 
 def open_rows(placed: DataFrame) -> DataFrame:
-    """The rows of keys in several components, with ``main``, the largest of them."""
+    """The rows of keys in several components, with ``main``, the largest of them, and ``crowd``, the key's rows."""
     sizes = placed.groupBy("key", "component").agg(F.count(F.lit(1)).alias("size"))
-    mixed = sizes.groupBy("key").agg(F.max(F.struct("size", "component")).alias("main"), F.count(F.lit(1)).alias("parts")).where("parts > 1")
-    return placed.join(mixed.select("key", F.col("main.component").alias("main")), "key")
+    mixed = sizes.groupBy("key").agg(F.max(F.struct("size", "component")).alias("main"), F.sum("size").alias("crowd"), F.count(F.lit(1)).alias("parts")).where("parts > 1")
+    return placed.join(mixed.select("key", F.col("main.component").alias("main"), "crowd"), "key")
 
 
-def open_pairs(rows: DataFrame, fits: str) -> DataFrame:
+def open_pairs(rows: DataFrame, fits: str, percent: int) -> DataFrame:
     """Pairs (a, b) of a key's nodes in different components, ``a`` outside the largest; both outside: a < b.
 
-    ``fits``: SQL over the rows ``l`` and ``r`` that is true for every pair that can link.
+    ``fits``: SQL over the rows ``l`` and ``r`` that is true for every pair that can link. A crowded key is dealt to many
+    tasks: by bands of the set size ``n`` (sets that link lie in the same or in neighbouring bands), and the left rows by
+    chunks, for each of which the right rows come again.
     """
-    met = rows.where("component <> main").alias("l").join(rows.alias("r"), F.expr(f"l.key = r.key AND l.component <> r.component AND (r.component = r.main OR l.node < r.node) AND {fits}"))
+    step = math.log(100 / percent) * 1.000001
+    rows = rows.withColumns({
+        "band": F.expr(f"IF(crowd > {CROWD}, CAST(floor(ln(n) / {step!r}) AS INT), 0)"),
+        "chunks": F.expr(f"CAST(ceil(crowd / {CROWD}) AS INT)"),
+    })
+    left = rows.where("component <> main").withColumn("chunk", F.expr("CAST(pmod(xxhash64(node), chunks) AS INT)"))
+    bands = F.expr(f"IF(crowd > {CROWD}, array(band - 1, band, band + 1), array(band))")
+    right = rows.withColumn("band", F.explode(bands)).withColumn("chunk", F.explode(F.sequence(F.lit(0), F.col("chunks") - 1)))
+    dealt = "l.key = r.key AND l.band = r.band AND l.chunk = r.chunk"
+    met = left.alias("l").join(right.alias("r"), F.expr(f"{dealt} AND l.component <> r.component AND (r.component = r.main OR l.node < r.node) AND {fits}"))
     return met.select(F.col("l.node").alias("a"), F.col("r.node").alias("b")).distinct()
 
 
-def star_linked(shared: DataFrame, verify, rounds: int = 3) -> DataFrame:
-    """Components of links found by best pivots and then by delegates, round after round while links turn up.
+class Linker:
+    """Pairs compared so far, the links among them and their components. ``verify(pairs)`` keeps the linked (a, b)."""
 
-    Every round compares no more pairs than there are rows, whatever the size of a group. Two nodes of one key that
-    link with each other but neither with its pivots nor through other keys stay apart: for approximate keys (MinHash
-    bands) that costs a little recall, which the caller measures; ``linked`` is the exact way.
-    """
-    links, labels, done = None, None, None
-    for turn in range(rounds):
-        pairs = best_pairs(shared) if turn == 0 else delegate_pairs(place(shared, labels))
-        pairs = pairs.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
-        pairs = materialize(pairs if done is None else pairs.join(done, ["a", "b"], "left_anti"), "pairs")
-        found = materialize(verify(pairs).select("a", "b"), "links")
-        if turn and not found.limit(1).count():
-            break
-        done = pairs if done is None else done.unionByName(pairs)
-        links = found if links is None else links.unionByName(found)
-        labels = materialize(components(links), "labels")
-    return labels
-
-
-def linked(shared: DataFrame, verify, features: DataFrame, fits: str) -> DataFrame:
-    """Components of all links between nodes that share a key. ``verify(pairs)`` keeps the linked pairs (a, b).
-
-    Three rounds: each node's best pivot, the delegates of components that meet under a key, then every pair of
-    a key that is still in different components, was not compared before and passes ``fits``, an exact necessary
-    condition on ``features`` (columns by node).
-    """
-    links, labels, done = None, None, None
-    for turn in range(3):
-        if turn == 0:
-            pairs = best_pairs(shared)
-        elif turn == 1:
-            pairs = delegate_pairs(place(shared, labels))
-        else:
-            pairs = open_pairs(materialize(open_rows(place(shared, labels)).join(features, "node"), "open"), fits)
+    def __init__(self, spark, verify):
+        self.verify = verify
+        self.done = self.links = spark.createDataFrame([], "a bigint, b bigint")
+        self.labels = spark.createDataFrame([], "node bigint, component bigint")
+
+    def compare(self, pairs: DataFrame) -> None:
+        """Verify the pairs that were not compared before."""
         pairs = pairs.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
-        pairs = materialize(pairs if done is None else pairs.join(done, ["a", "b"], "left_anti"), "pairs")
-        found = materialize(verify(pairs).select("a", "b"), "links")
-        done = pairs if done is None else done.unionByName(pairs)
-        if turn and not found.limit(1).count():
-            continue
-        links = found if links is None else links.unionByName(found)
-        labels = materialize(components(links), "labels")
-    return labels
+        pairs = materialize(pairs.join(self.done, ["a", "b"], "left_anti"), "pairs")
+        found = materialize(self.verify(pairs).select("a", "b"), "links")
+        self.done = self.done.unionByName(pairs)
+        if found.limit(1).count():
+            self.links = self.links.unionByName(found)
+            self.labels = materialize(components(self.links), "labels")
+
+    def stars(self, shared: DataFrame) -> None:
+        """Best pivots, then delegates: no more pairs than rows."""
+        self.compare(best_pairs(shared))
+        self.compare(delegate_pairs(place(shared, self.labels)))
+
+    def open(self, shared: DataFrame) -> DataFrame:
+        return materialize(open_rows(place(shared, self.labels)), "open")
+
+    def rest(self, shared: DataFrame, features: DataFrame, fits: str, percent: int) -> None:
+        """Every pair of a key that is still in different components and passes ``fits``, an exact necessary condition on
+        ``features`` (columns by node, the set size ``n`` among them)."""
+        self.compare(open_pairs(self.open(shared).join(features, "node"), fits, percent))

@@ -9,7 +9,8 @@ global order, the traversal shares the overlap of common beginnings, and a subtr
 lengths cannot reach the overlap that its sizes ask for. Links become components (see ``components``).
 
 Defined results: null, empty and wordless texts have the empty set and link with nothing; fewer words than n are one
-n-gram; a null id links with nothing; repeated rows get equal results; further columns play no part.
+n-gram; a null id links with nothing; repeated rows get equal results; of several texts under one id each is a document of
+its own; an empty table gives no rows; a very long text is hashed in pieces; further columns play no part.
 """
 
 from __future__ import annotations
@@ -19,29 +20,30 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from stocklane.llm.common import batches, materialize, mix64, utf8
-from stocklane.llm.components import distinct_groups, linked, shared_keys
+from stocklane.llm.common import batches, fresh, lookup, materialize, mix64, slices, utf8
+from stocklane.llm.components import Linker, distinct_groups, shared_keys
 
 SKETCH_BITS = 20
 PARTS = 64
-PORTION_BYTES = 2_000_000
-#: A-Z become a-z; all other bytes stay. Words are parted by BLANK bytes.
-LOWER = bytes(x + 32 if 65 <= x <= 90 else x for x in range(256))
-BLANK = np.isin(np.arange(256), [9, 10, 11, 12, 13, 32])
+PORTION_BYTES = 250_000
+#: A-Z become a-z; the bytes that part words become blanks; all other bytes stay.
+LOWER = bytes(x + 32 if 65 <= x <= 90 else 32 if 9 <= x <= 13 else x for x in range(256))
 #: A probe's candidates are dealt to tasks in portions of about this many sets.
 PORTION = 1000
+#: Sets that a task remembers so as not to name their keys again (about 20 MB).
+SEEN = 200_000
 #: Cells of a set's histogram.
 CELLS = 64
 #: Ids up to this number go out as a broadcast (16 MB); beyond it the same join shuffles.
 SMALL = 2_000_000
-FACTORS = np.array([0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0xD6E8FEB86659FD93, 0xA0761D6478BD642F, 0xE7037ED1A0B428DB, 0x8EBC6AF09C88C6E3, 0x589965CC75374CC3], np.uint64)
 
 
 class Shingler:
     """Distinct n-gram hashes of texts, vectorised over portions of about ``PORTION_BYTES``.
 
     A word's hash adds up a random number for each of its bytes and their places (tabulation); an n-gram's hash
-    mixes its words' hashes in order. ASCII letters are lower-cased; bytes 9 to 13 and 32 part words.
+    mixes its words' hashes in order. ASCII letters are lower-cased; bytes 9 to 13 and 32 part words. A longer text is
+    hashed in pieces that end between words, so only its word hashes are held whole.
     """
 
     def __init__(self, width: int):
@@ -50,6 +52,7 @@ class Shingler:
         self.random = rng.integers(0, 2**64, 64 * 256, dtype=np.uint64, endpoint=False)
         self.odd = rng.integers(0, 2**63, 4096, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
         self.odd[0] = 1
+        self.factors = mix64(np.arange(1, width + 1, dtype=np.uint64)) | np.uint64(1)
 
     def sets(self, texts: list[bytes]) -> list[np.ndarray]:
         out, held, size = [], [], 0
@@ -61,34 +64,40 @@ class Shingler:
                 held, size = [], 0
         return out + (self.portion(held) if held else [])
 
+    def words(self, text: bytes) -> tuple[np.ndarray, np.ndarray]:
+        """Where each word of a folded text starts, and its hash."""
+        starts, hashes, at = [np.zeros(0, np.int64)], [np.zeros(0, np.uint64)], 0
+        while at < len(text):
+            end = text.find(b" ", at + PORTION_BYTES) + 1 or len(text)
+            data = np.frombuffer(text, np.uint8, end - at, at)
+            inside = data != 32
+            edge = np.flatnonzero(np.diff(inside, prepend=False, append=False))
+            first, sizes = edge[::2], edge[1::2] - edge[::2]
+            if len(first):
+                packed = np.cumsum(sizes) - sizes
+                place = np.arange(int(sizes.sum()), dtype=np.int32) - np.repeat(packed.astype(np.int32), sizes)
+                value = self.random[((place & 63) << 8) | data[inside]]
+                if sizes.max() > 64:
+                    value *= self.odd[(place >> 6) & 4095]
+                starts.append(first + at)
+                hashes.append(mix64(np.add.reduceat(value, packed) + sizes.astype(np.uint64)))
+            at = end
+        return np.concatenate(starts), np.concatenate(hashes)
+
     def portion(self, texts: list[bytes]) -> list[np.ndarray]:
-        data = np.frombuffer(b" ".join(texts).translate(LOWER) + b" ", np.uint8)
-        inside = ~BLANK[data]
-        edge = np.flatnonzero(inside[1:] != inside[:-1]) + 1
-        edge = np.concatenate([[0], edge]) if inside[0] else edge
-        starts, sizes = edge[::2], edge[1::2] - edge[::2]
-        if not len(starts):
-            return [np.zeros(0, np.uint64)] * len(texts)
-        packed = np.cumsum(sizes) - sizes
-        letters = data[inside]
-        place = np.arange(len(letters)) - np.repeat(packed, sizes)
-        value = self.random[((place & 63) << 8) | letters]
-        if sizes.max() > 64:
-            value *= self.odd[(place >> 6) & 4095]
-        h = mix64(np.add.reduceat(value, packed) + sizes.astype(np.uint64))
+        starts, h = self.words(b" ".join(texts).translate(LOWER))
         bounds = np.searchsorted(starts, np.cumsum([len(t) + 1 for t in texts]))
-        counts = np.diff(np.concatenate([[0], bounds]))
-        w = self.width
-        grams = np.full(max(0, len(h) - w + 1), w, np.uint64)
+        w, m = self.width, max(0, len(h) - self.width + 1)
+        grams = np.full(m, w, np.uint64)
         for k in range(w):
-            grams += mix64(h[k : len(h) - w + 1 + k] * FACTORS[k])
+            grams += mix64(h[k : k + m] * self.factors[k])
         grams, out, at = mix64(grams), [], 0
-        for n in counts.tolist():
+        for n in np.diff(bounds, prepend=0).tolist():
             if n >= w:
                 own = np.sort(grams[at : at + n - w + 1])
                 out.append(own[np.concatenate([[True], own[1:] != own[:-1]])])
             elif n:
-                out.append(mix64(np.array([n], np.uint64) + mix64(h[at : at + n] * FACTORS[:n]).sum(dtype=np.uint64)))
+                out.append(mix64(np.array([n], np.uint64) + mix64(h[at : at + n] * self.factors[:n]).sum(dtype=np.uint64)))
             else:
                 out.append(np.zeros(0, np.uint64))
             at += n
@@ -177,9 +186,9 @@ def count_sketch(documents: DataFrame, text_col: str, width: int) -> np.ndarray:
     def counts(parts):
         shingler, total = Shingler(width), np.zeros(1 << SKETCH_BITS, np.uint32)
         for batch in parts:
-            for at in range(0, batch.num_rows, 512):
-                own = shingler.sets(utf8(batch.slice(at, 512).column(0)))
-                total += np.bincount((np.concatenate(own) >> np.uint64(64 - SKETCH_BITS)).astype(np.int64), minlength=len(total)).astype(np.uint32)
+            for part in slices(batch):
+                own = np.concatenate(shingler.sets(utf8(part.column(0))))
+                np.add.at(total, (own >> np.uint64(64 - SKETCH_BITS)).astype(np.int64), np.uint32(1))
         yield pa.RecordBatch.from_arrays([pa.array(range(PARTS), pa.int32()), pa.array([x.tobytes() for x in np.split(total, PARTS)], pa.binary())], names=["part", "cells"])
 
     def add(parts):
@@ -198,12 +207,14 @@ def count_sketch(documents: DataFrame, text_col: str, width: int) -> np.ndarray:
     return out.ravel()
 
 
-def join(documents: DataFrame, *, width: int = 3, percent: int = 90, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """Per document: id, ``n_shingles``, ``component_id`` (the smallest id reachable by links, itself included)."""
+def grouped(documents: DataFrame, width: int, percent: int, id_col: str, text_col: str) -> tuple[DataFrame, DataFrame]:
+    """The rows (id, n, fp, fp2, own: a digest of the text) and the classes of equal sets (fp, fp2, n, copies) with their
+    component: ``least``, its smallest id, and ``first``, the smallest (id, own) in it."""
     spark = documents.sparkSession
     base = documents.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text"))
     sketch = spark.sparkContext.broadcast(count_sketch(base, "text", width))
     shinglers: list[Shingler] = []
+    seen: set[int] = set()
 
     def sets(column):
         if not shinglers:
@@ -213,39 +224,60 @@ def join(documents: DataFrame, *, width: int = 3, percent: int = 90, id_col: str
     def summary(batch):
         own = sets(batch.column(1))
         prints = [fingerprint(x) for x in own]
-        return {"id": batch.column(0), "n": [len(x) for x in own], "fp": [p[0] for p in prints], "fp2": [p[1] for p in prints], "hist": [histogram(x) for x in own]}
+        return {"id": batch.column(0), "own": batch.column(2), "n": [len(x) for x in own], "fp": [p[0] for p in prints], "fp2": [p[1] for p in prints], "hist": [histogram(x) for x in own]}
 
     def keys(batch):
-        own = sets(batch.column(0))
-        heads = [in_order(x, sketch.value)[: prefix_length(len(x), percent)] if len(x) else x for x in own]
-        sizes = np.fromiter(map(len, heads), np.int64, len(heads))
-        return {
-            "key": np.concatenate([*heads, np.zeros(0, np.uint64)]).view(np.int64),
-            "node": np.repeat(np.array([fingerprint(x)[0] for x in own], np.int64), sizes),
-        }
+        heads, nodes = [np.zeros(0, np.uint64)], []
+        for own in sets(batch.column(0)):
+            if len(own) and (node := fingerprint(own)[0]) not in seen:  # a task names the keys of equal sets once
+                if len(seen) > SEEN:
+                    seen.clear()
+                seen.add(node)
+                heads.append(in_order(own, sketch.value)[: prefix_length(len(own), percent)])
+                nodes.append(node)
+        return {"key": np.concatenate(heads).view(np.int64), "node": np.repeat(np.array(nodes, np.int64), [len(x) for x in heads[1:]])}
 
     def ordered(batch):
         own = sets(batch.column(1))
-        return {"node": batch.column(0), "same": [fingerprint(x)[0] == fp for x, fp in zip(own, batch.column(2).to_pylist(), strict=True)], "items": arrays([in_order(x, sketch.value) for x in own])}
-
-    rows = materialize(batches(base, summary, "id bigint, n bigint, fp bigint, fp2 bigint, hist array<smallint>"), "sets")
-    # Equal sets (size and 128 bits) are one node, named by its smallest id.
-    classes = materialize(rows.where("n > 0 AND id IS NOT NULL").groupBy("fp", "fp2", "n").agg(F.min("id").alias("rep"), F.any_value("hist").alias("hist")), "classes")
+        same = [fingerprint(x) == p for x, p in zip(own, zip(batch.column(2).to_pylist(), batch.column(3).to_pylist(), strict=True), strict=True)]
+        return {"node": batch.column(0), "same": same, "items": arrays([in_order(x, sketch.value) for x in own])}
+
+    marked = base.select("id", "text", F.unhex(F.md5(F.coalesce("text", F.lit("")))).alias("own"))
+    rows = materialize(batches(marked, summary, "id bigint, own binary, n bigint, fp bigint, fp2 bigint, hist array<smallint>"), "sets")
+    # Equal sets (size and 128 bits) are one node.
+    least = F.min(F.struct("id", "own")).alias("first")
+    classes = rows.where("n > 0 AND id IS NOT NULL").groupBy("fp", "fp2", "n").agg(least, F.any_value("hist").alias("hist"), F.count(F.lit(1)).alias("copies"))
+    classes = materialize(classes.withColumn("node", F.monotonically_increasing_id()), "classes")
     hashed = batches(base.where("id IS NOT NULL").select("text"), keys, "key bigint, node bigint")
-    meeting = materialize(shared_keys(hashed).select("key", "node").distinct(), "meeting")
-    # From here a node is a class' smallest id.
-    named = meeting.join(classes.select(F.col("fp").alias("node"), "rep"), "node").select("key", F.col("rep").alias("node"))
+    meeting = materialize(shared_keys(hashed).select("key", "node"), "meeting")
+    named = meeting.join(classes.select("fp", F.col("node").alias("class")), meeting["node"] == F.col("fp")).select("key", F.col("class").alias("node"))
     named = materialize(distinct_groups(shared_keys(named)), "named")
-    sizes = materialize(classes.select(F.col("rep").alias("node"), "n", "fp", "hist").join(named.select("node").distinct(), "node", "left_semi"), "sizes")
+    sizes = materialize(classes.select("node", "n", "fp", "fp2", F.col("first.id").alias("id"), "hist").join(named.select("node").distinct(), "node", "left_semi"), "sizes")
 
     def full(nodes: DataFrame) -> DataFrame:
         """Sets of nodes in global order. Of rows that share an id, those of another text are not the node's set."""
-        needed = matching(base, nodes.join(sizes, "node").select(F.col("node").alias("id"), "fp"), "id", "inner").select("id", "text", "fp")
+        needed = matching(base, nodes.join(sizes, "node").select("node", "id", "fp", "fp2"), "id", "inner").select("node", "text", "fp", "fp2")
         return batches(needed, ordered, "node bigint, same boolean, items array<bigint>").where("same").select("node", "items")
 
-    labels = linked(named, lambda pairs: verify(pairs, sizes, full, percent), sizes.select("node", "n", "hist"), fits("l", "r", percent))
-    placed = rows.drop("hist").join(classes.drop("hist"), ["fp", "fp2", "n"], "left").join(labels.select(F.col("node").alias("rep"), "component"), "rep", "left")
-    return placed.select(F.col("id").alias(id_col), F.col("n").alias("n_shingles"), F.coalesce("component", "rep", "id").alias("component_id"))
+    linker = Linker(spark, lambda pairs: verify(pairs, sizes, full, percent))
+    linker.stars(named)
+    linker.rest(named, sizes.select("node", "n", "hist"), fits("l", "r", percent), percent)
+    placed = classes.drop("hist").join(linker.labels, "node", "left").withColumn("component", F.coalesce("component", "node"))
+    tops = placed.groupBy("component").agg(F.min("first").alias("first"), F.count(F.lit(1)).alias("parts")).where("parts > 1")
+    placed = placed.withColumnRenamed("first", "own_first").join(tops.drop("parts"), "component", "left")
+    first = F.coalesce("first", "own_first").alias("first")
+    return rows.drop("hist"), materialize(placed.select("fp", "fp2", "n", "copies", first), "placed")
+
+
+CLASS = ["fp", "fp2", "n"]
+
+
+def join(documents: DataFrame, *, width: int = 3, percent: int = 90, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """Per row of ``documents``: id, ``n_shingles``, ``component_id`` (the smallest id reachable by links, itself included)."""
+    rows, classes = grouped(documents, width, percent, id_col, text_col)
+    met = lookup(rows, classes, CLASS, "copies")
+    component = F.coalesce(F.when(F.col("id").isNotNull(), F.col("first.id")), "id").alias("component_id")
+    return met.select(F.col("id").alias(id_col), F.col("n").alias("n_shingles"), component)
 
 
 def arrays(rows: list[np.ndarray]) -> pa.Array:
@@ -254,7 +286,7 @@ def arrays(rows: list[np.ndarray]) -> pa.Array:
     return pa.ListArray.from_arrays(pa.array(offsets), pa.array(np.concatenate([*rows, np.zeros(0, np.uint64)]).view(np.int64)))
 
 
-def matching(df: DataFrame, ids: DataFrame, column: str, how: str = "left_semi") -> DataFrame:
+def matching(df: DataFrame, ids: DataFrame, column: str | list[str], how: str = "left_semi") -> DataFrame:
     """A join with ids; these are broadcast only where their number is checked to be small."""
     return df.join(F.broadcast(ids) if ids.count() <= SMALL else ids, column, how)
 
@@ -296,16 +328,18 @@ def verify(pairs: DataFrame, sizes: DataFrame, full, percent: int) -> DataFrame:
 
 def probe(rows: DataFrame, own: DataFrame, percent: int) -> DataFrame:
     """Within each (x, y): the sets of kind 0 make a trie, those of kind 1 probe it one after another."""
-    dealt = rows.join(own, "node").repartition("x", "y").sortWithinPartitions("x", "y", "kind")
+    dealt = rows.join(own, "node").repartition("x", "y").sortWithinPartitions("x", "y", "kind", "node")
 
     def run(parts):
-        group, trie, found = None, None, []
+        group, trie, found, last = None, None, [], None
         for batch in parts:
             items = batch.column(4)
             flat, offsets = np.asarray(items.flatten(), dtype=np.int64).view(np.uint64), np.asarray(items.offsets)
             offsets = offsets - offsets[0]
             for k, (x, y, node, kind) in enumerate(zip(*(batch.column(c).to_pylist() for c in range(4)), strict=True)):
-                one = flat[offsets[k] : offsets[k + 1]]
+                if last == (x, y, kind, node):  # a repeated row's set
+                    continue
+                one, last = flat[offsets[k] : offsets[k + 1]], (x, y, kind, node)
                 if group != (x, y):
                     group, trie = (x, y), Trie()
                 if kind == 0:
@@ -325,11 +359,21 @@ def links(found: list[tuple[int, int]]) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays([pa.array([x[k] for x in found], pa.int64()) for k in (0, 1)], names=["a", "b"])
 
 
-def keep_one(documents: DataFrame, *, width: int = 5, percent: int = 80, id_col: str = "doc_id", **options) -> DataFrame:
-    """One document of each component, the one with the smallest id, unchanged; a repeated row of it goes too."""
-    found = materialize(join(documents, width=width, percent=percent, id_col=id_col, **options), "joined")
-    gone = materialize(found.where(f"`{id_col}` <> component_id").select(id_col).distinct(), "gone")
-    kept = matching(documents, gone, id_col, "left_anti")
-    if found.where("n_shingles > 0").groupBy(id_col).count().where(f"count > 1 AND `{id_col}` IS NOT NULL").limit(1).count():
-        kept = kept.where(f"`{id_col}` IS NOT NULL").dropDuplicates([id_col]).unionByName(kept.where(f"`{id_col}` IS NULL"))
-    return kept.select(*[F.col(f"`{c}`") for c in documents.columns])
+def keep_one(documents: DataFrame, *, width: int = 5, percent: int = 80, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """One document of each component, unchanged: the one with the smallest id, of several texts under that id the one with
+    the smallest digest, of repeated rows of it the first by their JSON. Rows decide by id and text, so another text under the
+    same id is judged by itself. Rows with a null id or without words all stay."""
+    rows, classes = grouped(documents, width, percent, id_col, text_col)
+    met = lookup(rows.where("n > 0 AND id IS NOT NULL"), classes, CLASS, "copies").withColumn("won", F.expr("id = first.id AND own = first.own"))
+    judged = materialize(met.groupBy("id", "own", "won").agg(F.count(F.lit(1)).alias("copies")), "judged")
+    key, own = fresh(documents, "key"), fresh(documents, "own")
+    marked = documents.withColumns({key: F.col(f"`{id_col}`").cast("long"), own: F.unhex(F.md5(F.coalesce(F.col(f"`{text_col}`"), F.lit(""))))})
+    named = lambda df: df.select(F.col("id").alias(key), F.col("own").alias(own))
+    gone, repeated = named(judged.where("NOT won OR copies > 1")), named(judged.where("won AND copies > 1"))
+    columns = [F.col(f"`{c}`") for c in documents.columns]
+    kept = matching(marked, gone, [key, own], "left_anti").select(columns)
+    if not repeated.limit(1).count():
+        return kept
+    whole = F.struct(columns)
+    one = matching(marked, repeated, [key, own]).groupBy(key, own).agg(F.min_by(whole, F.to_json(whole)).alias("row"))
+    return kept.unionByName(one.select("row.*"))

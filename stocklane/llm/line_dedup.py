@@ -1,21 +1,23 @@
 """Fuzzy line dedup by MinHash.
 
-Trimmed lines of at least ``min_chars`` characters are sets of character shingles (``width`` code points, ASCII
-letters lower-cased; a shorter line is one shingle). Signatures of ``bands * rows`` minima,
+Trimmed lines of at least ``min_chars`` characters, runs of blanks in them as one, are sets of character shingles
+(``width`` code points, ASCII letters lower-cased; a shorter line is one shingle). Signatures of ``bands * rows`` minima,
 vectorised over a batch, are cut into bands; lines that share a band are candidates, verified by the exact Jaccard
 similarity of their shingle sets (``percent`` hundredths or more). Links become components by distributed
 union-find, and of each component the line that comes first (by document id, then line number) stays.
 
-Every two lines of a band are verified or already in one component (``components.linked``): best pivots and delegates
-first, then all pairs that are left and pass an exact necessary condition, the numbers of distinct shingles and a parity
-sketch of 256 cells a line. So a band of variants of one template costs cheap comparisons by the square of its open
-lines, but few verifications.
+Every two lines of a band are verified, ruled out by an exact necessary condition or already in one component. Best pivots
+and delegates of each band come first. Where a band then still has lines of several components (variants of one template),
+it is cut into finer keys by its lines' rarest shingles, as many as two lines of the wanted similarity cannot both miss. The
+same rounds run on these keys, and pairs that are left pass the numbers of distinct shingles and a parity sketch of 256 cells
+before they are verified. So a crowd of variants costs by the shingles that they share beyond the template.
 With 6 bands of 4 rows a pair at similarity 0.8 is a candidate with probability 0.95, at 0.85 with 0.99, at 0.9 with
-0.998; equal lines always are, as they are one node.
+0.998; equal lines always are, as they are one node (by 128 bits).
 
 Defined results: null and empty texts have no lines and stay as they are; lines shorter than ``min_chars`` always stay;
-a document with a null id keeps its lines and claims none; rows repeated with one id lose the same lines; further
-columns pass through. A document may end up with an empty text: it stays, with that text.
+a document with a null id keeps its lines and claims none; rows repeated with one id lose the same lines; an empty table
+loses none; a very long text or line is one slice of its own; further columns pass through. A document may end up with an
+empty text: it stays, with that text.
 """
 
 from __future__ import annotations
@@ -26,9 +28,9 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from stocklane.llm.common import batches, materialize
-from stocklane.llm.components import linked, shared_keys
-from stocklane.llm.jaccard_join import links, matching
+from stocklane.llm.common import batches, lookup, materialize
+from stocklane.llm.components import Linker, distinct_groups, shared_keys
+from stocklane.llm.jaccard_join import links, matching, prefix_length
 
 WIDTH = 9
 BANDS, PER_BAND = 6, 4
@@ -37,6 +39,10 @@ CHUNK_CHARS = 200_000
 PAD = 0x9E3779B1
 #: 64-bit words of a line's parity sketch.
 WORDS = 4
+#: Lines that a task remembers so as not to describe them again (about 30 MB).
+SEEN = 200_000
+#: Cells of the sketch that counts shingles, for their order by rarity: 1 MB a task.
+SKETCH_BITS = 18
 #: Dropped line numbers (and four more a document) up to which their table is broadcast: about 32 MB.
 SMALL = 4_000_000
 LOWER = {x: x + 32 for x in range(65, 91)}
@@ -46,12 +52,34 @@ def eligible(text: str | None, min_chars: int) -> list[tuple[int, str]]:
     """Number and trimmed form of the lines that take part."""
     if not text:
         return []
-    return [(k, own) for k, line in enumerate(text.split("\n")) if len(own := line.strip()) >= min_chars]
+    found = [(k, own) for k, line in enumerate(text.split("\n")) if len(own := line.strip()) >= min_chars]
+    return [(k, " ".join(own.split()) if "  " in own or "\t" in own else own) for k, own in found] if "  " in text or "\t" in text else found
 
 
-def name(line: str) -> int:
-    x = xxhash.xxh3_64_intdigest(line.encode())
-    return x - (1 << 64) if x >> 63 else x
+def name(line: str) -> tuple[int, int]:
+    """128 bits of a line as two signed numbers; the first is its node."""
+    x = xxhash.xxh3_128_intdigest(line.encode())
+    return tuple(h - (1 << 64) if h >> 63 else h for h in (x & 0xFFFFFFFFFFFFFFFF, x >> 64))
+
+
+class Fresh:
+    """Lines that a task has not met before, as far as it remembers."""
+
+    def __init__(self):
+        self.seen: set[int] = set()
+
+    def __call__(self, texts: list, min_chars: int) -> tuple[list[str], np.ndarray]:
+        if len(self.seen) > SEEN:
+            self.seen.clear()
+        lines, names = [], []
+        for text in texts:
+            for _, line in eligible(text, min_chars):
+                own = name(line)
+                if own[0] not in self.seen:
+                    self.seen.add(own[0])
+                    lines.append(line)
+                    names.append(own)
+        return lines, np.array(names, np.int64).reshape(-1, 2)
 
 
 def shingle_hashes(lines: list[str], width: int) -> tuple[np.ndarray, np.ndarray]:
@@ -109,9 +137,7 @@ def shingle_set(line: str, width: int) -> frozenset:
 
 def sketches(lines: list[str], width: int) -> np.ndarray:
     """``WORDS`` 64-bit words a line: for each cell whether an odd number of the distinct shingle hashes falls in it."""
-    h, starts = shingle_hashes(lines, width)
-    owner = np.repeat(np.arange(len(lines), dtype=np.uint64), np.diff(np.append(starts, len(h))))
-    own = np.unique(owner << np.uint64(32) | h)
+    own, _ = distinct_hashes(lines, width)
     cell = (own & np.uint64(0xFFFFFFFF)) * np.uint64(0x9E3779B97F4A7C15) >> np.uint64(56)
     odd = np.bincount(((own >> np.uint64(32)) * np.uint64(64 * WORDS) + cell).astype(np.int64), minlength=64 * WORDS * len(lines)) & 1
     return np.packbits(odd.astype(np.uint8)).view(np.int64).reshape(len(lines), WORDS)
@@ -126,23 +152,46 @@ def fits(a: str, b: str, percent: int) -> str:
     return f"least({a}.n, {b}.n) * 100 >= greatest({a}.n, {b}.n) * {percent} AND {apart} <= {most}"
 
 
-def jaccard_links(pairs, percent: int, width: int):
-    """Of pairs (a, b, text of a, text of b), those that link."""
-    cache: dict[int, frozenset] = {}
+def distinct_hashes(lines: list[str], width: int) -> tuple[np.ndarray, np.ndarray]:
+    """The distinct shingle hashes of each line, line by line and sorted, and how many each line has."""
+    h, starts = shingle_hashes(lines, width)
+    owner = np.repeat(np.arange(len(lines), dtype=np.uint64), np.diff(np.append(starts, len(h))))
+    own = np.unique(owner << np.uint64(32) | h)
+    return own, np.bincount((own >> np.uint64(32)).astype(np.int64), minlength=len(lines))
+
+
+def possible(lefts: list[str], rights: list[str], n_left: np.ndarray, n_right: np.ndarray, percent: int, width: int) -> np.ndarray:
+    """Which pairs of lines can link, from the overlap of their shingle hashes. ``n_*``: their numbers of distinct shingles.
 
-    def shingles(key: int, text: str) -> frozenset:
-        if key not in cache:
-            if len(cache) > 2000:
-                cache.clear()
-            cache[key] = shingle_set(lowered(text), width)
-        return cache[key]
+    Distinct shingles with equal hashes (at most ``n`` less the number of hashes) are added to the overlap, so no link is
+    ruled out.
+    """
+    lines = list(dict.fromkeys([*lefts, *rights]))
+    number = {x: k for k, x in enumerate(lines)}
+    own, counts = distinct_hashes(lines, width)
+    hashes, ends = own & np.uint64(0xFFFFFFFF), np.cumsum(counts)
 
+    def spread(side: list[str]) -> np.ndarray:
+        """The hashes of each pair's line, behind the pair's number."""
+        at = np.fromiter((number[x] for x in side), np.int64, len(side))
+        sizes = counts[at]
+        first = np.cumsum(sizes) - sizes
+        index = np.arange(int(sizes.sum())) - np.repeat(first, sizes) + np.repeat(ends[at] - sizes, sizes)
+        return np.repeat(np.arange(len(side), dtype=np.uint64) << np.uint64(32), sizes) | hashes[index]
+
+    both = np.sort(np.concatenate([spread(lefts), spread(rights)]))
+    overlap = np.bincount((both[1:][both[1:] == both[:-1]] >> np.uint64(32)).astype(np.int64), minlength=len(lefts))
+    overlap = overlap + n_left - counts[np.fromiter((number[x] for x in lefts), np.int64, len(lefts))]
+    return overlap * (100 + percent) >= percent * (n_left + n_right)
+
+
+def jaccard_links(pairs, percent: int, width: int):
+    """Of pairs (a, b, text of a, text of b), those that link."""
     for a, b, x, y in pairs:
-        p, q = shingles(a, x), shingles(b, y)
-        if min(len(p), len(q)) * 100 >= percent * max(len(p), len(q)):
-            both = len(p & q)
-            if both * 100 >= percent * (len(p) + len(q) - both):
-                yield a, b
+        p, q = shingle_set(lowered(x), width), shingle_set(lowered(y), width)
+        both = len(p & q)
+        if both * 100 >= percent * (len(p) + len(q) - both):
+            yield a, b
 
 
 def portions(lines: list[str]):
@@ -161,64 +210,116 @@ def portions(lines: list[str]):
 def dropped_lines(documents: DataFrame, *, width: int = WIDTH, bands: int = BANDS, per_band: int = PER_BAND, percent: int = 80, min_chars: int = MIN_CHARS, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """``id``, ``gone``: the numbers of the lines that each document loses; documents that lose none are absent."""
     base = documents.where(F.col(id_col).isNotNull()).select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text"))
+    full, labels = labelled_lines(base, width, bands, per_band, percent, min_chars)
 
     def occurrences(batch):
-        ids, numbers, nodes = [], [], []
-        for i, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
-            for k, line in eligible(text, min_chars):
-                ids.append(i)
-                numbers.append(k)
-                nodes.append(name(line))
-        return {"id": ids, "number": numbers, "node": nodes}
+        found = [(i, k, *name(line)) for i, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True) for k, line in eligible(text, min_chars)]
+        return dict(zip(("id", "number", "node", "check"), zip(*found, strict=True) if found else ([],) * 4, strict=True))
+
+    rows = materialize(batches(base, occurrences, "id bigint, number int, node bigint, check bigint"), "occurrences")
+    # Equal lines first, so neither a line nor a component that a third of all rows hold meets in one task.
+    lines = rows.groupBy("node", "check").agg(F.min(F.struct("id", "number")).alias("first"), F.count(F.lit(1)).alias("copies"))
+    known = full.select("node", "check").join(labels, "node")
+    placed = materialize(lines.join(known, ["node", "check"], "left"), "placed")
+    tops = placed.where("component IS NOT NULL").groupBy("component").agg(F.min("first").alias("top"))
+    several = placed.join(tops, "component", "left").where("copies > 1 OR top IS NOT NULL").select("node", "check", F.coalesce("top", "first").alias("top"), "copies")
+    met = lookup(rows, materialize(several, "several"), ["node", "check"], "copies")
+    gone = met.where("top IS NOT NULL AND (id <> top.id OR number <> top.number)")
+    return gone.groupBy("id").agg(F.array_sort(F.collect_set("number")).alias("gone"))
+
+
+def labelled_lines(base: DataFrame, width: int, bands: int, per_band: int, percent: int, min_chars: int) -> tuple[DataFrame, DataFrame]:
+    """The lines that share a band with others (node, check, line, ...), and the components (node, component) of those that link.
+    Of different lines with one node (64 bits) the smallest ``check`` is the node's line; the others link with nothing."""
+    unseen, named = Fresh(), Fresh()
 
     def keys(batch):
-        lines = list(dict.fromkeys(line for text in batch.column(0).to_pylist() for _, line in eligible(text, min_chars)))
-        found = [signatures(part, width, bands, per_band) for part in portions(lines)]
-        nodes = np.fromiter(map(name, lines), np.int64, len(lines))
-        all_keys = np.concatenate([*found, np.zeros((0, bands), np.uint64)])
-        return {"key": all_keys.ravel().view(np.int64), "node": np.repeat(nodes, bands)}
+        lines, nodes = unseen(batch.column(0).to_pylist(), min_chars)
+        found = np.concatenate([*(signatures(part, width, bands, per_band) for part in portions(lines)), np.zeros((0, bands), np.uint64)])
+        return {"key": found.ravel().view(np.int64), "node": np.repeat(nodes[:, 0], bands)}
 
     hashed = batches(base.select("text"), keys, "key bigint, node bigint")
-    meeting = materialize(shared_keys(hashed).distinct(), "meeting")
+    meeting = materialize(shared_keys(hashed), "meeting")
     wanted = materialize(meeting.select("node").distinct(), "wanted")
 
     def texts(batch):
-        lines = list(dict.fromkeys(line for text in batch.column(0).to_pylist() for _, line in eligible(text, min_chars)))
-        return {"node": np.fromiter(map(name, lines), np.int64, len(lines)), "line": lines}
+        lines, nodes = named(batch.column(0).to_pylist(), min_chars)
+        return {"node": nodes[:, 0], "check": nodes[:, 1], "line": lines}
 
     def described(batch):
-        lines = batch.column(1).to_pylist()
+        lines = batch.column(2).to_pylist()
         words = np.concatenate([*(sketches(part, width) for part in portions(lines)), np.zeros((0, WORDS), np.int64)])
         sizes = np.fromiter((len(shingle_set(lowered(x), width)) for x in lines), np.int64, len(lines))
-        return {"node": batch.column(0), "line": batch.column(1), "n": sizes} | {f"s{k}": words[:, k] for k in range(WORDS)}
+        return {"node": batch.column(0), "check": batch.column(1), "line": batch.column(2), "n": sizes} | {f"s{k}": words[:, k] for k in range(WORDS)}
 
     columns = ", ".join(f"s{k} bigint" for k in range(WORDS))
-    found = matching(batches(base.select("text"), texts, "node bigint, line string"), wanted, "node").dropDuplicates(["node"])
-    full = materialize(batches(found, described, f"node bigint, line string, n bigint, {columns}"), "lines")
+    found = matching(batches(base.select("text"), texts, "node bigint, check bigint, line string"), wanted, "node")
+    one = found.groupBy("node").agg(F.min(F.struct("check", "line")).alias("own")).select("node", "own.*")
+    full = materialize(batches(one, described, f"node bigint, check bigint, line string, n bigint, {columns}"), "lines")
 
     def verify(pairs: DataFrame) -> DataFrame:
         left, right = (full.select(F.col("node").alias(c), F.col("line").alias(f"line_{c}"), F.col("n").alias(f"n_{c}")) for c in "ab")
         near = F.least("n_a", "n_b") * 100 >= F.greatest("n_a", "n_b") * percent
         met = pairs.join(left, "a").join(right, "b").where(near)
 
-        def run(parts):
-            for batch in parts:
-                yield links([*jaccard_links(zip(*(batch.column(k).to_pylist() for k in range(4)), strict=True), percent, width)])
-
-        return met.select("a", "b", "line_a", "line_b").mapInArrow(run, "a bigint, b bigint")
+        def step(batch):
+            a, b, x, y, n, m = (batch.column(k).to_pylist() for k in range(6))
+            close = np.flatnonzero(possible(x, y, np.array(n), np.array(m), percent, width)) if len(a) else []
+            linked = [*jaccard_links(((a[k], b[k], x[k], y[k]) for k in close), percent, width)]
+            return {"a": [p for p, _ in linked], "b": [q for _, q in linked]}
+
+        return batches(met.select("a", "b", "line_a", "line_b", "n_a", "n_b"), step, "a bigint, b bigint")
+
+    linker = Linker(base.sparkSession, verify)
+    linker.stars(meeting)
+    crowds = linker.open(meeting).select(F.col("key").alias("band"), "node")
+    if crowds.limit(1).count():
+        crowd = materialize(matching(full.select("node", "line", "n"), crowds.select("node").distinct(), "node"), "crowd")
+        rare = crowds.join(rare_shingles(crowd, width, percent), "node").select(F.xxhash64("band", "key").alias("key"), "node")
+        rare = materialize(distinct_groups(shared_keys(rare)), "rare")
+        linker.stars(rare)
+        linker.rest(rare, full.drop("check", "line"), fits("l", "r", percent), percent)
+    return full, linker.labels
+
+
+def rare_shingles(lines: DataFrame, width: int, percent: int) -> DataFrame:
+    """Rows (key, node): of each line (node, line, n) its rarest shingle hashes, as many as it has shingles beyond those that
+    a line of similarity ``percent`` must share, and one. The order is by a count sketch of fixed size over all ``lines``,
+    ties by hash; lines that link share a key, as hashes are never more than shingles."""
+
+    def counted(parts):
+        total = np.zeros(1 << SKETCH_BITS, np.uint32)
+        for batch in parts:
+            for part in portions(batch.column(0).to_pylist()):
+                np.add.at(total, (distinct_hashes(part, width)[0] & np.uint64(len(total) - 1)).astype(np.int64), np.uint32(1))
+        yield pa.RecordBatch.from_arrays([pa.array(np.flatnonzero(total)), pa.array(total[total > 0].astype(np.int64))], names=["cell", "n"])
+
+    cells = lines.select("line").mapInArrow(counted, "cell bigint, n bigint").groupBy("cell").agg(F.sum("n").alias("n")).toArrow()
+    sketch = np.zeros(1 << SKETCH_BITS, np.int64)
+    sketch[np.asarray(cells["cell"].combine_chunks())] = np.asarray(cells["n"].combine_chunks())
+    shared = lines.sparkSession.sparkContext.broadcast(sketch)
 
-    labels = linked(meeting, verify, full.drop("line"), fits("l", "r", percent))
-    rows = materialize(batches(base, occurrences, "id bigint, number int, node bigint"), "occurrences")
-    placed = rows.join(labels, "node", "left").select("id", "number", F.coalesce("component", "node").alias("component"))
-    first = placed.groupBy("component").agg(F.min(F.struct("id", "number")).alias("first"), F.count(F.lit(1)).alias("n")).where("n > 1")
-    gone = placed.join(first, "component").where("id <> first.id OR number <> first.number")
-    return gone.groupBy("id").agg(F.array_sort(F.collect_set("number")).alias("gone"))
+    def keys(batch):
+        out, nodes = [np.zeros(0, np.int64)], [np.zeros(0, np.int64)]
+        node, n, at = np.asarray(batch.column(0), dtype=np.int64), np.asarray(batch.column(2), dtype=np.int64), 0
+        for part in portions(batch.column(1).to_pylist()):
+            own, counts = distinct_hashes(part, width)
+            line, h = (own >> np.uint64(32)).astype(np.int64), own & np.uint64(0xFFFFFFFF)
+            order = np.lexsort((h, shared.value[(h & np.uint64(len(sketch) - 1)).astype(np.int64)], line))
+            first = np.cumsum(counts) - counts
+            head = np.arange(len(own)) - first[line] < prefix_length(n[at : at + len(part)], percent)[line]
+            out.append(h[order][head].astype(np.int64))
+            nodes.append(node[at : at + len(part)][line[head]])
+            at += len(part)
+        return {"key": np.concatenate(out), "node": np.concatenate(nodes)}
+
+    return batches(lines.select("node", "line", "n"), keys, "key bigint, node bigint")
 
 
 def dedup(documents: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", **options) -> DataFrame:
     """``documents`` with their texts shortened, plus ``gone``, the numbers of the lines they lost (null: none)."""
-    gone = materialize(dropped_lines(documents, id_col=id_col, text_col=text_col, **options).withColumnRenamed("id", id_col), "gone")
     kept = documents.select(*[F.col(f"`{c}`") for c in documents.columns if c != "gone"])
+    gone = materialize(dropped_lines(documents, id_col=id_col, text_col=text_col, **options).withColumnRenamed("id", id_col), "gone")
     split = F.transform(F.split(text_col, "\n", -1), lambda line, k: F.struct(line.alias("line"), k.alias("k")))
     left = F.transform(F.filter(split, lambda x: ~F.array_contains("gone", x.k)), lambda x: x.line)
     # Shuffling every text is the way for a large table of dropped lines; a small one (checked) is broadcast.
