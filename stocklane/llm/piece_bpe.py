@@ -18,6 +18,7 @@ from __future__ import annotations
 import hashlib
 import heapq
 import re
+from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
@@ -28,10 +29,21 @@ from stocklane.llm.common import batches
 
 SPACE = "▁"
 LONG = 96
-CACHED = 400_000
+#: Words whose ids a worker keeps, twice: those of late and those before them (about 60 MB in all).
+CACHED = 100_000
+#: Words that are merged at once.
+PORTION = 20_000
 NONE = np.int64(1 << 40)
 
 
+@dataclass(slots=True)
+class Word:
+    """A word's ids as decimals each followed by a space, and the bytes of its pieces."""
+
+    decimal: str
+    data: bytes
+
+
 class Model:
     """The vocabulary as arrays: piece text and kind by id, ranks by pair of symbols."""
 
@@ -67,17 +79,26 @@ class Model:
                 a, b = self.id.get(piece[:at]), self.id.get(piece[at:])
                 if a is not None and b is not None:
                     self.pairs[a, b] = k
-        keys = np.fromiter((a << 32 | b for a, b in self.pairs), np.int64, len(self.pairs))
-        order = np.argsort(keys)
-        self.keys = np.append(keys[order], np.int64((1 << 62)))
-        self.merged = np.append(np.fromiter(self.pairs.values(), np.int64, len(self.pairs))[order], 0)
+        self.keys = np.fromiter((a << 32 | b for a, b in self.pairs), np.int64, len(self.pairs))
+        self.merged = np.fromiter(self.pairs.values(), np.int64, len(self.pairs))
+        # Pairs by hash, a table eight times as large; what collides goes to the next free slot.
+        self.shift = np.uint64(64 - (8 * len(self.pairs)).bit_length())
+        self.slots = np.full((1 << (64 - int(self.shift))) + 64, -1, np.int32)
+        left, at = np.arange(len(self.keys)), self.slot(self.keys)
+        while len(left):
+            free = self.slots[at] < 0
+            self.slots[at[free]] = left[free]  # of several the last stays
+            moved = self.slots[at] != left
+            left, at = left[moved], at[moved] + 1
         joined = {piece[k : k + 2] for piece in self.id for k in range(len(piece) - 1)}
         self.inside = np.sort(np.fromiter((ord(x[0]) << 32 | ord(x[1]) for x in joined), np.int64, len(joined)))
         # White space starts a word if no piece has it after another character.
         self.by_space = not any(x[1] == SPACE != x[0] for x in joined)
         self.out = [self.byte_of.get(k) or (b"" if p.type == kinds.CONTROL else p.piece.replace(SPACE, " ").encode()) for k, p in enumerate(proto.pieces)]
         self.out[next(k for k, p in enumerate(proto.pieces) if p.type == kinds.UNKNOWN)] = (train.unk_surface or " ⁇ ").encode()
-        self.cache: dict[str, list[int]] = {}
+        self.decimal = [f"{k} " for k in range(len(self.texts))]
+        self.late: dict[str, Word] = {}
+        self.before: dict[str, Word] = {}
 
     def symbols(self, words: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         """Code points, symbol ids (-1 outside the vocabulary) and the safe word each symbol belongs to."""
@@ -93,12 +114,20 @@ class Model:
             new[1:] |= self.inside[at] != key
         return points, ids, np.cumsum(new) - 1
 
+    def slot(self, key: np.ndarray) -> np.ndarray:
+        return (key.view(np.uint64) * np.uint64(0x9E3779B97F4A7C15) >> self.shift).astype(np.int64)
+
     def pair_rank(self, a: np.ndarray, b: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         key = np.where((a < 0) | (b < 0), -1, a << 32 | b)
-        at = np.searchsorted(self.keys, key)
-        found = self.keys[at] == key
-        piece = np.where(found, self.merged[at], 0)
-        return np.where(found, self.rank[piece], NONE), piece
+        at = self.slot(key)
+        pair = self.slots[at]
+        open_ = np.flatnonzero((pair >= 0) & (self.keys[pair] != key))
+        while len(open_):  # another pair has the slot
+            at[open_] += 1
+            pair[open_] = self.slots[at[open_]]
+            open_ = open_[(pair[open_] >= 0) & (self.keys[pair[open_]] != key[open_])]
+        piece = np.where(pair >= 0, self.merged[pair], 0)
+        return np.where(pair >= 0, self.rank[piece], NONE), piece
 
     def merge(self, ids: np.ndarray, word: np.ndarray, first: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """All merges; ids, the index of each symbol's first code point. Words that are done leave the rounds."""
@@ -186,39 +215,46 @@ class Model:
         text = self.prefix + text.replace(" ", SPACE)
         return WORDS.findall(text) if self.by_space else [text]
 
+    def known(self, split: list[list[str]]) -> dict[str, Word]:
+        """The words of some texts (and others) with their pieces; what is not remembered is merged, a portion at a time."""
+        if len(self.late) > CACHED:
+            self.before, self.late = {w: x for w, x in self.late.items() if len(w) <= LONG}, {}
+        late, before = self.late, self.before
+        fresh = []
+        for w in set().union(*split).difference(late):
+            if (found := before.get(w)) is not None:
+                late[w] = found
+            else:
+                fresh.append(w)
+        decimal, out = self.decimal, self.out
+        for k in range(0, len(fresh), PORTION):
+            part = fresh[k : k + PORTION]
+            for w, ids in zip(part, self.encode_words(part), strict=True):
+                late[w] = Word("".join([decimal[i] for i in ids]), b"".join([out[i] for i in ids]))
+        return late
+
     def encode(self, texts: list[str | None]) -> list[list[int]]:
         """The ids of each text, the end id last."""
+        return [[int(k) for k in ids.split(" ")] for ids, _ in self.told(texts)]
+
+    def plain(self, data: bytes) -> str:
+        """The text of joined piece bytes, without the dummy prefix."""
+        return (data[1:] if self.prefix and data[:1] == b" " else data).decode("utf-8", "replace")
+
+    def told(self, texts: list[str | None]) -> list[tuple[str, str]]:
+        """For each text its ids as decimals joined by one space, the end id last, and the text that they decode to."""
         split = [self.split(t or "") for t in texts]
-        cache = self.cache
-        fresh = [w for w in dict.fromkeys(w for s in split for w in s) if w not in cache]
-        own = {}
-        for k in range(0, len(fresh), 20_000):
-            part = fresh[k : k + 20_000]
-            own.update(zip(part, self.encode_words(part), strict=True))
-        if len(cache) > CACHED:
-            cache.clear()
-            fresh = None
-        if fresh is None:
-            own |= {w: x for w, x in zip(todo, self.encode_words(todo), strict=True)} if (todo := [w for w in dict.fromkeys(w for s in split for w in s) if w not in own]) else {}
-        cache.update((w, x) for w, x in own.items() if len(w) <= LONG)
-        get = own.get
+        own = self.known(split)
         out = []
         for s in split:
-            ids: list[int] = []
-            for w in s:
-                ids += cache[w] if w in cache else get(w)
-            ids.append(self.end)
-            out.append(ids)
+            found = [own[w] for w in s]
+            out.append(("".join([w.decimal for w in found]) + str(self.end), self.plain(b"".join([w.data for w in found] + [self.out[self.end]]))))
         return out
 
     def decode(self, rows: list[list[int]]) -> list[str]:
         """Text of each row of ids: white space restored, the dummy prefix dropped, bytes joined to characters."""
-        out, cut = self.out, bool(self.prefix)
-        texts = []
-        for ids in rows:
-            data = b"".join([out[k] for k in ids])
-            texts.append((data[1:] if cut and data[:1] == b" " else data).decode("utf-8", "replace"))
-        return texts
+        out = self.out
+        return [self.plain(b"".join([out[k] for k in ids])) for ids in rows]
 
 
 WORDS = re.compile(f"{SPACE}*[^{SPACE}]+|{SPACE}+")
@@ -271,14 +307,12 @@ def report(documents: DataFrame, path: str, *, id_col: str = "doc_id", text_col:
     fields = documents.select(id_col).withColumns({"n_tokens": F.lit(0).cast("long"), "ids_sha256": F.lit(None).cast("string"), "decoded_sha256": F.lit(None).cast("string")}).schema
 
     def step(batch):
-        own = model(path)
-        rows = own.encode(batch.column(1).to_pylist())
-        names = own.__dict__.setdefault("decimal", [str(k) for k in range(len(own.texts))])
+        told = model(path).told(batch.column(1).to_pylist())
         return {
             id_col: batch.column(0),
-            "n_tokens": [len(r) for r in rows],
-            "ids_sha256": [hashlib.sha256(" ".join([names[k] for k in r]).encode()).hexdigest() for r in rows],
-            "decoded_sha256": [hashlib.sha256(t.encode()).hexdigest() for t in own.decode(rows)],
+            "n_tokens": [ids.count(" ") + 1 for ids, _ in told],
+            "ids_sha256": [hashlib.sha256(ids.encode()).hexdigest() for ids, _ in told],
+            "decoded_sha256": [hashlib.sha256(text.encode()).hexdigest() for _, text in told],
         }
 
     return batches(documents.select(id_col, text_col), step, fields)
