@@ -100,7 +100,7 @@ def delegate_pairs(placed: DataFrame) -> DataFrame:
 
 
 def place(shared: DataFrame, labels: DataFrame) -> DataFrame:
-    return shared.drop("pivot").join(labels, "node", "left").withColumn("component", F.coalesce("component", "node"))
+    return shared.select("key", "node").join(labels, "node", "left").withColumn("component", F.coalesce("component", "node"))
 
 
 def distinct_groups(shared: DataFrame) -> DataFrame:
@@ -165,4 +165,6 @@ class Linker:
     def rest(self, shared: DataFrame, features: DataFrame, fits: str, percent: int) -> None:
         """Every pair of a key that is still in different components and passes ``fits``, an exact necessary condition on
         ``features`` (columns by node, the set size ``n`` among them)."""
+        if not shared.limit(1).count():
+            return
         self.compare(open_pairs(self.open(shared).join(features, "node"), fits, percent))

@@ -7,10 +7,11 @@ similarity of their shingle sets (``percent`` hundredths or more). Links become
 union-find, and of each component the line that comes first (by document id, then line number) stays.
 
 Every two lines of a band are verified, ruled out by an exact necessary condition or already in one component. Best pivots
-and delegates of each band come first. Where a band then still has lines of several components (variants of one template),
-it is cut into finer keys by its lines' rarest shingles, as many as two lines of the wanted similarity cannot both miss. The
-same rounds run on these keys, and pairs that are left pass the numbers of distinct shingles and a parity sketch of 256 cells
-before they are verified. So a crowd of variants costs by the shingles that they share beyond the template.
+and delegates of each band come first, then all pairs of a band that are left in different components. Before lines are
+fetched, pairs have to pass their numbers of distinct shingles and a parity sketch of 1024 cells a line. Where more than
+``crowd`` lines of a band are left (variants of one template), it is cut into finer keys by its lines' rarest shingles, as
+many as two lines of the wanted similarity cannot both miss, and the same rounds run on these. So a crowd of variants costs by
+the shingles that they share beyond the template.
 With 6 bands of 4 rows a pair at similarity 0.8 is a candidate with probability 0.95, at 0.85 with 0.99, at 0.9 with
 0.998; equal lines always are, as they are one node (by 128 bits).
 
@@ -29,7 +30,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from stocklane.llm.common import batches, lookup, materialize
-from stocklane.llm.components import Linker, distinct_groups, shared_keys
+from stocklane.llm.components import CROWD, Linker, distinct_groups, shared_keys
 from stocklane.llm.jaccard_join import links, matching, prefix_length
 
 WIDTH = 9
@@ -38,7 +39,9 @@ MIN_CHARS = 10
 CHUNK_CHARS = 200_000
 PAD = 0x9E3779B1
 #: 64-bit words of a line's parity sketch.
-WORDS = 4
+WORDS = 16
+#: Bits of a shingle's hash, behind the number of its line in a portion.
+HASH_BITS = 44
 #: Lines that a task remembers so as not to describe them again (about 30 MB).
 SEEN = 200_000
 #: Cells of the sketch that counts shingles, for their order by rarity: 1 MB a task.
@@ -82,22 +85,23 @@ class Fresh:
         return lines, np.array(names, np.int64).reshape(-1, 2)
 
 
-def shingle_hashes(lines: list[str], width: int) -> tuple[np.ndarray, np.ndarray]:
-    """32-bit hashes of all shingles of the lines, and where each line's begin. Lines shorter than ``width`` are padded."""
+def shingle_hashes(lines: list[str], width: int, kind=np.uint32) -> tuple[np.ndarray, np.ndarray]:
+    """Hashes (``kind``) of all shingles of the lines, and where each line's begin. Lines shorter than ``width`` are padded."""
     lines = [x if len(x) >= width else x.ljust(width, "\0") for x in lines]
     points = np.frombuffer("".join(lines).encode("utf-32-le"), np.uint32)
-    points = points + ((points >= 65) & (points <= 90)) * np.uint32(32)
+    points = (points + ((points >= 65) & (points <= 90)) * np.uint32(32)).astype(kind)
     sizes = np.fromiter(map(len, lines), np.int64, len(lines))
-    h, done, factor = points * np.uint32(PAD) + np.uint32(1), 1, PAD
+    bits = 8 * points.itemsize
+    h, done, factor, half = points * kind(PAD) + kind(1), 1, PAD, kind(bits // 2 - 1)
     total = h
     while done * 2 <= width:  # shingles of doubled width from two halves
-        factor = factor * 0x85EBCA6B % 2**32
-        total = total[:-done] * np.uint32(factor) + total[done:]
-        total ^= total >> np.uint32(15)
+        factor = factor * 0x85EBCA6B1B873593 % 2**bits
+        total = total[:-done] * kind(factor) + total[done:]
+        total ^= total >> half
         done *= 2
     for k in range(done, width):
-        total = total[:-1] * np.uint32(0xC2B2AE35) + h[k:]
-        total ^= total >> np.uint32(13)
+        total = total[:-1] * kind(0xC2B2AE3D27D4EB4F % 2**bits) + h[k:]
+        total ^= total >> half
     ends = np.cumsum(sizes)
     counts = sizes - width + 1
     # Positions whose shingle would cross into the next line go.
@@ -135,12 +139,24 @@ def shingle_set(line: str, width: int) -> frozenset:
     return frozenset(line[k : k + width] for k in range(max(1, len(line) - width + 1)))
 
 
-def sketches(lines: list[str], width: int) -> np.ndarray:
-    """``WORDS`` 64-bit words a line: for each cell whether an odd number of the distinct shingle hashes falls in it."""
-    own, _ = distinct_hashes(lines, width)
-    cell = (own & np.uint64(0xFFFFFFFF)) * np.uint64(0x9E3779B97F4A7C15) >> np.uint64(56)
-    odd = np.bincount(((own >> np.uint64(32)) * np.uint64(64 * WORDS) + cell).astype(np.int64), minlength=64 * WORDS * len(lines)) & 1
-    return np.packbits(odd.astype(np.uint8)).view(np.int64).reshape(len(lines), WORDS)
+def distinct_hashes(lines: list[str], width: int) -> tuple[np.ndarray, np.ndarray]:
+    """The distinct shingles of each line as hashes of ``HASH_BITS`` bits behind the line's number, sorted, and how many each
+    line has. (In a line of 500 shingles two of them share a hash once in a hundred million lines.)"""
+    h, starts = shingle_hashes(lines, width, np.uint64)
+    owner = np.repeat(np.arange(len(lines), dtype=np.uint64), np.diff(np.append(starts, len(h))))
+    h *= np.uint64(0x9E3779B97F4A7C15)
+    own = np.sort(owner << np.uint64(HASH_BITS) | h >> np.uint64(64 - HASH_BITS))
+    own = own[np.concatenate([[True], own[1:] != own[:-1]])]
+    return own, np.bincount((own >> np.uint64(HASH_BITS)).astype(np.int64), minlength=len(lines))
+
+
+def sketches(lines: list[str], width: int) -> tuple[np.ndarray, np.ndarray]:
+    """How many distinct shingles each line has; ``WORDS`` 64-bit words a line: for each cell whether an odd number falls in it."""
+    own, counts = distinct_hashes(lines, width)
+    cells = 64 * WORDS
+    at = (own >> np.uint64(HASH_BITS)).astype(np.int64) * cells + (own & np.uint64(cells - 1)).astype(np.int64)
+    odd = np.bincount(at, minlength=cells * len(lines)) & 1
+    return counts, np.packbits(odd.astype(np.uint8)).view(np.int64).reshape(len(lines), WORDS)
 
 
 def fits(a: str, b: str, percent: int) -> str:
@@ -152,43 +168,19 @@ def fits(a: str, b: str, percent: int) -> str:
     return f"least({a}.n, {b}.n) * 100 >= greatest({a}.n, {b}.n) * {percent} AND {apart} <= {most}"
 
 
-def distinct_hashes(lines: list[str], width: int) -> tuple[np.ndarray, np.ndarray]:
-    """The distinct shingle hashes of each line, line by line and sorted, and how many each line has."""
-    h, starts = shingle_hashes(lines, width)
-    owner = np.repeat(np.arange(len(lines), dtype=np.uint64), np.diff(np.append(starts, len(h))))
-    own = np.unique(owner << np.uint64(32) | h)
-    return own, np.bincount((own >> np.uint64(32)).astype(np.int64), minlength=len(lines))
-
-
-def possible(lefts: list[str], rights: list[str], n_left: np.ndarray, n_right: np.ndarray, percent: int, width: int) -> np.ndarray:
-    """Which pairs of lines can link, from the overlap of their shingle hashes. ``n_*``: their numbers of distinct shingles.
-
-    Distinct shingles with equal hashes (at most ``n`` less the number of hashes) are added to the overlap, so no link is
-    ruled out.
-    """
-    lines = list(dict.fromkeys([*lefts, *rights]))
-    number = {x: k for k, x in enumerate(lines)}
-    own, counts = distinct_hashes(lines, width)
-    hashes, ends = own & np.uint64(0xFFFFFFFF), np.cumsum(counts)
-
-    def spread(side: list[str]) -> np.ndarray:
-        """The hashes of each pair's line, behind the pair's number."""
-        at = np.fromiter((number[x] for x in side), np.int64, len(side))
-        sizes = counts[at]
-        first = np.cumsum(sizes) - sizes
-        index = np.arange(int(sizes.sum())) - np.repeat(first, sizes) + np.repeat(ends[at] - sizes, sizes)
-        return np.repeat(np.arange(len(side), dtype=np.uint64) << np.uint64(32), sizes) | hashes[index]
-
-    both = np.sort(np.concatenate([spread(lefts), spread(rights)]))
-    overlap = np.bincount((both[1:][both[1:] == both[:-1]] >> np.uint64(32)).astype(np.int64), minlength=len(lefts))
-    overlap = overlap + n_left - counts[np.fromiter((number[x] for x in lefts), np.int64, len(lefts))]
-    return overlap * (100 + percent) >= percent * (n_left + n_right)
-
-
 def jaccard_links(pairs, percent: int, width: int):
     """Of pairs (a, b, text of a, text of b), those that link."""
+    own: dict[int, frozenset] = {}
+
+    def shingles(key: int, line: str) -> frozenset:
+        if key not in own:
+            if len(own) >= 64:
+                own.clear()
+            own[key] = shingle_set(lowered(line), width)
+        return own[key]
+
     for a, b, x, y in pairs:
-        p, q = shingle_set(lowered(x), width), shingle_set(lowered(y), width)
+        p, q = shingles(a, x), shingles(b, y)
         both = len(p & q)
         if both * 100 >= percent * (len(p) + len(q) - both):
             yield a, b
@@ -207,10 +199,10 @@ def portions(lines: list[str]):
         yield held
 
 
-def dropped_lines(documents: DataFrame, *, width: int = WIDTH, bands: int = BANDS, per_band: int = PER_BAND, percent: int = 80, min_chars: int = MIN_CHARS, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def dropped_lines(documents: DataFrame, *, width: int = WIDTH, bands: int = BANDS, per_band: int = PER_BAND, percent: int = 80, min_chars: int = MIN_CHARS, crowd: int = CROWD, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """``id``, ``gone``: the numbers of the lines that each document loses; documents that lose none are absent."""
     base = documents.where(F.col(id_col).isNotNull()).select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text"))
-    full, labels = labelled_lines(base, width, bands, per_band, percent, min_chars)
+    full, labels = labelled_lines(base, width, bands, per_band, percent, min_chars, crowd)
 
     def occurrences(batch):
         found = [(i, k, *name(line)) for i, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True) for k, line in eligible(text, min_chars)]
@@ -228,7 +220,7 @@ def dropped_lines(documents: DataFrame, *, width: int = WIDTH, bands: int = BAND
     return gone.groupBy("id").agg(F.array_sort(F.collect_set("number")).alias("gone"))
 
 
-def labelled_lines(base: DataFrame, width: int, bands: int, per_band: int, percent: int, min_chars: int) -> tuple[DataFrame, DataFrame]:
+def labelled_lines(base: DataFrame, width: int, bands: int, per_band: int, percent: int, min_chars: int, crowd: int) -> tuple[DataFrame, DataFrame]:
     """The lines that share a band with others (node, check, line, ...), and the components (node, component) of those that link.
     Of different lines with one node (64 bits) the smallest ``check`` is the node's line; the others link with nothing."""
     unseen, named = Fresh(), Fresh()
@@ -247,45 +239,46 @@ def labelled_lines(base: DataFrame, width: int, bands: int, per_band: int, perce
         return {"node": nodes[:, 0], "check": nodes[:, 1], "line": lines}
 
     def described(batch):
-        lines = batch.column(2).to_pylist()
-        words = np.concatenate([*(sketches(part, width) for part in portions(lines)), np.zeros((0, WORDS), np.int64)])
-        sizes = np.fromiter((len(shingle_set(lowered(x), width)) for x in lines), np.int64, len(lines))
+        found = [sketches(part, width) for part in portions(batch.column(2).to_pylist())]
+        words = np.concatenate([*(w for _, w in found), np.zeros((0, WORDS), np.int64)])
+        sizes = np.concatenate([*(n for n, _ in found), np.zeros(0, np.int64)])
         return {"node": batch.column(0), "check": batch.column(1), "line": batch.column(2), "n": sizes} | {f"s{k}": words[:, k] for k in range(WORDS)}
 
     columns = ", ".join(f"s{k} bigint" for k in range(WORDS))
     found = matching(batches(base.select("text"), texts, "node bigint, check bigint, line string"), wanted, "node")
     one = found.groupBy("node").agg(F.min(F.struct("check", "line")).alias("own")).select("node", "own.*")
     full = materialize(batches(one, described, f"node bigint, check bigint, line string, n bigint, {columns}"), "lines")
+    features = full.drop("check", "line")
 
     def verify(pairs: DataFrame) -> DataFrame:
-        left, right = (full.select(F.col("node").alias(c), F.col("line").alias(f"line_{c}"), F.col("n").alias(f"n_{c}")) for c in "ab")
-        near = F.least("n_a", "n_b") * 100 >= F.greatest("n_a", "n_b") * percent
-        met = pairs.join(left, "a").join(right, "b").where(near)
+        near = pairs.join(features.alias("l"), F.expr("a = l.node")).join(features.alias("r"), F.expr("b = r.node")).where(fits("l", "r", percent)).select("a", "b")
+        left, right = (full.select(F.col("node").alias(c), F.col("line").alias(f"line_{c}")) for c in "ab")
+        met = materialize(near, "near").join(left, "a").join(right, "b")
 
         def step(batch):
-            a, b, x, y, n, m = (batch.column(k).to_pylist() for k in range(6))
-            close = np.flatnonzero(possible(x, y, np.array(n), np.array(m), percent, width)) if len(a) else []
-            linked = [*jaccard_links(((a[k], b[k], x[k], y[k]) for k in close), percent, width)]
+            linked = [*jaccard_links(zip(*(batch.column(k).to_pylist() for k in range(4)), strict=True), percent, width)]
             return {"a": [p for p, _ in linked], "b": [q for _, q in linked]}
 
-        return batches(met.select("a", "b", "line_a", "line_b", "n_a", "n_b"), step, "a bigint, b bigint")
+        return batches(met.select("a", "b", "line_a", "line_b"), step, "a bigint, b bigint")
 
     linker = Linker(base.sparkSession, verify)
     linker.stars(meeting)
-    crowds = linker.open(meeting).select(F.col("key").alias("band"), "node")
-    if crowds.limit(1).count():
-        crowd = materialize(matching(full.select("node", "line", "n"), crowds.select("node").distinct(), "node"), "crowd")
-        rare = crowds.join(rare_shingles(crowd, width, percent), "node").select(F.xxhash64("band", "key").alias("key"), "node")
+    left = linker.open(meeting)
+    linker.rest(left.where(F.col("crowd") <= crowd).select("key", "node"), features, fits("l", "r", percent), percent)
+    large = left.where(F.col("crowd") > crowd).select(F.col("key").alias("band"), "node")
+    if large.limit(1).count():
+        lines = materialize(matching(full.select("node", "line"), large.select("node").distinct(), "node"), "crowd")
+        rare = large.join(rare_shingles(lines, width, percent), "node").select(F.xxhash64("band", "key").alias("key"), "node")
         rare = materialize(distinct_groups(shared_keys(rare)), "rare")
         linker.stars(rare)
-        linker.rest(rare, full.drop("check", "line"), fits("l", "r", percent), percent)
+        linker.rest(rare, features, fits("l", "r", percent), percent)
     return full, linker.labels
 
 
 def rare_shingles(lines: DataFrame, width: int, percent: int) -> DataFrame:
-    """Rows (key, node): of each line (node, line, n) its rarest shingle hashes, as many as it has shingles beyond those that
-    a line of similarity ``percent`` must share, and one. The order is by a count sketch of fixed size over all ``lines``,
-    ties by hash; lines that link share a key, as hashes are never more than shingles."""
+    """Rows (key, node): of each line (node, line) its rarest shingles, as many as it has beyond those that a line of
+    similarity ``percent`` must share, and one; lines that link share a key. The order is by a count sketch of fixed size
+    over all ``lines``, ties by hash."""
 
     def counted(parts):
         total = np.zeros(1 << SKETCH_BITS, np.uint32)
@@ -301,19 +294,18 @@ def rare_shingles(lines: DataFrame, width: int, percent: int) -> DataFrame:
 
     def keys(batch):
         out, nodes = [np.zeros(0, np.int64)], [np.zeros(0, np.int64)]
-        node, n, at = np.asarray(batch.column(0), dtype=np.int64), np.asarray(batch.column(2), dtype=np.int64), 0
+        node, at = np.asarray(batch.column(0), dtype=np.int64), 0
         for part in portions(batch.column(1).to_pylist()):
             own, counts = distinct_hashes(part, width)
-            line, h = (own >> np.uint64(32)).astype(np.int64), own & np.uint64(0xFFFFFFFF)
+            line, h = (own >> np.uint64(HASH_BITS)).astype(np.int64), own & np.uint64((1 << HASH_BITS) - 1)
             order = np.lexsort((h, shared.value[(h & np.uint64(len(sketch) - 1)).astype(np.int64)], line))
-            first = np.cumsum(counts) - counts
-            head = np.arange(len(own)) - first[line] < prefix_length(n[at : at + len(part)], percent)[line]
+            head = np.arange(len(own)) - (np.cumsum(counts) - counts)[line] < prefix_length(counts, percent)[line]
             out.append(h[order][head].astype(np.int64))
             nodes.append(node[at : at + len(part)][line[head]])
             at += len(part)
         return {"key": np.concatenate(out), "node": np.concatenate(nodes)}
 
-    return batches(lines.select("node", "line", "n"), keys, "key bigint, node bigint")
+    return batches(lines.select("node", "line"), keys, "key bigint, node bigint")
 
 
 def dedup(documents: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", **options) -> DataFrame:

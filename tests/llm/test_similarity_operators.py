@@ -136,13 +136,15 @@ def test_line_dedup_compares_every_pair_of_a_hot_band(spark):
     pairs = [(a, b) for a in range(len(lines)) for b in range(a) if (keys[a] == keys[b]).any() and 100 * len(grams[a] & grams[b]) >= 80 * len(grams[a] | grams[b])]
     want = {k for k, r in enumerate(union(len(lines), pairs)) if r != k}
     assert {r.id for r in line_dedup.dropped_lines(docs).collect()} == want
+    assert {r.id for r in line_dedup.dropped_lines(docs, crowd=20).collect()} == want
 
 
 def test_line_sketches_bound_the_symmetric_difference():
     rng = random.Random(2)
     lines = ["".join(rng.choices("abc", k=rng.randint(9, 80))) for _ in range(60)] + ["=" * 12, "=" * 40]
-    words = line_dedup.sketches(lines, 9)
+    sizes, words = line_dedup.sketches(lines, 9)
     grams = [line_dedup.shingle_set(x, 9) for x in lines]
+    assert sizes.tolist() == [len(x) for x in grams]
     for a in range(len(lines)):
         for b in range(a):
             assert np.unpackbits((words[a] ^ words[b]).view(np.uint8)).sum() <= len(grams[a] ^ grams[b])
