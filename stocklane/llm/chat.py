@@ -3,9 +3,9 @@
 The fingerprint of a layout is a hash of its sorted nested field paths (``messages[].role`` ...), names only, so
 column order and types do not matter. ``MAPPINGS`` holds, by the paths it needs, how to read each layout as
 turns: either rows by turn or a list of turns in one row. ``canonical_turns`` looks the fingerprint up (an exact
-registered layout first, else the most specific mapping whose paths the layout contains, so that extra fields
-are harmless) and returns ``conv_id, turn, role, text``. JSON texts of mixed layouts go through
-``canonical_json``: the fingerprint is then a column, worked out from each value's own paths.
+registered layout first, else the mapping with the most paths of those whose paths the layout contains, of equals the one
+listed first; so extra fields are harmless) and returns ``conv_id, turn, role, text``. JSON texts of mixed layouts go through
+``canonical_json``: each value's own nested paths are hashed, and the distinct fingerprints select the mappings.
 
 ``format_turns`` writes a turn as ``### Label: text</turn>`` and a newline. Inside texts the backslash and the
 template's control strings are replaced reversibly, so a formatted conversation (its turns joined in order) reads
@@ -15,12 +15,14 @@ A conversation is never gathered in memory: turns are formatted where they lie,
 turn, and digests run over the sorted stream. (One conversation's digest is one sequential hash by contract.)
 
 Defined results: null roles and texts are empty; null turns come first; rows of equal turn go by role, then text;
-repeated rows are repeated turns; a null conv_id is a conversation of its own; extra columns play no part.
+repeated rows are repeated turns; a null conv_id is a conversation of its own; a very long text is one row of a stream; an
+empty table gives no rows; extra columns play no part.
 """
 
 from __future__ import annotations
 
 import hashlib
+import re
 from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame
@@ -119,19 +121,21 @@ def canonical_json(df: DataFrame, *, json_col: str = "json") -> DataFrame:
     """Turns of JSON objects of mixed layouts. A value that no mapping fits, or no JSON object, raises no error: it is
     one turn of role ``unmapped`` with the raw text, and conv_id if the object has one.
 
-    ``schema_of_variant`` gives each value's nested layout; types are taken out, so the column ``layout`` depends on
-    field names only, and the few distinct mappings are then applied side by side.
+    ``schema_of_variant`` gives each value's nested layout. The distinct layouts are turned into paths, fingerprints and
+    chosen mappings once each; every value then meets its layout's mapping, and the few mappings are applied side by side.
     """
-    parsed = df.select(F.col(json_col).alias("raw"), F.try_parse_json(json_col).alias("v"))
-    fields = F.array_sort(F.array_distinct(F.regexp_extract_all(F.schema_of_variant("v"), F.lit(r"[`A-Za-z_][`\w]*(?=:)"), F.lit(0))))
-    parsed = parsed.withColumn("names", F.transform(F.coalesce(fields, F.array()), lambda x: F.replace(x, F.lit("`"), F.lit(""))))
-    parsed = parsed.withColumn("layout", F.substring(F.sha2(F.concat_ws("\n", "names"), 256), 1, 16))
-    chosen = F.lit(None).cast("int")
-    order = sorted(range(len(MAPPINGS)), key=lambda k: len(leaf_names(MAPPINGS[k])))
-    for k in order:  # the most specific is tried first, as the last `when` put around
-        needs = F.array(*[F.lit(n) for n in leaf_names(MAPPINGS[k])])
-        chosen = F.when(F.size(F.array_except(needs, "names")) == 0, F.lit(k)).otherwise(chosen)
-    parsed = parsed.withColumn("chosen", F.when(F.col("v").isNotNull(), chosen))
+    import pyarrow as pa
+
+    parsed = df.select(F.col(json_col).alias("raw"), F.try_parse_json(json_col).alias("v")).withColumn("shape", F.schema_of_variant("v"))
+
+    def choose(parts):
+        for batch in parts:
+            found = [layout_paths(x) for x in batch.column(0).to_pylist()]
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(map(fingerprint, found), pa.string()), pa.array(map(number_of, found), pa.int32())], names=["shape", "layout", "chosen"])
+
+    shapes = parsed.where("shape IS NOT NULL").select("shape").distinct().mapInArrow(choose, "shape string, layout string, chosen int")
+    known = shapes.where("chosen IS NOT NULL")  # only layouts of a mapping: values of other layouts stay unmapped
+    parsed = parsed.join(known, "shape", "left")
     frames = [parsed.where("chosen IS NULL").select(F.expr("try_variant_get(v, '$.conv_id', 'bigint') AS conv_id"), F.lit(0).cast("long").alias("turn"), F.lit("unmapped").alias("role"), F.coalesce("raw", F.lit("")).alias("text"))]
     for k, m in enumerate(MAPPINGS):
         own = parsed.where(F.col("chosen") == k).select(F.from_json("raw", json_schema(m)).alias("o")).select("o.*")
@@ -142,8 +146,34 @@ def canonical_json(df: DataFrame, *, json_col: str = "json") -> DataFrame:
     return out
 
 
-def leaf_names(mapping: Mapping) -> list[str]:
-    return sorted({part.removesuffix("[]") for need in mapping.needs for part in need.split(".")})
+#: A field's name, the start of an object or array, its end, or a scalar type.
+SHAPE = re.compile(r"(?:`((?:[^`]|``)*)`|(\w+)): |(OBJECT|ARRAY)<|(>)|[A-Z_]+(?:\([^)]*\))?")
+
+
+def layout_paths(shape: str) -> set[str]:
+    """The nested field paths of a variant's schema, such as ``OBJECT<messages: ARRAY<OBJECT<role: STRING>>>``."""
+    found, around, at = set(), [], ""
+    for m in SHAPE.finditer(shape):
+        quoted, plain, opened, closed = m.groups()
+        if quoted is not None or plain is not None:
+            name = plain if quoted is None else quoted.replace("``", "`")
+            at = f"{around[-1]}.{name}" if around and around[-1] else name
+        elif opened:
+            at += "[]" if opened == "ARRAY" else ""
+            around.append(at)
+        elif closed:
+            around.pop()
+        else:
+            found.add(at)
+    return found
+
+
+def number_of(found: set[str]) -> int | None:
+    """The place in ``MAPPINGS`` of the mapping that a layout selects, if any."""
+    try:
+        return MAPPINGS.index(mapping_of(found))
+    except ValueError:
+        return None
 
 
 def json_schema(mapping: Mapping) -> str:

@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import hashlib
 import re
 import tempfile
 import uuid
@@ -72,10 +71,6 @@ def utf8(column: pa.Array | pa.ChunkedArray) -> list[bytes]:
     return [x or b"" for x in column.cast(pa.large_binary()).to_pylist()]
 
 
-def sha256_hex(data: bytes) -> str:
-    return hashlib.sha256(data).hexdigest()
-
-
 def mix64(x: np.ndarray) -> np.ndarray:
     """A bijective scrambling of uint64 values (splitmix64's finaliser)."""
     x = x.astype(np.uint64, copy=True)

@@ -3,7 +3,8 @@
 A tolerant scan cuts a page into blocks at block-level tags. Pass one classifies each block by itself from its
 length, its link density and its stop-word density: ``good``, ``bad``, ``near`` (decent but not certain) or
 ``short`` (too short to tell). Pass two gives ``near`` and ``short`` blocks the label of their nearest decided
-neighbours. What the markup itself declares is part of the rules: a block inside page
+neighbours. Stop words only count against a block where they occur on the page at all (``fitting``): in a language
+without a list, length, link density and sentence ends decide. What the markup itself declares is part of the rules: a block inside page
 furniture (menus, headers, footers, asides, forms, notices, adverts, reader comments) goes at once. Where a page marks
 its article, the mark is a prior: link density and certain prose decide as on any page, and a block that they leave
 undecided, inside the article also one with few stop words, is kept inside the article and goes outside it.
@@ -12,7 +13,7 @@ Text inside a block: character references decoded, white space turned into one s
 joined in page order by one newline. Nothing else is dropped or capped.
 
 Defined results: null and empty html give an empty text; broken or unclosed markup is read as far as it goes;
-repeated pages are read one by one; further columns play no part.
+a very long page is one slice; an empty table gives no rows; repeated pages are read one by one; further columns play no part.
 """
 
 from __future__ import annotations
@@ -52,7 +53,14 @@ FURNITURE_WORDS = frozenset(
     "header masthead footer cookie cookies consent gdpr notice popup modal overlay newsletter subscribe subscription share sharing social related recommended "
     "comment comments commentlist respond disqus reply replies login signup widget toolbar pagination pager".split()
 )
+#: Words that only say where or what kind of box a part is.
+PLACE_WORDS = frozenset(
+    "main site page global top bottom left right inner outer wrap wrapper container box bar area block section unit slot list item items link links button buttons "
+    "post posts text content form primary secondary mobile desktop fixed sticky".split()
+)
 ARTICLES = frozenset("article main".split())
+HEADINGS = frozenset("h1 h2 h3 h4 h5 h6 hgroup".split())
+BOXES = frozenset("div section aside ul ol dl table figure span".split())
 
 MARKUP = re.compile(r"<!--.*?(?:-->|\Z)|<(?:!|\?)[^>]*(?:>|\Z)|<(/?)([A-Za-z][A-Za-z0-9:-]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*)(?:>|\Z)", re.S)
 ATTRIBUTE = re.compile(r"""([A-Za-z_:][\w:.-]*)\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s"'>]+))""")
@@ -68,6 +76,8 @@ class Rules:
     link_density = 0.3
     stop_low = 0.12
     stop_high = 0.2
+    #: Share of stop words on a page from which one of the lists fits its language.
+    stop_page = 0.06
 
 
 def furniture(tag: str, attributes: str) -> bool:
@@ -79,11 +89,19 @@ def furniture(tag: str, attributes: str) -> bool:
         name, value = m[1].lower(), m[2] or m[3] or m[4] or ""
         if name == "role" and value.lower() in ROLES:
             return True
-        if name in ("class", "id") and any(w.lower() in FURNITURE_WORDS for token in value.split() for w in {token, *PIECES.findall(token)}):
+        if name in ("class", "id") and tag not in HEADINGS and any(names_furniture(tag, token) for token in value.split()):
             return True
     return bool(re.search(r"(?:^|\s)hidden(?:\s|=|$)|aria-hidden\s*=\s*[\"']?true|display\s*:\s*none", attributes, re.I))
 
 
+def names_furniture(tag: str, token: str) -> bool:
+    """A furniture word by itself; on a box also one among words of place only: ``site-header``, not ``page-header-study``."""
+    if token.lower() in FURNITURE_WORDS:
+        return True
+    parts = {w.lower() for w in PIECES.findall(token)}
+    return tag in BOXES and not parts.isdisjoint(FURNITURE_WORDS) and parts <= FURNITURE_WORDS | PLACE_WORDS
+
+
 class Block:
     __slots__ = ("article", "furniture", "links", "parts")
 
@@ -174,15 +192,24 @@ def close_paragraph(open_tags: list) -> None:
             return
 
 
-def classify(text: str, block: Block, rules=Rules) -> str:
-    """First pass: the class of a block by itself."""
+def stop_share(texts: list[str]) -> float:
+    found = [w for t in texts for w in WORD.findall(t.lower())]
+    return sum(w in STOP_WORDS for w in found) / max(1, len(found))
+
+
+SENTENCE_END = re.compile(r"[.!?\u3002\uff01\uff1f\u0964\u061f]")
+
+
+def classify(text: str, block: Block, rules=Rules, fitting: bool = True) -> str:
+    """First pass: the class of a block by itself. ``fitting``: whether a list of stop words fits the page."""
     density = block.links / max(1, len(text))
     if density > rules.link_density:
         return "bad"
     if len(text) < rules.short_chars:
         return "short"
-    words = WORD.findall(text.lower())
-    stops = sum(w in STOP_WORDS for w in words) / max(1, len(words))
+    if not fitting:
+        return "good" if len(text) > rules.long_chars and SENTENCE_END.search(text) else "near"
+    stops = stop_share([text])
     if stops >= rules.stop_high:
         return "good" if len(text) > rules.long_chars else "near"
     if stops >= rules.stop_low:
@@ -223,14 +250,18 @@ def settle(classes: list[str], marks: list[bool]) -> list[bool]:
     return kept
 
 
+def decided(page: str | None) -> list[tuple[str, str, bool]]:
+    """The page's blocks outside furniture: text, class of the first pass, whether it is kept."""
+    blocks = [(" ".join("".join(b.parts).split()), b) for b in blocks_of(page or "")]
+    blocks = [(t, b) for t, b in blocks if t and not b.furniture]
+    fitting = stop_share([t for t, _ in blocks]) >= Rules.stop_page
+    classes = [classify(t, b, fitting=fitting) for t, b in blocks]
+    kept = settle(classes, [b.article for _, b in blocks])
+    return [(t, c, k) for (t, _), c, k in zip(blocks, classes, kept, strict=True)]
+
+
 def main_text(page: str | None) -> str:
-    if not page:
-        return ""
-    blocks = [(" ".join("".join(b.parts).split()), b) for b in blocks_of(page)]
-    blocks = [(t, b) for t, b in blocks if t]
-    blocks = [(t, b) for t, b in blocks if not b.furniture]
-    kept = settle([classify(t, b) for t, b in blocks], [b.article > 0 for _, b in blocks])
-    return "\n".join(t for (t, _), keep in zip(blocks, kept, strict=True) if keep)
+    return "\n".join(t for t, _, keep in decided(page) if keep)
 
 
 def extract(pages: DataFrame, *, id_col: str = "page_id", url_col: str = "url", html_col: str = "html") -> DataFrame:

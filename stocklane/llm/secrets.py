@@ -1,12 +1,13 @@
 """Secret scans: base patterns, and candidates confirmed by decoding and parsing their structure.
 
 Base kinds (always reported): ``assign``, ``access``, ``hex``. Confirmed kinds are reported only after the
-candidate decodes and its inner lengths agree: ``pem`` (armoured key whose body is DER, an SSH key or at
-least base64 of a sealed key), ``der`` (bare base64 or hex that is a DER key or certificate), ``ssh``
-(base64 of length-prefixed SSH key fields), ``jwt`` (signed-token header and payload are JSON objects).
+candidate decodes and its inner lengths agree: ``pem`` (armoured key whose body is DER, an SSH key or, by its
+header, whole blocks of a sealed key), ``der`` (bare base64 or hex that is a DER key or certificate), ``ssh``
+(base64 of length-prefixed SSH key fields whose inner lengths add up), ``jwt`` (signed-token header and payload are JSON objects).
 
 Defined results: null and empty texts have no spans; spans are code points, end exclusive, and may overlap
-across kinds; repeated rows are judged one by one; other columns play no part.
+across kinds; very long texts and runs are read in one pass; an empty table gives no rows; repeated rows are judged one by
+one; other columns play no part.
 """
 
 from __future__ import annotations
@@ -20,7 +21,7 @@ import struct
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from stocklane.llm.common import batches, sha256_hex
+from stocklane.llm.common import batches
 
 KINDS = ("assign", "access", "hex", "pem", "der", "ssh", "jwt")
 BASE_KINDS = KINDS[:3]
@@ -29,8 +30,9 @@ ASSIGN = re.compile(r"""((?:password|passwd|secret|token|api_?key))["']?\x20*[:=
 #: Group 2 keeps its own letters: the class lists both cases, so ignoring case changes nothing there.
 ACCESS = re.compile(r"AKIA[A-Z0-9]{16,}")
 HEX = re.compile(r"[0-9a-f]{24,}")
-PEM = re.compile(r"-----BEGIN ([A-Z0-9 ]{0,40}PRIVATE KEY|CERTIFICATE)-----((?:[A-Za-z0-9+/=\s:,.]|-(?!----))*)-----END \1-----")
-TOKEN = re.compile(r"eyJ[A-Za-z0-9_-]+\.eyJ[A-Za-z0-9_-]+\.[A-Za-z0-9_-]+")
+PEM = re.compile(r"-----BEGIN ([A-Z0-9 ]{0,40}PRIVATE KEY|CERTIFICATE)-----((?:[A-Za-z0-9+/=\s:,.]++|-(?!----))*+)-----END \1-----")
+#: A token starts where a run of its letters starts, so a long run is read once.
+TOKEN = re.compile(r"(?<![A-Za-z0-9_-])eyJ[A-Za-z0-9_-]++\.eyJ[A-Za-z0-9_-]++\.[A-Za-z0-9_-]++")
 BLOB = re.compile(r"[A-Za-z0-9+/]{40,}={0,2}")
 LONG_HEX = re.compile(r"[0-9a-f]{64,}|[0-9A-F]{64,}")
 
@@ -81,20 +83,41 @@ def is_der_key(data: bytes) -> bool:
     return False
 
 
-def is_ssh_key(data: bytes) -> bool:
-    """Length-prefixed fields: an SSH key type first, and the fields add up to the bytes."""
-    if data.startswith(SSH_MAGIC):
-        return True
-    at, first = 0, None
-    while at < len(data):
+def fields(data: bytes, at: int = 0, count: int | None = None) -> tuple[list[bytes], int] | None:
+    """Length-prefixed fields from ``at``, all to the end or ``count`` of them, and where they end; None if one runs over."""
+    found = []
+    while at < len(data) if count is None else len(found) < count:
         if at + 4 > len(data):
-            return False
+            return None
         (n,) = struct.unpack_from(">I", data, at)
         if at + 4 + n > len(data):
-            return False
-        first = data[at + 4 : at + 4 + n] if first is None else first
+            return None
+        found.append(data[at + 4 : at + 4 + n])
         at += 4 + n
-    return first is not None and first.startswith(SSH_NAMES)
+    return found, at
+
+
+def is_public_ssh_key(data: bytes) -> bool:
+    """Fields that fill the bytes, a key type first."""
+    found = fields(data)
+    return found is not None and len(found[0]) > 1 and found[0][0].startswith(SSH_NAMES)
+
+
+def is_ssh_key(data: bytes) -> bool:
+    """A public key, or a private key file: cipher, key derivation and its options, the number of keys, as many public keys and
+    one private part that ends the bytes; an open private part starts with its check number twice."""
+    if not data.startswith(SSH_MAGIC):
+        return is_public_ssh_key(data)
+    head = fields(data, len(SSH_MAGIC), 3)
+    if head is None or head[1] + 4 > len(data):
+        return False
+    (cipher, _, _), at = head
+    (count,) = struct.unpack_from(">I", data, at)
+    body = fields(data, at + 4)
+    if body is None or not 1 <= count == len(body[0]) - 1 or not all(map(is_public_ssh_key, body[0][:-1])):
+        return False
+    private = body[0][-1]
+    return len(private) >= 8 and len(private) % 8 == 0 and (cipher != b"none" or private[:4] == private[4:8])
 
 
 def unbase64(text: str, url: bool = False) -> bytes | None:
@@ -114,12 +137,19 @@ def json_object(text: str) -> dict | None:
     return found if isinstance(found, dict) else None
 
 
+#: Header of a sealed key: its cipher and start vector.
+SEALED = re.compile(r"^DEK-Info: [A-Z0-9-]+,([0-9A-F]{16}|[0-9A-F]{32})\s*$", re.M)
+
+
 def pem_holds(label: str, body: str) -> bool:
+    """The body is DER or an SSH key; sealed by header, it is whole blocks as long as the start vector."""
     lines = [x for x in body.strip().splitlines() if ":" not in x]
     data = unbase64("".join(lines))
     if not data:
         return False
-    return is_der_key(data) or is_ssh_key(data) or ("ENCRYPTED" in body and len(data) >= 64)
+    if sealed := SEALED.search(body):
+        return len(data) % (len(sealed[1]) // 2) == 0
+    return is_der_key(data) or is_ssh_key(data)
 
 
 def spans(text: str) -> list[tuple[str, int, int]]:
@@ -184,9 +214,5 @@ def report(documents: DataFrame, *, id_col: str = "doc_id", text_col: str = "tex
     joined = lambda kinds: F.concat_ws(",", F.transform(F.filter("spans", lambda s: s.kind.isin(*kinds)), lambda s: F.concat_ws(":", s.kind, s.start_at, s.end_at)))
     count = lambda kind: F.size(F.filter("spans", lambda s: s.kind == kind)).cast("long").alias(f"n_{kind}")
     return scan(documents, id_col=id_col, text_col=text_col).select(
-        id_col, *[count(k) for k in KINDS], F.sha2(joined(BASE_KINDS), 256).alias("base_sha256"), joined(KINDS).alias("spans")
+        id_col, *map(count, BASE_KINDS), F.sha2(joined(BASE_KINDS), 256).alias("base_sha256"), joined(KINDS).alias("spans"), *map(count, KINDS[3:])
     )
-
-
-def base_digest(found: list[tuple[str, int, int]]) -> str:
-    return sha256_hex(",".join(f"{k}:{a}:{b}" for k, a, b in found if k in BASE_KINDS).encode())
