@@ -275,9 +275,10 @@ CLASS = ["fp", "fp2", "n"]
 def join(documents: DataFrame, *, width: int = 3, percent: int = 90, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """Per row of ``documents``: id, ``n_shingles``, ``component_id`` (the smallest id reachable by links, itself included)."""
     rows, classes = grouped(documents, width, percent, id_col, text_col)
-    met = lookup(rows, classes, CLASS, "copies")
+    met = lookup(rows.where("n > 0"), classes, CLASS, "copies")
     component = F.coalesce(F.when(F.col("id").isNotNull(), F.col("first.id")), "id").alias("component_id")
-    return met.select(F.col("id").alias(id_col), F.col("n").alias("n_shingles"), component)
+    linked = met.select(F.col("id").alias(id_col), F.col("n").alias("n_shingles"), component)
+    return linked.unionByName(rows.where("n = 0").select(F.col("id").alias(id_col), F.col("n").alias("n_shingles"), F.col("id").alias("component_id")))
 
 
 def arrays(rows: list[np.ndarray]) -> pa.Array:

@@ -213,8 +213,9 @@ def dropped_lines(documents: DataFrame, *, width: int = WIDTH, bands: int = BAND
     lines = rows.groupBy("node", "check").agg(F.min(F.struct("id", "number")).alias("first"), F.count(F.lit(1)).alias("copies"))
     known = full.select("node", "check").join(labels, "node")
     placed = materialize(lines.join(known, ["node", "check"], "left"), "placed")
-    tops = placed.where("component IS NOT NULL").groupBy("component").agg(F.min("first").alias("top"))
-    several = placed.join(tops, "component", "left").where("copies > 1 OR top IS NOT NULL").select("node", "check", F.coalesce("top", "first").alias("top"), "copies")
+    linked, alone = placed.where("component IS NOT NULL"), placed.where("component IS NULL AND copies > 1")
+    tops = linked.groupBy("component").agg(F.min("first").alias("top"))
+    several = linked.join(tops, "component").select("node", "check", "top", "copies").unionByName(alone.select("node", "check", F.col("first").alias("top"), "copies"))
     met = lookup(rows, materialize(several, "several"), ["node", "check"], "copies")
     gone = met.where("top IS NOT NULL AND (id <> top.id OR number <> top.number)")
     return gone.groupBy("id").agg(F.array_sort(F.collect_set("number")).alias("gone"))
@@ -264,7 +265,11 @@ def labelled_lines(base: DataFrame, width: int, bands: int, per_band: int, perce
     linker = Linker(base.sparkSession, verify)
     linker.stars(meeting)
     left = linker.open(meeting)
-    linker.rest(left.where(F.col("crowd") <= crowd).select("key", "node"), features, fits("l", "r", percent), percent)
+    few = left.where(F.col("crowd") <= crowd).select("key", "node")
+    # A pair of lines that share several bands is made in one of them.
+    bands_of = few.groupBy("node").agg(F.collect_set("key").alias("keys"))
+    once = "l.key = array_min(array_intersect(l.keys, r.keys))"
+    linker.rest(few, features.join(bands_of, "node"), f"{fits('l', 'r', percent)} AND {once}", percent)
     large = left.where(F.col("crowd") > crowd).select(F.col("key").alias("band"), "node")
     if large.limit(1).count():
         lines = materialize(matching(full.select("node", "line"), large.select("node").distinct(), "node"), "crowd")
