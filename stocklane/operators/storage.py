@@ -2,16 +2,21 @@
 
 from __future__ import annotations
 
+import re
 import tempfile
 import uuid
 
+from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql.types import StructType
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that the session names; a temporary one only where the setting is absent (tests)."""
+    """The folder that the session names; a temporary one only in a local session without the setting (tests)."""
     found = spark.conf.get("spark.checkpoint.dir", None)
     if found is None:
+        if not re.match(r"local(\[|$)", spark.sparkContext.master):
+            raise ValueError("spark.checkpoint.dir has to name a folder that all executors share")
         found = f"file://{tempfile.mkdtemp(prefix='stocklane-')}"
         spark.conf.set("spark.checkpoint.dir", found)
     return found.rstrip("/")
@@ -25,3 +30,31 @@ def materialize(df: DataFrame, name: str) -> DataFrame:
     path = new_path(df.sparkSession, name)
     df.write.parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
+#: Tables written in this process: path and schema by application, source folder and name.
+_WRITTEN: dict[tuple[str, str, str], tuple[str, StructType]] = {}
+
+
+def once(spark: SparkSession, source: str, name: str, build) -> DataFrame:
+    """The table ``name`` over the folder ``source``, written on its first use in a session and read by every later one.
+
+    A folder whose files change within a session needs ``forget``.
+    """
+    key = (spark.sparkContext.applicationId, source, name)
+    if key in _WRITTEN:
+        path, schema = _WRITTEN[key]
+        try:
+            return spark.read.schema(schema).parquet(path)
+        except AnalysisException:  # the shared folder was cleared
+            del _WRITTEN[key]
+    df, path = build(), new_path(spark, name)
+    df.write.parquet(path)
+    _WRITTEN[key] = (path, df.schema)
+    return spark.read.schema(df.schema).parquet(path)
+
+
+def forget(source: str | None = None) -> None:
+    """Tables of ``source`` (or all) are built anew on their next use."""
+    for key in [k for k in _WRITTEN if source in (None, k[1])]:
+        del _WRITTEN[key]

@@ -241,8 +241,58 @@ def dq_lifecycle_summary(t):
     return lifecycle_paths(t).agg(F.count_if(has("order_delivered")).alias("delivered"), F.count_if(has("delivery_exception")).alias("exceptions"), F.count_if(has("order_cancelled")).alias("cancelled"), F.count_if(has("inventory_released")).alias("post_reservation"))
 
 
+def row_rules(t) -> dict[str, dict]:
+    """By table every rule that one row can break, so that a report reads each table once for all of them."""
+    rules: dict[str, dict] = {k: {f"not_null:{c}": F.col(c).isNull() for c in cs.split()} for k, cs in REQUIRED.items()}
+    for k, c, words in DOMAINS:
+        rules[k][f"domain:{c}"] = ~F.col(c).isin(*words)
+    for more in (RANGES, CROSS, {"inventory_movements": SIGNS | ORDER_REFS, "shipments": STAMPS}):
+        for k, own in more.items():
+            rules[k] |= {name: F.expr(c) for name, c in own.items()}
+    rules["order_events"] |= {"source": F.col("source") != EVENT_SOURCE, "payload_is_object": F.expr("json_object_keys(payload) IS NULL")}
+    return rules
+
+
+#: Checks that ``row_rules`` covers.
+BY_ROW = ("dq_not_null", "dq_domain", "dq_range", "dq_cross_column", "dq_movement_sign", "dq_movement_order_ref", "dq_status_timestamp", "dq_event_source", "dq_json_payload")
+
+
 def dq_report(t):
-    return q.combined([globals()[name](t) for name in CHECKS])
+    """Every check: one pass a table for the rules of a row, one query a check for the others."""
+    fused = [q.violations(t.named(k), k, rules) for k, rules in row_rules(t).items()]
+    return q.combined([*fused, *(globals()[name](t) for name in CHECKS if name not in BY_ROW)])
+
+
+#: Unique columns and references that the schema declares besides ``KEYS`` and ``REFERENCES``, and expected rows.
+MORE_KEYS = {"product_categories": ("category_name",), "products": ("sku",), "warehouses": ("warehouse_code",), "customers": ("customer_external_id",), "orders": ("order_external_id",), "shipments": ("shipment_external_id",)}
+MORE_REFERENCES = (("shipments", "warehouse_id", "warehouses"), ("inventory_movements", "warehouse_id", "warehouses"), ("order_events", "warehouse_id", "warehouses"))
+RATES = {"cancellation_rate": ("orders", "order_status = 'cancelled'", "true", 0.333, 0.02), "late_delivery_rate": ("shipments", "delivered_at > expected_delivery_at", "shipment_status = 'delivered'", 0.25, 0.1)}
+
+
+def dq_unique_declared(t):
+    return q.combined([q.unique(t.named(k), k, [c]) for k, cs in MORE_KEYS.items() for c in cs])
+
+
+def dq_warehouse_reference(t):
+    return q.combined([q.foreign_key(t.named(k), k, c, t.named(p)) for k, c, p in MORE_REFERENCES])
+
+
+def dq_expected_rows(t):
+    """The bound tables' rows against those of the tables they come from: a row a brand and type, customer, order with lines."""
+    rows = lambda df: df.agg(F.count(F.lit(1)).alias("n"))
+    raw = t.raw("lineitem").select("l_orderkey").distinct()
+    wanted = {"products": rows(t.raw("part").select("p_brand", "p_type").distinct()), "customers": rows(t.raw("customer")), "orders": rows(raw.join(t.raw("orders").select(F.col("o_orderkey").alias("l_orderkey")), "l_orderkey", "left_semi"))}
+    gap = lambda k: rows(t.named(k)).crossJoin(F.broadcast(wanted[k].withColumnRenamed("n", "want")))
+    return q.combined([q.verdicts(gap(k).select(F.abs(F.col("n") - F.col("want")).alias("expected_count")), k) for k in wanted])
+
+
+def dq_rate_drift(t):
+    """Shares of cancelled orders and of late deliveries against their expected values."""
+    out = []
+    for name, (k, hit, among, expected, tolerance) in RATES.items():
+        share = F.count_if(F.expr(f"({among}) AND ({hit})")) / F.nullif(F.count_if(F.expr(among)).cast("double"), F.lit(0.0))
+        out.append(q.verdicts(t.named(k).agg(F.coalesce(F.abs(share - F.lit(expected)) > tolerance, F.lit(True)).cast("int").alias(f"drift:{name}")), k))
+    return q.combined(out)
 
 
 def recon_text(event: str, kind: str) -> str:
@@ -288,6 +338,23 @@ CHECKS = {
     "dq_lifecycle_conformance": [("known_path", "order_events", f"count(*) AS x FROM v_paths WHERE coalesce(path, '') NOT IN {tuple(PATHS)}")]
     + [(f"{word}:{p}", "order_events", f"count(*) AS x FROM v_paths WHERE path = '{p}' AND " + (f"NOT list_has_all(coalesce(kinds, []), {list(need)})" if word == "required" else f"list_has_any(coalesce(kinds, []), {list(bad)})")) for p, (need, bad) in PATHS.items() for word in ("required", "forbidden")],
 }
+#: Texts of the checks besides, written by hand.
+DECLARED = {
+    "dq_unique_declared": [
+        ("unique:category_name", "product_categories", "count(*) - count(DISTINCT category_name) AS x FROM c_categories"), ("unique:sku", "products", "count(*) - count(DISTINCT sku) AS x FROM c_products"),
+        ("unique:warehouse_code", "warehouses", "count(*) - count(DISTINCT warehouse_code) AS x FROM c_warehouses"), ("unique:customer_external_id", "customers", "count(*) - count(DISTINCT customer_external_id) AS x FROM c_customers"),
+        ("unique:order_external_id", "orders", "count(*) - count(DISTINCT order_external_id) AS x FROM c_orders"), ("unique:shipment_external_id", "shipments", "count(*) - count(DISTINCT shipment_external_id) AS x FROM c_shipments"),
+    ],
+    "dq_warehouse_reference": [(f"foreign_key:warehouse_id", k, f"count(*) AS x FROM {c} f WHERE warehouse_id IS NOT NULL AND NOT EXISTS (FROM c_warehouses w WHERE w.warehouse_id = f.warehouse_id)") for k, c in (("shipments", "c_shipments"), ("inventory_movements", "c_movements"), ("order_events", "c_events"))],
+    "dq_expected_rows": [
+        ("expected_count", "products", "abs((SELECT count(*) FROM c_products) - (SELECT count(DISTINCT (p_brand, p_type)) FROM part)) AS x"), ("expected_count", "customers", "abs((SELECT count(*) FROM c_customers) - (SELECT count(*) FROM customer)) AS x"),
+        ("expected_count", "orders", "abs((SELECT count(*) FROM c_orders) - (SELECT count(DISTINCT o_orderkey) FROM orders JOIN lineitem ON o_orderkey = l_orderkey)) AS x"),
+    ],
+    "dq_rate_drift": [
+        ("drift:cancellation_rate", "orders", "CAST(abs(avg(CASE WHEN order_status = 'cancelled' THEN 1.0::DOUBLE ELSE 0.0::DOUBLE END) - 0.333::DOUBLE) > 0.02::DOUBLE AS INTEGER) AS x FROM c_orders"),
+        ("drift:late_delivery_rate", "shipments", "CAST(abs(avg(CASE WHEN delivered_at > expected_delivery_at THEN 1.0::DOUBLE ELSE 0.0::DOUBLE END) - 0.25::DOUBLE) > 0.1::DOUBLE AS INTEGER) AS x FROM c_shipments WHERE shipment_status = 'delivered'"),
+    ],
+}
 SUMMARIES = {
     "dq_inventory_summary": f"SELECT count(*) AS positions, count(DISTINCT product_id) AS products, count(DISTINCT warehouse_id) AS warehouses, {n('on_hand_qty <= reorder_point')} AS low_stock_positions, {pct(n('on_hand_qty <= reorder_point'), 'count(*)')} AS low_stock_rate_pct FROM c_inventory",
     "dq_order_summary": f"SELECT a AS orders, b AS items, {r(div('b', 'a'))} AS average_items, {pct('x', 'a')} AS cancellation_rate_pct FROM (SELECT count(*) AS a, {n("order_status = 'cancelled'")} AS x FROM c_orders), (SELECT count(*) AS b FROM c_items)",
@@ -300,8 +367,7 @@ SUMMARIES = {
 def registered():
     for name, found in CHECKS.items():
         yield name, globals()[name], rows(found)
+    for name, found in DECLARED.items():
+        yield name, globals()[name], rows(found)
     for name, text in SUMMARIES.items():
         yield name, globals()[name], text
-
-
-

@@ -174,7 +174,13 @@ def split(t: Tables, d: Dataset) -> DataFrame:
 def fp_split(t):
     """Every eligible row with its split, sorted within it."""
     d = DATASETS[1]
-    return split(t, d).select(*d.key, d.split_column, *d.targets, "split").repartition("split").sortWithinPartitions("split", d.split_column, *d.key)
+    return in_order(split(t, d).select(*d.key, d.split_column, *d.targets, "split"), d)
+
+
+def in_order(df: DataFrame, d: Dataset) -> DataFrame:
+    """Rows by split, date and key, each split in many tasks: one of them holds most of a year."""
+    order = [*dict.fromkeys(("split", d.split_column, *d.key))]
+    return df.repartitionByRange(*order).sortWithinPartitions(*order)
 
 
 def parts(df: DataFrame, d: Dataset) -> DataFrame:
@@ -203,12 +209,12 @@ def digest(df: DataFrame) -> DataFrame:
     return df.groupBy("split").agg(F.bit_xor(F.xxhash64(*sorted(df.columns))).alias("row_digest"), F.count(F.lit(1)).alias("rows"))
 
 
-def written(df: DataFrame) -> DataFrame:
-    """``df`` by split as Parquet; its columns in order, row counts and digests are compared after reading back."""
+def written(df: DataFrame, d: Dataset) -> DataFrame:
+    """``df`` by split as Parquet; its columns and types in order, row counts and digests are compared after reading back."""
     path = new_path(df.sparkSession, "features")
-    df.repartition("split").write.partitionBy("split").parquet(path)
+    in_order(df, d).write.partitionBy("split").parquet(path)
     back = df.sparkSession.read.parquet(path)
-    if back.columns != df.columns:
+    if back.dtypes != df.dtypes:
         raise ValueError("columns changed on disk")
     if sorted(map(str, digest(back).collect())) != sorted(map(str, digest(df).collect())):
         raise ValueError("rows changed on disk")
@@ -218,11 +224,11 @@ def written(df: DataFrame) -> DataFrame:
 def sink_feature_parquet(t):
     """Whole rows of the delivery dataset; ``sink_feature_parquet_all`` writes every dataset."""
     d = DATASETS[1]
-    return parts(written(materialize(split(t, d), "split")), d)
+    return parts(written(materialize(split(t, d), "split"), d), d)
 
 
 def sink_feature_parquet_all(t):
-    return each([named(parts(written(materialize(split(t, d), "split")), d), d) for d in DATASETS])
+    return each([named(parts(written(materialize(split(t, d), "split"), d), d), d) for d in DATASETS])
 
 
 def validated(df: DataFrame, d: Dataset) -> dict[str, int]:
@@ -261,7 +267,7 @@ def build_manifest(t):
 def built(t: Tables, d: Dataset) -> DataFrame:
     ready = materialize(split(t, d), "eligible")
     counts = validated(ready, d)
-    back = parts(written(ready), d)
+    back = parts(written(ready, d), d)
     return named(back.select("*", (F.sum("rows").over(Window.partitionBy(F.lit(1))) == F.lit(counts["eligible_rows"])).alias("conserved")), d)
 
 
@@ -282,7 +288,7 @@ def build_manifest_all(t):
         ready = materialize(split(t, d), "eligible")
         counts = validated(ready, d)
         contract = [F.array(*map(F.lit, x)).alias(k) for k, x in (("key", d.key), ("targets", d.targets), ("predictors", predictors(ready, d)), ("columns", ready.columns))]
-        back = written(ready)
+        back = written(ready, d)
         stats = parts(back, d).join(digest(back).drop("rows"), "split")
         rows.append(named(stats.select("*", *contract, F.lit(d.split_column).alias("split_column"), *[F.lit(v).cast("bigint").alias(k) for k, v in counts.items()]), d))
     out = each(rows)
@@ -312,44 +318,135 @@ def derive_inventory_movements(t):
     return chronological_ids(t.inventory_movements.drop("created_at"), ["event_ts", "movement_id"], "number")
 
 
+#: The least replenishment, and the moment after which one can happen.
+LEAST_REPLENISHMENT, FIRST_REPLENISHMENT = 50, "2025-08-01 00:00:01"
+
+
 def replay(parts):
     """Replenishments of positions whose moves come in order: a receipt just before what stock cannot cover, else
-    reserved stock moves on. Only the running position's two balances are held, however many moves it has."""
+    reserved stock moves on. Only the running position's two balances are held, however many moves it has. A move of another
+    type or of an unknown position is an error."""
     import pandas as pd
+    import pyarrow as pa
 
+    names = ("warehouse_id", "product_id", "before_movement_id", "quantity_change", "event_ts")
+    kinds = (pa.int32(), pa.int64(), pa.int64(), pa.int64(), pa.timestamp("us"))
+    first = pd.Timestamp(FIRST_REPLENISHMENT)
     position, hand, held = None, 0, 0
     for batch in parts:
         out = []
-        for row in batch.itertuples():
-            if position != (row.warehouse_id, row.product_id):
-                position, hand, held = (row.warehouse_id, row.product_id), 0, 0
-            size = abs(row.quantity_change)
-            if row.movement_type == "receipt":
+        for place, product, movement, kind, change, at, point in zip(*(batch.column(k).to_pylist() for k in range(7)), strict=True):
+            if point is None:
+                raise ValueError(f"movement {movement} is of a position without inventory")
+            if position != (place, product):
+                position, hand, held = (place, product), 0, 0
+            size = abs(change)
+            if kind == "receipt":
                 hand += size
-                continue
-            if row.movement_type == "release":
+            elif kind == "release":
                 if size > held:
-                    raise ValueError(f"movement {row.movement_id} releases more than is reserved")
+                    raise ValueError(f"movement {movement} releases more than is reserved")
                 held -= size
-                continue
-            short = size - (hand - held if row.movement_type == "reservation" else hand)
-            if short > 0:
-                amount = max(short, 2 * row.reorder_point, 50)
-                hand += amount
-                out.append((*position, row.movement_id, amount, max(pd.Timestamp("2025-08-01 00:00:01"), row.event_ts - pd.Timedelta(seconds=1))))
-            if row.movement_type == "reservation":
-                held += size
+            elif kind in ("reservation", "shipment"):
+                short = size - (hand - held if kind == "reservation" else hand)
+                if short > 0:
+                    amount = max(short, 2 * point, LEAST_REPLENISHMENT)
+                    hand += amount
+                    out.append((place, product, movement, amount, max(first, pd.Timestamp(at) - pd.Timedelta(seconds=1))))
+                hand, held = (hand, held + size) if kind == "reservation" else (hand - size, max(0, held - size))
             else:
-                hand, held = hand - size, max(0, held - size)
+                raise ValueError(f"movement {movement} has the type {kind}")
         if out:
-            yield pd.DataFrame(out, columns=["warehouse_id", "product_id", "before_movement_id", "quantity_change", "event_ts"])
+            yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*out, strict=True), kinds, strict=True)], names=list(names))
 
 
 def plan_replenishment(t):
     """The recurrence is not linear, so each position is folded in order as a sorted stream; positions are independent."""
-    moves = t.inventory_movements.where("movement_type <> 'receipt' OR event_ts = TIMESTAMP_NTZ'2025-08-01 00:00:00'").drop("created_at", "order_id").join(t.inventory.select("warehouse_id", "product_id", "reorder_point"), ["warehouse_id", "product_id"])
+    moves = t.inventory_movements.where("movement_type <> 'receipt' OR event_ts = TIMESTAMP_NTZ'2025-08-01 00:00:00'")
+    points = t.inventory.select("warehouse_id", "product_id", "reorder_point")
+    moves = moves.join(points, ["warehouse_id", "product_id"], "left").select("warehouse_id", "product_id", "movement_id", "movement_type", "quantity_change", "event_ts", "reorder_point")
     dealt = moves.repartition("warehouse_id", "product_id").sortWithinPartitions("warehouse_id", "product_id", "event_ts", "movement_id")
-    return dealt.mapInPandas(replay, "warehouse_id int, product_id bigint, before_movement_id bigint, quantity_change bigint, event_ts timestamp_ntz")
+    return dealt.mapInArrow(replay, "warehouse_id int, product_id bigint, before_movement_id bigint, quantity_change bigint, event_ts timestamp_ntz")
+
+
+# Every dataset, whole rows.
+
+#: The columns that a dataset's contract keeps from its predictors, besides key, date and targets.
+KEPT_BACK = {
+    "demand_forecasting": ("gross_units_requested", "cancelled_units", "revenue"),
+    "delivery_prediction": ("is_delivered", "shipment_status", "delivered_at", "actual_transit_hours", "delivery_delay_hours", "order_id", "customer_id"),
+    "inventory_risk": (
+        "target_stockout_days_next_7d", "target_min_available_next_7d", "future_observation_days", "future_min_available_qty_raw", "future_stockout_days_raw", "future_reorder_breach_raw",
+        "ending_on_hand_qty", "ending_reserved_qty", "ending_available_qty", "units_sold", "revenue", "ml_feature_eligible",
+    ),
+}
+SHORT = {"demand_forecasting": "demand", "delivery_prediction": "delivery", "inventory_risk": "risk"}
+
+
+def contract_predictors(df: DataFrame, d: Dataset) -> list[str]:
+    """What the contract leaves for predictors; a column of the future or a target among them is an error."""
+    kept = [c for c in df.columns if c not in {*KEPT_BACK[d.name], *d.targets, *d.key, d.split_column}]
+    if leaks := [c for c in kept if c.startswith(("target_", "future_"))]:
+        raise ValueError(f"{d.name}: {', '.join(leaks)} would leak the target")
+    return kept
+
+
+def extracted(t: Tables, d: Dataset) -> DataFrame:
+    """The source view in the order of its contract; missing columns or no rows are an error."""
+    return required(source(t, d), d).orderBy(*dict.fromkeys((d.split_column, *d.key)))
+
+
+def whole_split(t: Tables, d: Dataset) -> DataFrame:
+    """Every eligible row, all columns and its split, by split and date."""
+    return in_order(split(t, d), d)
+
+
+def contract_frame(t: Tables, d: Dataset) -> DataFrame:
+    df = eligible(t, d)
+    return df.select(contract_predictors(df, d))
+
+
+def fp_validation_counts(t):
+    """What the validation of each dataset counts; ``validated`` raises on the same counts while a dataset is built."""
+    rows = []
+    for d in DATASETS:
+        df = split(t, d)
+        null = " OR ".join(f"{k} IS NULL" for k in d.key)
+        per = df.groupBy(*d.key).agg(F.count(F.lit(1)).alias("n"))
+        bad = [F.count_if(~F.col(c).isin(0, 1) if d.binary else F.col(c) < 0) for c in d.targets]
+        nulls = [F.count_if(F.col(c).isNull()) for c in d.targets]
+        counts = df.agg(F.count(F.lit(1)).alias("eligible_rows"), F.count_if(F.expr(null)).alias("null_key_rows"), sum(nulls[1:], nulls[0]).alias("null_targets"), sum(bad[1:], bad[0]).alias("invalid_targets"), F.count_if(F.col("split").isNull()).alias("rows_outside_splits"))
+        sources = source(t, d).agg(F.count(F.lit(1)).alias("source_rows"))
+        repeated = per.agg(F.coalesce(F.sum(F.expr("CASE WHEN n > 1 THEN n END")), F.lit(0)).alias("duplicate_key_rows"))
+        fixed = constants(df.drop("split"), d).agg(F.count(F.lit(1)).alias("constant_predictors"))
+        rows.append(named(counts.crossJoin(F.broadcast(sources)).crossJoin(F.broadcast(repeated)).crossJoin(F.broadcast(fixed)), d))
+    return each(rows)
+
+
+def fp_split_conservation(t):
+    """Whether the splits hold every eligible row once, and only rows of their own dates."""
+    ends = dict(SPLITS)
+    starts = {"validation": ends["train"], "test": ends["validation"]}
+    rows = []
+    for d in DATASETS:
+        date = F.col(d.split_column)
+        out = F.lit(False)
+        for name, last in SPLITS:
+            wrong = date > F.lit(last).cast("date")
+            wrong = wrong | (date <= F.lit(starts[name]).cast("date")) if name in starts else wrong
+            out = F.when(F.col("split") == name, wrong).otherwise(out)
+        counted = split(t, d).agg(F.count(F.lit(1)).alias("eligible_rows"), F.count("split").alias("split_rows"), F.count_if(out).alias("rows_out_of_bounds"))
+        rows.append(named(counted.withColumn("conserved", F.col("eligible_rows") == F.col("split_rows")), d))
+    return each(rows)
+
+
+def artifact_metadata_all(t):
+    """Per dataset and split: rows, dates, and how many columns and contract predictors the artifact has."""
+    rows = []
+    for d in DATASETS:
+        df = split(t, d)
+        rows.append(named(parts(df, d).withColumns({"columns": F.lit(len(df.columns) - 1), "predictors": F.lit(len(contract_predictors(df.drop("split"), d)))}), d))
+    return each(rows)
 
 
 def count_where_text(d: Dataset) -> str:
@@ -420,6 +517,30 @@ TEXTS = {
 }
 
 
+def contract_text(d: Dataset) -> str:
+    hidden = "', '".join(dict.fromkeys((*KEPT_BACK[d.name], *d.targets, *d.key, d.split_column)))
+    return f"SELECT COLUMNS(lambda c: c NOT IN ('{hidden}')) FROM {d.view}{count_where_text(d)}"
+
+
+def width_text(d: Dataset, text: str) -> str:
+    return f"CAST((SELECT count(DISTINCT predictor) FROM (FROM (SELECT CAST(COLUMNS(*) AS VARCHAR) FROM ({text}) LIMIT 1) UNPIVOT INCLUDE NULLS (x FOR predictor IN (COLUMNS(*))))) AS INTEGER)"
+
+
+#: Texts of the queries over every dataset, apart from those above.
+WHOLE = {
+    "fp_validation_counts": union_text(lambda d: f"SELECT '{d.name}' AS dataset, count(*) AS eligible_rows, {n(' OR '.join(f'{k} IS NULL' for k in d.key))} AS null_key_rows, " + " + ".join(n(f"{c} IS NULL") for c in d.targets) + " AS null_targets, " + " + ".join(n(f"{c} NOT IN (0, 1)" if d.binary else f"{c} < 0") for c in d.targets) + f""" AS invalid_targets,
+        {n(f"{d.split_column} > DATE '2026-07-31' OR {d.split_column} IS NULL")} AS rows_outside_splits, (SELECT count(*) FROM {d.view}) AS source_rows, (SELECT CAST(coalesce(sum(k), 0) AS BIGINT) FROM (SELECT count(*) AS k FROM {d.view}{count_where_text(d)} GROUP BY {', '.join(d.key)} HAVING count(*) > 1)) AS duplicate_key_rows,
+        (SELECT count(*) FROM (SELECT predictor FROM {columns_text(d, not_predictors(d), 'INCLUDE NULLS')} GROUP BY predictor HAVING count(DISTINCT x) <= 1)) AS constant_predictors FROM {d.view}{count_where_text(d)}"""),
+    "fp_split_conservation": union_text(lambda d: f"SELECT '{d.name}' AS dataset, count(*) AS eligible_rows, {n(f"{d.split_column} <= DATE '2026-07-31'")} AS split_rows, CAST(0 AS BIGINT) AS rows_out_of_bounds, count(*) = {n(f"{d.split_column} <= DATE '2026-07-31'")} AS conserved FROM {d.view}{count_where_text(d)}"),
+    "artifact_metadata_all": union_text(lambda d: f"SELECT '{d.name}' AS dataset, p.*, {width_text(d, f'SELECT * FROM {d.view}')} AS columns, {width_text(d, contract_text(d))} AS predictors FROM ({parts_text(d)}) p"),
+}
+
+
 def registered():
-    for name, text in TEXTS.items():
+    for name, text in (TEXTS | WHOLE).items():
         yield name, globals()[name], text
+    for d in DATASETS:
+        short, rows = SHORT[d.name], f"FROM {d.view}{count_where_text(d)}"
+        yield f"extract_{short}_rows", lambda t, d=d: extracted(t, d), f"SELECT * FROM {d.view}"
+        yield f"fp_split_{short}_rows", lambda t, d=d: whole_split(t, d), f"SELECT *, {cases(d.split_column)} AS split {rows}"
+        yield f"fp_contract_{short}_rows", lambda t, d=d: contract_frame(t, d), contract_text(d)

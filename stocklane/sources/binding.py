@@ -1,6 +1,7 @@
 """The canonical fulfillment tables, derived from the star-schema Parquet tables by integer arithmetic.
 
-Every derivation is a lazy DataFrame; facts keep the raw keys, so nothing needs a global numbering.
+Facts keep the raw keys, so nothing needs a global numbering. Those that models use again and again (``stored``) are
+written once a session to the shared folder, so the raw tables are read once; the others are lazy DataFrames.
 """
 
 from __future__ import annotations
@@ -11,6 +12,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from stocklane.operators import lifecycle
+from stocklane.operators.storage import once
 from stocklane.sources.schemas import CARRIERS, EVENT_SOURCE
 
 START = "TIMESTAMP_NTZ'2025-08-01 00:00:00'"
@@ -29,16 +31,25 @@ def pick(words: tuple[str, ...], index: str) -> Column:
     return F.element_at(F.array(*map(F.lit, words)), F.expr(f"CAST({index} AS INT) + 1"))
 
 
+def stored(build):
+    """A table of ``Tables`` that is written once for a session and folder."""
+    name = build.__name__.strip("_")
+    return property(lambda self: once(self.spark, f"{self.variant}:{self.sf_dir}", name, lambda: build(self)))
+
+
 class Tables:
     """Canonical tables by name, each built once for a session and folder."""
 
+    #: Names another derivation of the same tables.
+    variant = "plain"
+
     def __init__(self, spark: SparkSession, sf_dir: str):
         self.spark, self.sf_dir = spark, sf_dir
 
     def raw(self, name: str) -> DataFrame:
         return self.spark.read.parquet(f"{self.sf_dir}/{name}.parquet")
 
-    @cached_property
+    @stored
     def _parts(self) -> DataFrame:
         """Part rows with their category and product number. Categories are few and numbered by name."""
         kinds = self.product_categories.select(F.col("category_name").alias("p_type"), "category_id")
@@ -50,7 +61,7 @@ class Tables:
         kinds = self.raw("part").agg(F.array_sort(F.collect_set("p_type")).alias("names"))
         return kinds.select(F.posexplode("names").alias("at", "category_name")).select((F.col("at") + 1).cast("int").alias("category_id"), "category_name")
 
-    @cached_property
+    @stored
     def products(self) -> DataFrame:
         one = self._parts.groupBy("product_id", "category_id").agg(F.max("p_retailprice").alias("price"), F.max("p_size").alias("size"), F.min("p_name").alias("product_name"))
         one = one.withColumn("price", F.expr("CAST(round(price * 100) AS BIGINT)"))
@@ -77,14 +88,14 @@ class Tables:
     def customers(self) -> DataFrame:
         return self._located.select(F.col("c_custkey").alias("customer_id"), F.format_string("CUS-%08d", "c_custkey").alias("customer_external_id"), F.col("n_name").alias("country_code"), F.col("r_name").alias("region"), F.expr(START).alias("created_at"))
 
-    @cached_property
+    @stored
     def order_items(self) -> DataFrame:
         prices = self.products.select("product_id", "unit_price")
         lines = self.raw("lineitem").join(self._parts.select(F.col("p_partkey").alias("l_partkey"), "product_id"), "l_partkey")
         one = lines.groupBy(F.col("l_orderkey").alias("order_id"), "product_id").agg(F.sum(F.expr("1 + l_linenumber % 4")).cast("int").alias("quantity"))
         return one.join(F.broadcast(prices), "product_id").select(F.expr("order_id * 1000 + product_id").alias("order_item_id"), "order_id", "product_id", "quantity", "unit_price")
 
-    @cached_property
+    @stored
     def _order_base(self) -> DataFrame:
         """Orders that have items, without their totals."""
         k = "o_orderkey"
@@ -100,7 +111,7 @@ class Tables:
             after("order_ts", "CASE shipping_method WHEN 'same_day' THEN 12 WHEN 'express' THEN 72 ELSE 144 END", "HOUR").alias("promised_delivery_ts"), F.col("order_ts").alias("created_at"),
         )
 
-    @cached_property
+    @stored
     def orders(self) -> DataFrame:
         totals = lifecycle.order_totals(self._order_base, self.order_items)
         return totals.select(*[c for c in self._order_base.columns if c != "created_at"], "total_amount", "created_at")
@@ -122,11 +133,11 @@ class Tables:
         shipped = self.shipments.select("order_id", F.col("created_at").alias("shipment_created_ts"), F.col("shipped_at").alias("order_shipped_ts"), "delivered_at", "expected_delivery_at", "shipment_status")
         return lifecycle.milestones(self._order_base.join(shipped, "order_id", "left"))
 
-    @cached_property
+    @stored
     def order_events(self) -> DataFrame:
         return lifecycle.order_events(self._timed, EVENT_SOURCE)
 
-    @cached_property
+    @stored
     def _positions(self) -> DataFrame:
         """Stocked positions with the units that non-cancelled orders asked for."""
         sold = self.order_items.join(self._order_base.select("order_id", "warehouse_id", "order_status"), "order_id")
@@ -139,7 +150,7 @@ class Tables:
             F.expr("CAST(20 + product_id % 80 AS INT)").alias("reorder_point"), F.expr(START).alias("updated_at"),
         )
 
-    @cached_property
+    @stored
     def inventory_movements(self) -> DataFrame:
         """Opening receipts, monthly receipts that follow demand, and the movements of order lines."""
         opening = lifecycle.opening_receipts(self.inventory, F.expr(START))
