@@ -34,14 +34,16 @@ def pick(words: tuple[str, ...], index: str) -> Column:
 def stored(build):
     """A table of ``Tables`` that is written once for a session and folder."""
     name = build.__name__.strip("_")
-    return property(lambda self: once(self.spark, f"{self.variant}:{self.sf_dir}", name, lambda: build(self)))
+    return property(lambda self: once(self.spark, f"{self.variant if name in self.changed else 'plain'}:{self.sf_dir}", name, lambda: build(self)))
 
 
 class Tables:
     """Canonical tables by name, each built once for a session and folder."""
 
-    #: Names another derivation of the same tables.
-    variant = "plain"
+    #: The name of another derivation, and which of the stored tables it changes.
+    variant, changed = "plain", ()
+    #: Twelfths of a month's sales that come in each month, tenfold.
+    restock = "5 + product_id % 10"
 
     def __init__(self, spark: SparkSession, sf_dir: str):
         self.spark, self.sf_dir = spark, sf_dir
@@ -154,7 +156,7 @@ class Tables:
     def inventory_movements(self) -> DataFrame:
         """Opening receipts, monthly receipts that follow demand, and the movements of order lines."""
         opening = lifecycle.opening_receipts(self.inventory, F.expr(START))
-        monthly = self._positions.withColumn("quantity_change", F.expr("CAST(sold * (5 + product_id % 10) DIV 120 AS INT)")).where("quantity_change > 0")
+        monthly = self._positions.withColumn("quantity_change", F.expr(f"CAST(sold * ({self.restock}) DIV 120 AS INT)")).where("quantity_change > 0")
         monthly = monthly.select("*", F.explode(F.sequence(F.lit(1), F.lit(11))).alias("month")).select(
             F.expr("month * 10000 + warehouse_id * 1000 + product_id").alias("movement_id"), "warehouse_id", "product_id", F.lit(None).cast("bigint").alias("order_id"), F.lit("receipt").alias("movement_type"),
             "quantity_change", after("add_months(DATE'2025-08-01', month)", "0").alias("event_ts"),
