@@ -2,6 +2,7 @@ from __future__ import annotations
 
 import glob
 import os
+from datetime import datetime
 from decimal import Decimal
 
 import duckdb
@@ -11,6 +12,8 @@ from pyspark.sql import functions as F
 import __spark_entry__
 from stocklane.operators import quality, series
 from stocklane.plans import features, registry
+from stocklane.sources import files
+from stocklane.sources.binding import Tables
 from stocklane.sources.schemas import SCHEMAS
 
 SF = "/root/testdata/sf0.001"
@@ -108,3 +111,75 @@ def test_build_refuses_bad_rows(spark):
     for bad in (good.limit(0), good.drop("is_late_delivery"), good.unionByName(good), good.withColumn("is_late_delivery", F.lit(2))):
         with pytest.raises(ValueError):
             features.validated(bad, d)
+
+
+ELSEWHERE = ("m3_v7_status_mix_scarce", "m5_v7_band_mix_scarce", "plan_replenishment_scarce", "dq_report_damaged", "m1_v3_integrity_damaged", "a5_event_audit_damaged", "a6_audit_damaged", "fp_validation_counts", "fp_split_conservation", "dq_unique_declared", "dq_rate_drift")
+
+
+@pytest.mark.parametrize("name", ELSEWHERE)
+def test_more_queries_equal_their_oracle(spark, con, name):
+    got = cells(registry.QUERIES[name](spark, SF).toArrow())
+    assert got == cells(con.sql(registry.ORACLES[name]).to_arrow_table()) and got[1]
+
+
+def test_every_branch_occurs_on_scarce_stock(spark):
+    rows = lambda name: registry.QUERIES[name](spark, SF).collect()
+    assert {r.stock_status for r in rows("m3_v7_status_mix_scarce")} == {"STOCKOUT", "CRITICAL", "LOW", "HEALTHY"}
+    assert {r.risk_band for r in rows("m5_v7_band_mix_scarce")} == {"STOCKOUT", "CRITICAL", "HIGH", "MEDIUM", "LOW", "WARMUP", "UNKNOWN"}
+    mix = rows("m5_v6_target_mix_scarce")[0]
+    assert 0 < mix.stockout_positive_rows < mix.reorder_positive_rows < mix.eligible_rows
+
+
+def test_damage_is_counted(spark):
+    """Counts that follow from the damage alone, worked out from the sound tables' keys."""
+    sound = Tables(spark, SF)
+    keys = lambda name, c: [r[0] for r in sound.named(name).select(c).collect()]
+    found = {(r.table, r.check): r.violations for r in registry.QUERIES["dq_report_damaged"](spark, SF).collect()}
+    events = [k for k in keys("order_events", "event_id") if k % 73]
+    events += [k for k in events if k % 71 == 0]
+    assert found["order_events", "source"] == sum(k % 43 == 0 for k in events) > 0
+    assert found["order_events", "domain:event_type"] == sum(k % 41 == 0 for k in events) > 0
+    moves = keys("inventory_movements", "movement_id")
+    assert found["inventory_movements", "quantity_not_zero"] == sum(k % 43 == 0 and k % 41 != 0 for k in moves) > 0
+    assert found["inventory_movements", "domain:movement_type"] == sum(k % 47 == 0 for k in moves) > 0
+    orders = keys("orders", "order_id")
+    assert found["orders", "not_null:customer_id"] == sum(k % 127 == 0 and k % 113 != 0 for k in orders) > 0
+    assert found["orders", "promised_after_order"] == sum(k % 101 == 0 for k in orders) > 0
+    broken = {check for (_, check), n in found.items() if n}
+    assert len(broken) >= 60 and {"line_units:reservation", "order_total", "known_path", "chronological", "never_negative", "one_created_event"} <= broken
+
+
+def test_publication_is_all_or_nothing(spark, tmp_path):
+    tables = {name: spark.range(n).toDF(name) for name, n in (("a", 3), ("b", 2))}
+    spark.range(1).write.parquet(f"{tmp_path}/b")
+    with pytest.raises(ValueError, match="already holds b"):
+        files.publish(tables, str(tmp_path))
+    assert not (tmp_path / "a").exists()
+    assert [(r.table, r.expected, r.passed) for r in files.publish(tables, str(tmp_path), replace=True).collect()] == [("a", 3, True), ("b", 2, True)]
+
+
+def test_feature_files_are_checked_after_the_write(spark):
+    d = features.DATASETS[1]
+    back = features.written(features.split(Tables(spark, SF), d), d)
+    assert back.columns[-1] == "split" and back.count() == features.source(Tables(spark, SF), d).count()
+    with pytest.raises(ValueError, match="missing"):
+        features.required(spark.range(1), d)
+
+
+def test_replay_refuses_unknown_moves():
+    import pyarrow as pa
+
+    def batch(kind, point):
+        return pa.RecordBatch.from_arrays([pa.array([x]) for x in (1, 2, 3, kind, -5, datetime(2025, 9, 1), point)], names=[str(k) for k in range(7)])
+
+    assert next(features.replay([batch("shipment", 40)])).to_pylist()[0]["quantity_change"] == 80
+    for kind, point, said in (("return", 40, "type return"), ("shipment", None, "without inventory")):
+        with pytest.raises(ValueError, match=said):
+            next(features.replay([batch(kind, point)]))
+
+
+def test_raw_tables_are_read_once_for_all_models(spark):
+    """Models read the canonical tables that the session has written, not the raw line items again."""
+    plan = lambda name: registry.QUERIES[name](spark, SF)._jdf.queryExecution().optimizedPlan().toString()
+    for name in ("m3_warehouse_product_daily", "m5_risk_features", "a1_executive_kpis", "dq_report"):
+        assert "l_orderkey" not in plan(name)
