@@ -18,16 +18,19 @@ def query(f):
 
 @query
 def op3_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document against every benchmark item: windows of ten words; null and empty texts are clean."""
     return decontaminate.report(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
 
 
 @query
 def op5_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Secrets in every whole text, base kinds and confirmed ones; null and empty texts have none."""
     return secrets.report(table(spark, sf_dir, "documents"))
 
 
 @query
 def op10_piece_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Ids of every whole text and the text they decode to, as digests; null and empty texts are the end id."""
     return piece_bpe.report(table(spark, sf_dir, "documents"), tokenizer_path())
 
 
@@ -39,11 +42,13 @@ def tokenizer_path() -> str:
 
 @query
 def op4_html_text(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The main text of every page; null and empty html give an empty one."""
     return html_text.extract(table(spark, sf_dir, "pages"))
 
 
 @query
 def op1_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All conversations and one more, formatted and read back; null roles and texts are empty."""
     said = "\\### Assistant: </turn> ok"
     extra = spark.createDataFrame([(-7, [("user", said), ("assistant", said)])], "conv_id bigint, messages array<struct<role:string,content:string>>")
     return chat.report(table(spark, sf_dir, "conversations"), extra)
@@ -51,6 +56,7 @@ def op1_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query
 def op2_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The five best candidates of every fiftieth vector among all usable ones; ties go to the smaller id."""
     vectors = topk.integer_vectors(table(spark, sf_dir, "embeddings"))
     return topk.search(vectors, vectors.where("vec_id % 50 = 0"))
 
@@ -72,20 +78,24 @@ FROM scored QUALIFY rank <= 5
 
 @query
 def op6_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A score for every whole text, learned from two thirds of the labels; null and empty texts get the base score."""
     documents = table(spark, sf_dir, "documents")
     return toxicity.score(documents, toxicity.train(documents, table(spark, sf_dir, "labels")))
 
 
 @query
 def op8_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A score for every document from its text and metadata; null and empty texts have zero features."""
     return quality.report(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
 
 @query
 def op7_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document's set size and component at three words and 90 hundredths; empty sets stay alone."""
     return jaccard_join.join(table(spark, sf_dir, "documents"))
 
 
 @query
 def op9_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document without its repeated lines, and how many went; null and empty texts stay."""
     return line_dedup.report(table(spark, sf_dir, "documents"))

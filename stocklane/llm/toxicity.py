@@ -2,8 +2,8 @@
 
 Terms of a text are its distinct lower-cased words and their beginnings of 4, 5 and 6 letters, hashed to
 ``2**BITS`` buckets. A bounded sample of the labelled training rows (``sample`` rows in expectation, both classes in
-equal parts, weighted back to their shares) tells which buckets carry signal (likelihood ratio) and trains
-a factorization machine on them: a bias, a linear weight a bucket and ``factors`` latent numbers a bucket, whose
+equal parts, weighted back to their shares) tells which buckets carry signal (the ``active`` largest likelihood ratios, from
+``least_ratio``; counted in tasks) and trains a factorization machine on them: a bias, a linear weight a bucket and ``factors`` latent numbers a bucket, whose
 inner products are the pairwise interactions that additive weights miss, such as insult with group mention.
 Every document is then scored by its whole text; scoring reads neither labels nor any other column.
 
@@ -11,7 +11,8 @@ Training rows are the labelled documents whose crc32(doc_id as text) mod 3 is no
 
 Defined results: null and empty texts have no terms and get the bias' score; a null doc_id counts as the empty
 text in the fold; of several labels of a document the largest counts, null labels none; a single-class
-or empty training set gives every text the smoothed share of positives; repeated rows are scored one by one.
+or empty training set gives every text the smoothed share of positives; a very long text is scored whole, as one slice; an
+empty table gives no rows; repeated rows are scored one by one; further columns play no part.
 """
 
 from __future__ import annotations
@@ -24,7 +25,7 @@ import numpy as np
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from stocklane.llm.common import batches
+from stocklane.llm.common import batches, materialize
 
 BITS = 20
 WORD = re.compile(r"[^\W_]+")
@@ -85,7 +86,9 @@ def train(documents: DataFrame, labels: DataFrame, *, id_col: str = "doc_id", te
         return {"y": batch.column(1), "weight": batch.column(2), "terms": [sorted(set().union(*map(terms, words_of(t)))) for t in batch.column(0).to_pylist()]}
 
     rows = documents.select(id_col, text_col).join(F.broadcast(chosen), id_col).select(text_col, "y", "weight")
-    got = batches(rows, step, "y int, weight double, terms array<int>").toArrow()
+    found = materialize(batches(rows, step, "y int, weight double, terms array<int>"), "terms")
+    best = [r["bucket"] for r in telling(found, active, least_ratio).collect()]  # ``active`` at most
+    got = found.select("y", "weight", F.array_intersect("terms", F.array(*map(F.lit, best)).cast("array<int>")).alias("terms")).toArrow()
     y = np.asarray(got["y"].combine_chunks(), np.float64)
     weight = np.asarray(got["weight"].combine_chunks(), np.float64)
     listed = got["terms"].combine_chunks()
@@ -93,6 +96,17 @@ def train(documents: DataFrame, labels: DataFrame, *, id_col: str = "doc_id", te
     return fit(y, np.where(y == 1, recall_weight * weight, weight), sizes, np.asarray(listed.flatten(), np.int64), active, least_ratio, factors, rounds)
 
 
+def telling(rows: DataFrame, active: int, least_ratio: float) -> DataFrame:
+    """The ``active`` buckets with the largest likelihood ratio among rows (y, terms), counted in tasks: what the driver then
+    gathers has no more than that many numbers a row, however long the texts are."""
+    n, n1 = rows.agg(F.count(F.lit(1)), F.coalesce(F.sum("y"), F.lit(0))).first()
+    seen = rows.select("y", F.explode("terms").alias("bucket")).groupBy("bucket").agg(F.count(F.lit(1)).alias("k"), F.sum("y").alias("k1"))
+    part = lambda cell, row, column: F.when(cell > 0, cell * F.log(cell * F.lit(float(n)) / (row * column))).otherwise(0.0)
+    k, k1, rest, rest1 = F.col("k"), F.col("k1"), F.lit(n) - F.col("k"), F.lit(n1) - F.col("k1")
+    ratio = 2 * (part(k1, k, F.lit(n1)) + part(k - k1, k, F.lit(n - n1)) + part(rest1, rest, F.lit(n1)) + part(rest - rest1, rest, F.lit(n - n1)))
+    return seen.select("bucket", ratio.alias("ratio")).where(F.col("ratio") >= 0.999 * least_ratio).orderBy(F.desc("ratio"), "bucket").limit(active)
+
+
 def likelihood_ratio(y: np.ndarray, doc: np.ndarray, bucket: np.ndarray) -> np.ndarray:
     """G squared of each bucket against the class, from document counts."""
     n, n1 = len(y), y.sum()
