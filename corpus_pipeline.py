@@ -2,6 +2,12 @@
 
 Each stage takes (spark, docs, sf_dir) and returns a DataFrame; ``run`` writes every stage's result as Parquet to the
 shared folder and rereads it as the next stage's input. All but the last return the columns of ``documents``.
+
+Every stage works on whole texts of any length and takes further columns, whatever their names, but returns its own. Null and
+empty texts: the classifier scores them with zero features, they have no lines and no shingles, hold no benchmark window, and
+encode to the end id. Null metadata is a value of its own. Rows with a null id are judged by the classifier and the benchmark
+only. A row repeated under one id loses the same lines and is one document to the n-gram join; another text under the same id
+is a document of its own. Ties go to the smaller id. An empty table passes through empty.
 """
 
 from __future__ import annotations
