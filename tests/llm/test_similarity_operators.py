@@ -3,8 +3,10 @@ from __future__ import annotations
 import random
 
 import numpy as np
+from pyspark.sql import functions as F
 
-from stocklane.llm import jaccard_join, line_dedup, topk
+from stocklane.llm import common, jaccard_join, line_dedup, topk
+from stocklane.llm import components as components_module
 from stocklane.llm.components import components
 
 
@@ -153,3 +155,48 @@ def test_line_sketches_bound_the_symmetric_difference():
 def test_line_dedup_of_lines_with_equal_sets_and_unequal_lengths(spark):
     docs = spark.createDataFrame([(1, "=" * 12), (2, "=" * 40)], "doc_id bigint, text string")
     assert [(r.id, r.gone) for r in line_dedup.dropped_lines(docs).collect()] == [(2, [0])]
+
+
+def test_jaccard_join_of_crowded_keys(spark, monkeypatch):
+    """Keys dealt by size band and chunk lose no link."""
+    monkeypatch.setattr(components_module, "CROWD", 3)
+    texts = near_copies()
+    docs = spark.createDataFrame([(k, t) for k, t in enumerate(texts)], "doc_id bigint, text string")
+    sets = [shingles(t, 3) for t in texts]
+    pairs = [(a, b) for a in range(len(sets)) for b in range(a) if sets[a] and sets[b] and 100 * len(sets[a] & sets[b]) >= 90 * len(sets[a] | sets[b])]
+    want = union(len(texts), pairs)
+    assert {r.doc_id: r.component_id for r in jaccard_join.join(docs).collect()} == dict(enumerate(want))
+
+
+def test_line_dedup_recall_just_above_the_threshold(spark):
+    """Pairs at similarity 0.82 (one letter of a hundred differs)."""
+    rng = random.Random(21)
+    letters = [chr(0x400 + k) for k in range(200)]
+    lines = []
+    for _ in range(300):
+        own = rng.choices(letters, k=100)
+        lines.append("".join(own))
+        own[rng.randrange(20, 80)] = "#"
+        lines.append("".join(own))
+    docs = spark.createDataFrame(list(enumerate(lines)), "doc_id bigint, text string")
+    gone = {r.id for r in line_dedup.dropped_lines(docs).collect()}
+    assert gone <= set(range(1, 600, 2)) and len(gone) >= 0.9 * 300
+
+
+def test_lookup_of_hot_keys(spark):
+    rows = common.materialize(spark.range(9000).selectExpr("IF(id < 5000, 0, id) AS k", "id"), "rows")
+    table = common.materialize(rows.where("k % 3 = 0").groupBy("k").agg(F.count(F.lit(1)).alias("copies")), "table")
+    got = {r.id: r.copies for r in common.lookup(rows, table, ["k"], "copies").collect()}
+    assert got == {k: 5000 if k < 5000 else 1 if k % 3 == 0 else None for k in range(9000)}
+
+
+def test_shared_keys_over_batch_edges(spark):
+    rng = random.Random(1)
+    rows = [(rng.randrange(40), rng.randrange(60)) for _ in range(4000)] + [(100, 7)] * 9 + [(101, 1), (101, 2), (101, 2)]
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "7")
+    try:
+        got = [tuple(r) for r in components_module.shared_keys(spark.createDataFrame(rows, "key bigint, node bigint")).collect()]
+    finally:
+        spark.conf.unset("spark.sql.execution.arrow.maxRecordsPerBatch")
+    nodes = {k: {n for q, n in rows if q == k} for k, _ in rows}
+    assert sorted(got) == sorted((k, n, min(own)) for k, own in nodes.items() if len(own) > 1 for n in own)
