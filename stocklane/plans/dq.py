@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from stocklane.functions.columns import count_where, percent, ratio, rounded
 from stocklane.operators import quality as q
 from stocklane.operators.series import so_far
+from stocklane.operators.storage import materialize
 from stocklane.plans.oracle.binding import div, n, pct, r
 from stocklane.sources.binding import Tables
 from stocklane.sources.schemas import CARRIERS, EVENT_SOURCE, EVENT_TYPES, MOVEMENT_TYPES, ORDER_STATUSES, SHIPMENT_STATUSES, SHIPPING_METHODS
@@ -176,6 +177,8 @@ def dq_ledger_replay(t):
     })
     run = so_far(["warehouse_id", "product_id"], ["event_ts", "movement_id"])
     m = m.withColumns({"hand_after": F.sum("hand").over(run), "held_after": F.sum("held").over(run)}).withColumns({"hand_before": F.expr("hand_after - hand"), "held_before": F.expr("held_after - held")})
+    # Written once: the steps and the final states read the same windows.
+    m = materialize(m.select("warehouse_id", "product_id", "movement_id", "movement_type", "quantity_change", "event_ts", "hand_before", "hand_after", "held_before", "held_after"), "ledger")
     size = "abs(quantity_change)"
     steps = q.violations(m, "inventory_movements", {
         "reservation_within_available": f"movement_type = 'reservation' AND hand_before - held_before < {size}", "release_within_reserved": f"movement_type = 'release' AND held_before < {size}",
