@@ -29,8 +29,6 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-TURNS = "conv_id bigint, turn bigint, role string, text string"
-
 
 def paths(kind: T.DataType, prefix: str = "") -> set[str]:
     """The nested field paths of a type; ``[]`` stands for array elements, ``{}`` for map values."""

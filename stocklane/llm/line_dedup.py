@@ -31,7 +31,7 @@ from pyspark.sql import functions as F
 
 from stocklane.llm.common import batches, lookup, materialize
 from stocklane.llm.components import CROWD, Linker, distinct_groups, shared_keys
-from stocklane.llm.jaccard_join import links, matching, prefix_length
+from stocklane.llm.jaccard_join import matching, prefix_length
 
 WIDTH = 9
 BANDS, PER_BAND = 6, 4
