@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from stocklane.functions.columns import count_where, percent, ratio, rounded
@@ -10,7 +10,6 @@ from stocklane.operators import quality as q
 from stocklane.operators.series import so_far
 from stocklane.operators.storage import materialize
 from stocklane.plans.oracle.binding import div, n, pct, r
-from stocklane.sources.binding import Tables
 from stocklane.sources.schemas import CARRIERS, EVENT_SOURCE, EVENT_TYPES, MOVEMENT_TYPES, ORDER_STATUSES, SHIPMENT_STATUSES, SHIPPING_METHODS
 
 START = "TIMESTAMP_NTZ'2025-08-01 00:00:00'"
