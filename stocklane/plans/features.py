@@ -327,16 +327,14 @@ def replay(parts):
     reserved stock moves on. Only the running position's two balances are held, however many moves it has. A move of another
     type or of an unknown position is an error."""
     import pandas as pd
-    import pyarrow as pa
 
-    names = ("warehouse_id", "product_id", "before_movement_id", "quantity_change", "event_ts")
-    kinds = (pa.int32(), pa.int64(), pa.int64(), pa.int64(), pa.timestamp("us"))
+    read = ("warehouse_id", "product_id", "movement_id", "movement_type", "quantity_change", "event_ts", "reorder_point")
     first = pd.Timestamp(FIRST_REPLENISHMENT)
     position, hand, held = None, 0, 0
     for batch in parts:
         out = []
-        for place, product, movement, kind, change, at, point in zip(*(batch.column(k).to_pylist() for k in range(7)), strict=True):
-            if point is None:
+        for place, product, movement, kind, change, at, point in zip(*(batch[c].tolist() for c in read), strict=True):
+            if pd.isna(point):
                 raise ValueError(f"movement {movement} is of a position without inventory")
             if position != (place, product):
                 position, hand, held = (place, product), 0, 0
@@ -350,14 +348,14 @@ def replay(parts):
             elif kind in ("reservation", "shipment"):
                 short = size - (hand - held if kind == "reservation" else hand)
                 if short > 0:
-                    amount = max(short, 2 * point, LEAST_REPLENISHMENT)
+                    amount = max(short, 2 * int(point), LEAST_REPLENISHMENT)
                     hand += amount
-                    out.append((place, product, movement, amount, max(first, pd.Timestamp(at) - pd.Timedelta(seconds=1))))
+                    out.append((place, product, movement, amount, max(first, at - pd.Timedelta(seconds=1))))
                 hand, held = (hand, held + size) if kind == "reservation" else (hand - size, max(0, held - size))
             else:
                 raise ValueError(f"movement {movement} has the type {kind}")
         if out:
-            yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*out, strict=True), kinds, strict=True)], names=list(names))
+            yield pd.DataFrame(out, columns=["warehouse_id", "product_id", "before_movement_id", "quantity_change", "event_ts"])
 
 
 def plan_replenishment(t):
@@ -366,7 +364,7 @@ def plan_replenishment(t):
     points = t.inventory.select("warehouse_id", "product_id", "reorder_point")
     moves = moves.join(points, ["warehouse_id", "product_id"], "left").select("warehouse_id", "product_id", "movement_id", "movement_type", "quantity_change", "event_ts", "reorder_point")
     dealt = moves.repartition("warehouse_id", "product_id").sortWithinPartitions("warehouse_id", "product_id", "event_ts", "movement_id")
-    return dealt.mapInArrow(replay, "warehouse_id int, product_id bigint, before_movement_id bigint, quantity_change bigint, event_ts timestamp_ntz")
+    return dealt.mapInPandas(replay, "warehouse_id int, product_id bigint, before_movement_id bigint, quantity_change bigint, event_ts timestamp_ntz")
 
 
 # Every dataset, whole rows.
