@@ -117,6 +117,7 @@ def batches(frame: DataFrame, step, schema: str) -> DataFrame:
                     [pa.array(out[f.name], type=f.type) if not isinstance(out[f.name], (pa.Array, pa.ChunkedArray)) else _flat(out[f.name], f.type) for f in arrow],
                     schema=arrow,
                 )
+        pa.default_memory_pool().release_unused()  # a worker that waits for its next task holds nothing of the last
 
     return frame.mapInArrow(run, fields)
 

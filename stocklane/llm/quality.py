@@ -23,10 +23,11 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from stocklane.llm.common import batches, fresh, materialize
+from stocklane.llm.common import ROWS, batches, fresh, materialize
 from stocklane.llm.toxicity import balanced_sample, squash
 
 #: Bytes by kind, to count them by deletion.
@@ -190,7 +191,7 @@ def stored_views(batch: pa.RecordBatch) -> tuple[np.ndarray, np.ndarray]:
     """Both views of rows (text_view, meta_view) as matrices."""
     text, meta = batch.column(0), batch.column(1)
     hot = np.zeros((batch.num_rows, META))
-    hot[np.repeat(np.arange(batch.num_rows), np.diff(np.asarray(meta.offsets))), np.asarray(meta.flatten())] = 1.0
+    hot[np.repeat(np.arange(batch.num_rows), np.asarray(pc.list_value_length(meta))), np.asarray(meta.flatten())] = 1.0
     return squares(np.asarray(text.flatten(), dtype=float).reshape(-1, TEXT)), hot
 
 
@@ -204,8 +205,8 @@ def summed(rows: DataFrame):
 
         def run(parts):
             (told, own), sums = shared.value, [np.zeros((n + 2, n)) for n in sides]
-            for batch in parts:
-                views = stored_views(batch)
+            for part in (batch.slice(at, ROWS) for batch in parts for at in range(0, batch.num_rows, ROWS)):
+                views = stored_views(part)
                 good = [squash(a * m.margin(x) + b) for (m, (a, b)), x in zip(told, views, strict=True)]
                 for v in (0, 1):  # the text view learns from the metadata view's labels and the other way round
                     for c, picked in enumerate((good[1 - v] <= 1 - sure, good[1 - v] >= sure)):
