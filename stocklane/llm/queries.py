@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from stocklane.llm import chat, decontaminate, html_text, jaccard_join, line_dedup, piece_bpe, quality, secrets, topk, toxicity
+from stocklane.llm import chat, collocations, decontaminate, html_text, jaccard_join, line_dedup, mixing, piece_bpe, prefix_tree, quality, secrets, topk, toxicity
 from stocklane.llm.common import table
 
 QUERIES: dict = {}
@@ -99,3 +99,30 @@ def op7_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op9_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every document without its repeated lines, and how many went; null and empty texts stay."""
     return line_dedup.report(table(spark, sf_dir, "documents"))
+
+
+@query
+def op11_collocations(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Each lang's first 2000 phrases of two to five words that occur a hundred times or more."""
+    return collocations.mine(table(spark, sf_dir, "documents"))
+
+
+ORACLES["op11_collocations"] = collocations.oracle()
+
+
+@query
+def op12_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document's share in the mix of all sources by weights 1, 2, 3; null texts have size 0."""
+    return mixing.report(table(spark, sf_dir, "documents"))
+
+
+ORACLES["op12_mixing"] = mixing.ORACLE
+
+
+@query
+def op13_prefix_tree(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every node of the trie of rebuilt conversations; null roles and texts are empty."""
+    return prefix_tree.report(table(spark, sf_dir, "conversations"))
+
+
+ORACLES["op13_prefix_tree"] = prefix_tree.ORACLE
