@@ -4,7 +4,8 @@ Trimmed lines of at least ``min_chars`` characters, runs of blanks in them as on
 (``width`` code points, ASCII letters lower-cased; a shorter line is one shingle). Signatures of ``bands * rows`` minima,
 vectorised over a batch, are cut into bands; lines that share a band are candidates, verified by the exact Jaccard
 similarity of their shingle sets (``percent`` hundredths or more). Links become components by distributed
-union-find, and of each component the line that comes first (by document id, then line number) stays.
+union-find, and of each component the line that comes first (by document id, then line number) stays. Several texts under
+one id are documents of their own, told apart by ``text_key`` and ordered by it.
 
 Every two lines of a band are verified, ruled out by an exact necessary condition or already in one component. Best pivots
 and delegates of each band come first, then all pairs of a band that are left in different components. Before lines are
@@ -26,10 +27,10 @@ from __future__ import annotations
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from stocklane.llm.common import batches, lookup, materialize
+from stocklane.llm.common import batches, fresh, lookup, materialize
 from stocklane.llm.components import CROWD, Linker, distinct_groups, shared_keys
 from stocklane.llm.jaccard_join import matching, prefix_length
 
@@ -186,6 +187,11 @@ def jaccard_links(pairs, percent: int, width: int):
             yield a, b
 
 
+def text_key(text: str | Column) -> Column:
+    """A digest that, with its id, names a document."""
+    return F.xxhash64(F.coalesce(text, F.lit("")))
+
+
 def portions(lines: list[str]):
     """Lists of lines of a bounded number of characters in all."""
     held, size = [], 0
@@ -200,25 +206,25 @@ def portions(lines: list[str]):
 
 
 def dropped_lines(documents: DataFrame, *, width: int = WIDTH, bands: int = BANDS, per_band: int = PER_BAND, percent: int = 80, min_chars: int = MIN_CHARS, crowd: int = CROWD, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """``id``, ``gone``: the numbers of the lines that each document loses; documents that lose none are absent."""
-    base = documents.where(F.col(id_col).isNotNull()).select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text"))
+    """``id``, ``mark`` (``text_key``), ``gone``: the numbers of the lines that each document loses; documents that lose none are absent."""
+    base = documents.where(F.col(id_col).isNotNull()).select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text"), text_key(text_col).alias("mark"))
     full, labels = labelled_lines(base, width, bands, per_band, percent, min_chars, crowd)
 
     def occurrences(batch):
-        found = [(i, k, *name(line)) for i, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True) for k, line in eligible(text, min_chars)]
-        return dict(zip(("id", "number", "node", "check"), zip(*found, strict=True) if found else ([],) * 4, strict=True))
+        found = [(i, mark, k, *name(line)) for i, text, mark in zip(*(batch.column(c).to_pylist() for c in range(3)), strict=True) for k, line in eligible(text, min_chars)]
+        return dict(zip(("id", "mark", "number", "node", "check"), zip(*found, strict=True) if found else ([],) * 5, strict=True))
 
-    rows = materialize(batches(base, occurrences, "id bigint, number int, node bigint, check bigint"), "occurrences")
+    rows = materialize(batches(base, occurrences, "id bigint, mark bigint, number int, node bigint, check bigint"), "occurrences")
     # Equal lines first, so neither a line nor a component that a third of all rows hold meets in one task.
-    lines = rows.groupBy("node", "check").agg(F.min(F.struct("id", "number")).alias("first"), F.count(F.lit(1)).alias("copies"))
+    lines = rows.groupBy("node", "check").agg(F.min(F.struct("id", "mark", "number")).alias("first"), F.count(F.lit(1)).alias("copies"))
     known = full.select("node", "check").join(labels, "node")
     placed = materialize(lines.join(known, ["node", "check"], "left"), "placed")
     linked, alone = placed.where("component IS NOT NULL"), placed.where("component IS NULL AND copies > 1")
     tops = linked.groupBy("component").agg(F.min("first").alias("top"))
     several = linked.join(tops, "component").select("node", "check", "top", "copies").unionByName(alone.select("node", "check", F.col("first").alias("top"), "copies"))
     met = lookup(rows, materialize(several, "several"), ["node", "check"], "copies")
-    gone = met.where("top IS NOT NULL AND (id <> top.id OR number <> top.number)")
-    return gone.groupBy("id").agg(F.array_sort(F.collect_set("number")).alias("gone"))
+    gone = met.where("top IS NOT NULL AND (id <> top.id OR mark <> top.mark OR number <> top.number)")
+    return gone.groupBy("id", "mark").agg(F.array_sort(F.collect_set("number")).alias("gone"))
 
 
 def labelled_lines(base: DataFrame, width: int, bands: int, per_band: int, percent: int, min_chars: int, crowd: int) -> tuple[DataFrame, DataFrame]:
@@ -316,12 +322,14 @@ def rare_shingles(lines: DataFrame, width: int, percent: int) -> DataFrame:
 def dedup(documents: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", **options) -> DataFrame:
     """``documents`` with their texts shortened, plus ``gone``, the numbers of the lines they lost (null: none)."""
     kept = documents.select(*[F.col(f"`{c}`") for c in documents.columns if c != "gone"])
-    gone = materialize(dropped_lines(documents, id_col=id_col, text_col=text_col, **options).withColumnRenamed("id", id_col), "gone")
+    own = fresh(kept, "_mark")
+    gone = materialize(dropped_lines(documents, id_col=id_col, text_col=text_col, **options).withColumnsRenamed({"id": id_col, "mark": own}), "gone")
     split = F.transform(F.split(text_col, "\n", -1), lambda line, k: F.struct(line.alias("line"), k.alias("k")))
     left = F.transform(F.filter(split, lambda x: ~F.array_contains("gone", x.k)), lambda x: x.line)
     # Shuffling every text is the way for a large table of dropped lines; a small one (checked) is broadcast.
-    count = gone.agg(F.coalesce(F.sum(F.size("gone") + 4), F.lit(0))).first()[0]
-    joined = kept.join(F.broadcast(gone) if count <= SMALL else gone, id_col, "left").withColumn(text_col, F.when(F.col("gone").isNull(), F.col(text_col)).otherwise(F.array_join(left, "\n")))
+    count = gone.agg(F.coalesce(F.sum(F.size("gone") + 6), F.lit(0))).first()[0]
+    marked = kept.withColumn(own, text_key(text_col))
+    joined = marked.join(F.broadcast(gone) if count <= SMALL else gone, [id_col, own], "left").withColumn(text_col, F.when(F.col("gone").isNull(), F.col(text_col)).otherwise(F.array_join(left, "\n")))
     return joined.select(*kept.columns, "gone")
 
 

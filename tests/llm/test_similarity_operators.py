@@ -152,6 +152,25 @@ def test_line_sketches_bound_the_symmetric_difference():
             assert np.unpackbits((words[a] ^ words[b]).view(np.uint8)).sum() <= len(grams[a] ^ grams[b])
 
 
+def test_line_dedup_of_several_texts_under_one_id(spark):
+    """Of equal lines the first stays, by id, digest of the text and number; a text loses no line that stands nowhere before."""
+    a, b, c, d = "first line of them all", "another line, quite long", "something else entirely", "a last one without a twin"
+    rows = [(1, a), (5, a), (5, f"{b}\n{c}"), (5, f"{c}\n{d}"), (5, f"{c}\n{d}"), (7, None), (7, ""), (7, f"{d}\n{d}"), (None, a), (8, b)]
+    docs = spark.createDataFrame([(i, x, k) for k, (i, x) in enumerate(rows)], "doc_id long, text string, mark long")
+    key = {r.text: r.k for r in docs.select("text", line_dedup.text_key("text").alias("k")).collect()}
+    seen, lost = set(), {}
+    for i, x in sorted({(i, x) for i, x in rows if i is not None and x}, key=lambda r: (r[0], key[r[1]])):
+        for k, line in enumerate(x.split("\n")):
+            if line in seen:
+                lost.setdefault((i, x), set()).add(k)
+            seen.add(line)
+    want = [(i, x if x is None else "\n".join(line for k, line in enumerate(x.split("\n")) if k not in lost.get((i, x), ())), k) for k, (i, x) in enumerate(rows)]
+    got = line_dedup.dedup(docs)
+    assert got.columns == ["doc_id", "text", "mark", "gone"]
+    assert sorted(((r.doc_id, r.text, r.mark) for r in got.collect()), key=lambda r: r[2]) == want
+    assert len(lost) >= 4
+
+
 def test_line_dedup_of_lines_with_equal_sets_and_unequal_lengths(spark):
     docs = spark.createDataFrame([(1, "=" * 12), (2, "=" * 40)], "doc_id bigint, text string")
     assert [(r.id, r.gone) for r in line_dedup.dropped_lines(docs).collect()] == [(2, [0])]
