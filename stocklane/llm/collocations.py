@@ -2,9 +2,10 @@
 
 A sample of rows proposes phrases of one to ``LONGEST - 1`` words at a lowered threshold. A full pass then counts exactly, besides all single
 words, every phrase whose beginning and end (all its words but the last, but the first) are proposed: the proposed phrases and
-their negative border. A phrase that proves frequent but was not proposed is a border failure: it joins the proposals, and a
-further pass counts the phrases that only now have both parts among them, until no failure is left. Then every frequent phrase
-has been counted, for all its parts are frequent, whatever the sample held.
+their negative border. A phrase that proves frequent but was not proposed is a border failure. If there is any, an expansion pass counts
+the phrases that have not been counted and whose beginning and end are each known to be frequent, or not yet counted either and
+so not known to be rare: the border moves through the unknown up to the longest phrases, so this pass closes it. Then every
+frequent phrase has been counted, for all its parts are frequent, whatever the sample held.
 
 Proposals go to tasks as a hash filter of at most ``MOST_BITS`` bits, made by Spark from hashed positions. A false hit only
 makes a phrase counted that need not be, so results do not depend on the filter, and a full one costs time only. Tasks count portions of
@@ -37,7 +38,7 @@ SAMPLE = 1 / 16
 SAMPLE_LEAST = 3
 SEED = 5
 MOST_BITS = 1 << 27
-BYTES = 4_000_000
+BYTES = 1_000_000
 #: A-Z become a-z, the characters that end a piece become line ends, tabs become blanks.
 FOLD = bytes(x + 32 if 65 <= x <= 90 else 32 if x == 9 else 10 if 10 <= x <= 13 or x in b".,;:!?" else x for x in range(256))
 NEXT_WORDS = re.compile(rb"(?:[ \n]*[^ \n]+){0,%d}" % (LONGEST - 1))
@@ -59,9 +60,11 @@ class Words:
         self.piece = np.cumsum(data == 10, dtype=np.int32)[self.first] if self.n else np.zeros(0, np.int32)
         self.starts = np.cumsum(self.sizes + 1) - (self.sizes + 1)
         self.packed = np.full(int(self.sizes.sum()) + self.n, 32, np.uint8)
-        place = np.arange(int(self.sizes.sum())) - np.repeat(np.cumsum(self.sizes) - self.sizes, self.sizes)
+        place = np.arange(int(self.sizes.sum()), dtype=np.int32) - np.repeat((np.cumsum(self.sizes) - self.sizes).astype(np.int32), self.sizes)
         letters = data[inside]
-        self.packed[np.repeat(self.starts, self.sizes) + place] = letters
+        gaps = np.ones(len(self.packed), bool)  # the blank behind each word
+        gaps[self.starts + self.sizes] = False
+        self.packed[gaps] = letters
         if not self.n:
             self.hashes, self.number, self.shown = np.zeros(0, np.uint64), np.zeros(0, np.int64), np.zeros(0, np.int64)
             return
@@ -218,12 +221,12 @@ def filter_size(n: int) -> int:
 
 
 def counts(docs: DataFrame, now: np.ndarray, before: np.ndarray | None, least: int, most: int = BYTES) -> DataFrame:
-    """(lang, phrase, n) of every phrase with both parts in the filter ``now`` but not both in ``before``, frequent ones only.
+    """(lang, phrase, n) of frequent phrases.
 
-    The first pass (no ``before``) also counts single words, and all words of a lang as the empty phrase.
+    The first pass (no ``before``) counts single words, all words of a lang as the empty phrase, and phrases with both parts in the
+    filter ``now``. The expansion pass counts what the first, by the filter ``before``, has not: both parts are in ``now`` or uncounted.
     """
-    sc = docs.sparkSession.sparkContext
-    sent = sc.broadcast((now, before))
+    sent = docs.sparkSession.sparkContext.broadcast((now, before))
 
     def count(parts):
         now, before = sent.value
@@ -235,60 +238,63 @@ def counts(docs: DataFrame, now: np.ndarray, before: np.ndarray | None, least: i
                 n = np.bincount(w.number[:mine], minlength=len(w.shown))
                 out += [(pa.array([""], pa.large_string()), np.array([mine]))]
                 out += [(w.phrases(w.shown[n > 0], 1), n[n > 0])]
-            # Of each level: the words where a phrase stands that is in the filters, its number and its hashes by number.
+            # Of each level: the words where a phrase stands, its number there; by number its hash and whether it may be part of more.
             at, number, hashes = np.arange(w.n), w.number, w.hashes
             inside, earlier = holds(now, hashes), holds(before, hashes)
             for width in range(2, LONGEST + 1):
                 keep = inside[number]
                 at, number = at[keep], number[keep]
-                if len(at) < 2:
+                both = np.flatnonzero(at[1:] == at[:-1] + 1)
+                both = both[w.piece[at[both]] == w.piece[at[both] + width - 1]]
+                if not len(both):
                     break
-                next_ = np.flatnonzero((at[1:] == at[:-1] + 1) & (w.piece[at[:-1]] == w.piece[np.minimum(at[:-1] + width - 1, w.n - 1)]) & (at[:-1] + width <= w.n))
-                a, b = number[next_], number[next_ + 1]
-                at = at[next_]
+                a, b, at = number[both], number[both + 1], at[both]
                 pair, shown, number = np.unique(a * np.int64(len(hashes)) + b, return_index=True, return_inverse=True)
-                if not len(pair):
-                    break
-                counted = earlier[a[shown]] & earlier[b[shown]]  # in an earlier pass
+                counted = earlier[a[shown]] & earlier[b[shown]]
                 n = np.bincount(number[at < mine], minlength=len(pair))
                 new = (n > 0) & ~counted
                 if new.any():
                     out += [(w.phrases(at[shown[new]], width), n[new])]
                 hashes = longer(hashes[a[shown]], w.hashes[w.number[at[shown] + width - 1]])
-                inside, earlier = holds(now, hashes), counted & holds(before, hashes)
+                earlier = counted & holds(before, hashes)
+                inside = holds(now, hashes) if before is None else ~counted | holds(now, hashes)
             for phrases, n in out:
-                yield pa.RecordBatch.from_arrays([pa.DictionaryArray.from_arrays(np.zeros(len(n), np.int32), [lang]).cast(pa.string()), phrases.cast(pa.string()), pa.array(n, pa.int64())], names=["lang", "phrase", "n"])
+                langs = pa.DictionaryArray.from_arrays(np.zeros(len(n), np.int32), [lang]).cast(pa.string())
+                yield pa.RecordBatch.from_arrays([langs, phrases.cast(pa.string()), pa.array(n, pa.int64())], names=["lang", "phrase", "n"])
+        pa.default_memory_pool().release_unused()
 
     found = docs.select("lang", "text").mapInArrow(count, "lang string, phrase string, n bigint")
     return found.groupBy("lang", "phrase").agg(F.sum("n").alias("n")).where((F.col("n") >= least) | (F.col("phrase") == ""))
 
 
-def outside(phrases: DataFrame, words: np.ndarray) -> DataFrame:
-    """Hashes of the phrases, but the longest, that the filter does not hold."""
-    sent = phrases.sparkSession.sparkContext.broadcast(words)
+def parts_of_more(phrases: DataFrame) -> DataFrame:
+    """Hashes of the phrases that are not the longest."""
+    short = phrases.where((F.col("phrase") != "") & (F.regexp_count("phrase", F.lit(" ")) < LONGEST - 1))
+    return phrase_hashes(short).select("h")
+
+
+def outside(hashes: DataFrame, words: np.ndarray) -> DataFrame:
+    """Hashes that the filter does not hold."""
+    sent = hashes.sparkSession.sparkContext.broadcast(words)
 
     def run(parts):
         for part in parts:
             own = np.asarray(part.column(0)).view(np.uint64)
             yield pa.RecordBatch.from_arrays([pa.array(own[~holds(sent.value, own)].view(np.int64))], names=["h"])
 
-    short = phrases.where((F.col("phrase") != "") & (F.regexp_count("phrase", F.lit(" ")) < LONGEST - 1))
-    return phrase_hashes(short).select("h").mapInArrow(run, "h bigint")
+    return hashes.mapInArrow(run, "h bigint")
 
 
 def frequent(docs: DataFrame, least: int = LEAST, share: float = SAMPLE, sample_least: int = SAMPLE_LEAST, most: int = BYTES) -> DataFrame:
     """(lang, phrase, n) of every phrase of up to ``LONGEST`` words with n >= ``least``, and the empty phrase with all words of the lang."""
     proposed = materialize(proposals(docs, share, sample_least, most), "proposed")
-    size = filter_size(proposed.count())
-    now, before = filter_words(proposed, size), None
-    found = None
-    while True:
-        passed = materialize(counts(docs, now, before, least, most), "counted")
-        found = passed if found is None else found.unionByName(passed)
-        failed = materialize(outside(passed, now), "failed")
-        if not failed.limit(1).count():
-            return found
-        now, before = now | filter_words(failed, size), now
+    filtered = filter_words(proposed, filter_size(proposed.count()))
+    found = materialize(counts(docs, filtered, None, least, most), "counted")
+    known = materialize(parts_of_more(found), "known")
+    if not outside(known, filtered).limit(1).count():
+        return found
+    expanded = counts(docs, filter_words(known, filter_size(known.count())), filtered, least, most)
+    return found.unionByName(materialize(expanded, "counted"))
 
 
 def scored(found: DataFrame, least: int = LEAST) -> DataFrame:
