@@ -25,6 +25,7 @@ import re
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -33,9 +34,9 @@ from stocklane.llm.common import materialize, mix64, utf8
 LEAST = 100
 LONGEST = 5
 TOP = 2000
-#: Share of rows in the sample, and how many times a phrase has to be there.
+#: Share of rows in the sample, and the share of the expected times that a phrase has to be there to be proposed (twice at least).
 SAMPLE = 1 / 16
-SAMPLE_LEAST = 3
+LOWERED = 0.8
 SEED = 5
 MOST_BITS = 1 << 27
 BYTES = 1_000_000
@@ -233,10 +234,11 @@ def counts(docs: DataFrame, now: np.ndarray, before: np.ndarray | None, least: i
         for lang, chunk, owned in by_portion(parts, most):
             w = Words(chunk, lang)
             mine = int(np.searchsorted(w.first, owned))
+            mark = f"{len(lang)}:{lang}"
             out: list[tuple[pa.Array, np.ndarray]] = []
             if before is None and mine:
+                yield pa.RecordBatch.from_arrays([pa.array([f"#{mark}"]), pa.array([mine], pa.int64())], names=["key", "n"])
                 n = np.bincount(w.number[:mine], minlength=len(w.shown))
-                out += [(pa.array([""], pa.large_string()), np.array([mine]))]
                 out += [(w.phrases(w.shown[n > 0], 1), n[n > 0])]
             # Of each level: the words where a phrase stands, its number there; by number its hash and whether it may be part of more.
             at, number, hashes = np.arange(w.n), w.number, w.hashes
@@ -259,12 +261,16 @@ def counts(docs: DataFrame, now: np.ndarray, before: np.ndarray | None, least: i
                 earlier = counted & holds(before, hashes)
                 inside = holds(now, hashes) if before is None else ~counted | holds(now, hashes)
             for phrases, n in out:
-                langs = pa.DictionaryArray.from_arrays(np.zeros(len(n), np.int32), [lang]).cast(pa.string())
-                yield pa.RecordBatch.from_arrays([langs, phrases.cast(pa.string()), pa.array(n, pa.int64())], names=["lang", "phrase", "n"])
+                keys = pc.binary_join_element_wise(pa.scalar(mark, pa.large_string()), phrases, pa.scalar("", pa.large_string()))
+                yield pa.RecordBatch.from_arrays([keys.cast(pa.string()), pa.array(n, pa.int64())], names=["key", "n"])
         pa.default_memory_pool().release_unused()
 
-    found = docs.select("lang", "text").mapInArrow(count, "lang string, phrase string, n bigint")
-    return found.groupBy("lang", "phrase").agg(F.sum("n").alias("n")).where((F.col("n") >= least) | (F.col("phrase") == ""))
+    # One string is the whole key: length of the lang, lang, phrase; a # in front of the words of a lang in all.
+    found = docs.select("lang", "text").mapInArrow(count, "key string, n bigint").groupBy("key").agg(F.sum("n").alias("n"))
+    found = found.where((F.col("n") >= least) | F.startswith("key", F.lit("#"))).withColumn("key", F.expr("ltrim('#', key)"))
+    size = F.substring_index("key", ":", 1)
+    found = found.select("n", size.cast("int").alias("size"), F.col("key").substr(F.length(size) + 2, F.length("key")).alias("key"))
+    return found.select(F.expr("substring(key, 1, size)").alias("lang"), F.expr("substring(key, size + 1)").alias("phrase"), "n")
 
 
 def parts_of_more(phrases: DataFrame) -> DataFrame:
@@ -285,9 +291,9 @@ def outside(hashes: DataFrame, words: np.ndarray) -> DataFrame:
     return hashes.mapInArrow(run, "h bigint")
 
 
-def frequent(docs: DataFrame, least: int = LEAST, share: float = SAMPLE, sample_least: int = SAMPLE_LEAST, most: int = BYTES) -> DataFrame:
+def frequent(docs: DataFrame, least: int = LEAST, share: float = SAMPLE, most: int = BYTES) -> DataFrame:
     """(lang, phrase, n) of every phrase of up to ``LONGEST`` words with n >= ``least``, and the empty phrase with all words of the lang."""
-    proposed = materialize(proposals(docs, share, sample_least, most), "proposed")
+    proposed = materialize(proposals(docs, share, max(2, int(LOWERED * least * share)), most), "proposed")
     filtered = filter_words(proposed, filter_size(proposed.count()))
     found = materialize(counts(docs, filtered, None, least, most), "counted")
     known = materialize(parts_of_more(found), "known")
