@@ -8,6 +8,7 @@ import uuid
 
 from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
 
 
@@ -32,16 +33,23 @@ def materialize(df: DataFrame, name: str) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
-#: Tables written in this process: path and schema by application, source folder and name.
-_WRITTEN: dict[tuple[str, str, str], tuple[str, StructType]] = {}
+#: Tables written in this process: path and schema by application, source, name and state of the source's files.
+_WRITTEN: dict[tuple[str, str, str, str], tuple[str, StructType]] = {}
 
 
-def once(spark: SparkSession, source: str, name: str, build) -> DataFrame:
-    """The table ``name`` over the folder ``source``, written on its first use in a session and read by every later one.
+def listing(spark: SparkSession, folder: str) -> str:
+    """A digest of names, sizes and times of the Parquet files below ``folder``; their contents are not read."""
+    files = spark.read.format("binaryFile").option("recursiveFileLookup", True).option("pathGlobFilter", "*.parquet").load(folder)
+    row = files.agg(F.count(F.lit(1)), F.sum(F.xxhash64("path", "length", "modificationTime").cast("decimal(38,0)"))).first()
+    return f"{row[0]}:{row[1]}"
 
-    A folder whose files change within a session needs ``forget``.
+
+def once(spark: SparkSession, source: str, name: str, build, state: str = "") -> DataFrame:
+    """The table ``name`` over ``source``, written on its first use in a session and read by every later one.
+
+    ``state`` tells states of the source apart (see ``listing``); a table of another state is written anew.
     """
-    key = (spark.sparkContext.applicationId, source, name)
+    key = (spark.sparkContext.applicationId, source, name, state)
     if key in _WRITTEN:
         path, schema = _WRITTEN[key]
         try:

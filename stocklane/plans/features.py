@@ -10,10 +10,11 @@ from pyspark.sql import functions as F
 from stocklane.functions.columns import flag
 from stocklane.operators import lifecycle
 from stocklane.operators.series import chronological_ids
-from stocklane.operators.storage import materialize, new_path
+from stocklane.operators.storage import materialize, new_path, once
 from stocklane.plans import models
 from stocklane.plans.oracle.binding import n
 from stocklane.sources.binding import Tables
+from stocklane.sources.versions import publish, published
 
 
 @dataclass(frozen=True)
@@ -31,14 +32,15 @@ class Dataset:
     excluded: tuple[str, ...]
 
 
-#: The registered datasets.
+#: The registered datasets, and the columns that a contract keeps from the predictors besides key, date and targets.
 DATASETS = (
     Dataset("demand_forecasting", "m2_daily_demand", "v_m2", ("demand_date", "warehouse_id", "product_id"), "demand_date", ("units_sold",), False, None,
-            ("gross_units_requested", "cancelled_units", "revenue", "snapshot_on_hand_qty", "snapshot_reserved_qty", "snapshot_reorder_point", "warehouse_name", "product_name")),
+            ("gross_units_requested", "cancelled_units", "revenue")),
     Dataset("delivery_prediction", "m4_delivery_features", "v_m4", ("shipment_id",), "order_date", ("is_delivery_exception", "is_late_delivery"), True, None,
-            ("shipment_external_id", "order_id", "order_external_id", "customer_id", "delivered_at", "shipment_status", "is_delivered", "actual_transit_hours", "delivery_delay_hours", "order_ts", "promised_delivery_ts", "shipped_at", "expected_delivery_at", "ship_date")),
+            ("is_delivered", "shipment_status", "delivered_at", "actual_transit_hours", "delivery_delay_hours", "order_id", "customer_id")),
     Dataset("inventory_risk", "m5_risk_features", "v_m5", ("demand_date", "warehouse_id", "product_id"), "demand_date", ("target_stockout_next_7d", "target_reorder_breach_next_7d"), True, "ml_feature_eligible = 1",
-            ("units_sold", "revenue", "ending_on_hand_qty", "ending_reserved_qty", "ending_available_qty", "future_observation_days", "future_min_available_qty_raw", "future_stockout_days_raw", "future_reorder_breach_raw", "target_stockout_days_next_7d", "target_min_available_next_7d", "ml_feature_eligible", "risk_band")),
+            ("target_stockout_days_next_7d", "target_min_available_next_7d", "future_observation_days", "future_min_available_qty_raw", "future_stockout_days_raw", "future_reorder_breach_raw",
+             "ending_on_hand_qty", "ending_reserved_qty", "ending_available_qty", "units_sold", "revenue", "ml_feature_eligible")),
 )
 #: Last day of each split.
 SPLITS = (("train", "2026-04-30"), ("validation", "2026-05-31"), ("test", "2026-07-31"))
@@ -46,7 +48,8 @@ NUMERIC = ("int", "bigint", "double", "float", "smallint")
 
 
 def source(t: Tables, d: Dataset) -> DataFrame:
-    return getattr(models, d.model)(t)
+    """The model's whole table, computed and written once a session; a folder with other files gets its own."""
+    return once(t.spark, f"{t.variant}:{t.sf_dir}", d.model, lambda: getattr(models, d.model)(t), t.state)
 
 
 def eligible(t: Tables, d: Dataset) -> DataFrame:
@@ -54,11 +57,10 @@ def eligible(t: Tables, d: Dataset) -> DataFrame:
 
 
 def predictors(df: DataFrame, d: Dataset) -> list[str]:
-    """Columns that may predict, order kept; names of targets or the future are refused."""
-    dropped = {*d.excluded, *d.targets, *d.key, d.split_column}
+    """What the contract leaves for predictors, order kept; the split is none, and names of targets or the future are refused."""
+    dropped = {*d.excluded, *d.targets, *d.key, d.split_column, "split"}
     kept = [c for c in df.columns if c not in dropped]
-    leaks = [c for c in kept if c.startswith(("target_", "future_"))]
-    if leaks:
+    if leaks := [c for c in kept if c.startswith(("target_", "future_"))]:
         raise ValueError(f"{d.name}: {', '.join(leaks)} would leak the target")
     return kept
 
@@ -124,13 +126,19 @@ def fp_chronology(t):
     return each([named(eligible(t, d).agg(F.count_if(F.col(d.split_column).isNull()).alias("null_dates"), F.count_if(F.col(d.split_column) > F.lit(last).cast("date")).alias("late_dates"), F.min(d.split_column).alias("first_date"), F.max(d.split_column).alias("last_date")), d) for d in DATASETS])
 
 
+def invalid(c: str, d: Dataset):
+    """Whether a target has a value that it cannot have."""
+    x = F.col(c).cast("double")
+    return ~F.col(c).isin(0, 1) if d.binary else (F.col(c) < 0) | F.isnan(x) | (x == float("inf"))
+
+
 def fp_targets(t):
+    """Nulls and invalid values of every target, in one pass over a dataset."""
     rows = []
     for d in DATASETS:
-        df = eligible(t, d)
-        for c in d.targets:
-            bad = ~F.col(c).isin(0, 1) if d.binary else (F.col(c) < 0) | F.isnan(F.col(c).cast("double")) | (F.col(c).cast("double") == float("inf"))
-            rows.append(named(df.agg(F.count_if(F.col(c).isNull()).alias("nulls"), F.count_if(bad).alias("invalid")).select(F.lit(c).alias("target"), "*"), d))
+        found = eligible(t, d).agg(*[f for c in d.targets for f in (F.count_if(F.col(c).isNull()).alias(f"nulls_{c}"), F.count_if(invalid(c, d)).alias(f"invalid_{c}"))])
+        triples = ", ".join(f"'{c}', nulls_{c}, invalid_{c}" for c in d.targets)
+        rows.append(named(found.selectExpr(f"stack({len(d.targets)}, {triples}) AS (target, nulls, invalid)"), d))
     return each(rows)
 
 
@@ -205,20 +213,30 @@ def artifact_metadata(t):
     return parts(split(t, DATASETS[0]), DATASETS[0])
 
 
-def digest(df: DataFrame) -> DataFrame:
-    return df.groupBy("split").agg(F.bit_xor(F.xxhash64(*sorted(df.columns))).alias("row_digest"), F.count(F.lit(1)).alias("rows"))
+#: A digest counts in this many values.
+DIGEST_SIZE = 1 << 60
 
 
-def written(df: DataFrame, d: Dataset) -> DataFrame:
-    """``df`` by split as Parquet; its columns and types in order, row counts and digests are compared after reading back."""
-    path = new_path(df.sparkSession, "features")
-    in_order(df, d).write.partitionBy("split").parquet(path)
-    back = df.sparkSession.read.parquet(path)
-    if back.dtypes != df.dtypes:
-        raise ValueError("columns changed on disk")
-    if sorted(map(str, digest(back).collect())) != sorted(map(str, digest(df).collect())):
-        raise ValueError("rows changed on disk")
-    return back
+def shown(name: str, kind: str):
+    """A value as text that any engine can write: doubles as whole ten-thousandths, null as ``~``."""
+    x = F.floor(F.col(f"`{name}`") * 10000 + 0.5).cast("long") if kind in ("double", "float") else F.col(f"`{name}`")
+    return F.coalesce(x.cast("string"), F.lit("~"))
+
+
+def digest(df: DataFrame, key: tuple[str, ...] = ()) -> DataFrame:
+    """Per split a digest of its rows as a multiset: the sum of 60 bits of every row's MD5, columns of ``key`` first, so rows that occur twice
+    count twice, and digests of parts add up to that of the whole."""
+    kinds = dict(df.dtypes)
+    row = F.md5(F.concat_ws("|", *[shown(c, kinds[c]) for c in (*key, *[c for c in df.columns if c not in key])]))
+    bits = F.conv(F.substring(row, 1, 15), 16, 10).cast("decimal(20,0)")
+    return df.groupBy("split").agg((F.sum(bits) % F.lit(DIGEST_SIZE).cast("decimal(20,0)")).cast("long").alias("row_digest"), F.count(F.lit(1)).alias("rows"))
+
+
+def written(df: DataFrame, d: Dataset, folder: str | None = None) -> DataFrame:
+    """``df`` published by split: staged, verified, then switched. A folder that holds the dataset gets its new version."""
+    folder = folder or new_path(df.sparkSession, "features")
+    publish({d.name: in_order(df, d)}, folder, replace=True, split="split")
+    return published(df.sparkSession, folder, d.name).select(df.columns)
 
 
 def sink_feature_parquet(t):
@@ -243,6 +261,14 @@ def validated(df: DataFrame, d: Dataset) -> dict[str, int]:
     wrong = {k: v for k, v in found.items() if v and k != "eligible_rows"}
     if wrong:
         raise ValueError(f"{d.name}: {wrong}")
+    before = None
+    held = {r["split"]: r for r in parts(df, d).collect()}  # a row a split
+    for name, _ in SPLITS:
+        if name not in held:
+            raise ValueError(f"{d.name}: split {name} is empty")
+        if before is not None and held[name]["first_date"] <= before:
+            raise ValueError(f"{d.name}: split {name} begins before the one before it ends")
+        before = held[name]["last_date"]
     return found
 
 
@@ -281,15 +307,16 @@ def fp_build_dataset_all(t):
 
 
 def build_manifest_all(t):
-    """A record a dataset and split, through JSON: contract, validation counts, rows, dates, columns and row digest."""
+    """A record a dataset and split, through JSON: contract, validation counts, rows, dates, columns and row digest of what readers get. Lists are
+    sorted and comma-joined."""
     path = new_path(t.spark, "manifest")
     rows = []
     for d in DATASETS:
         ready = materialize(split(t, d), "eligible")
         counts = validated(ready, d)
-        contract = [F.array(*map(F.lit, x)).alias(k) for k, x in (("key", d.key), ("targets", d.targets), ("predictors", predictors(ready, d)), ("columns", ready.columns))]
+        contract = [F.lit(",".join(sorted(x))).alias(k) for k, x in (("key", d.key), ("targets", d.targets), ("predictors", predictors(ready, d)), ("columns", ready.columns))]
         back = written(ready, d)
-        stats = parts(back, d).join(digest(back).drop("rows"), "split")
+        stats = parts(back, d).join(digest(back, d.key).drop("rows"), "split")
         rows.append(named(stats.select("*", *contract, F.lit(d.split_column).alias("split_column"), *[F.lit(v).cast("bigint").alias(k) for k, v in counts.items()]), d))
     out = each(rows)
     out.write.json(path)
@@ -369,26 +396,9 @@ def plan_replenishment(t):
 
 # Every dataset, whole rows.
 
-#: The columns that a dataset's contract keeps from its predictors, besides key, date and targets.
-KEPT_BACK = {
-    "demand_forecasting": ("gross_units_requested", "cancelled_units", "revenue"),
-    "delivery_prediction": ("is_delivered", "shipment_status", "delivered_at", "actual_transit_hours", "delivery_delay_hours", "order_id", "customer_id"),
-    "inventory_risk": (
-        "target_stockout_days_next_7d", "target_min_available_next_7d", "future_observation_days", "future_min_available_qty_raw", "future_stockout_days_raw", "future_reorder_breach_raw",
-        "ending_on_hand_qty", "ending_reserved_qty", "ending_available_qty", "units_sold", "revenue", "ml_feature_eligible",
-    ),
-}
 SHORT = {"demand_forecasting": "demand", "delivery_prediction": "delivery", "inventory_risk": "risk"}
 
 
-def contract_predictors(df: DataFrame, d: Dataset) -> list[str]:
-    """What the contract leaves for predictors; a column of the future or a target among them is an error."""
-    kept = [c for c in df.columns if c not in {*KEPT_BACK[d.name], *d.targets, *d.key, d.split_column}]
-    if leaks := [c for c in kept if c.startswith(("target_", "future_"))]:
-        raise ValueError(f"{d.name}: {', '.join(leaks)} would leak the target")
-    return kept
-
-
 def extracted(t: Tables, d: Dataset) -> DataFrame:
     """The source view in the order of its contract; missing columns or no rows are an error."""
     return required(source(t, d), d).orderBy(*dict.fromkeys((d.split_column, *d.key)))
@@ -401,23 +411,29 @@ def whole_split(t: Tables, d: Dataset) -> DataFrame:
 
 def contract_frame(t: Tables, d: Dataset) -> DataFrame:
     df = eligible(t, d)
-    return df.select(contract_predictors(df, d))
+    return df.select(predictors(df, d))
 
 
 def fp_validation_counts(t):
-    """What the validation of each dataset counts; ``validated`` raises on the same counts while a dataset is built."""
+    """What the validation of each dataset counts; ``validated`` raises on the same counts while a dataset is built.
+
+    Two passes over a written model: one grouping by key from which all row counts follow, one for constant predictors.
+    """
     rows = []
     for d in DATASETS:
-        df = split(t, d)
+        df = source(t, d).withColumn("split", split_of(d.split_column))
+        fits = F.expr(d.eligible) if d.eligible else F.lit(True)
+        bad = [F.count_if(F.coalesce(invalid(c, d), F.lit(False)) & fits) for c in d.targets]
+        nulls = [F.count_if(F.col(c).isNull() & fits) for c in d.targets]
+        per = df.groupBy(*d.key).agg(F.count(F.lit(1)).alias("k"), F.count_if(fits).alias("n"), sum(nulls[1:], nulls[0]).alias("nulls"), sum(bad[1:], bad[0]).alias("bad"), F.count_if(F.col("split").isNull() & fits).alias("outside"))
+        total = lambda x: F.coalesce(F.sum(x), F.lit(0))
         null = " OR ".join(f"{k} IS NULL" for k in d.key)
-        per = df.groupBy(*d.key).agg(F.count(F.lit(1)).alias("n"))
-        bad = [F.count_if(~F.col(c).isin(0, 1) if d.binary else F.col(c) < 0) for c in d.targets]
-        nulls = [F.count_if(F.col(c).isNull()) for c in d.targets]
-        counts = df.agg(F.count(F.lit(1)).alias("eligible_rows"), F.count_if(F.expr(null)).alias("null_key_rows"), sum(nulls[1:], nulls[0]).alias("null_targets"), sum(bad[1:], bad[0]).alias("invalid_targets"), F.count_if(F.col("split").isNull()).alias("rows_outside_splits"))
-        sources = source(t, d).agg(F.count(F.lit(1)).alias("source_rows"))
-        repeated = per.agg(F.coalesce(F.sum(F.expr("CASE WHEN n > 1 THEN n END")), F.lit(0)).alias("duplicate_key_rows"))
-        fixed = constants(df.drop("split"), d).agg(F.count(F.lit(1)).alias("constant_predictors"))
-        rows.append(named(counts.crossJoin(F.broadcast(sources)).crossJoin(F.broadcast(repeated)).crossJoin(F.broadcast(fixed)), d))
+        counts = per.agg(
+            total("n").alias("eligible_rows"), total(F.when(F.expr(null), F.col("n"))).alias("null_key_rows"), total("nulls").alias("null_targets"), total("bad").alias("invalid_targets"),
+            total("outside").alias("rows_outside_splits"), total("k").alias("source_rows"), total(F.when(F.col("n") > 1, F.col("n"))).alias("duplicate_key_rows"),
+        )
+        fixed = constants(eligible(t, d), d).agg(F.count(F.lit(1)).alias("constant_predictors"))
+        rows.append(named(counts.crossJoin(F.broadcast(fixed)), d))
     return each(rows)
 
 
@@ -443,7 +459,7 @@ def artifact_metadata_all(t):
     rows = []
     for d in DATASETS:
         df = split(t, d)
-        rows.append(named(parts(df, d).withColumns({"columns": F.lit(len(df.columns) - 1), "predictors": F.lit(len(contract_predictors(df.drop("split"), d)))}), d))
+        rows.append(named(parts(df, d).withColumns({"columns": F.lit(len(df.columns) - 1), "predictors": F.lit(len(predictors(df.drop("split"), d)))}), d))
     return each(rows)
 
 
@@ -473,6 +489,32 @@ def not_predictors(d: Dataset) -> tuple[str, ...]:
     return (*d.excluded, *d.targets, *d.key, d.split_column)
 
 
+def whole_text(d: Dataset) -> str:
+    return f"sum(rows) OVER () = (SELECT count(*) FROM {d.view}{count_where_text(d)})"
+
+
+def names_text(d: Dataset, drop: tuple[str, ...] = (), more: str = "") -> str:
+    """The sorted, comma-joined columns of a view but ``drop``, and one more."""
+    extra = f" UNION ALL SELECT '{more}'" if more else ""
+    return f"(SELECT string_agg(predictor, ',' ORDER BY predictor) FROM (SELECT DISTINCT predictor FROM {columns_text(d, drop, 'INCLUDE NULLS')}{extra}))"
+
+
+def digest_text(d: Dataset) -> str:
+    """Per split the digest of its rows; a column's type decides how its values are written."""
+    value = "CASE WHEN typeof(COLUMNS(*)) IN ('DOUBLE', 'FLOAT') THEN CAST(CAST(floor(TRY_CAST(CAST(COLUMNS(*) AS VARCHAR) AS DOUBLE) * 10000 + 0.5) AS BIGINT) AS VARCHAR) ELSE CAST(COLUMNS(*) AS VARCHAR) END"
+    rows = f"SELECT coalesce({value}, '~') FROM (SELECT {', '.join(d.key)}, * EXCLUDE ({', '.join(d.key)}), {cases(d.split_column)} AS split FROM {d.view}{count_where_text(d)})"
+    bits = "('0x' || substr(md5(concat_ws('|', *COLUMNS(*))), 1, 15))::BIGINT::HUGEINT"
+    return f"SELECT any_value(split) AS split, (sum(bits) % {DIGEST_SIZE})::BIGINT AS row_digest FROM (SELECT split, {bits} AS bits FROM ({rows})) GROUP BY split"
+
+
+def manifest_text(d: Dataset) -> str:
+    constants = {"key": ",".join(sorted(d.key)), "targets": ",".join(sorted(d.targets)), "split_column": d.split_column}
+    fixed = ", ".join(f"'{v}' AS {k}" for k, v in constants.items())
+    zeros = ", ".join(f"CAST(0 AS BIGINT) AS {k}" for k in ("null_keys", "outside_splits", "bad_targets", "non_finite", "duplicate_keys"))
+    return f"""SELECT '{d.name}' AS dataset, p.*, g.row_digest, {fixed}, {names_text(d, not_predictors(d))} AS predictors, {names_text(d, (), 'split')} AS columns,
+        (SELECT count(*) FROM {d.view}{count_where_text(d)}) AS eligible_rows, {zeros} FROM ({parts_text(d)}) p JOIN ({digest_text(d)}) g ON p.split = g.split"""
+
+
 TEXTS = {
     "extract_features": "SELECT * FROM v_m4",
     "extraction_summary": union_text(lambda d: f"SELECT '{d.name}' AS dataset, count(*) AS rows, min({d.split_column}) AS first_date, max({d.split_column}) AS last_date FROM {d.view}"),
@@ -488,10 +530,10 @@ TEXTS = {
     "artifact_metadata": parts_text(DATASETS[0]),
     "sink_feature_parquet": parts_text(DATASETS[1]),
     "build_manifest": union_text(lambda d: f"SELECT '{d.name}' AS dataset, p.*, (SELECT count(*) FROM {d.view}{count_where_text(d)}) AS eligible_rows FROM ({parts_text(d)}) p"),
-    "fp_build_dataset": f"SELECT 'inventory_risk' AS dataset, *, true AS conserved FROM ({parts_text(DATASETS[2])})",
+    "fp_build_dataset": f"SELECT 'inventory_risk' AS dataset, *, {whole_text(DATASETS[2])} AS conserved FROM ({parts_text(DATASETS[2])})",
     "sink_feature_parquet_all": union_text(lambda d: parts_text(d, f"'{d.name}' AS dataset, ")),
-    "fp_build_dataset_all": union_text(lambda d: f"SELECT '{d.name}' AS dataset, *, true AS conserved FROM ({parts_text(d)})"),
-    "build_manifest_all": None,  # its digests are Spark's
+    "fp_build_dataset_all": union_text(lambda d: f"SELECT '{d.name}' AS dataset, *, {whole_text(d)} AS conserved FROM ({parts_text(d)})"),
+    "build_manifest_all": union_text(lambda d: manifest_text(d)),
     "derive_order_totals": "SELECT order_id, order_status, CAST(total_amount AS DOUBLE) AS total_amount FROM c_orders",
     "derive_order_status": "SELECT order_id, CASE WHEN order_status = 'cancelled' THEN 'cancelled' WHEN order_id IN (SELECT order_id FROM c_shipments WHERE shipment_status = 'exception') THEN 'shipped' ELSE 'delivered' END AS order_status FROM c_orders",
     "derive_order_events": "SELECT order_id, event_type, event_ts, payload, event_id, row_number() OVER (ORDER BY event_ts, event_id) AS number FROM c_events",
@@ -516,7 +558,7 @@ TEXTS = {
 
 
 def contract_text(d: Dataset) -> str:
-    hidden = "', '".join(dict.fromkeys((*KEPT_BACK[d.name], *d.targets, *d.key, d.split_column)))
+    hidden = "', '".join(dict.fromkeys((*d.excluded, *d.targets, *d.key, d.split_column)))
     return f"SELECT COLUMNS(lambda c: c NOT IN ('{hidden}')) FROM {d.view}{count_where_text(d)}"
 
 

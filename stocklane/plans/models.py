@@ -175,15 +175,16 @@ def m4_delivery_features(t: Tables) -> DataFrame:
     o = t.orders.select("order_id", "order_external_id", "destination_country", "destination_region", "shipping_method", "payment_method", money("total_amount").alias("order_value"), "order_ts", "promised_delivery_ts")
     f = t.shipments.drop("created_at").withColumn("shipping_cost", money("shipping_cost")).join(o, "order_id").join(F.broadcast(w), "warehouse_id")
     f = f.join(m4_order_item_metrics(t), "order_id", "left").join(m4_order_weight(t), "order_id", "left").withColumns({c: zero(c) for c in ("order_item_lines", "total_units", "distinct_products")})
+    f = f.select("warehouse_id", "order_id", *[c for c in f.columns if c not in ("warehouse_id", "order_id")])
     per = lambda below: F.when(F.col(below) > 0, rounded(ratio("shipping_cost", below)))
     late = "shipment_status = 'delivered' AND delivered_at > expected_delivery_at"
     return f.withColumns({
         "order_date": F.to_date("order_ts"), "order_hour": F.hour("order_ts"), "order_day_of_week": iso_day("order_ts"), "order_month": F.month("order_ts"), "order_is_weekend": weekend("order_ts"),
         "ship_date": F.to_date("shipped_at"), "ship_hour": F.hour("shipped_at"), "ship_day_of_week": iso_day("shipped_at"), "ship_is_weekend": weekend("shipped_at"),
         "processing_hours": hours("order_ts", "shipped_at"), "promised_total_hours": hours("order_ts", "promised_delivery_ts"), "expected_transit_hours": hours("shipped_at", "expected_delivery_at"),
-        "shipping_cost_pct_of_order": F.when(F.expr("order_value > 0"), percent("shipping_cost", "order_value")), "shipping_cost_per_unit": per("total_units"), "shipping_cost_per_kg": per("total_weight_kg"),
         "is_delivery_exception": flag("shipment_status = 'exception'"), "is_late_delivery": flag(late), "is_delivered": flag("shipment_status = 'delivered'"),
         "actual_transit_hours": hours("shipped_at", "delivered_at"), "delivery_delay_hours": hours("expected_delivery_at", "delivered_at"),
+        "shipping_cost_pct_of_order": F.when(F.expr("order_value > 0"), percent("shipping_cost", "order_value")), "shipping_cost_per_unit": per("total_units"), "shipping_cost_per_kg": per("total_weight_kg"),
     })
 
 

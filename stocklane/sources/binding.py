@@ -12,7 +12,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from stocklane.operators import lifecycle
-from stocklane.operators.storage import once
+from stocklane.operators.storage import listing, once
 from stocklane.sources.schemas import CARRIERS, EVENT_SOURCE
 
 START = "TIMESTAMP_NTZ'2025-08-01 00:00:00'"
@@ -34,7 +34,7 @@ def pick(words: tuple[str, ...], index: str) -> Column:
 def stored(build):
     """A table of ``Tables`` that is written once for a session and folder."""
     name = build.__name__.strip("_")
-    return property(lambda self: once(self.spark, f"{self.variant if name in self.changed else 'plain'}:{self.sf_dir}", name, lambda: build(self)))
+    return property(lambda self: once(self.spark, f"{self.variant if name in self.changed else 'plain'}:{self.sf_dir}", name, lambda: build(self), self.state))
 
 
 class Tables:
@@ -48,6 +48,11 @@ class Tables:
     def __init__(self, spark: SparkSession, sf_dir: str):
         self.spark, self.sf_dir = spark, sf_dir
 
+    @cached_property
+    def state(self) -> str:
+        """Of the folder's files: tables that were written from other files are not used."""
+        return listing(self.spark, self.sf_dir)
+
     def raw(self, name: str) -> DataFrame:
         return self.spark.read.parquet(f"{self.sf_dir}/{name}.parquet")
 
@@ -95,7 +100,7 @@ class Tables:
         prices = self.products.select("product_id", "unit_price")
         lines = self.raw("lineitem").join(self._parts.select(F.col("p_partkey").alias("l_partkey"), "product_id"), "l_partkey")
         one = lines.groupBy(F.col("l_orderkey").alias("order_id"), "product_id").agg(F.sum(F.expr("1 + l_linenumber % 4")).cast("int").alias("quantity"))
-        return one.join(F.broadcast(prices), "product_id").select(F.expr("order_id * 1000 + product_id").alias("order_item_id"), "order_id", "product_id", "quantity", "unit_price")
+        return one.join(prices, "product_id").select(F.expr("order_id * 1000 + product_id").alias("order_item_id"), "order_id", "product_id", "quantity", "unit_price")
 
     @stored
     def _order_base(self) -> DataFrame:

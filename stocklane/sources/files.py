@@ -1,16 +1,14 @@
-"""CSV and Parquet in and out: contracts on headers and types, counted publication of tables."""
+"""CSV and Parquet in and out: contracts on headers and types, publication of the canonical tables."""
 
 from __future__ import annotations
 
-from functools import reduce
-
-from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from stocklane.operators.storage import materialize, new_path
+from stocklane.operators.storage import new_path
 from stocklane.sources.schemas import SCHEMAS
+from stocklane.sources.versions import publish
 
 STAMP = "yyyy-MM-dd'T'HH:mm:ss"
 #: The tables that ``publish_tables`` publishes, parents first; ``publish_all_tables`` adds the two largest facts.
@@ -43,35 +41,6 @@ def count_records(spark: SparkSession, path: str, name: str) -> DataFrame:
     return rows.agg(F.count(F.lit(1)).alias("records")).select(F.lit(name).alias("table"), "records")
 
 
-def filled(spark: SparkSession, path: str) -> bool:
-    """Whether a folder holds Parquet files."""
-    try:
-        spark.read.parquet(path)
-    except AnalysisException:
-        return False
-    return True
-
-
-def publish(tables: dict[str, DataFrame], folder: str, replace: bool = False) -> DataFrame:
-    """Write every table as Parquet and compare counts after the writes; a difference is an error.
-
-    Unless ``replace``, a filled target of any table is refused before the first write, so nothing is half published.
-    """
-    spark = next(iter(tables.values())).sparkSession
-    if not replace and (taken := [name for name in tables if filled(spark, f"{folder}/{name}")]):
-        raise ValueError(f"{folder} already holds {', '.join(taken)}")
-    counted = []
-    for name, df in tables.items():
-        df.write.mode("overwrite" if replace else "errorifexists").parquet(f"{folder}/{name}")
-        expected = df.agg(F.count(F.lit(1)).alias("expected"))
-        actual = spark.read.parquet(f"{folder}/{name}").agg(F.count(F.lit(1)).alias("actual"))
-        counted.append(expected.crossJoin(F.broadcast(actual)).select(F.lit(name).alias("table"), "expected", "actual", (F.col("expected") == F.col("actual")).alias("passed")))
-    out = materialize(reduce(DataFrame.unionByName, counted), "publication")
-    if wrong := [r["table"] for r in out.where("NOT passed").collect()]:  # a row a table at most
-        raise ValueError(f"{', '.join(wrong)}: counts differ after the write")
-    return out
-
-
 def through_csv(df: DataFrame, table: str) -> str:
     path = new_path(df.sparkSession, f"csv-{table}")
     sink_csv(df.select([f.split()[0] for f in SCHEMAS[table].split(", ")]), path)

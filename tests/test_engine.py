@@ -10,9 +10,9 @@ import pytest
 from pyspark.sql import functions as F
 
 import __spark_entry__
-from stocklane.operators import quality, series
+from stocklane.operators import quality, series, storage
 from stocklane.plans import features, registry
-from stocklane.sources import files
+from stocklane.sources import files, versions
 from stocklane.sources.binding import Tables
 from stocklane.sources.schemas import SCHEMAS
 
@@ -97,7 +97,9 @@ def test_all_ten_tables_are_published(spark, con):
 def test_manifest_covers_every_dataset(spark, con):
     rows = registry.QUERIES["build_manifest_all"](spark, SF).collect()
     assert {(r.dataset, r.split) for r in rows} == {(d.name, s) for d in features.DATASETS for s, _ in features.SPLITS}
-    assert all(r.row_digest is not None and set(r.predictors) < set(r.columns) for r in rows)
+    for r in rows:
+        predictors, columns = set(r.predictors.split(",")), set(r.columns.split(","))
+        assert r.row_digest is not None and predictors < columns and "split" in columns - predictors
     assert sum({r.dataset: r.eligible_rows for r in rows}.values()) == sum(r.rows for r in rows)
     got = registry.QUERIES["sink_feature_parquet"](spark, SF).toArrow()
     assert cells(got) == cells(con.sql(registry.ORACLES["sink_feature_parquet"]).to_arrow_table())
@@ -106,11 +108,70 @@ def test_manifest_covers_every_dataset(spark, con):
 def test_build_refuses_bad_rows(spark):
     d = features.DATASETS[1]
     columns = dict.fromkeys((*d.key, d.split_column, *d.targets, *d.excluded))
-    good = spark.range(1).select(*[F.lit(1).alias(c) for c in columns], F.lit(1).alias("total_units"), F.lit("train").alias("split"))
-    assert features.validated(good, d)["eligible_rows"] == 1
-    for bad in (good.limit(0), good.drop("is_late_delivery"), good.unionByName(good), good.withColumn("is_late_delivery", F.lit(2))):
-        with pytest.raises(ValueError):
-            features.validated(bad, d)
+    places = F.expr("element_at(array('train', 'validation', 'test'), CAST(id + 1 AS INT))")
+    row = spark.range(3).select(*[(F.col("id") if c in (*d.key, d.split_column) else F.lit(1)).alias(c) for c in columns], F.lit(1).alias("total_units"), places.alias("split"))
+    good = row.drop("id")
+    assert features.validated(good, d)["eligible_rows"] == 3
+    bad = {
+        "no rows": good.limit(0), "missing": good.drop("is_late_delivery"), "duplicate_keys": good.unionByName(good), "bad_targets": good.withColumn("is_late_delivery", F.lit(2)),
+        "validation is empty": good.where("split <> 'validation'"), "validation begins": good.withColumn(d.split_column, F.lit(3) - F.col(d.split_column)), "outside_splits": good.withColumn("split", F.nullif("split", F.lit("test"))),
+    }
+    for said, frame in bad.items():
+        with pytest.raises(ValueError, match=said):
+            features.validated(frame, d)
+
+
+def test_digest_is_a_multiset_and_adds_up(spark):
+    one = spark.createDataFrame([(1, 0.12345, "a", "s"), (2, None, None, "s")], "k int, x double, w string, split string")
+    value = lambda df: features.digest(df).first().row_digest
+    assert value(one.unionByName(one)) == 2 * value(one) % features.DIGEST_SIZE != 0
+    assert value(one) == sum(value(one.where(f"k = {k}")) for k in (1, 2)) % features.DIGEST_SIZE
+    assert value(one) == value(one.orderBy(F.desc("k"))) != value(one.withColumn("w", F.lit("a")))
+
+
+def broken(df):
+    """``df`` whose last row cannot be computed."""
+    return df.withColumn("id", F.when(F.col("id") == 2, F.raise_error(F.lit("the writer died")).cast("bigint")).otherwise(F.col("id")))
+
+
+def test_a_writer_that_dies_leaves_the_old_publication(spark, tmp_path, monkeypatch):
+    old = {name: spark.range(5).withColumn("name", F.lit(name)) for name in ("a", "b")}
+    versions.publish(old, str(tmp_path))
+    kept = lambda: {name: versions.published(spark, str(tmp_path), name).count() for name in ("a", "b")}
+    with pytest.raises(Exception, match="the writer died"):
+        versions.publish({"a": spark.range(7).withColumn("name", F.lit("a")), "b": broken(old["b"])}, str(tmp_path), replace=True)
+    assert kept() == {"a": 5, "b": 5}
+    with monkeypatch.context() as m:
+        m.setattr(versions, "read_back", lambda spark, path, columns: spark.read.parquet(path).select(columns).where("id < 3"))
+        with pytest.raises(ValueError, match="a, b: rows differ"):
+            versions.publish(old, str(tmp_path), replace=True)
+    assert kept() == {"a": 5, "b": 5}
+    versions.publish({name: df.limit(1) for name, df in old.items()}, str(tmp_path), replace=True)
+    assert kept() == {"a": 1, "b": 1}
+    with pytest.raises(ValueError, match="holds no c"):
+        versions.published(spark, str(tmp_path), "c")
+    with pytest.raises(ValueError, match="already holds b"):
+        versions.publish({"b": old["b"]}, str(tmp_path))
+
+
+def test_feature_files_switch_as_a_whole(spark, tmp_path):
+    d = features.DATASETS[1]
+    good = features.split(Tables(spark, SF), d).where("shipment_id % 4 = 0")
+    features.written(good, d, str(tmp_path))
+    before = versions.published(spark, str(tmp_path), d.name).count()
+    bad = good.withColumn("carrier", F.when(F.col("split") == "test", F.raise_error(F.lit("the writer died"))).otherwise(F.col("carrier")))
+    with pytest.raises(Exception, match="the writer died"):
+        features.written(bad, d, str(tmp_path))
+    assert versions.published(spark, str(tmp_path), d.name).count() == before == good.count()
+
+
+def test_changed_files_are_read_anew(spark, tmp_path):
+    spark.range(3).write.parquet(f"{tmp_path}/t.parquet")
+    use = lambda: storage.once(spark, str(tmp_path), "t", lambda: spark.read.parquet(f"{tmp_path}/t.parquet"), storage.listing(spark, str(tmp_path)))
+    assert use().count() == use().count() == 3
+    assert use().inputFiles() == use().inputFiles()
+    spark.range(5).write.mode("append").parquet(f"{tmp_path}/t.parquet")
+    assert use().count() == 8
 
 
 ELSEWHERE = ("m3_v7_status_mix_scarce", "m5_v7_band_mix_scarce", "plan_replenishment_scarce", "dq_report_damaged", "m1_v3_integrity_damaged", "a5_event_audit_damaged", "a6_audit_damaged", "fp_validation_counts", "fp_split_conservation", "dq_unique_declared", "dq_rate_drift")
