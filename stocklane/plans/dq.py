@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from stocklane.functions.columns import count_where, percent, ratio, rounded
 from stocklane.operators import quality as q
-from stocklane.operators.series import so_far
+from stocklane.operators.ranges import running
 from stocklane.operators.storage import materialize
 from stocklane.plans.oracle.binding import div, n, pct, r
 from stocklane.sources.schemas import CARRIERS, EVENT_SOURCE, EVENT_TYPES, MOVEMENT_TYPES, ORDER_STATUSES, SHIPMENT_STATUSES, SHIPPING_METHODS
@@ -169,13 +169,13 @@ def dq_order_line_recon(t):
 
 
 def dq_ledger_replay(t):
-    """The ordered replay is linear, so prior states are running sums of the signed changes."""
+    """The ordered replay is linear, so prior states are running sums of the signed changes, over ranges of a position's moves."""
     m = t.inventory_movements.withColumns({
         "hand": F.expr("CASE WHEN movement_type IN ('receipt', 'shipment', 'return', 'adjustment') THEN quantity_change ELSE 0 END"),
         "held": F.expr("CASE WHEN movement_type IN ('reservation', 'release') THEN -quantity_change WHEN movement_type = 'shipment' THEN quantity_change ELSE 0 END"),
     })
-    run = so_far(["warehouse_id", "product_id"], ["event_ts", "movement_id"])
-    m = m.withColumns({"hand_after": F.sum("hand").over(run), "held_after": F.sum("held").over(run)}).withColumns({"hand_before": F.expr("hand_after - hand"), "held_before": F.expr("held_after - held")})
+    m = running(m, ["warehouse_id", "product_id"], ["event_ts", "movement_id"], {"hand_after": "hand", "held_after": "held"})
+    m = m.withColumns({"hand_before": F.expr("hand_after - hand"), "held_before": F.expr("held_after - held")})
     # Written once: the steps and the final states read the same windows.
     m = materialize(m.select("warehouse_id", "product_id", "movement_id", "movement_type", "quantity_change", "event_ts", "hand_before", "hand_after", "held_before", "held_after"), "ledger")
     size = "abs(quantity_change)"

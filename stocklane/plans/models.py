@@ -9,6 +9,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from stocklane.functions.columns import flag, hours, iso_day, minutes, money, percent, ratio, rounded, sum_where, weekend, zero
+from stocklane.operators import blocks
 from stocklane.operators.series import ahead, before, date_spine, dense, first_times, lags, so_far
 from stocklane.sources.binding import Tables
 
@@ -104,10 +105,18 @@ def m2_daily_base(t: Tables) -> DataFrame:
     })
 
 
+#: Windows over days run within blocks of a position's days, which hold copies of the days around them.
+SPAN = [*POSITION, blocks.BLOCK]
+
+
 def m2_daily_demand(t: Tables) -> DataFrame:
-    week, month = before(POSITION, "demand_date", 7), before(POSITION, "demand_date", 28)
+    return blocks.own(demand_in_blocks(t))
+
+
+def demand_in_blocks(t: Tables) -> DataFrame:
+    week, month = before(SPAN, "demand_date", 7), before(SPAN, "demand_date", 28)
     units, cents = F.col("units_sold"), F.round(F.col("revenue") * 100).cast("long")
-    return m2_daily_base(t).withColumns(lags(POSITION, "demand_date", "units_sold", (1, 7, 14, 28)) | {
+    return blocks.with_halo(m2_daily_base(t), "demand_date").withColumns(lags(SPAN, "demand_date", "units_sold", (1, 7, 14, 28)) | {
         "rolling_7d_units": F.sum(units).over(week), "rolling_7d_avg_units": rounded(ratio(F.sum(units).over(week), F.count(units).over(week))),
         "rolling_28d_units": F.sum(units).over(month), "rolling_28d_avg_units": rounded(ratio(F.sum(units).over(month), F.count(units).over(month))),
         "rolling_7d_orders": F.sum("order_count").over(week), "rolling_7d_revenue": F.sum(cents).over(week) / 100.0,
@@ -125,21 +134,35 @@ def m3_daily_movements(t: Tables) -> DataFrame:
     return inside.groupBy(*DAY).agg(F.count(F.lit(1)).alias("movement_event_count"), *each)
 
 
+NET = {
+    "net_on_hand_change": "receipt_units - shipment_units", "net_reserved_change": "reservation_units - release_units - shipment_units",
+    "net_available_change": "receipt_units - reservation_units + release_units",
+}
+
+
 def m3_daily_ledger(t: Tables) -> DataFrame:
+    return blocks.own(ledger_in_blocks(t))
+
+
+def ledger_in_blocks(t: Tables) -> DataFrame:
     moved = m3_daily_movements(t)
-    joined = m2_daily_demand(t).join(moved, DAY, "left")
+    joined = demand_in_blocks(t).join(blocks.with_halo(moved, "demand_date").drop(blocks.OWN), [*DAY, blocks.BLOCK], "left")
     joined = joined.withColumns({c: zero(c) for c in moved.columns if c not in DAY})
-    return joined.withColumns({
-        "net_on_hand_change": F.expr("receipt_units - shipment_units"), "net_reserved_change": F.expr("reservation_units - release_units - shipment_units"),
-        "net_available_change": F.expr("receipt_units - reservation_units + release_units"),
-    })
+    return joined.withColumns({name: F.expr(net) for name, net in NET.items()})
 
 
 def m3_inventory_state(t: Tables) -> DataFrame:
-    run = so_far(POSITION, "demand_date")
-    s = m3_daily_ledger(t).withColumns({"ending_on_hand_qty": F.sum("net_on_hand_change").over(run), "ending_reserved_qty": F.sum("net_reserved_change").over(run)})
+    return blocks.own(state_in_blocks(t))
+
+
+def state_in_blocks(t: Tables) -> DataFrame:
+    """Running sums inside a block, on top of what a position's moves before the block add up to."""
+    run = so_far(SPAN, "demand_date")
+    changes = m3_daily_movements(t).withColumns({name: F.expr(net) for name, net in NET.items()})
+    s = blocks.with_starts(ledger_in_blocks(t), changes, POSITION, "demand_date", {"_hand": "net_on_hand_change", "_held": "net_reserved_change"}, m2_date_spine(t))
+    s = s.withColumns({"ending_on_hand_qty": F.col("_hand") + F.sum("net_on_hand_change").over(run), "ending_reserved_qty": F.col("_held") + F.sum("net_reserved_change").over(run)}).drop("_hand", "_held")
     s = s.withColumn("ending_available_qty", F.expr("ending_on_hand_qty - ending_reserved_qty"))
-    return s.withColumns({f"prior_day_{x}_qty": lags(POSITION, "demand_date", f"ending_{x}_qty", (1,), "{}")["1"] for x in ("on_hand", "reserved", "available")})
+    return s.withColumns({f"prior_day_{x}_qty": lags(SPAN, "demand_date", f"ending_{x}_qty", (1,), "{}")["1"] for x in ("on_hand", "reserved", "available")})
 
 
 def supply(available: str, average: str):
@@ -147,8 +170,12 @@ def supply(available: str, average: str):
 
 
 def m3_warehouse_product_daily(t: Tables) -> DataFrame:
+    return blocks.own(daily_in_blocks(t))
+
+
+def daily_in_blocks(t: Tables) -> DataFrame:
     a, point = "ending_available_qty", "snapshot_reorder_point"
-    return m3_inventory_state(t).withColumns({
+    return state_in_blocks(t).withColumns({
         "is_stockout": flag(f"{a} <= 0"), "is_below_reorder_point": flag(f"{a} > 0 AND {a} <= {point}"), "requires_reorder": flag(f"{a} <= {point}"), "is_receipt_day": flag("receipt_units > 0"),
         "has_reservation_activity": flag("reservation_units > 0"), "has_shipment_activity": flag("shipment_units > 0"), "reorder_gap_units": F.expr(f"greatest({point} - {a}, 0)"),
         "reserved_inventory_pct": F.when(F.expr("ending_on_hand_qty > 0"), percent("ending_reserved_qty", "ending_on_hand_qty")),
@@ -190,19 +217,20 @@ def m4_delivery_features(t: Tables) -> DataFrame:
 
 def m5_history(t: Tables) -> DataFrame:
     kept = ["demand_date", "warehouse_id", "warehouse_code", "product_id", "sku", "category_name", "snapshot_reorder_point", "units_sold", "revenue", "ending_on_hand_qty", "ending_reserved_qty", "ending_available_qty"]
-    d = m3_warehouse_product_daily(t).select(*kept, *[f"prior_day_{x}_qty" for x in ("on_hand", "reserved", "available")], *[f"lag_{k}_units" for k in (1, 7, 14, 28)], *[f"{k}_units" for k in MOVED])
-    week, month, next7 = before(POSITION, "demand_date", 7), before(POSITION, "demand_date", 28), ahead(POSITION, "demand_date", 7)
+    d = daily_in_blocks(t).select(blocks.BLOCK, blocks.OWN, *kept, *[f"prior_day_{x}_qty" for x in ("on_hand", "reserved", "available")], *[f"lag_{k}_units" for k in (1, 7, 14, 28)], *[f"{k}_units" for k in MOVED])
+    week, month, next7 = before(SPAN, "demand_date", 7), before(SPAN, "demand_date", 28), ahead(SPAN, "demand_date", 7)
     u = F.col("units_sold")
     n, s, s2 = F.count(u).over(month), F.sum(u).over(month), F.sum(u * u).over(month)
     # The sample deviation from exact whole sums.
     deviation = F.when(n > 1, F.sqrt((n * s2 - s * s).cast("double") / (n * (n - 1)).cast("double")))
-    return d.withColumns({
+    d = d.withColumns({
         "historical_observation_days_7d": F.count(u).over(week), "historical_7d_units": F.sum(u).over(week), "historical_7d_avg_units": ratio(F.sum(u).over(week), F.count(u).over(week)),
         "historical_observation_days_28d": n, "historical_28d_units": s, "historical_28d_avg_units": ratio(s, n), "historical_28d_demand_stddev": deviation,
     } | {f"historical_7d_{k}_units": F.sum(f"{k}_units").over(week) for k in MOVED} | {
         "future_observation_days": F.count(F.lit(1)).over(next7), "future_min_available_qty_raw": F.min("ending_available_qty").over(next7),
         "future_stockout_days_raw": F.sum(flag("ending_available_qty <= 0")).over(next7), "future_reorder_breach_raw": F.max(flag("ending_available_qty <= snapshot_reorder_point")).over(next7),
-    }).drop(*[f"{k}_units" for k in MOVED])
+    })
+    return blocks.own(d.drop(*[f"{k}_units" for k in MOVED]))
 
 
 def m5_engineered(t: Tables) -> DataFrame:
