@@ -219,6 +219,44 @@ class Template:
             out = F.when(label == shown, F.lit(name)).otherwise(out)
         return out
 
+    # The same marks, read from a stream of text.
+
+    def plain(self, text: str) -> str:
+        for written, shown in reversed(self.escapes):
+            text = text.replace(shown, written)
+        return text
+
+    def turn(self, raw: str) -> tuple[str, str]:
+        """Role and text of what stands before a close mark; text without an open mark and a label is a turn without role."""
+        label, mark, text = raw.removeprefix(self.open).partition(self.after_role)
+        if not raw.startswith(self.open) or not mark:
+            return "", self.plain(raw)
+        known = {shown: name for name, shown in self.labels}
+        role = known.get(label)
+        return self.plain(label[2:].replace("\\c", ":")) if role is None else role, self.plain(text)
+
+
+class Reader:
+    """Reads a conversation's turns back from its formatted text, which comes in portions cut anywhere, and its loss mask, offsets in
+    the whole text. Only the marks say where a turn begins and ends; what is held is one turn at most."""
+
+    def __init__(self, template: Template):
+        self.template, self.end = template, template.close + "\n"
+        self.held, self.offset, self.spans, self.searched = "", 0, [], 0
+
+    def feed(self, portion: str, spans: list[tuple[int, int]]):
+        """(role, text, loss text) of every turn that ends in what has come so far."""
+        self.held += portion
+        self.spans += spans
+        while (at := self.held.find(self.end, max(0, self.searched - len(self.end)))) >= 0:
+            raw, upto = self.held[:at], self.offset + at
+            role, text = self.template.turn(raw)
+            own = [s for s in self.spans if s[0] <= upto]
+            self.spans = self.spans[len(own) :]
+            yield role, text, "".join(self.template.plain(raw[a - self.offset : b - self.offset]) for a, b in own)
+            self.held, self.offset, self.searched = self.held[at + len(self.end) :], upto + len(self.end), 0
+        self.searched = len(self.held)
+
 
 def format_turns(turns: DataFrame, template: Template = Template()) -> DataFrame:
     """Each turn as ``formatted``, with ``loss_start`` and ``loss_end`` (code points in it; equal where no loss)."""
@@ -261,9 +299,8 @@ def report(*sources: DataFrame, template: Template = Template()) -> DataFrame:
     import pyarrow as pa
 
     formatted = format_turns(canonical_turns(*sources), template)
-    # Order is taken from the canonical rows, everything else from the formatted text and its mask.
+    # Order is taken from the canonical rows, everything else from the conversation's text and its mask.
     placed = formatted.repartition("conv_id").sortWithinPartitions(F.col("conv_id").asc_nulls_first(), F.col("turn").asc_nulls_first(), "role", "text")
-    back = read_turns(placed.select("conv_id", "formatted", "loss_start", "loss_end"), template)
 
     def digest(parts):
         names = ("conv_id", "n_turns", "turns_sha256", "loss_chars", "loss_sha256", "formatted_chars")
@@ -276,15 +313,17 @@ def report(*sources: DataFrame, template: Template = Template()) -> DataFrame:
             return pa.RecordBatch.from_arrays([pa.array(c, pa.string() if n.endswith("256") else pa.int64()) for n, c in zip(names, zip(*rows, strict=True), strict=True)], names=list(names))
 
         for part in parts:
-            for conv, role, text, loss, chars in zip(*(part.column(k).to_pylist() for k in range(5)), strict=True):
+            for conv, text, start, stop in zip(*(part.column(k).to_pylist() for k in range(4)), strict=True):
                 if own is None or own[0] != conv:
                     done += [end()] if own else []
-                    own = [conv, 0, hashlib.sha256(), 0, hashlib.sha256(), 0]
-                own[1] += 1
-                own[2].update(f"{role}\n{text}\n".encode())
-                own[3] += len(loss)
-                own[4].update(loss.encode())
-                own[5] += chars
+                    own, reader = [conv, 0, hashlib.sha256(), 0, hashlib.sha256(), 0], Reader(template)
+                mask = [(own[5] + start, own[5] + stop)] if stop > start else []
+                own[5] += len(text)
+                for role, said, loss in reader.feed(text, mask):
+                    own[1] += 1
+                    own[2].update(f"{role}\n{said}\n".encode())
+                    own[3] += len(loss)
+                    own[4].update(loss.encode())
             if len(done) > 1000:
                 yield batch(done)
                 done = []
@@ -292,4 +331,4 @@ def report(*sources: DataFrame, template: Template = Template()) -> DataFrame:
         if done:
             yield batch(done)
 
-    return back.select("conv_id", "role", "text", "loss_text", F.length("formatted").cast("long").alias("chars")).mapInArrow(digest, REPORT)
+    return placed.select("conv_id", "formatted", "loss_start", "loss_end").mapInArrow(digest, REPORT)

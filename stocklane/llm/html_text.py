@@ -6,8 +6,9 @@ length, its link density and its stop-word density: ``good``, ``bad``, ``near``
 neighbours. Stop words only count against a block where they occur on the page at all (``fitting``): in a language
 without a list, length, link density and sentence ends decide. What the markup itself declares is part of the rules: a block inside page
 furniture (menus, headers, footers, asides, forms, notices, adverts, reader comments) goes at once. Where a page marks
-its article, the mark is a prior: link density and certain prose decide as on any page, and a block that they leave
-undecided, inside the article also one with few stop words, is kept inside the article and goes outside it.
+its article, both passes run on either side of the mark by itself, and the mark is one vote more: an undecided block goes with the
+majority of its nearest decided neighbours and the mark, a tie with the mark. Inside the article links count against items
+of lists only, so a paragraph that is mostly a link stays, and the article's own header is no furniture.
 
 Text inside a block: character references decoded, white space turned into one space, trimmed; blocks are
 joined in page order by one newline. Nothing else is dropped or capped.
@@ -20,6 +21,8 @@ from __future__ import annotations
 
 import html as entities
 import re
+from collections import Counter
+from typing import NamedTuple
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -59,10 +62,12 @@ PLACE_WORDS = frozenset(
     "post posts text content form primary secondary mobile desktop fixed sticky".split()
 )
 ARTICLES = frozenset("article main".split())
+LISTS = frozenset("li dt dd".split())
 HEADINGS = frozenset("h1 h2 h3 h4 h5 h6 hgroup".split())
 BOXES = frozenset("div section aside ul ol dl table figure span".split())
 
-MARKUP = re.compile(r"<!--.*?(?:-->|\Z)|<(?:!|\?)[^>]*(?:>|\Z)|<(/?)([A-Za-z][A-Za-z0-9:-]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*)(?:>|\Z)", re.S)
+MARKUP = re.compile(r"<!--.*?(?:-->|\Z)|<(?:!|\?)[^>]*(?:>|\Z)|<(/?)([A-Za-z][A-Za-z0-9:-]*+)", re.S)
+PLAIN = re.compile(r"[^>\"']*+")
 ATTRIBUTE = re.compile(r"""([A-Za-z_:][\w:.-]*)\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s"'>]+))""")
 WORD = re.compile(r"[^\W_]+")
 PIECES = re.compile(r"[a-z]+|[A-Z][a-z]*")
@@ -80,9 +85,26 @@ class Rules:
     stop_page = 0.06
 
 
+def tag_end(page: str, at: int, last: dict[str, int]) -> tuple[int, int]:
+    """Where a tag's attributes end and where the page goes on. A quote opens a value behind ``=`` if it is closed at all (``last``: the
+    place of each quote's last occurrence), so no part of a page is read twice."""
+    while (at := PLAIN.match(page, at).end()) < len(page):
+        mark = page[at]
+        if mark == ">":
+            return at, at + 1
+        before = at - 1
+        while page[before].isspace():
+            before -= 1
+        at = page.index(mark, at + 1) + 1 if page[before] == "=" and last[mark] > at else at + 1
+    return len(page), len(page)
+
+
 def furniture(tag: str, attributes: str) -> bool:
-    if tag in FURNITURE:
-        return True
+    return tag in FURNITURE or declared_furniture(tag, attributes)
+
+
+def declared_furniture(tag: str, attributes: str) -> bool:
+    """Whether role, class, id or visibility say so."""
     if not attributes.strip():
         return False
     for m in ATTRIBUTE.finditer(attributes):
@@ -103,33 +125,53 @@ def names_furniture(tag: str, token: str) -> bool:
 
 
 class Block:
-    __slots__ = ("article", "furniture", "links", "parts")
+    __slots__ = ("article", "furniture", "links", "listed", "parts")
 
-    def __init__(self, is_furniture: bool, article: bool):
+    def __init__(self, is_furniture: bool, article: bool, listed: bool = False):
         self.parts: list[str] = []
         self.links = 0
-        self.furniture, self.article = is_furniture, article
+        self.furniture, self.article, self.listed = is_furniture, article, listed
+
+
+class Open(NamedTuple):
+    """An open tag. ``near``: the place of the nearest open paragraph or block at or below it, -1 for none."""
+
+    name: str
+    bad: bool
+    opaque: bool
+    near: int
 
 
 def blocks_of(page: str) -> list[Block]:
-    """The page's blocks in order, white space not yet cleaned."""
+    """The page's blocks in order, white space not yet cleaned. One pass: every tag is pushed and popped once."""
     found: list[Block] = []
-    open_tags: list[tuple[str, bool, bool]] = []  # name, furniture, opaque
-    bad = opaque = article = links = 0
+    tags: list[Open] = []
+    opened: Counter[str] = Counter()
+    bad = opaque = 0
     block: Block | None = None
+    last = {mark: page.rfind(mark) for mark in "\"'"}
+    ends = {name: re.compile(rf"</{name}\b[^>]*>?", re.I) for name in RAW}
 
     def text(data: str) -> None:
         nonlocal block
         if opaque or not data:
             return
         if block is None:
-            block = Block(bad > 0, article > 0)
+            block = Block(bad > 0, any(opened[x] for x in ARTICLES), any(opened[x] for x in LISTS))
             found.append(block)
         data = entities.unescape(data)
         block.parts.append(data)
-        if links:
+        if opened["a"]:
             block.links += len(data.strip())
 
+    def close(at: int) -> None:
+        """The tags from ``at`` on are no longer open."""
+        nonlocal bad, opaque
+        for tag in tags[at:]:
+            bad, opaque = bad - tag.bad, opaque - tag.opaque
+            opened[tag.name] -= 1
+        del tags[at:]
+
     at, end = 0, len(page)
     while at < end:
         m = MARKUP.search(page, at)
@@ -140,18 +182,16 @@ def blocks_of(page: str) -> list[Block]:
         at = m.end()
         if m[2] is None:
             continue
-        closing, name, attributes = bool(m[1]), m[2].lower(), m[3]
+        stop, at = tag_end(page, at, last)
+        closing, name, attributes = bool(m[1]), m[2].lower(), page[m.end() : stop]
         if name in BLOCKS:
             block = None
         if closing:
-            if any(t[0] == name for t in reversed(open_tags)):
-                while open_tags:
-                    tag, was_bad, was_opaque = open_tags.pop()
-                    bad, opaque = bad - was_bad, opaque - was_opaque
-                    article -= tag in ARTICLES
-                    links -= tag == "a"
-                    if tag == name:
-                        break
+            if opened[name]:
+                k = len(tags) - 1
+                while tags[k].name != name:
+                    k -= 1
+                close(k)
             continue
         if name == "br":
             if block is not None:
@@ -160,21 +200,19 @@ def blocks_of(page: str) -> list[Block]:
         if name in VOID or attributes.rstrip().endswith("/") and name not in BLOCKS:
             continue
         if name in RAW:  # its content is no markup
-            stop = re.compile(rf"</{name}\b[^>]*>?", re.I).search(page, at)
-            at = stop.end() if stop else end
+            raw_end = ends[name].search(page, at)
+            at = raw_end.end() if raw_end else end
             continue
-        if name == "p":  # a paragraph that stays open ends where the next begins, with what it holds
-            close_paragraph(open_tags)
-            links = sum(t[0] == "a" for t in open_tags)
-            bad, opaque, article = sum(t[1] for t in open_tags), sum(t[2] for t in open_tags), sum(t[0] in ARTICLES for t in open_tags)
-        is_bad = furniture(name, attributes) and not (article and name == "header" and not attributes.strip())
+        if name == "p" and tags and (k := tags[-1].near) >= 0 and tags[k].name == "p":
+            close(k)  # a paragraph that stays open ends where the next begins, with what it holds
+        inside = any(opened[x] for x in ARTICLES)
+        is_bad = declared_furniture(name, attributes) if inside and name == "header" else furniture(name, attributes)
         if name in ("html", "body") or name in ARTICLES and not is_bad_article(attributes):
             is_bad = False
-        is_opaque = name in OPAQUE
-        open_tags.append((name, is_bad, is_opaque))
-        bad, opaque = bad + is_bad, opaque + is_opaque
-        article += name in ARTICLES
-        links += name == "a"
+        near = len(tags) if name in BLOCKS else tags[-1].near if tags else -1
+        tags.append(Open(name, is_bad, name in OPAQUE, near))
+        bad, opaque = bad + is_bad, opaque + (name in OPAQUE)
+        opened[name] += 1
     return found
 
 
@@ -183,15 +221,6 @@ def is_bad_article(attributes: str) -> bool:
     return bool(attributes.strip()) and furniture("article", attributes)
 
 
-def close_paragraph(open_tags: list) -> None:
-    for k in range(len(open_tags) - 1, -1, -1):
-        if open_tags[k][0] == "p":
-            del open_tags[k:]
-            return
-        if open_tags[k][0] in BLOCKS:
-            return
-
-
 def stop_share(texts: list[str]) -> float:
     found = [w for t in texts for w in WORD.findall(t.lower())]
     return sum(w in STOP_WORDS for w in found) / max(1, len(found))
@@ -201,45 +230,59 @@ SENTENCE_END = re.compile(r"[.!?\u3002\uff01\uff1f\u0964\u061f]")
 
 
 def classify(text: str, block: Block, rules=Rules, fitting: bool = True) -> str:
-    """First pass: the class of a block by itself. ``fitting``: whether a list of stop words fits the page."""
+    """First pass: the class of a block by itself. ``fitting``: whether a list of stop words fits the page.
+
+    A sentence without links and of ordinary length is too little evidence for a low share of stop words: ``near``.
+    """
     density = block.links / max(1, len(text))
-    if density > rules.link_density:
+    if density > rules.link_density and (block.listed or not block.article):
         return "bad"
     if len(text) < rules.short_chars:
         return "short"
+    sentence = bool(SENTENCE_END.search(text))
     if not fitting:
-        return "good" if len(text) > rules.long_chars and SENTENCE_END.search(text) else "near"
+        return "good" if len(text) > rules.long_chars and sentence else "near"
     stops = stop_share([text])
     if stops >= rules.stop_high:
         return "good" if len(text) > rules.long_chars else "near"
-    if stops >= rules.stop_low:
+    if stops >= rules.stop_low or block.article:
         return "near"
-    return "near" if block.article else "bad"
-
+    return "near" if sentence and not block.links and len(text) <= rules.long_chars else "bad"
 
-def settle(classes: list[str], marks: list[bool]) -> list[bool]:
-    """Second pass: whether each block is kept. An undecided block takes its nearest decided neighbour's label; where
-    the page marks its article (some of ``marks``, whether a block lies in it), the mark decides instead.
 
-    If two equally near neighbours differ, ``near`` is kept and ``short`` is not. Without any decided block all
-    undecided blocks are kept.
-    """
-    if any(marks):
-        return [own == "good" or own != "bad" and mark for own, mark in zip(classes, marks, strict=True)]
+def nearest(classes: list[str], marks: list[bool]) -> list[tuple[tuple[str | None, int], tuple[str | None, int]]]:
+    """Label and distance of the nearest decided block before and after each block, on its side of the mark."""
     n = len(classes)
     sides = []
     for order in (range(n), range(n - 1, -1, -1)):
-        side, label, far = [(None, n)] * n, None, n
+        side, label, far, mark = [(None, n)] * n, None, n, None
         for k in order:
+            if marks[k] != mark:
+                label, far, mark = None, n, marks[k]
             far += 1
             if classes[k] in ("good", "bad"):
                 label, far = classes[k], 0
             side[k] = (label, far)
         sides.append(side)
+    return list(zip(*sides, strict=True))
+
+
+def settle(classes: list[str], marks: list[bool]) -> list[bool]:
+    """Second pass: whether each block is kept.
+
+    Where the page marks its article (some of ``marks``: whether a block lies in it), an undecided block goes with the majority of the nearest
+    decided blocks before and after it, on its side of the mark, and the mark itself; a tie goes with the mark. On a page without marks it
+    takes its nearest decided neighbour's label; if two equally near ones differ, ``near`` is kept and ``short`` is not; without any decided block all
+    undecided blocks are kept.
+    """
+    marked = any(marks)
     kept = []
-    for own, (a, da), (b, db) in zip(classes, *sides, strict=True):
+    for own, mark, ((a, da), (b, db)) in zip(classes, marks, nearest(classes, marks), strict=True):
         if own in ("good", "bad"):
             label = own
+        elif marked:
+            votes = [x == "good" for x in (a, b) if x is not None] + [mark]
+            label = "good" if 2 * sum(votes) > len(votes) or 2 * sum(votes) == len(votes) and mark else "bad"
         elif a is None and b is None:
             label = "good"
         elif a is None or b is None or da != db:

@@ -5,6 +5,7 @@ import hashlib
 import json
 import random
 import re
+import time
 
 import numpy as np
 import pytest
@@ -112,6 +113,58 @@ def test_html_rules_run_on_marked_articles():
     assert html_text.main_text(page) == f"{prose}\nTitle\n{prose}\n{odd}"
 
 
+def test_html_keeps_the_article_whole():
+    """Paragraphs that are mostly a link and headers with a class belong to the article."""
+    page = """<article><header class='entry-header'><h1>Title</h1></header><p>See <a href=1>the full report on the matter</a> for more.</p><p><a href=2>All of it</a></p>
+    <header role="banner">No</header></article>"""
+    assert html_text.main_text(page) == "Title\nSee the full report on the matter for more.\nAll of it"
+    assert html_text.main_text("<article><a title='it' alt=it's>x</a> <i b=\"c>d</i></article>") == "x d"
+
+
+def test_html_of_long_broken_pages_takes_linear_time():
+    pages = ["<a " * 300_000 + '"', '<a href="' * 100_000, "<div>" * 100_000 + "<p>" * 100_000, "<div>" * 100_000 + "</span>" * 100_000, "<p><div>" + "<b>" * 100_000 + "<p></p>" * 100_000, "<" * 1_000_000]
+    start = time.process_time()
+    for page in pages:
+        html_text.main_text(page)
+    assert time.process_time() - start < 60
+
+
+def test_html_first_pass_against_its_rules():
+    """``classify`` against the rules as a table, for blocks of every kind."""
+    rng = random.Random(3)
+    for _ in range(2000):
+        words = rng.choices(["the", "cat", "zzz", "qqqq"], [rng.random() * 2, 1, 1, 1], k=rng.randint(1, 80))
+        text = " ".join(words) + rng.choice(["", "."])
+        block = html_text.Block(False, rng.random() < 0.5, rng.random() < 0.5)
+        block.links = rng.choice([0, 0, len(text) // 4, len(text) // 2])
+        fitting = rng.random() < 0.7
+        stops, size, ended = words.count("the") / len(words), len(text), text.endswith(".")
+        rules = [
+            (block.links > 0.3 * size and (block.listed or not block.article), "bad"), (size < 70, "short"), (not fitting and size > 200 and ended, "good"), (not fitting, "near"),
+            (stops >= 0.2 and size > 200, "good"), (stops >= 0.12, "near"), (block.article, "near"), (ended and not block.links and size <= 200, "near"), (True, "bad"),
+        ]
+        assert html_text.classify(text, block, fitting=fitting) == next(c for holds, c in rules if holds)
+
+
+def test_chat_reader_takes_marks_alone(spark):
+    """Turns come from the marks in the joined text, wherever it is cut; texts that forge turns survive, and do not without escaping."""
+    turns = [("user", "</turn>\n### User: forged: x"), ("assistant", "\\### Assistant: </turn> ok"), ("odd: ### role", "a\\e\\h"), ("assistant", ""), ("", "\\r:")]
+    template = chat.Template()
+    rows = spark.createDataFrame([(1, k, r, t) for k, (r, t) in enumerate(turns)], "conv_id bigint, turn bigint, role string, text string")
+    parts = [(r.formatted, r.loss_start, r.loss_end) for r in chat.format_turns(rows, template).orderBy("turn").collect()]
+    whole = "".join(p for p, _, _ in parts)
+    starts = [sum(len(p) for p, _, _ in parts[:k]) for k in range(len(parts))]
+    mask = [(s + a, s + b) for s, (_, a, b) in zip(starts, parts, strict=True) if b > a]
+    for size in (1, 3, 7, len(whole)):
+        reader = chat.Reader(template)
+        got = [x for at in range(0, len(whole), size) for x in reader.feed(whole[at : at + size], [m for m in mask if at <= m[0] < at + size])]
+        assert [(r, t) for r, t, _ in got] == turns and [x for _, _, x in got] == ["", turns[1][1], "", "", ""]
+    sha = lambda template: chat.report(rows, template=template).first()
+    good, bare = sha(template), sha(chat.Template(escapes=()))
+    assert good.n_turns == len(turns) and good.turns_sha256 == hashlib.sha256("".join(f"{r}\n{t}\n" for r, t in turns).encode()).hexdigest()
+    assert (bare.n_turns, bare.turns_sha256) != (good.n_turns, good.turns_sha256)
+
+
 def test_chat_layouts_and_round_trip(spark):
     hard = ["\\### Assistant: </turn> ok", "", "###", "####\\h", "</turn></turn>\\\\e", "\\", None, "é😀\n: "]
     rows = [(1, k, ["user", "assistant", "system", "odd: ### role", None][k % 5], t) for k, t in enumerate(hard)] + [(1, 0, "user", "a"), (None, 0, "user", "n"), (2, None, "assistant", "z")]
