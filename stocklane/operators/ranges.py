@@ -36,9 +36,9 @@ def ranks(df: DataFrame, keys: list[str], order: list[str | Column], name: str =
     return with_runs(parts, runs, keys).withColumn(name, F.expr("_at - _first + _before + 1")).drop("_part", "_at", "_first", "_before")
 
 
-def dense_ranks(df: DataFrame, order: list[Column], value: list[str], name: str) -> DataFrame:
-    """Dense ranks from 1 of the distinct values ``value``, which ``order`` sorts: only distinct values are ranked."""
-    found = ranks(df.select(*value).distinct(), [], order, "_dense")
+def dense_ranks(df: DataFrame, order: list[Column], value: list[str], name: str, among: DataFrame | None = None) -> DataFrame:
+    """Dense ranks from 1 of the values ``value``, which ``order`` sorts, among those of ``among`` (``df`` itself). Only distinct values are ranked."""
+    found = ranks((df if among is None else among).select(*value).distinct(), [], order, "_dense")
     found = found.select(*[F.col(v).alias(f"_of_{v}") for v in value], F.col("_dense"))
     on = F.lit(True)
     for v in value:
@@ -46,6 +46,24 @@ def dense_ranks(df: DataFrame, order: list[Column], value: list[str], name: str)
     return df.join(found, on).withColumn(name, F.col("_dense")).drop("_dense", *[f"_of_{v}" for v in value])
 
 
+def quantiles(df: DataFrame, keys: list[str], column: str, points: dict[str, float]) -> DataFrame:
+    """Exact quantiles of ``column`` for each of ``keys``, interpolated between neighbours. ``points``: new column to share.
+
+    Equal values are counted first, and running counts over ranges of values find the ranks, so no key's values meet in one task.
+    """
+    counted = df.where(F.col(column).isNotNull()).groupBy(*keys, F.col(column).alias("_x")).agg(F.count(F.lit(1)).alias("_k"))
+    upto = running(counted, keys, ["_x"], {"_upto": "_k"})
+    sizes = upto.groupBy(*keys).agg(F.max("_upto").alias("_size")).withColumnsRenamed({k: f"_of_{k}" for k in keys})
+    on = F.lit(True)
+    for k in keys:
+        on = on & F.col(k).eqNullSafe(F.col(f"_of_{k}"))
+    at = {name: F.lit(p) * (F.col("_size") - 1) for name, p in points.items()}
+    met = upto.join(sizes, on).groupBy(*keys, "_size")
+    ends = met.agg(*[F.min(F.when(F.col("_upto") > rank(at[name]), F.col("_x"))).alias(f"_{side}_{name}") for name in points for side, rank in (("lo", F.floor), ("hi", F.ceil))])
+    part = lambda name: at[name] - F.floor(at[name])
+    return ends.select(*keys, *[((1 - part(name)) * F.col(f"_lo_{name}") + part(name) * F.col(f"_hi_{name}")).alias(name) for name in points])
+
+
 def running(df: DataFrame, keys: list[str], order: list[str | Column], sums: dict[str, str]) -> DataFrame:
     """Running sums within ``keys`` by ``order``, the row itself included. ``sums``: new column to summed column."""
     parts = placed(df, [*[F.col(k).asc_nulls_first() for k in keys], *order])

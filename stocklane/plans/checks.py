@@ -90,10 +90,12 @@ def preview_text(name: str) -> str:
 
 
 def position_grain(df: DataFrame, name: str) -> DataFrame:
-    return df.agg(
-        F.count(F.lit(1)).alias("model_rows"), F.count_distinct("demand_date").alias("calendar_days"), F.count_distinct(F.struct("warehouse_id", "product_id")).alias(name),
-        (F.count(F.lit(1)) - F.count_distinct(F.struct("demand_date", "warehouse_id", "product_id"))).alias("duplicate_grain_rows"),
-    )
+    """Rows, days, positions and repeated keys from one count by key, the only exchange of the model's rows; both sums read its columns alike, so
+    Spark reuses it."""
+    per = df.groupBy("demand_date", "warehouse_id", "product_id").agg(F.count(F.lit(1)).alias("k"))
+    days = per.groupBy("demand_date").agg(F.sum("k").alias("k")).agg(F.coalesce(F.sum("k"), F.lit(0)).alias("model_rows"), F.count("demand_date").alias("calendar_days"))
+    places = per.groupBy("warehouse_id", "product_id").agg(F.sum("k").alias("k"), F.count(F.lit(1)).alias("keys"))
+    return beside(days, places.agg(F.count(F.lit(1)).alias(name), (F.coalesce(F.sum("k"), F.lit(0)) - F.coalesce(F.sum("keys"), F.lit(0))).alias("duplicate_grain_rows")))
 
 
 def position_grain_text(view: str, name: str) -> str:

@@ -6,7 +6,9 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from stocklane.functions.columns import count_where, flag, mean_seconds, money, percent, ratio, rounded, sum_where, zero
+from stocklane.operators.ranges import dense_ranks, quantiles
 from stocklane.operators.series import first_times, share
+from stocklane.operators.storage import materialize
 from stocklane.plans.checks import beside
 from stocklane.plans.oracle.binding import div, mean as text_mean, mean_span, n, pct, r, secs, total
 from stocklane.plans.oracle.views import bit
@@ -101,9 +103,13 @@ def a3_top_products(t: Tables) -> DataFrame:
         "shipment_exception_rate_pct": percent(zero("exception_shipments"), "shipments"), "late_delivery_rate_pct": percent(zero("late_deliveries"), "delivered_shipments"),
     })
     a = a.withColumns({c: zero(c) for part in (sold, sent, stock) for c in part.columns if c != "product_id"})
-    # Ranks are over all products: a table of the catalogue's size, not of the orders'.
-    rank = lambda c: F.dense_rank().over(Window.partitionBy(F.lit(1)).orderBy(F.desc(c)))
-    return a.withColumns({"revenue_rank": rank("fulfilled_revenue"), "unit_demand_rank": rank("fulfilled_units")}).orderBy(F.desc("fulfilled_revenue"), "product_id").limit(20)
+    # The first products by revenue, ranked among the distinct values of the whole catalogue.
+    a = materialize(a, "top_products")
+    order = [F.desc("fulfilled_revenue"), F.asc("product_id")]
+    top = a.orderBy(*order).limit(20)
+    for name, column in (("revenue_rank", "fulfilled_revenue"), ("unit_demand_rank", "fulfilled_units")):
+        top = dense_ranks(top, [F.desc(column)], [column], name, among=a).withColumn(name, F.col(name).cast("int"))
+    return top.orderBy(*order)
 
 
 def demand_by_position(t: Tables) -> DataFrame:
@@ -259,8 +265,10 @@ def failures() -> dict:
 
 
 def a6_carrier(t: Tables) -> DataFrame:
-    at = lambda p: rounded(F.percentile("actual_transit_hours", F.lit(p)))
-    c = a6_shipping_base(t).groupBy("carrier").agg(*sent(), *costs(), F.sum("on_time_flag").alias("on_time_deliveries"), at(0.5).alias("median_transit_hours"), at(0.95).alias("p95_transit_hours"), mean_seconds("expected_delivery_at", "delivered_at", 3600, F.col("late_flag") == 1).alias("avg_late_delay_hours"))
+    base = a6_shipping_base(t)
+    c = base.groupBy("carrier").agg(*sent(), *costs(), F.sum("on_time_flag").alias("on_time_deliveries"), mean_seconds("expected_delivery_at", "delivered_at", 3600, F.col("late_flag") == 1).alias("avg_late_delay_hours"))
+    middle = quantiles(base, ["carrier"], "actual_transit_hours", {"median_transit_hours": 0.5, "p95_transit_hours": 0.95}).withColumnRenamed("carrier", "of")
+    c = c.join(middle, c["carrier"].eqNullSafe(middle["of"]), "left").drop("of").withColumns({x: rounded(x) for x in ("median_transit_hours", "p95_transit_hours")})
     return c.withColumns(success() | failures() | {"shipment_share_pct": share("shipments"), "on_time_delivery_rate_pct": percent("on_time_deliveries", "delivered")}).orderBy(F.desc("shipments"), "carrier")
 
 

@@ -2,6 +2,7 @@ from __future__ import annotations
 
 import glob
 import os
+import re
 from datetime import datetime
 from decimal import Decimal
 
@@ -10,7 +11,7 @@ import pytest
 from pyspark.sql import functions as F
 
 import __spark_entry__
-from stocklane.operators import quality, series, storage
+from stocklane.operators import blocks, quality, ranges, series, storage
 from stocklane.plans import features, registry
 from stocklane.sources import files, versions
 from stocklane.sources.binding import Tables
@@ -245,3 +246,52 @@ def test_raw_tables_are_read_once_for_all_models(spark):
     plan = lambda name: registry.QUERIES[name](spark, SF)._jdf.queryExecution().optimizedPlan().toString()
     for name in ("m3_warehouse_product_daily", "m5_risk_features", "a1_executive_kpis", "dq_report"):
         assert "l_orderkey" not in plan(name)
+
+
+def test_windows_of_blocks_equal_windows_of_the_whole(spark):
+    """Lags, rolling sums, windows ahead and running sums of a series of 700 days, and of one that begins late."""
+    days = spark.range(700).selectExpr("date_add(DATE'2024-11-20', CAST(id AS INT)) AS day", "id AS i")
+    rows = days.selectExpr("1 AS k", "day", "i * 7919 % 101 AS v").unionByName(days.where("i > 300").selectExpr("2 AS k", "day", "i % 13 AS v"))
+    changes = rows.where("v % 3 = 0 AND (k = 1 OR v = 6)").withColumn("c", F.col("v") - 40)
+    whole = rows.join(changes.select("k", "day", "c"), ["k", "day"], "left").fillna(0, ["c"])
+
+    def measured(df, keys, start):
+        w = lambda f, n: f(keys, "day", n)
+        return df.withColumns(series.lags(keys, "day", "v", (1, 28)) | {
+            "back": F.sum("v").over(w(series.before, 28)), "next": F.max("v").over(w(series.ahead, 7)), "run": start + F.sum("c").over(series.so_far(keys, "day")),
+        })
+
+    cut = blocks.with_starts(blocks.with_halo(whole, "day"), changes, ["k"], "day", {"_start": "c"}, days)
+    got = blocks.own(measured(cut, ["k", blocks.BLOCK], F.col("_start")).drop("_start"))
+    want = measured(whole, ["k"], F.lit(0))
+    assert sorted(map(tuple, got.collect()), key=str) == sorted(map(tuple, want.select(got.columns).collect()), key=str)
+    assert cut.select("k", blocks.BLOCK).distinct().count() >= 9
+
+
+def test_daily_models_do_not_gather_a_position(spark):
+    """No exchange or window of the dense models goes by position alone."""
+    for name in ("m2_daily_demand", "m3_warehouse_product_daily", "m5_risk_features"):
+        plan = registry.QUERIES[name](spark, SF)._jdf.queryExecution().executedPlan().toString()
+        windows = re.findall(r"Window \[.*?\], \[([^\]]*)\], \[demand_date", plan)
+        assert windows and all("_block" in w for w in windows), name
+
+
+def test_ranks_and_running_sums_of_one_long_group(spark):
+    """A group of 20,000 rows, ties and null keys; the rows of one key stand in several ranges."""
+    spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")
+    try:
+        rows = spark.range(20_000).selectExpr("CASE WHEN id % 100 = 0 THEN NULL WHEN id % 50 = 1 THEN 'b' ELSE 'a' END AS k", "id DIV 2 AS o", "id % 7 - 3 AS v")
+        got = ranges.running(rows.withColumn("id", F.monotonically_increasing_id()), ["k"], ["o", "id"], {"total": "v"})
+        ranked = ranges.ranks(rows, ["k"], ["o"], "n")
+        parts = ranges.placed(rows, ["k", "o"])
+        assert parts.where("k = 'a'").select("_part").distinct().count() > 1
+    finally:
+        spark.conf.unset("spark.sql.adaptive.coalescePartitions.enabled")
+    frame = got.toPandas().sort_values(["o", "id"])
+    assert (frame.groupby("k", dropna=False).v.cumsum() == frame.total).all() and len(frame) == 20_000
+    numbers = ranked.toPandas()
+    for _, own in numbers.groupby("k", dropna=False):
+        assert sorted(own.n) == list(range(1, len(own) + 1)) and own.sort_values("n").o.is_monotonic_increasing
+    assert ranges.running(rows.limit(0), ["k"], ["o"], {"total": "v"}).count() == ranges.ranks(rows.limit(0), [], ["o"]).count() == 0
+    dense = ranges.dense_ranks(rows, [F.desc_nulls_last("k")], ["k"], "d").groupBy("k").agg(F.min("d").alias("d"), F.max("d").alias("e")).collect()
+    assert {(r.k, r.d, r.e) for r in dense} == {("b", 1, 1), ("a", 2, 2), (None, 3, 3)}
