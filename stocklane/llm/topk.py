@@ -3,7 +3,7 @@
 Each vector is cut into ``slices`` blocks of dimensions; a slice of all candidates is one score list, held in
 partitions, and a candidate's score is the sum of its entries over the lists. For a block of queries:
 
-1. every partition of every list sends its k best entries of each query; the exact scores of the candidates seen
+1. every task sends, once, the k best entries of each query in its portion of every list; the exact scores of the candidates seen
    give each query a cutoff that its k-th best cannot be below;
 2. the cutoff over the number of slices goes to all partitions, which send every entry at or above it. A candidate
    without such an entry stays below the cutoff, so it is safe to leave out;
@@ -85,12 +85,16 @@ def search_block(groups: DataFrame, asked: pa.Table, dims: int, k: int, slices:
     matrix = rows_to_matrix(asked["vec"].combine_chunks(), dims)
     cuts = bounds(dims, slices)
     shared = spark.sparkContext.broadcast((ids, matrix))
-    # One list for each slice: a task holds rows of one slice only.
+    # One list for each slice; a task holds a portion of every list.
     lists = groups.select("g", F.size("ids").alias("n"), "ids", F.posexplode(F.array(*[F.slice("vec", a + 1, b - a) for a, b in cuts])).alias("slice", "part"))
 
+    def entries(q: np.ndarray, s: int, g: np.ndarray, score: np.ndarray) -> pa.RecordBatch:
+        return pa.RecordBatch.from_arrays([pa.array(q.astype(np.int32)), pa.array(np.full(len(q), s, np.int32)), pa.array(g), pa.array(score)], names=["q", "slice", "g", "score"])
+
     def local(best_only: bool, cutoff=None):
         def run(parts):
             own_ids, own = shared.value
+            best: dict[int, tuple[np.ndarray, np.ndarray]] = {}  # of each list the best scores and their candidates, a row a query
             for batch in parts:
                 for at in range(0, batch.num_rows, CHUNK):
                     rows = batch.slice(at, CHUNK)
@@ -103,12 +107,17 @@ def search_block(groups: DataFrame, asked: pa.Table, dims: int, k: int, slices:
                         score = products(own[:, a:b], rows_to_matrix(sub.column(4), b - a))
                         g = np.asarray(sub.column(0), dtype=np.int64)
                         if best_only:  # k + 1 entries: one of them may be the query itself
+                            held = np.broadcast_to(g, score.shape)
+                            if s in best:
+                                score, held = np.concatenate([best[s][0], score], axis=1), np.concatenate([best[s][1], held], axis=1)
                             n = min(k + 1, score.shape[1])
-                            j = np.argpartition(-score, n - 1, axis=1)[:, :n].ravel()
-                            i = np.repeat(np.arange(len(own_ids)), n)
+                            j = np.argpartition(-score, n - 1, axis=1)[:, :n]
+                            best[s] = np.take_along_axis(score, j, axis=1), np.take_along_axis(held, j, axis=1)
                         else:
                             i, j = np.nonzero(score >= cutoff.value[:, None])
-                        yield pa.RecordBatch.from_arrays([pa.array(i.astype(np.int32)), pa.array(np.full(len(i), s, np.int32)), pa.array(g[j]), pa.array(score[i, j])], names=["q", "slice", "g", "score"])
+                            yield entries(i, s, g[j], score[i, j])
+            for s, (score, held) in best.items():
+                yield entries(np.repeat(np.arange(len(own_ids)), score.shape[1]), s, held.ravel(), score.ravel())
 
         return lists.mapInArrow(run, "q int, slice int, g bigint, score bigint")
 
