@@ -51,6 +51,7 @@ class Words:
 
     random = np.random.default_rng(11).integers(0, 2**64, 64 * 256, dtype=np.uint64, endpoint=False)
     odd = np.random.default_rng(12).integers(0, 2**63, 4096, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
+    odd[0] = 1  # a word's hash is the same beside words of any length
 
     def __init__(self, text: bytes, lang: str):
         data = np.frombuffer(text, np.uint8)
