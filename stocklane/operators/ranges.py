@@ -64,11 +64,22 @@ def quantiles(df: DataFrame, keys: list[str], column: str, points: dict[str, flo
     return ends.select(*keys, *[((1 - part(name)) * F.col(f"_lo_{name}") + part(name) * F.col(f"_hi_{name}")).alias(name) for name in points])
 
 
+def accumulate(parts: DataFrame, keys: list[str], sums: dict[str, str] | None = None, before: dict[str, str] | None = None) -> DataFrame:
+    """Of a ``placed`` frame, sorted by ``keys`` first: running sums, the row itself included, and largest values of the rows before (null for none).
+    Both map new columns to columns; the places stay, so one call can build on another."""
+    sums, before = sums or {}, before or {}
+    parts_of = parts.groupBy(*keys, "_part").agg(*[F.sum(c).alias(f"_all_{name}") for name, c in sums.items()], *[F.max(c).alias(f"_all_{name}") for name, c in before.items()])
+    runs = parts_of.withColumns(
+        {f"_before_{name}": F.coalesce(F.sum(f"_all_{name}").over(earlier(keys)), F.lit(0)) for name in sums} | {f"_before_{name}": F.max(f"_all_{name}").over(earlier(keys)) for name in before}
+    ).drop(*[f"_all_{name}" for name in (*sums, *before)])
+    own = Window.partitionBy(*keys, "_part").orderBy("_at")
+    local = parts.withColumns({name: F.sum(c).over(own.rowsBetween(Window.unboundedPreceding, 0)) for name, c in sums.items()} | {name: F.max(c).over(own.rowsBetween(Window.unboundedPreceding, -1)) for name, c in before.items()})
+    met = with_runs(local, runs, keys)
+    met = met.withColumns({name: F.col(name) + F.col(f"_before_{name}") for name in sums} | {name: F.greatest(name, f"_before_{name}") for name in before})
+    return met.drop(*[f"_before_{name}" for name in (*sums, *before)])
+
+
 def running(df: DataFrame, keys: list[str], order: list[str | Column], sums: dict[str, str]) -> DataFrame:
     """Running sums within ``keys`` by ``order``, the row itself included. ``sums``: new column to summed column."""
     parts = placed(df, [*[F.col(k).asc_nulls_first() for k in keys], *order])
-    runs = parts.groupBy(*keys, "_part").agg(*[F.sum(c).alias(f"_sum_{name}") for name, c in sums.items()])
-    runs = runs.withColumns({f"_before_{name}": F.coalesce(F.sum(f"_sum_{name}").over(earlier(keys)), F.lit(0)) for name in sums}).drop(*[f"_sum_{name}" for name in sums])
-    own = Window.partitionBy(*keys, "_part").orderBy("_at").rowsBetween(Window.unboundedPreceding, 0)
-    local = parts.withColumns({name: F.sum(c).over(own) for name, c in sums.items()})
-    return with_runs(local, runs, keys).withColumns({name: F.col(name) + F.col(f"_before_{name}") for name in sums}).drop("_part", "_at", *[f"_before_{name}" for name in sums])
+    return accumulate(parts, keys, sums).drop("_part", "_at")

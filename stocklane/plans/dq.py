@@ -262,7 +262,7 @@ BY_ROW = ("dq_not_null", "dq_domain", "dq_range", "dq_cross_column", "dq_movemen
 def dq_report(t):
     """Every check: one pass a table for the rules of a row, one query a check for the others."""
     fused = [q.violations(t.named(k), k, rules) for k, rules in row_rules(t).items()]
-    return q.combined([*fused, *(globals()[name](t) for name in CHECKS if name not in BY_ROW)])
+    return q.combined([*fused, *(globals()[name](t) for name in (*CHECKS, *DECLARED) if name not in BY_ROW)])
 
 
 #: Unique columns and references that the schema declares besides ``KEYS`` and ``REFERENCES``, and expected rows.
@@ -362,7 +362,7 @@ SUMMARIES = {
     "dq_order_summary": f"SELECT a AS orders, b AS items, {r(div('b', 'a'))} AS average_items, {pct('x', 'a')} AS cancellation_rate_pct FROM (SELECT count(*) AS a, {n("order_status = 'cancelled'")} AS x FROM c_orders), (SELECT count(*) AS b FROM c_items)",
     "dq_movement_summary": f"SELECT count(*) AS movements, {', '.join(f"{n(f"movement_type = '{k}'")} AS {k}_movements" for k in ('receipt', 'reservation', 'release', 'shipment'))}, {n("movement_type = 'receipt' AND event_ts = TIMESTAMP '2025-08-01'")} AS opening_receipts, {n("movement_type = 'receipt' AND event_ts > TIMESTAMP '2025-08-01'")} AS replenishments FROM c_movements",
     "dq_lifecycle_summary": f"SELECT count(DISTINCT order_id) FILTER (WHERE event_type = 'order_delivered') AS delivered, count(DISTINCT order_id) FILTER (WHERE event_type = 'delivery_exception') AS exceptions, count(DISTINCT order_id) FILTER (WHERE event_type = 'order_cancelled') AS cancelled, count(DISTINCT order_id) FILTER (WHERE event_type = 'inventory_released') AS post_reservation FROM c_events",
-    "dq_report": rows([x for found in CHECKS.values() for x in found]),
+    "dq_report": rows([x for found in (*CHECKS.values(), *DECLARED.values()) for x in found]),
 }
 
 

@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from stocklane.functions.columns import flag
 from stocklane.operators import lifecycle
+from stocklane.operators.ranges import accumulate, placed
 from stocklane.operators.series import chronological_ids
 from stocklane.operators.storage import materialize, new_path, once
 from stocklane.plans import models
@@ -349,49 +350,46 @@ def derive_inventory_movements(t):
 LEAST_REPLENISHMENT, FIRST_REPLENISHMENT = 50, "2025-08-01 00:00:01"
 
 
-def replay(parts):
-    """Replenishments of positions whose moves come in order: a receipt just before what stock cannot cover, else
-    reserved stock moves on. Only the running position's two balances are held, however many moves it has. A move of another
-    type or of an unknown position is an error."""
-    import pandas as pd
-
-    read = ("warehouse_id", "product_id", "movement_id", "movement_type", "quantity_change", "event_ts", "reorder_point")
-    first = pd.Timestamp(FIRST_REPLENISHMENT)
-    position, hand, held = None, 0, 0
-    for batch in parts:
-        out = []
-        for place, product, movement, kind, change, at, point in zip(*(batch[c].tolist() for c in read), strict=True):
-            if pd.isna(point):
-                raise ValueError(f"movement {movement} is of a position without inventory")
-            if position != (place, product):
-                position, hand, held = (place, product), 0, 0
-            size = abs(change)
-            if kind == "receipt":
-                hand += size
-            elif kind == "release":
-                if size > held:
-                    raise ValueError(f"movement {movement} releases more than is reserved")
-                held -= size
-            elif kind in ("reservation", "shipment"):
-                short = size - (hand - held if kind == "reservation" else hand)
-                if short > 0:
-                    amount = max(short, 2 * int(point), LEAST_REPLENISHMENT)
-                    hand += amount
-                    out.append((place, product, movement, amount, max(first, at - pd.Timedelta(seconds=1))))
-                hand, held = (hand, held + size) if kind == "reservation" else (hand - size, max(0, held - size))
-            else:
-                raise ValueError(f"movement {movement} has the type {kind}")
-        if out:
-            yield pd.DataFrame(out, columns=["warehouse_id", "product_id", "before_movement_id", "quantity_change", "event_ts"])
+POSITION = ["warehouse_id", "product_id"]
+
+
+def replenishments(moves: DataFrame) -> DataFrame:
+    """Receipts just before the moves that stock cannot cover: as much as is short, twice the reorder point or ``LEAST_REPLENISHMENT``.
+
+    Reserved units are a running sum that shipments cannot take below zero: the sum, less its least value so far at a shipment. What a
+    move lacks without replenishments (``gap``) follows from running sums too. A move falls short if its gap exceeds all replenishments before
+    it, which cover every gap before it; so only moves whose gap exceeds all earlier ones can, and a position's few such moves
+    are folded in order. Everything before that runs over ranges of moves, so a position of any length is many tasks. A move of
+    another type, of a position without inventory, or a release of more than is reserved is an error.
+    """
+    kind = F.col("movement_type")
+    known = kind.isin("receipt", "release", "reservation", "shipment")
+    fault = F.when(F.col("reorder_point").isNull(), F.lit(" is of a position without inventory")).when(~F.coalesce(known, F.lit(False)), F.concat(F.lit(" has the type "), F.coalesce(kind, F.lit("null"))))
+    size = F.when(fault.isNotNull(), F.raise_error(F.concat(F.lit("movement "), F.col("movement_id").cast("string"), fault)).cast("bigint")).otherwise(F.abs(F.col("quantity_change").cast("bigint")))
+    m = moves.withColumn("size", size).withColumns({
+        "step": F.when(kind == "reservation", F.col("size")).when(kind.isin("release", "shipment"), -F.col("size")).otherwise(0), "change": F.when(kind == "receipt", F.col("size")).when(kind == "shipment", -F.col("size")).otherwise(0),
+    })
+    m = accumulate(placed(m, [*POSITION, "event_ts", "movement_id"]), POSITION, sums={"reserved": "step", "stock": "change"})
+    m = materialize(m.withColumn("below", F.when(kind == "shipment", -F.col("reserved"))), "balances")
+    m = accumulate(m, POSITION, before={"lifted": "below"})
+    held_before = F.col("reserved") - F.col("step") + F.greatest(F.coalesce("lifted", F.lit(0)), F.lit(0))
+    over = F.raise_error(F.concat(F.lit("movement "), F.col("movement_id").cast("string"), F.lit(" releases more than is reserved"))).cast("bigint")
+    gap = F.when(kind == "reservation", F.col("size") - (F.col("stock") - held_before)).when(kind == "shipment", F.col("size") - (F.col("stock") - F.col("change"))).when((kind == "release") & (F.col("size") > held_before), over)
+    m = accumulate(materialize(m.withColumn("gap", gap), "gaps"), POSITION, before={"most": "gap"})
+    short = m.where("gap > greatest(0, coalesce(most, 0))").groupBy(*POSITION).agg(F.array_sort(F.collect_list(F.struct("event_ts", "movement_id", "gap", F.col("reorder_point").cast("bigint").alias("point")))).alias("moves"))
+    amount = f"greatest(x.gap - a.added, 2 * x.point, {LEAST_REPLENISHMENT}L)"
+    start = "named_struct('added', 0L, 'out', CAST(array() AS array<struct<movement_id: bigint, amount: bigint, event_ts: timestamp_ntz>>))"
+    step = f"IF(x.gap > a.added, named_struct('added', a.added + {amount}, 'out', concat(a.out, array(named_struct('movement_id', x.movement_id, 'amount', {amount}, 'event_ts', x.event_ts)))), a)"
+    found = short.select(*POSITION, F.explode(F.expr(f"aggregate(moves, {start}, (a, x) -> {step}, a -> a.out)")).alias("r"))
+    at = F.greatest(F.expr(f"TIMESTAMP_NTZ'{FIRST_REPLENISHMENT}'"), F.expr("r.event_ts - INTERVAL 1 SECOND"))
+    return found.select(*POSITION, F.col("r.movement_id").alias("before_movement_id"), F.col("r.amount").alias("quantity_change"), at.alias("event_ts"))
 
 
 def plan_replenishment(t):
-    """The recurrence is not linear, so each position is folded in order as a sorted stream; positions are independent."""
+    """The replenishments that the bound moves need, from the opening receipts on."""
     moves = t.inventory_movements.where("movement_type <> 'receipt' OR event_ts = TIMESTAMP_NTZ'2025-08-01 00:00:00'")
-    points = t.inventory.select("warehouse_id", "product_id", "reorder_point")
-    moves = moves.join(points, ["warehouse_id", "product_id"], "left").select("warehouse_id", "product_id", "movement_id", "movement_type", "quantity_change", "event_ts", "reorder_point")
-    dealt = moves.repartition("warehouse_id", "product_id").sortWithinPartitions("warehouse_id", "product_id", "event_ts", "movement_id")
-    return dealt.mapInPandas(replay, "warehouse_id int, product_id bigint, before_movement_id bigint, quantity_change bigint, event_ts timestamp_ntz")
+    points = t.inventory.select(*POSITION, "reorder_point")
+    return replenishments(moves.join(points, POSITION, "left").select(*POSITION, F.col("movement_id").cast("bigint").alias("movement_id"), "movement_type", "quantity_change", "event_ts", "reorder_point"))
 
 
 # Every dataset, whole rows.

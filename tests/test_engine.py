@@ -2,8 +2,9 @@ from __future__ import annotations
 
 import glob
 import os
+import random
 import re
-from datetime import datetime
+from datetime import datetime, timedelta
 from decimal import Decimal
 
 import duckdb
@@ -74,19 +75,46 @@ def test_spine_and_ids(spark):
     assert all(r.number == r.k + 1 for r in numbered)
 
 
-def test_replenishment_carries_balances_over_batches():
-    """Moves cut into batches anywhere give the receipts of the whole; each position starts empty."""
-    import pandas as pd
-
-    day = pd.Timestamp("2025-08-01")
-    moves = [("receipt", 10, 0), ("reservation", 8, 5), ("reservation", 5, 6), ("release", 5, 7), ("shipment", 8, 8), ("reservation", 60, 9)]
-    rows = [(1, p, 100 * p + k, kind, size, 20, day + pd.Timedelta(hours=h)) for p in (1, 2) for k, (kind, size, h) in enumerate(moves)]
-    table = pd.DataFrame(rows, columns=["warehouse_id", "product_id", "movement_id", "movement_type", "quantity_change", "reorder_point", "event_ts"])
-    want = [(1, p, 100 * p + k, 50, day + pd.Timedelta(hours=h) - pd.Timedelta(seconds=1)) for p in (1, 2) for k, h in ((2, 6), (5, 9))]
-    for size in (1, 4, 7, 12):
-        parts = features.replay(table[at : at + size] for at in range(0, len(table), size))
-        got = pd.concat(parts)
-        assert list(got.itertuples(index=False, name=None)) == want
+MOVES = "warehouse_id int, product_id bigint, movement_id bigint, movement_type string, quantity_change bigint, reorder_point int, event_ts timestamp_ntz"
+
+
+def folded(rows):
+    """Replenishments of moves in order, one after another."""
+    state, out = {}, []
+    for place, product, move, kind, change, point, at in sorted(rows, key=lambda r: (r[0], r[1], r[6], r[2])):
+        hand, held = state.get((place, product), (0, 0))
+        size = abs(change)
+        if kind == "receipt":
+            hand += size
+        elif kind == "release":
+            held -= size
+        else:
+            lack = size - (hand - held if kind == "reservation" else hand)
+            if lack > 0:
+                out.append((place, product, move, max(lack, 2 * point, 50), max(datetime(2025, 8, 1, 0, 0, 1), at - timedelta(seconds=1))))
+                hand += out[-1][3]
+            hand, held = (hand, held + size) if kind == "reservation" else (hand - size, max(0, held - size))
+        state[place, product] = hand, held
+    return sorted(out)
+
+
+def test_replenishment_against_a_fold(spark):
+    """Positions short and long, shipments of more than is reserved, a position that lies in many ranges of moves."""
+    rng, rows = random.Random(5), []
+    for product, n in ((1, 0), (2, 5), (3, 60), (4, 4000)):
+        held = 0
+        for k in range(n):
+            kind = rng.choices(["receipt", "reservation", "release", "shipment"], [1, 6, 2, 4])[0]
+            size = rng.randint(1, 30) if kind != "release" else rng.randint(0, held)
+            held = max(0, held + {"receipt": 0, "reservation": size, "release": -size, "shipment": -size}[kind])
+            rows.append((1, product, 10_000 * product + k, kind, -size if kind in ("reservation", "shipment") else size, 5 * product, datetime(2025, 8, 1) + timedelta(minutes=k // 2)))
+    spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")
+    try:
+        got = features.replenishments(spark.createDataFrame(rows, MOVES).repartition(3))
+        assert sorted(map(tuple, got.collect())) == folded(rows)
+    finally:
+        spark.conf.unset("spark.sql.adaptive.coalescePartitions.enabled")
+    assert len(folded(rows)) > 50 and features.replenishments(spark.createDataFrame([], MOVES)).count() == 0
 
 
 def test_all_ten_tables_are_published(spark, con):
@@ -228,17 +256,12 @@ def test_feature_files_are_checked_after_the_write(spark):
         features.required(spark.range(1), d)
 
 
-def test_replay_refuses_unknown_moves():
-    import pandas as pd
-
-    def batch(kind, point):
-        row = {"warehouse_id": 1, "product_id": 2, "movement_id": 3, "movement_type": kind, "quantity_change": -5, "event_ts": datetime(2025, 9, 1), "reorder_point": point}
-        return pd.DataFrame([row])
-
-    assert next(features.replay([batch("shipment", 40)]))["quantity_change"].tolist() == [80]
-    for kind, point, said in (("return", 40, "type return"), ("shipment", None, "without inventory")):
-        with pytest.raises(ValueError, match=said):
-            next(features.replay([batch(kind, point)]))
+def test_replenishment_refuses_unknown_moves(spark):
+    move = lambda kind, point: spark.createDataFrame([(1, 2, 3, kind, -5, point, datetime(2025, 9, 1))], MOVES)
+    assert features.replenishments(move("shipment", 40)).first().quantity_change == 80
+    for kind, point, said in (("return", 40, "type return"), ("shipment", None, "without inventory"), ("release", 40, "releases more")):
+        with pytest.raises(Exception, match=said):
+            features.replenishments(move(kind, point)).collect()
 
 
 def test_raw_tables_are_read_once_for_all_models(spark):
@@ -295,3 +318,21 @@ def test_ranks_and_running_sums_of_one_long_group(spark):
     assert ranges.running(rows.limit(0), ["k"], ["o"], {"total": "v"}).count() == ranges.ranks(rows.limit(0), [], ["o"]).count() == 0
     dense = ranges.dense_ranks(rows, [F.desc_nulls_last("k")], ["k"], "d").groupBy("k").agg(F.min("d").alias("d"), F.max("d").alias("e")).collect()
     assert {(r.k, r.d, r.e) for r in dense} == {("b", 1, 1), ("a", 2, 2), (None, 3, 3)}
+
+
+def test_records_of_one_file_are_counted_in_many_tasks(spark, tmp_path):
+    """Quoted newlines, doubled quotes, blank lines, quotes open over many byte ranges, a last line without its end."""
+    rng = random.Random(2)
+    values = ["plain", "two\nlines", 'with ""quotes""\n\n', "x" * 300 + "\n" * 40, "", '""']
+    for name, size, last in (("a", 400, "\n"), ("b", 3, ""), ("c", 0, "\n")):
+        rows = ["k,text", *(f'{k},"{rng.choice(values)}"' + rng.choice(["", "", "\n"]) for k in range(size))]
+        (tmp_path / f"{name}.csv").write_text("\n".join(rows) + last, newline="")
+    spark.conf.set("spark.sql.files.maxPartitionBytes", "1000")
+    try:
+        got = files.count_records(spark, str(tmp_path), "t")
+        tasks = spark.read.text(str(tmp_path)).rdd.getNumPartitions()
+        assert got.first().records == 403 and tasks > 20
+        plain = spark.read.option("header", True).option("multiLine", True).option("escape", '"').csv(str(tmp_path))
+        assert plain.count() == 403
+    finally:
+        spark.conf.unset("spark.sql.files.maxPartitionBytes")
