@@ -255,14 +255,85 @@ def row_rules(t) -> dict[str, dict]:
     return rules
 
 
-#: Checks that ``row_rules`` covers.
-BY_ROW = ("dq_not_null", "dq_domain", "dq_range", "dq_cross_column", "dq_movement_sign", "dq_movement_order_ref", "dq_status_timestamp", "dq_event_source", "dq_json_payload")
+#: The events that a line's units have to be moved for, and the kind of move.
+REACHED = (("inventory_reserved", "reservation"), ("inventory_released", "release"), ("order_shipped", "shipment"))
+
+
+def mask(kinds) -> int:
+    """A set of event kinds as bits."""
+    return sum(1 << (EVENT_TYPES.index(k) + 1) for k in kinds)
+
+
+def order_facts(t):
+    """A row an order id: what items, shipments, moves and events say of it. Each table is read once; rows are added up by order and
+    product, then by order, both after partial sums, so neither an order with many rows nor rows without an order gather in a task."""
+    known = ", ".join(f"'{k}'" for k in EVENT_TYPES)
+    before = F.lag("event_ts").over(Window.partitionBy("order_id").orderBy("event_id"))
+    items = t.order_items.selectExpr("order_id", "product_id", "quantity AS want", "quantity * unit_price AS amount", "1L AS items")
+    ships = t.shipments.selectExpr("order_id", "1L AS ships")
+    moves = t.inventory_movements.selectExpr("order_id", "product_id", *[f"IF(movement_type = '{kind}', abs(quantity_change), 0) AS got_{kind}" for _, kind in REACHED])
+    events = t.order_events.select("order_id", "event_id", "event_type", "event_ts", "payload").withColumn("before", before).selectExpr(
+        "order_id", f"shiftleft(1L, CAST(array_position(array({known}), event_type) AS INT)) AS kinds", "IF(event_type = 'order_cancelled', get_json_object(payload, '$.stage'), NULL) AS stage",
+        "IF(event_type = 'order_created', 1L, 0L) AS made", "IF(event_type = 'order_created', event_ts, NULL) AS made_at", "IF(event_ts < before, 1L, 0L) AS late",
+    )
+    rows = items
+    for more in (ships, moves, events):
+        rows = rows.unionByName(more, allowMissingColumns=True)
+    common = ("items", "ships", "made", "late", "amount")
+    both = lambda: [*[F.sum(c).alias(c) for c in common], F.bit_or("kinds").alias("kinds"), F.max("stage").alias("stage"), F.min("made_at").alias("made_at")]
+    gots = [f"got_{kind}" for _, kind in REACHED]
+    lines = rows.groupBy("order_id", "product_id").agg(*both(), F.coalesce(F.sum("want"), F.lit(0)).alias("want"), *[F.coalesce(F.sum(g), F.lit(0)).alias(g) for g in gots])
+    # Lines that break the rule if the order has reached the event, and if it has not (nothing is wanted then).
+    apart = [F.sum(F.expr(f"IF(product_id IS NULL, IF(want <> 0, 1L, 0L) + IF({g} <> 0, 1L, 0L), IF(want <> {g}, 1L, 0L))")).alias(f"apart_{g}") for g in gots]
+    loose = [F.sum(F.expr(f"IF({g} <> 0, 1L, 0L)")).alias(f"loose_{g}") for g in gots]
+    return lines.groupBy("order_id").agg(*both(), *apart, *loose)
+
+
+def order_rules(t):
+    """All rules of orders against their items, shipments, moves and events, from one table of facts an order."""
+    facts = materialize(order_facts(t), "order-facts")
+    units = {f"line_units:{kind}": F.coalesce(F.sum(F.expr(f"IF(order_id IS NOT NULL AND coalesce(kinds, 0) & {mask([event])} <> 0, apart_got_{kind}, loose_got_{kind})")), F.lit(0)) for event, kind in REACHED}
+    of_moves = q.verdicts(facts.agg(*[x.alias(name) for name, x in units.items()]), "inventory_movements")
+    of_events = q.verdicts(facts.agg(F.coalesce(F.sum("late"), F.lit(0)).alias("chronological")), "order_events")
+    met = t.orders.select("order_id", "order_status", "order_ts", "total_amount").join(facts, "order_id", "left")
+    met = met.withColumns({"kinds": F.coalesce("kinds", F.lit(0).cast("bigint")), "path": F.expr("IF(order_status = 'cancelled', stage, order_status)")})
+    rules = {"orders": {"orders_without_items": "coalesce(items, 0) = 0", "order_total": "abs(total_amount - coalesce(amount, 0)) > 0.01"}}
+    rules["shipments"] = {"active_orders_with_one": "order_status <> 'cancelled' AND coalesce(ships, 0) <> 1", "cancelled_orders_with_none": "order_status = 'cancelled' AND ships > 0"}
+    rules["order_events"] = {"one_created_event": "coalesce(made, 0) <> 1", "created_at_order_time": "made_at <> order_ts", "known_path": f"coalesce(path, '') NOT IN {tuple(PATHS)}"}
+    for path, (needed, forbidden) in PATHS.items():
+        rules["order_events"] |= {f"required:{path}": f"path = '{path}' AND kinds & {mask(needed)} <> {mask(needed)}", f"forbidden:{path}": f"path = '{path}' AND kinds & {mask(forbidden)} <> 0"}
+    names = [(k, name, c) for k, own in rules.items() for name, c in own.items()]
+    counts = met.agg(*[F.count_if(F.expr(c)).alias(f"c{i}") for i, (_, _, c) in enumerate(names)])
+    pairs = ", ".join(f"'{name}', '{k}', c{i}" for i, (k, name, _) in enumerate(names))
+    of_orders = counts.selectExpr(f"stack({len(names)}, {pairs}) AS (check, table, violations)").withColumn("passed", F.col("violations") == 0)
+    return q.combined([of_moves, of_events, of_orders])
+
+
+def shipment_rules(t):
+    """Shipments against their orders, both rules in one join."""
+    joined = t.shipments.join(t.orders.select("order_id", "order_ts", F.col("warehouse_id").alias("own")), "order_id")
+    return q.violations(joined, "shipments", {"warehouse_match": "warehouse_id <> own", "shipped_after_order": "shipped_at < order_ts", "delivered_after_shipped": "delivered_at < shipped_at"})
+
+
+def key_rules(t):
+    """Every unique column and reference of all tables."""
+    unique = [(k, [c]) for k, c in KEYS.items()] + [(k, c.split()) for k, c in COMPOSITE.items()] + [(k, [c]) for k, cs in MORE_KEYS.items() for c in cs]
+    return q.keys({k: t.named(k) for k in C}, unique, [*REFERENCES, *MORE_REFERENCES])
+
+
+#: Checks that the fused passes of the report cover.
+FUSED = (
+    "dq_not_null", "dq_domain", "dq_range", "dq_cross_column", "dq_movement_sign", "dq_movement_order_ref", "dq_status_timestamp", "dq_event_source", "dq_json_payload", "dq_unique", "dq_unique_composite", "dq_foreign_key",
+    "dq_unique_declared", "dq_warehouse_reference", "dq_orders_without_items", "dq_order_total_recon", "dq_shipment_cardinality", "dq_shipment_warehouse_match", "dq_shipment_temporal", "dq_order_line_recon", "dq_created_event",
+    "dq_event_order", "dq_lifecycle_conformance",
+)
 
 
 def dq_report(t):
-    """Every check: one pass a table for the rules of a row, one query a check for the others."""
+    """Every check: one pass a table for the rules of a row, one shuffle for all keys and references, one table of facts an order for the
+    rules of orders, and one query a check for the others."""
     fused = [q.violations(t.named(k), k, rules) for k, rules in row_rules(t).items()]
-    return q.combined([*fused, *(globals()[name](t) for name in (*CHECKS, *DECLARED) if name not in BY_ROW)])
+    return q.combined([*fused, key_rules(t), order_rules(t), shipment_rules(t), *(globals()[name](t) for name in (*CHECKS, *DECLARED) if name not in FUSED)])
 
 
 #: Unique columns and references that the schema declares besides ``KEYS`` and ``REFERENCES``, and expected rows.

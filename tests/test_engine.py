@@ -13,10 +13,11 @@ from pyspark.sql import functions as F
 
 import __spark_entry__
 from stocklane.operators import blocks, quality, ranges, series, storage
-from stocklane.plans import features, registry
+from stocklane.plans import dq, features, registry
 from stocklane.sources import files, versions
 from stocklane.sources.binding import Tables
 from stocklane.sources.schemas import SCHEMAS
+from stocklane.sources.variants import Damaged
 
 SF = "/root/testdata/sf0.001"
 CHEAP = ("a1_executive_kpis", "a3_category_performance", "a5_event_audit", "a6_carrier", "m1_order_facts", "m4_delivery_features", "dq_order_line_recon", "dq_ledger_replay", "derive_order_events")
@@ -239,6 +240,25 @@ def test_damage_is_counted(spark):
     assert len(broken) >= 60 and {"line_units:reservation", "order_total", "known_path", "chronological", "never_negative", "one_created_event"} <= broken
 
 
+def test_report_equals_its_checks_one_by_one(spark):
+    """The fused passes against the query of each check, on damaged tables."""
+    t = Damaged(spark, SF)
+    rows = lambda df: sorted(map(tuple, df.collect()))
+    fused = rows(quality.combined([dq.key_rules(t), dq.order_rules(t), dq.shipment_rules(t)]))
+    by_row = dq.FUSED[: dq.FUSED.index("dq_unique")]
+    assert fused == rows(quality.combined([getattr(dq, name)(t) for name in dq.FUSED if name not in by_row]))
+    assert sum(n > 0 for _, _, n, _ in fused) > 25
+
+
+def test_keys_of_nulls_repeats_and_strangers(spark):
+    own = spark.createDataFrame([(1, "a"), (1, "b"), (None, "b"), (None, None)], "k int, w string")
+    child = spark.createDataFrame([(1,), (2,), (2,), (None,)], "k bigint")
+    found = quality.keys({"own": own, "child": child}, [("own", ["k"]), ("own", ["k", "w"]), ("child", ["k"])], [("child", "k", "own")])
+    assert sorted(map(tuple, found.collect())) == [("foreign_key:k", "child", 2, False), ("unique:k", "child", 1, False), ("unique:k", "own", 2, False), ("unique:k,w", "own", 0, True)]
+    none = quality.keys({"own": own.limit(0), "child": child.limit(0)}, [("own", ["k"])], [("child", "k", "own")])
+    assert sorted(map(tuple, none.collect())) == [("foreign_key:k", "child", 0, True), ("unique:k", "own", 0, True)]
+
+
 def test_publication_is_all_or_nothing(spark, tmp_path):
     tables = {name: spark.range(n).toDF(name) for name, n in (("a", 3), ("b", 2))}
     spark.range(1).write.parquet(f"{tmp_path}/b")
