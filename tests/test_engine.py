@@ -13,8 +13,8 @@ from pyspark.sql import functions as F
 
 import __spark_entry__
 from stocklane.operators import blocks, quality, ranges, series, storage
-from stocklane.plans import dq, features, registry
-from stocklane.sources import files, versions
+from stocklane.plans import dq, features, models, registry
+from stocklane.sources import binding, files, versions
 from stocklane.sources.binding import Tables
 from stocklane.sources.schemas import SCHEMAS
 from stocklane.sources.variants import Damaged
@@ -356,3 +356,25 @@ def test_records_of_one_file_are_counted_in_many_tasks(spark, tmp_path):
         assert plain.count() == 403
     finally:
         spark.conf.unset("spark.sql.files.maxPartitionBytes")
+
+
+def test_a_task_by_order_holds_as_many_lines_at_any_size(spark, monkeypatch):
+    monkeypatch.setattr(binding, "ROWS", 100)
+    t = Tables(spark, SF)
+    assert t.pieces >= t.raw("lineitem").count() / 100
+    assert models.order_lines(t).rdd.getNumPartitions() == t.pieces
+
+
+def test_stock_does_not_write_the_event_log(spark):
+    t = Tables(spark, f"{SF}/.")  # a name of the folder under which nothing is written yet
+    assert t.inventory_movements.where("movement_type = 'release'").count() > 0
+    assert not [k for k in storage._WRITTEN if k[1] == f"plain:{SF}/." and k[2] == "order_events"]
+
+
+def test_orders_of_a_day_are_distinct(spark):
+    class Twice(Tables):
+        order_items = property(lambda self: Tables(spark, SF).order_items.unionByName(Tables(spark, SF).order_items))
+
+    key = ["demand_date", "warehouse_id", "product_id"]
+    found = models.daily_transactions(Twice(spark, SF)).join(models.m2_daily_transactions(Tables(spark, SF)).withColumnsRenamed({"gross_order_count": "n", "gross_units_requested": "u"}).select(*key, "n", "u"), key)
+    assert found.count() > 0 and found.where("gross_order_count <> n OR gross_units_requested <> 2 * u").count() == 0
