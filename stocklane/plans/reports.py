@@ -10,6 +10,7 @@ from stocklane.operators.ranges import dense_ranks, quantiles
 from stocklane.operators.series import first_times, share
 from stocklane.operators.storage import materialize
 from stocklane.plans.checks import beside
+from stocklane.plans.models import order_lines
 from stocklane.plans.oracle.binding import div, mean as text_mean, mean_span, n, pct, r, secs, total
 from stocklane.plans.oracle.views import bit
 from stocklane.sources.binding import Tables
@@ -113,8 +114,8 @@ def a3_top_products(t: Tables) -> DataFrame:
 
 
 def demand_by_position(t: Tables) -> DataFrame:
-    per = t.order_items.join(t.orders.where(LIVE).select("order_id", "warehouse_id"), "order_id").groupBy("warehouse_id", "product_id", "order_id").agg(F.sum("quantity").alias("q"))
-    return per.groupBy("warehouse_id", "product_id").agg(F.count(ALL).alias("fulfilled_orders"), F.sum("q").alias("fulfilled_units"))
+    lines = order_lines(t).join(t.dealt(t.orders.where(LIVE).select("order_id", "warehouse_id")), "order_id")
+    return lines.groupBy("warehouse_id", "product_id").agg(F.sum("first").alias("fulfilled_orders"), F.sum("quantity").alias("fulfilled_units"))
 
 
 UNITS = {"reservation": "reservation_units", "release": "released_units", "shipment": "shipped_units", "receipt": "received_units"}

@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 
 import __spark_entry__
 from stocklane.operators import blocks, quality, ranges, series, storage
-from stocklane.plans import dq, features, models, registry
+from stocklane.plans import dq, features, models, registry, reports
 from stocklane.sources import binding, files, versions
 from stocklane.sources.binding import Tables
 from stocklane.sources.schemas import SCHEMAS
@@ -378,3 +378,12 @@ def test_orders_of_a_day_are_distinct(spark):
     key = ["demand_date", "warehouse_id", "product_id"]
     found = models.daily_transactions(Twice(spark, SF)).join(models.m2_daily_transactions(Tables(spark, SF)).withColumnsRenamed({"gross_order_count": "n", "gross_units_requested": "u"}).select(*key, "n", "u"), key)
     assert found.count() > 0 and found.where("gross_order_count <> n OR gross_units_requested <> 2 * u").count() == 0
+
+
+def test_orders_of_a_position_are_distinct(spark):
+    class Twice(Tables):
+        order_items = property(lambda self: Tables(spark, SF).order_items.unionByName(Tables(spark, SF).order_items))
+
+    pairs = [{(r.warehouse_id, r.product_id): (r.fulfilled_orders, r.fulfilled_units * k) for r in reports.demand_by_position(t).collect()} for t, k in ((Tables(spark, SF), 2), (Twice(spark, SF), 1))]
+    assert pairs[0] and pairs[0] == pairs[1]
+    assert reports.demand_by_position(Tables(spark, SF))._jdf.queryExecution().executedPlan().toString().count("HashAggregate") == 2
