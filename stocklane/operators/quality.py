@@ -36,33 +36,50 @@ def foreign_key(child: DataFrame, table: str, column: str, parent: DataFrame, ke
     return verdicts(orphans.agg(F.count(F.lit(1)).alias(f"foreign_key:{column}")), table)
 
 
+#: Types of whole numbers.
+WHOLE = {"tinyint", "smallint", "int", "bigint"}
+
+
 def keys(frames: dict[str, DataFrame], unique: list[tuple[str, list[str]]], references: list[tuple[str, str, str]]) -> DataFrame:
     """``unique`` (table, columns) and ``foreign_key`` (table, column, parent) checks of all tables at once.
 
-    Each table is read once and gives a row for each key it holds or refers to; rows are counted by key before and after one shuffle, so a hot
-    key is one row a task. Count 0 of a key is its owner's, the others are those of the tables that refer to it.
+    Each table gives a row for each key it holds, and one with their number for the keys that its rows refer to together. Rows are counted by key
+    before and after one shuffle, so a hot key is one row a task. Count 0 of a key is its owner's, the others are those of the tables that refer to
+    it. Up to two whole numbers stay numbers, other keys are texts.
     """
     spaces = [(k, tuple(c)) for k, c in unique] + [(parent, (c,)) for _, c, parent in references]
     spaces = list(dict.fromkeys(spaces))
-    emitted = {k: [] for k in frames}
+    kinds = {k: dict(df.dtypes) for k, df in frames.items()}
+    texts = {at for at, (k, columns) in enumerate(spaces) if len(columns) > 2 or not {kinds[k][c] for c in columns} <= WHOLE}
+    texts |= {spaces.index((parent, (c,))) for k, c, parent in references if kinds[k][c] not in WHOLE}
+    owned, referred = {k: [] for k in frames}, {k: [] for k in frames}
     for at, (k, columns) in enumerate(spaces):
-        emitted[k].append((at, 0, columns))
+        owned[k].append((at, 0, columns))
     checks, used = [], [0] * len(spaces)
     for k, columns in unique:
         checks.append((f"unique:{','.join(columns)}", k, spaces.index((k, tuple(columns))), 0))
     for k, c, parent in references:
         at = spaces.index((parent, (c,)))
         used[at] += 1
-        emitted[k].append((at, used[at], (c,)))
+        referred[k].append((at, used[at], (c,)))
         checks.append((f"foreign_key:{c}", k, at, used[at]))
+
+    def emitted(at: int, slot: int, columns: tuple[str, ...]) -> Column:
+        whole = [F.col(c).cast("bigint") for c in columns] if at not in texts else []
+        one = F.col(columns[0]).cast("string") if len(columns) == 1 else F.to_json(F.struct(*columns))
+        none = F.lit(None)
+        pair = [*whole, none.cast("bigint"), none.cast("bigint")][:2]
+        return F.struct(F.lit(at).alias("space"), F.lit(slot).alias("slot"), pair[0].alias("a"), pair[1].alias("b"), (none.cast("string") if whole else one).alias("key"))
+
     parts = []
-    for k, found in emitted.items():
-        if found:
-            text = lambda columns: F.col(columns[0]).cast("string") if len(columns) == 1 else F.to_json(F.struct(*columns))
-            listed = [F.struct(F.lit(at).alias("space"), F.lit(slot).alias("slot"), text(columns).alias("key")) for at, slot, columns in found]
-            parts.append(frames[k].select(F.inline(F.array(*listed))).where("slot = 0 OR key IS NOT NULL"))
+    for k, df in frames.items():
+        if owned[k]:
+            parts.append(df.select(F.inline(F.array(*[emitted(*x) for x in owned[k]])), F.lit(1).cast("bigint").alias("rows")))
+        if referred[k]:
+            per = df.groupBy(*dict.fromkeys(c for _, _, (c,) in referred[k])).agg(F.count(F.lit(1)).alias("rows"))
+            parts.append(per.select(F.inline(F.array(*[emitted(*x) for x in referred[k]])), "rows").where("a IS NOT NULL OR key IS NOT NULL"))
     slots = range(max(used) + 1)
-    counted = combined(parts).groupBy("space", "key").agg(*[F.count_if(F.col("slot") == s).alias(f"n{s}") for s in slots])
+    counted = combined(parts).groupBy("space", "a", "b", "key").agg(*[F.sum(F.when(F.col("slot") == s, F.col("rows")).otherwise(0)).alias(f"n{s}") for s in slots])
     broken = [F.when(F.col("n0") > 0, F.col("n0") - 1).otherwise(0), *[F.when(F.col("n0") == 0, F.col(f"n{s}")).otherwise(0) for s in slots[1:]]]
     sums = counted.groupBy("space").agg(*[F.sum(x).alias(f"x{s}") for s, x in enumerate(broken)])
     one = sums.agg(*[F.coalesce(F.max(F.when(F.col("space") == at, F.col(f"x{slot}"))), F.lit(0)).alias(f"c{i}") for i, (_, _, at, slot) in enumerate(checks)])
