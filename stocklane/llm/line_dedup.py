@@ -169,22 +169,32 @@ def fits(a: str, b: str, percent: int) -> str:
     return f"least({a}.n, {b}.n) * 100 >= greatest({a}.n, {b}.n) * {percent} AND {apart} <= {most}"
 
 
-def jaccard_links(pairs, percent: int, width: int):
-    """Of pairs (a, b, text of a, text of b), those that link."""
-    own: dict[int, frozenset] = {}
-
-    def shingles(key: int, line: str) -> frozenset:
-        if key not in own:
-            if len(own) >= 64:
-                own.clear()
-            own[key] = shingle_set(lowered(line), width)
-        return own[key]
-
-    for a, b, x, y in pairs:
-        p, q = shingles(a, x), shingles(b, y)
-        both = len(p & q)
-        if both * 100 >= percent * (len(p) + len(q) - both):
-            yield a, b
+def sorted_hashes(lines: list[str], width: int) -> list[np.ndarray]:
+    """The distinct shingles of each line as sorted 64-bit hashes."""
+    found = []
+    for part in portions(lines):
+        h, starts = shingle_hashes(part, width, np.uint64)
+        for one in np.split(h, starts[1:]):
+            own = np.sort(one)
+            found.append(own[np.concatenate([[True], own[1:] != own[:-1]])])
+    return found
+
+
+def jaccard_links(a: list[int], b: list[int], x: list[str], y: list[str], percent: int, width: int):
+    """Of pairs (a, b) with their texts (x, y), those that link. Shingles are compared by hash; where one equal hash more or less
+    would change the answer, the shingles themselves decide."""
+    lines = dict(zip(a, x, strict=True)) | dict(zip(b, y, strict=True))
+    own = dict(zip(lines, sorted_hashes([*lines.values()], width), strict=True))
+    for i, j in zip(a, b, strict=True):
+        p, q = own[i], own[j]
+        both = np.sort(np.concatenate([p, q]), kind="stable")
+        both = int(np.count_nonzero(both[1:] == both[:-1]))
+        margin = 100 * both - percent * (len(p) + len(q) - both)
+        if abs(margin) <= 100 + percent:
+            s, t = (shingle_set(lowered(lines[k]), width) for k in (i, j))
+            margin = 100 * len(s & t) - percent * len(s | t)
+        if margin >= 0:
+            yield i, j
 
 
 def text_key(text: str | Column) -> Column:
@@ -263,7 +273,7 @@ def labelled_lines(base: DataFrame, width: int, bands: int, per_band: int, perce
         met = materialize(near, "near").join(left, "a").join(right, "b")
 
         def step(batch):
-            linked = [*jaccard_links(zip(*(batch.column(k).to_pylist() for k in range(4)), strict=True), percent, width)]
+            linked = [*jaccard_links(*(batch.column(k).to_pylist() for k in range(4)), percent, width)]
             return {"a": [p for p, _ in linked], "b": [q for _, q in linked]}
 
         return batches(met.select("a", "b", "line_a", "line_b"), step, "a bigint, b bigint")

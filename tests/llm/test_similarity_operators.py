@@ -219,3 +219,20 @@ def test_shared_keys_over_batch_edges(spark):
         spark.conf.unset("spark.sql.execution.arrow.maxRecordsPerBatch")
     nodes = {k: {n for q, n in rows if q == k} for k, _ in rows}
     assert sorted(got) == sorted((k, n, min(own)) for k, own in nodes.items() if len(own) > 1 for n in own)
+
+
+def test_line_links_equal_those_of_the_shingles():
+    rng = random.Random(31)
+    lines = ["short", "short\0", "Short", "x" * 40, "x" * 41]
+    for size in (9, 10, 30, 120, 600):
+        base = [rng.choice("abcdefgh") for _ in range(size)]
+        for edits in (0, 1, 2, 3, 5, 8, 13):
+            own = list(base)
+            for _ in range(edits):
+                own[rng.randrange(size)] = rng.choice("ABxyz")
+            lines.append("".join(own))
+    pairs = [(a, b) for a in range(len(lines)) for b in range(a)]
+    sets = [line_dedup.shingle_set(line.lower(), 9) for line in lines]
+    want = [(a, b) for a, b in pairs if 100 * len(sets[a] & sets[b]) >= 80 * len(sets[a] | sets[b])]
+    got = line_dedup.jaccard_links([a for a, _ in pairs], [b for _, b in pairs], [lines[a] for a, _ in pairs], [lines[b] for _, b in pairs], 80, 9)
+    assert [*got] == want
