@@ -22,6 +22,8 @@ from stocklane.llm.common import materialize
 
 #: Open rows of a key above which its pairs are dealt to several tasks by size and by chunk.
 CROWD = 4000
+#: Of its open keys a node's rows carry so many, the smallest, by which a pair is made under one of the keys that it shares.
+FIRST = 8
 
 
 def components(edges: DataFrame) -> DataFrame:
@@ -116,10 +118,16 @@ def open_rows(placed: DataFrame) -> DataFrame:
     return placed.join(mixed.select("key", F.col("main.component").alias("main"), "crowd"), "key")
 
 
-def open_pairs(rows: DataFrame, fits: str, percent: int) -> DataFrame:
+def first_keys(rows: DataFrame) -> DataFrame:
+    """The ``FIRST`` smallest keys of each node. Keys are hashes, so nodes that share many keys share some of these."""
+    return rows.groupBy("node").agg(F.slice(F.sort_array(F.collect_set("key")), 1, FIRST).alias("first"))
+
+
+def made_pairs(rows: DataFrame, fits: str, percent: int) -> DataFrame:
     """Pairs (a, b) of a key's nodes in different components, ``a`` outside the largest; both outside: a < b.
 
-    ``fits``: SQL over the rows ``l`` and ``r`` that is true for every pair that can link. A crowded key is dealt to many
+    ``fits``: SQL over the rows ``l`` and ``r`` that is true for every pair that can link. A pair that shares keys among the
+    ``first`` of both nodes is made under the smallest of these only, not under each. A crowded key is dealt to many
     tasks: by bands of the set size ``n`` (sets that link lie in the same or in neighbouring bands), and the left rows by
     chunks, for each of which the right rows come again.
     """
@@ -132,8 +140,9 @@ def open_pairs(rows: DataFrame, fits: str, percent: int) -> DataFrame:
     bands = F.expr(f"IF(crowd > {CROWD}, array(band - 1, band, band + 1), array(band))")
     right = rows.withColumn("band", F.explode(bands)).withColumn("chunk", F.explode(F.sequence(F.lit(0), F.col("chunks") - 1)))
     dealt = "l.key = r.key AND l.band = r.band AND l.chunk = r.chunk"
-    met = left.alias("l").join(right.alias("r"), F.expr(f"{dealt} AND l.component <> r.component AND (r.component = r.main OR l.node < r.node) AND {fits}"))
-    return met.select(F.col("l.node").alias("a"), F.col("r.node").alias("b")).distinct()
+    once = "l.key <= coalesce(array_min(array_intersect(l.first, r.first)), l.key)"
+    met = left.alias("l").join(right.alias("r"), F.expr(f"{dealt} AND l.component <> r.component AND (r.component = r.main OR l.node < r.node) AND {fits} AND {once}"))
+    return met.select(F.col("l.node").alias("a"), F.col("r.node").alias("b"))
 
 
 class Linker:
@@ -167,4 +176,5 @@ class Linker:
         ``features`` (columns by node, the set size ``n`` among them)."""
         if not shared.limit(1).count():
             return
-        self.compare(open_pairs(self.open(shared).join(features, "node"), fits, percent))
+        left = self.open(shared)
+        self.compare(made_pairs(left.join(first_keys(left), "node").join(features, "node"), fits, percent))

@@ -243,7 +243,7 @@ def grouped(documents: DataFrame, width: int, percent: int, id_col: str, text_co
         return {"node": batch.column(0), "same": same, "items": arrays([in_order(x, sketch.value) for x in own])}
 
     marked = base.select("id", "text", F.unhex(F.md5(F.coalesce("text", F.lit("")))).alias("own"))
-    rows = materialize(batches(marked, summary, "id bigint, own binary, n bigint, fp bigint, fp2 bigint, hist array<smallint>"), "sets")
+    rows = materialize(batches(marked, summary, "id bigint, own binary, n bigint, fp bigint, fp2 bigint, hist array<tinyint>"), "sets")
     # Equal sets (size and 128 bits) are one node.
     least = F.min(F.struct("id", "own")).alias("first")
     classes = rows.where("n > 0 AND id IS NOT NULL").groupBy("fp", "fp2", "n").agg(least, F.any_value("hist").alias("hist"), F.count(F.lit(1)).alias("copies"))
@@ -293,16 +293,16 @@ def matching(df: DataFrame, ids: DataFrame, column: str | list[str], how: str =
 
 
 def histogram(own: np.ndarray) -> np.ndarray:
-    """How many of a set's hashes fall in each of ``CELLS`` cells, at most 32767."""
-    return np.minimum(np.bincount((own & np.uint64(CELLS - 1)).astype(np.int64), minlength=CELLS), 32767).astype(np.int16)
+    """How many of a set's hashes fall in each of ``CELLS`` cells, modulo 256 (a byte a cell, signed)."""
+    return np.bincount((own & np.uint64(CELLS - 1)).astype(np.int64), minlength=CELLS).astype(np.int8)
 
 
 def fits(a: str, b: str, percent: int) -> str:
     """SQL, true for every pair of rows that can link: their sizes allow it, and the cells' counts differ by no more
-    than the sets may. (The summed differences never exceed the symmetric difference, so no link is lost.)"""
+    than the sets may. (The summed differences never exceed the symmetric difference, modulo 256 the less, so no link is lost.)"""
     total = f"({a}.n + {b}.n)"
     most = f"({total} - 2 * ceil({percent} * {total} / {100 + percent}))"
-    apart = f"aggregate(zip_with({a}.hist, {b}.hist, (p, q) -> abs(CAST(p AS INT) - CAST(q AS INT))), 0, (s, d) -> s + d)"
+    apart = f"aggregate(zip_with({a}.hist, {b}.hist, (p, q) -> abs(((CAST(p AS INT) - CAST(q AS INT) + 128) & 255) - 128)), 0, (s, d) -> s + d)"
     return f"least({a}.n, {b}.n) * 100 >= greatest({a}.n, {b}.n) * {percent} AND {apart} <= {most}"
 
 

@@ -282,10 +282,7 @@ def labelled_lines(base: DataFrame, width: int, bands: int, per_band: int, perce
     linker.stars(meeting)
     left = linker.open(meeting)
     few = left.where(F.col("crowd") <= crowd).select("key", "node")
-    # A pair of lines that share several bands is made in one of them.
-    bands_of = few.groupBy("node").agg(F.collect_set("key").alias("keys"))
-    once = "l.key = array_min(array_intersect(l.keys, r.keys))"
-    linker.rest(few, features.join(bands_of, "node"), f"{fits('l', 'r', percent)} AND {once}", percent)
+    linker.rest(few, features, fits("l", "r", percent), percent)
     large = left.where(F.col("crowd") > crowd).select(F.col("key").alias("band"), "node")
     if large.limit(1).count():
         lines = materialize(matching(full.select("node", "line"), large.select("node").distinct(), "node"), "crowd")

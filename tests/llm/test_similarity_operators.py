@@ -221,6 +221,28 @@ def test_shared_keys_over_batch_edges(spark):
     assert sorted(got) == sorted((k, n, min(own)) for k, own in nodes.items() if len(own) > 1 for n in own)
 
 
+def test_a_pair_that_shares_many_keys_is_made_once(spark):
+    rng = random.Random(5)
+    keys = [rng.getrandbits(62) for _ in range(80)]
+    placed = spark.createDataFrame([(key, node, node, 100) for node in range(30) for key in keys[: 20 + 2 * node]], "key bigint, node bigint, component bigint, n int")
+    rows = components_module.open_rows(placed)
+    made = components_module.made_pairs(rows.join(components_module.first_keys(rows), "node"), "true", 90).collect()
+    assert {frozenset((r.a, r.b)) for r in made} == {frozenset((a, b)) for a in range(30) for b in range(a)}
+    assert len(made) == 435
+
+
+def test_histograms_bound_the_symmetric_difference(spark):
+    rng = np.random.default_rng(21)
+    bases = [np.unique(rng.integers(0, 2**64, n, dtype=np.uint64)) for n in (1000, 30000)]
+    sets = [np.unique(rng.integers(0, 2**64, 3, dtype=np.uint64))]
+    sets += [np.unique(np.concatenate([base[k:], rng.integers(0, 2**64, k, dtype=np.uint64)])) for base in bases for k in (0, 1, *(len(base) * x // 1000 for x in (10, 40, 50, 51, 52, 53, 60, 900)))]
+    sized = spark.createDataFrame([(k, len(x), jaccard_join.histogram(x).tolist()) for k, x in enumerate(sets)], "node bigint, n bigint, hist array<tinyint>")
+    met = sized.alias("l").join(sized.alias("r"), F.expr(jaccard_join.fits("l", "r", 90))).select("l.node", F.col("r.node").alias("b"))
+    fit = {(r.node, r.b) for r in met.collect()}
+    links = {(a, b) for a, x in enumerate(sets) for b, y in enumerate(sets) if 100 * len(np.intersect1d(x, y)) >= 90 * len(np.union1d(x, y))}
+    assert links <= fit and (1, 10) not in fit and (11, 1) not in fit
+
+
 def test_line_links_equal_those_of_the_shingles():
     rng = random.Random(31)
     lines = ["short", "short\0", "Short", "x" * 40, "x" * 41]
