@@ -408,3 +408,29 @@ def test_stages_and_payloads_are_judged_as_before(spark):
     texts = ['{"order_id":12,"status":"x"}', '{"a":"b"}\n', '{"a":01}', '{"a":"b",}', "[]", "{}", '{"a":{"b":1}}', "", "null", '{"a":"\\"}', '{"a":0}', '{"a":"b"} x', None]
     judged = spark.createDataFrame([(x,) for x in texts], "payload string").selectExpr(f"payload RLIKE r'{dq.FLAT_OBJECT}' AS flat", "json_object_keys(payload) IS NOT NULL AS object").collect()
     assert not [r for r in judged if r["flat"] and not r["object"]] and judged[0]["flat"] and judged[10]["flat"]
+
+
+def test_joins_of_lines_give_a_task_as_many_rows_at_any_size(spark, monkeypatch, capsys):
+    usual = Tables(spark, SF)
+    items, positions = usual.order_items, usual._positions
+    assert binding.ROWS <= 250_000
+    monkeypatch.setattr(binding, "ROWS", 100)
+    monkeypatch.setattr(binding, "once", lambda spark, source, name, build, state="": build())
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", -1)
+    try:
+        t = Tables(spark, SF)
+        for df, stored in ((t.order_items, items), (t._positions, positions)):
+            df.explain()
+            dealt = re.findall(r"hashpartitioning\((?:order_id|l_orderkey|o_orderkey|l_partkey)#\d+L?, (\d+)\)", capsys.readouterr().out)
+            assert len(dealt) >= 3 and set(dealt) == {str(t.pieces)}
+            assert df.count() == stored.count() and not df.exceptAll(stored).count()
+    finally:
+        spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
+
+
+def test_lines_are_dealt_once_for_delivery_features(spark, capsys):
+    t = Tables(spark, SF)
+    apart = models.m4_order_item_metrics(t).join(models.m4_order_weight(t), "order_id", "left")
+    assert apart.count() and not apart.exceptAll(models.m4_order_lines(t).select(apart.columns)).count()
+    models.m4_delivery_features(t).explain()
+    assert len(re.findall(r"/order_items-", capsys.readouterr().out)) == 1
